@@ -5,8 +5,9 @@ set bit of what is left, the longest first.  Every piece has a power-of-two leng
 its own: sequences of equal length make up a bucket, a batch draws from one bucket, no sequence crosses
 a document's border and nothing is padded.
 
-Tokenisation is exact but memoised: white space never lies inside a token of the vocabulary's pre-tokeniser,
-so a text is split at spaces and line ends only, and the ids of each chunk are kept in a bounded table.
+Tokenisation is memoised: white space never lies inside a token of the vocabulary's pre-tokeniser, so a text
+is split at spaces and line ends; the distinct words of a slice are found by 64-bit hashes, and the ids of each
+are looked up once in a bounded table.
 One narrow stage without a shuffle; a task's memory is one Arrow batch and that table.
 """
 
@@ -17,38 +18,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import slices
+from pagequarry.llm.common import ranges, slices, text_buffer, word_hashes
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, token_bytes binary"
 
 
-class ChunkIds(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes; at most `most` chunks are kept."""
+class WordIds(dict):
+    """word (bytes) -> its ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, most: int = 250_000, longest: int = 48):
+    Two generations of at most `most` words each: when the younger is full it becomes the older, so frequent
+    words stay.  A run of letters and the mark behind it are separate tokens to the pre-tokeniser, and ASCII case
+    does not matter to it; both share the entry of the bare lower-case word.
+    """
+
+    def __init__(self, path: str, most: int = 300_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= self.longest:
+        self.tokenizer, self.most, self.longest, self.older = Tokenizer.from_file(path), most, longest, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha() and not word.islower():
+                ids = self[word.lower()]
+            elif len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].isalpha():
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
-                self[""] = b""
-            self[chunk] = ids
+            self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-def piece_lengths(n: int, most: int) -> list[int]:
-    """Lengths of the pieces of n ids: whole sequences, then the set bits of the rest from the highest."""
-    rest = n % most
-    return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, ids of each document), the end id behind each; every distinct word is looked up once."""
+        hashes, starts, ends, bounds = word_hashes(buf, offsets)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        raw, heads = buf.tobytes(), order[new]
+        found = [self[raw[s:e]] for s, e in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
+        found.append(np.array([end_id], "<u4").tobytes())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        which = np.insert(which, bounds[1:], len(found) - 1)
+        counts = sizes[which]
+        ids = flat[ranges((np.cumsum(sizes) - sizes)[which], counts)]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(total[np.concatenate([[0], bounds[1:] + np.arange(1, len(bounds))])])
+
+
+def piece_lengths(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, length) of the pieces of n ids each: whole sequences, then the set bits of the rest from the highest."""
+    bits = np.arange(most.bit_length() - 2, -1, -1)
+    doc, bit = np.nonzero((n % most)[:, None] >> bits & 1)
+    doc = np.concatenate([np.repeat(np.arange(len(n)), n // most), doc])
+    length = np.concatenate([np.full(int((n // most).sum()), most, np.int64), np.int64(1) << bits[bit]])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], length[order]
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int = 4096) -> DataFrame:
@@ -60,22 +93,26 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        table = ChunkIds(tokenizer_path)
+        table = WordIds(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "doc_tokens", "bucket", "token_bytes")}
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    data = table.encode(text or "") + end
-                    n, at = len(data) // 4, 0
-                    for length in piece_lengths(n, max_length):
-                        for c, v in zip(rows, (doc, at, length, n, length.bit_length() - 1, data[4 * at : 4 * (at + length)]), strict=True):
-                            rows[c].append(v)
-                        at += length
+                ids, n = table.encode(*text_buffer(batch.column("text")), end_id)
+                doc, length = piece_lengths(n, max_length)
+                start = np.cumsum(length) - length
+                cuts = np.concatenate([start, [len(ids)]]) * 4
+                first = np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[c], t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=list(rows)
+                    [
+                        batch.column("doc_id").take(pa.array(doc)),
+                        pa.array(start - first[doc]),
+                        pa.array(length),
+                        pa.array(n[doc]),
+                        pa.array(np.log2(length).round().astype(np.int32)),
+                        pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    ],
+                    names=["doc_id", "start", "length", "doc_tokens", "bucket", "token_bytes"],
                 )
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
