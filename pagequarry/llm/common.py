@@ -105,10 +105,10 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of all words of a buffer; a word never crosses a document's border."""
     n = len(buf)
-    word = ~SEPARATOR[buf]
+    word = ~separator[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
@@ -120,10 +120,10 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20):
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR):
     """(hashes, starts, ends, word offsets) of the words of all documents, by tiles of bounded size."""
     values = LOWER_VALUES if lower else BYTE_VALUES
-    starts, ends = word_spans(buf, offsets)
+    starts, ends = word_spans(buf, offsets, separator)
     hashes = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):

@@ -13,6 +13,8 @@ One narrow stage without a shuffle; a task's memory is one Arrow batch and that
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ class WordIds(dict):
     does not matter to it; both share the entry of the bare lower-case word.
     """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -74,6 +76,12 @@ class WordIds(dict):
         return ids, np.diff(total[np.concatenate([[0], bounds[1:] + np.arange(1, len(bounds))])])
 
 
+@functools.cache
+def word_table(path: str) -> WordIds:
+    """One table for each Python worker, kept from task to task."""
+    return WordIds(path)
+
+
 def piece_lengths(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, length) of the pieces of n ids each: whole sequences, then the set bits of the rest from the highest."""
     bits = np.arange(most.bit_length() - 2, -1, -1)
@@ -95,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
         raise ValueError("max_length must be a power of two")
 
     def cut(batches):
-        table = WordIds(tokenizer_path)
+        table = word_table(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, n = table.encode(*text_buffer(batch.column("text")), end_id)
