@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import packing, topk
+from pagequarry.llm import html_text, langid, packing, sentencepiece_op, substring_dedup, suffix_dedup, topk, toxicity
 from pagequarry.llm.common import read_table
 
 
@@ -18,17 +18,55 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(modulus: int, remainder: int):
+    """crc32 of doc_id as text leaves `remainder`."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_op.PieceModel.load(tokenizer_path("piece_bpe_32k.model"))
+    encoded = sentencepiece_op.encode_documents(read_table(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_op.decode_documents(encoded, model)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, max_length=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(4, 2)))
+    return langid.predict(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeated_words(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.filter(~held_out(5, 0)), labels.filter(~held_out(5, 0)))
+    return toxicity.score_documents(docs.select("doc_id", held_out(5, 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op10_topk": op10_topk}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_packing, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk)}
 
 
 OP10_SQL = """
