@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import html_text, langid, packing, sentencepiece_op, substring_dedup, suffix_dedup, topk, toxicity
+from pagequarry.llm import embedding_dedup, html_text, jaccard_join, langid, packing, sentencepiece_op, substring_dedup, suffix_dedup, topk, toxicity
 from pagequarry.llm.common import read_table
 
 
@@ -30,11 +30,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, max_length=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(4, 2)))
@@ -66,7 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_packing, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_packing, op4_jaccard_join, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk)}
 
 
 OP10_SQL = """
