@@ -44,39 +44,51 @@ def runs_of(removed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return s - bounds[doc], e - bounds[doc], doc
 
 
-def _cut_words(table: pa.Table, block: Block, ids: np.ndarray, removed: np.ndarray) -> pa.Table:
-    bounds, n = block.bounds, table.num_rows
-    s, e, doc = runs_of(removed, bounds)
-    spans = np.bincount(doc, minlength=n)
-    lost = np.diff(np.concatenate([[0], np.cumsum(removed)])[bounds])
-    # kept words, each with one space behind it but for a document's last
+def _joined(block: Block, removed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the kept words, joined by one space."""
     keep = np.flatnonzero(~removed)
-    owner = np.searchsorted(bounds, keep, side="right") - 1
+    owner = np.searchsorted(block.bounds, keep, side="right") - 1
     length = block.ends[keep] - block.starts[keep]
     is_last = np.ones(len(keep), bool)
     is_last[:-1] = owner[1:] != owner[:-1]
     size = length + ~is_last
     out = np.full(int(size.sum()), 0x20, np.uint8)
     out[ranges(np.cumsum(size) - size, length)] = block.buf[ranges(block.starts[keep], length)]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=size, minlength=n).astype(np.int64))])
-    kept = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.string())
-    columns = {
-        "n_words": pa.array(np.diff(bounds)),
-        "n_removed": pa.array(lost),
-        "starts": list_of(s, spans),
-        "ends": list_of(e, spans),
-        "kept": kept,
-    }
-    names = [c for c in table.column_names if c not in ("text", "block")]
-    return pa.table([*[table.column(c) for c in names], *columns.values()], names=[*names, *columns])
+    return out, np.concatenate([[0], np.cumsum(np.bincount(owner, weights=size, minlength=n).astype(np.int64))])
+
+
+def _laid_out(block: Block, s: np.ndarray, e: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts without the removed runs: each goes with the white space behind it."""
+    first, last = s + block.bounds[doc], e + block.bounds[doc]
+    to = np.where(last < block.bounds[doc + 1], np.append(block.starts, 0)[np.minimum(last, len(block.starts))], block.ends[last - 1] if len(last) else last)
+    edges = np.bincount(block.starts[first], minlength=len(block.buf) + 1) - np.bincount(to, minlength=len(block.buf) + 1)
+    keep = np.cumsum(edges[:-1]) == 0
+    return block.buf[keep], np.concatenate([[0], np.cumsum(keep)])[block.offsets]
+
+
+def _cutter(layout: bool):
+    def cut(table: pa.Table, block: Block, ids: np.ndarray, removed: np.ndarray) -> pa.Table:
+        bounds, n = block.bounds, table.num_rows
+        s, e, doc = runs_of(removed, bounds)
+        out, ends = _laid_out(block, s, e, doc) if layout else _joined(block, removed, n)
+        kept = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.string())
+        lost = np.diff(np.concatenate([[0], np.cumsum(removed)])[bounds])
+        spans = np.bincount(doc, minlength=n)
+        columns = {"n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(lost), "starts": list_of(s, spans), "ends": list_of(e, spans), "kept": kept}
+        names = [c for c in table.column_names if c not in ("text", "block")]
+        return pa.table([*[table.column(c) for c in names], *columns.values()], names=[*names, *columns])
+
+    return cut
 
 
 RESULT = ("text", "block", "n_words", "n_removed", "starts", "ends", "kept")
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12, layout: bool = False) -> DataFrame:
     """All columns of docs but text, and n_words, n_removed, starts and ends (word positions of the removed runs), kept string.
 
+    kept: the kept words joined by one space; with `layout`, the text as it was without the removed runs.
+
     docs: doc_id, text and more; columns that clash with the result's are replaced.  Null and empty texts have no words.  A null doc_id takes no
     part and is kept whole.  Documents with fewer than `window` words lose nothing.  Rows that repeat a doc_id do not count as smaller than
     each other.  Empty input: empty result.
@@ -88,4 +100,4 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12) -> Dat
     schema = T.StructType(
         [*fields, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("starts", T.ArrayType(long)), T.StructField("ends", T.ArrayType(long)), T.StructField("kept", T.StringType())]
     )
-    return repeated_windows(docs, Windows(window, k, True), _resolve, _cut_words, schema)
+    return repeated_windows(docs, Windows(window, k, True), _resolve, _cutter(layout), schema)
