@@ -10,6 +10,7 @@ and kept in a bounded table: the result is that of the whole text.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,12 +53,12 @@ class PieceModel:
 class Encoder:
     """Encodes with one model; `most` chunks are kept in each of two generations."""
 
-    def __init__(self, model: PieceModel, most: int = 300_000, longest: int = 32):
+    def __init__(self, model: PieceModel, most: int = 250_000, longest: int = 32):
         import ahocorasick
 
         self.model, self.most, self.longest = model, most, longest
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         normal = [s for s, t in zip(model.scores, model.types, strict=True) if t == NORMAL] or [0.0]
         self.unknown_score = min(normal) - UNKNOWN_PENALTY
         self.unknown_id = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
@@ -73,8 +74,8 @@ class Encoder:
         # a border between a word and the space before the next is free if no piece holds a space behind another character
         self.words_part = not any(x[1] == SPACE and x[0] != SPACE for x in self.inside)
 
-    def viterbi(self, text: str) -> tuple[int, ...]:
-        """Best segmentation of one piece of normalised text; ties go to the earlier start, that is the longer piece."""
+    def viterbi(self, text: str) -> bytes:
+        """Best segmentation of one stretch of normalised text as packed 32-bit ids; ties go to the earlier start, that is the longer piece."""
         n = len(text)
         best, back, ids = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0], at, single = 0.0, 0, False
@@ -108,9 +109,9 @@ class Encoder:
             elif not (out and out[-1] == self.unknown_id):  # neighbouring unknown characters are one piece
                 out.append(self.unknown_id)
             end = start
-        return tuple(reversed(out))
+        return array("i", reversed(out)).tobytes()
 
-    def chunk(self, text: str) -> tuple[int, ...]:
+    def chunk(self, text: str) -> bytes:
         """Ids of a chunk with free borders; cut further at free borders inside, if bytes stand for unknown characters."""
         ids = self.recent.get(text)
         if ids is None:
@@ -118,9 +119,9 @@ class Encoder:
             if ids is None:
                 cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside] if self.bytes else []
                 if cuts and len(cuts) < len(text) - 1:
-                    ids = tuple(x for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) for x in self.chunk(text[a:b]))
+                    ids = b"".join(self.chunk(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True))
                 else:
-                    ids = self.viterbi(text) if not cuts else tuple(x for c in text for x in self.viterbi(c))
+                    ids = self.viterbi(text) if not cuts else b"".join(map(self.viterbi, text))
             if len(text) <= self.longest:
                 if len(self.recent) >= self.most:
                     self.older, self.recent = self.recent, {}
@@ -135,10 +136,14 @@ class Encoder:
         return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of any text, packed."""
         text = self.normalise(text)
         if not self.words_part or not self.bytes:
-            return list(self.viterbi(text)) if text else []
-        out: list[int] = []
+            return self.viterbi(text) if text else b""
+        out: list[bytes] = []
         at = 0
         while at < len(text):
             to = at
@@ -146,9 +151,9 @@ class Encoder:
                 to += 1
             to = text.find(SPACE, to)
             to = len(text) if to < 0 else to
-            out.extend(self.chunk(text[at:to]))
+            out.append(self.chunk(text[at:to]))
             at = to
-        return out
+        return b"".join(out)
 
     def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each document); texts whose words stand apart by single spaces go through one table of distinct words."""
@@ -167,9 +172,9 @@ class Encoder:
         found = [self.chunk(SPACE + raw[s:e].decode("utf-8")) for s, e in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
         hard = [i for i, e in enumerate(easy) if not e]
         base = len(found)
-        found += [self.encode(texts[i]) for i in hard]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.int32, int(sizes.sum()))
+        found += [self.packed(texts[i]) for i in hard]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         if hard:
             at = bounds[np.array(hard)]
             which = np.insert(which, at, np.arange(base, base + len(hard)))
@@ -226,7 +231,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] =
     def run(batches):
         encoder = worker_encoder(model)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 4 << 20):
                 ids, counts = encoder.encode_batch(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, list_of(ids, counts)], names=[*b.schema.names, "ids"])
 
@@ -241,11 +246,18 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches):
         decoder = Decoder(model)
-        for b in batches:
-            column = b.column(b.schema.get_field_index("ids"))
-            counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            texts = decoder.decode_batch(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if v else None for t, v in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())], names=[*b.schema.names, "decoded"])
+        for whole in batches:
+            counts = np.array([n or 0 for n in pa.compute.list_value_length(whole.column("ids")).to_pylist()], np.int64)
+            total = np.concatenate([[0], np.cumsum(counts)])
+            at = 0
+            while at < whole.num_rows:  # about a million ids at a time
+                to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
+                b = whole.slice(at, to - at)
+                column = b.column("ids")
+                texts = decoder.decode_batch(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[at:to])
+                known = column.is_valid().to_pylist()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if k else None for t, k in zip(texts, known, strict=True)], pa.string())], names=[*b.schema.names, "decoded"])
+                at = to
 
     import pyarrow.compute  # noqa: F401
 
