@@ -143,6 +143,22 @@ def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray
     return label
 
 
+def once(c: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (c, m) with the largest n of each."""
+    order = np.lexsort((-n, m, c))
+    c, m, n = c[order], m[order], n[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (m[1:] != m[:-1])
+    return c[new], m[new], n[new]
+
+
+def packed_pairs(c: np.ndarray, m: np.ndarray, n: np.ndarray, parts: int) -> pa.Table:
+    """Packed rows of pairs by the hash of the pair."""
+    where, bounds = partitions_of((mix(c.astype(U64) * U64(0x9E3779B97F4A7C15) + m.astype(U64)) % U64(parts)).astype(np.int64), parts)
+    rows = [(p, *pack(c[i], m[i], n[i])) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "m", "n"])
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 8 << 20, part_signatures: int = 1 << 19, block_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
@@ -178,7 +194,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                 shingles, sizes = shingle_sets(b.column("text"), words)
                 ids = b.column("doc_id").to_pylist()
                 ends = np.cumsum(sizes)
-                seen: set = set()
                 found, owner = [], []
                 for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
                     if not n or ids[i] is None:
@@ -191,7 +206,6 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                 if not found:
                     continue
                 sig, owner = np.concatenate(found), np.concatenate(owner)
-                del seen
                 doc = np.array([x or 0 for x in ids], np.int64)
                 # of copies in this slice one entry for each signature: equal sets have equal signatures
                 order = np.lexsort((doc[owner], sizes[owner], sig)) if len(set(ids)) < len(ids) else np.argsort(sig)
@@ -219,15 +233,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
         members = np.diff(np.concatenate([heads, [len(sig)]]))
         centre, members = np.repeat(centre, members), np.repeat(members, members)
         keep = members > 1
-        rows = np.stack([centre[keep], doc[keep], size[keep]], axis=1)
-        if len(rows):
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-            # a centre alone with itself (one document under two rows) says nothing
-        return pa.table({"c": pa.array(rows[:, 0]), "m": pa.array(rows[:, 1]), "n": pa.array(rows[:, 2])})
+        return packed_pairs(*once(centre[keep], doc[keep], size[keep]), parts)
+
+    def unite(table: pa.Table) -> pa.Table:
+        """The pairs that several signature partitions found, once each."""
+        c, m, n = once(*(np.concatenate(unpack(table.column(x), np.int64)) for x in ("c", "m", "n")))
+        return pa.table({"c": pa.array(c), "m": pa.array(m), "n": pa.array(n)})
 
     reps = docs.filter("doc_id IS NOT NULL")
-    found = reps.mapInArrow(sign, "part int, sig binary, doc binary, size binary").groupBy("part").applyInArrow(stars, "c long, m long, n long")
+    found = reps.mapInArrow(sign, "part int, sig binary, doc binary, size binary").groupBy("part").applyInArrow(stars, "part int, c binary, m binary, n binary")
+    found = found.groupBy("part").applyInArrow(unite, "c long, m long, n long")
     pairs = found.join(copies, found.m == copies.doc_id, "left").select("c", F.coalesce("rep", "m").alias("m"), "n").groupBy("c", "m").agg(F.max("n").alias("n"))
     pairs = materialise(pairs)
     weight = pairs.groupBy("c").agg(F.sum("n").alias("weight"), F.count("*").alias("members")).filter("members > 1")
