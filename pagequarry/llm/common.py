@@ -65,6 +65,38 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
+_STATE: dict = {}
+
+
+def worker_state(owner: str, key, make):
+    """make() once for each key in this Python worker.  Tables of another owner go first: workers outlive the operators they ran."""
+    if owner not in _STATE:
+        _STATE.clear()
+        release()
+    own = _STATE.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def alone(owner: str) -> None:
+    """Drops the tables that other operators left in this worker."""
+    if owner not in _STATE:
+        _STATE.clear()
+        _STATE[owner] = {}
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system; large temporaries would otherwise stay with an idle worker."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

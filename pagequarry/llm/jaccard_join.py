@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, kgrams, materialise, mix, pack, partitions_of, ranges, slices, text_bytes, text_buffer, unpack, word_hashes
+from pagequarry.llm.common import U64, alone, kgrams, materialise, mix, pack, partitions_of, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
 from pagequarry.llm.graph import components, salted_lookup
 
 ENUMERATED = 5
@@ -159,7 +159,7 @@ def packed_pairs(c: np.ndarray, m: np.ndarray, n: np.ndarray, parts: int) -> pa.
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "m", "n"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 8 << 20, part_signatures: int = 1 << 19, block_shingles: int = 1 << 19) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 4 << 20, part_signatures: int = 1 << 19, block_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs without ASCII white space, A-Z as a-z; two sets are linked when 100 * intersection >= percent * union.  Null and empty texts, and
@@ -169,6 +169,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches):
+        alone("jaccard")
         for whole in batches:
             for b in slices(whole, "text", slice_bytes):
                 shingles, n = shingle_sets(b.column("text"), words)
@@ -178,6 +179,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles * U64(seed)), dtype=U64)])
                     sums.append(pa.array((total[ends] - total[ends - n]).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *sums], names=["doc_id", "n_shingles", "s1", "s2"])
+        release()
 
     features = materialise(docs.mapInArrow(measure, "doc_id long, n_shingles long, s1 long, s2 long"))
     key = ["n_shingles", "s1", "s2"]
@@ -188,6 +190,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
     parts = max(1, int(text_bytes(docs) * 0.05) // part_signatures + 1)
 
     def sign(batches):
+        alone("jaccard")
         bands = Bands(percent)
         for whole in batches:
             for b in slices(whole, "text", slice_bytes):
@@ -213,6 +216,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                 where, bounds = partitions_of((sig >> U64(33)).astype(np.int64) % parts, parts)
                 rows = [(p, *pack(sig[i], doc[owner[i]], sizes[owner[i]].astype(np.int32))) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sig", "doc", "size"])
+        release()
 
     def stars(table: pa.Table) -> pa.Table:
         """(centre, member, size) of every bucket with two sets or more; a bucket is cut where sizes are too far apart."""
@@ -270,6 +274,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                 moved = np.flatnonzero(label != np.arange(e - s))
                 a.append(m[s + moved])
                 b.append(m[s + label[moved]])
+        release()
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
 
     links = texts.groupBy(F.pmod(F.xxhash64("c", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(verify, "a long, b long")

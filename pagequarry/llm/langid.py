@@ -19,31 +19,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.common import worker_state
+
 CLASSES = 40
 UNDETERMINED = "und"
-_TABLES: dict = {}
 
 
 def letter_classes() -> np.ndarray:
     """Code point -> class: 0 no letter, 1-26 a-z, the rest by a rule over the lower-case letter."""
-    if "letters" not in _TABLES:
+
+    def make() -> np.ndarray:
         out = np.zeros(0x110000, np.uint8)
         for c in range(0x33480):
             if unicodedata.category(chr(c))[0] == "L":
                 low = ord(chr(c).lower()[0])
                 out[c] = low - 96 if 97 <= low <= 122 else 27 + low % (CLASSES - 27)
-        _TABLES["letters"] = out
-    return _TABLES["letters"]
+        return out
+
+    return worker_state("languages", "letters", make)
 
 
 def trigram_table(dims: int, seed: int) -> np.ndarray:
     """int8 (CLASSES**3, dims): the bound vector of every trigram of classes."""
-    key = (dims, seed)
-    if key not in _TABLES:
+
+    def make() -> np.ndarray:
         letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dims))
         first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        _TABLES[key] = (first[:, None, None] * second[None, :, None] * letters[None, None]).reshape(-1, dims)
-    return _TABLES[key]
+        return (first[:, None, None] * second[None, :, None] * letters[None, None]).reshape(-1, dims)
+
+    return worker_state("languages", (dims, seed), make)
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:

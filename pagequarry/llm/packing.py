@@ -13,14 +13,12 @@ One narrow stage without a shuffle; a task's memory is one Arrow batch and that
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import ranges, slices, text_buffer, word_hashes
+from pagequarry.llm.common import ranges, release, slices, text_buffer, word_hashes, worker_state
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, token_bytes binary"
 
@@ -76,12 +74,6 @@ class WordIds(dict):
         return ids, np.diff(total[np.concatenate([[0], bounds[1:] + np.arange(1, len(bounds))])])
 
 
-@functools.cache
-def word_table(path: str) -> WordIds:
-    """One table for each Python worker, kept from task to task."""
-    return WordIds(path)
-
-
 def piece_lengths(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(document index, length) of the pieces of n ids each: whole sequences, then the set bits of the rest from the highest."""
     bits = np.arange(most.bit_length() - 2, -1, -1)
@@ -103,9 +95,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
         raise ValueError("max_length must be a power of two")
 
     def cut(batches):
-        table = word_table(tokenizer_path)
+        table = worker_state("packing", tokenizer_path, lambda: WordIds(tokenizer_path))
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, n = table.encode(*text_buffer(batch.column("text")), end_id)
                 doc, length = piece_lengths(n, max_length)
                 start = np.cumsum(length) - length
@@ -122,6 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "bucket", "token_bytes"],
                 )
+        release()
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

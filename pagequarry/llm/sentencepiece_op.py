@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import list_of, ranges, slices, text_buffer, word_hashes
+from pagequarry.llm.common import list_of, ranges, release, slices, text_buffer, word_hashes, worker_state
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -210,15 +210,10 @@ class Decoder:
         return [x[1:] if self.dummy and x[:1] == " " else x for x in out]
 
 
-_ENCODERS: dict = {}
-
-
 def worker_encoder(model: PieceModel) -> Encoder:
     """One encoder for each Python worker, kept from task to task."""
     key = (len(model.pieces), hash(tuple(model.pieces)), hash(tuple(model.scores)), model.dummy_prefix, model.trim)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model)
-    return _ENCODERS[key]
+    return worker_state("sentencepiece", key, lambda: Encoder(model))
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -234,6 +229,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] =
             for b in slices(whole, "text", 4 << 20):
                 ids, counts = encoder.encode_batch(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, list_of(ids, counts)], names=[*b.schema.names, "ids"])
+        release()
 
     return docs.mapInArrow(run, schema)
 

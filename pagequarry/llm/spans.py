@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import BYTE_VALUES, TOKEN_BASE, U64, kgrams, mix, partitions_of, power_tables, ranges, sliding_min, text_bytes, text_buffer, unpack, within, word_hashes
+from pagequarry.llm.common import BYTE_VALUES, TOKEN_BASE, U64, alone, kgrams, mix, partitions_of, power_tables, ranges, release, sliding_min, text_bytes, text_buffer, unpack, within, word_hashes
 
 COPY, KEYS, PATHS = 0, 1, 2
 ANSWER = "block int, kind int, part int, id long, a binary, b binary, c binary"
@@ -118,6 +118,8 @@ def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _active(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, takes part, is a later copy)."""
+    alone("spans")
+    release()
     column = docs.column("doc_id")
     ids = column.fill_null(0).to_numpy() if column.null_count else column.to_numpy()
     known = column.is_valid().to_numpy(zero_copy_only=False) if column.null_count else np.ones(len(ids), bool)
