@@ -199,13 +199,17 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 
 def within(lengths: np.ndarray) -> np.ndarray:
     """0 .. n-1 for each length n, concatenated."""
-    total = int(lengths.sum())
-    return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return ranges(np.zeros(len(lengths), np.int64), lengths)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start .. start+n-1 for each pair, concatenated."""
-    return np.repeat(starts, lengths) + within(lengths)
+    """start .. start+n-1 for each pair, concatenated; 32-bit where that holds them."""
+    total = int(lengths.sum())
+    small = total == 0 or max(total, int((starts + lengths).max(initial=0))) < (1 << 31)
+    kind = np.int32 if small else np.int64
+    out = np.arange(total, dtype=kind)
+    out += np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    return out
 
 
 def pack(*arrays: np.ndarray) -> list[bytes]:

@@ -137,7 +137,7 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.T
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Callable, schema: T.StructType, block_bytes: int = 8 << 20, part_keys: int = 1 << 19) -> DataFrame:
+def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Callable, schema: T.StructType, block_bytes: int = 4 << 20, part_keys: int = 1 << 19) -> DataFrame:
     """Runs the exchange over docs (doc_id long, text string, more columns) and cuts each block's documents.
 
     resolve(payloads, windows, doc_ids, shards): the smallest doc_id of every window of branching paths.

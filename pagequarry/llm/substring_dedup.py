@@ -60,10 +60,16 @@ def _joined(block: Block, removed: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 def _laid_out(block: Block, s: np.ndarray, e: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts without the removed runs: each goes with the white space behind it."""
     first, last = s + block.bounds[doc], e + block.bounds[doc]
-    to = np.where(last < block.bounds[doc + 1], np.append(block.starts, 0)[np.minimum(last, len(block.starts))], block.ends[last - 1] if len(last) else last)
-    edges = np.bincount(block.starts[first], minlength=len(block.buf) + 1) - np.bincount(to, minlength=len(block.buf) + 1)
-    keep = np.cumsum(edges[:-1]) == 0
-    return block.buf[keep], np.concatenate([[0], np.cumsum(keep)])[block.offsets]
+    # kept stretches: from a document's start or the end of a run, to the next run or the document's end
+    stop = np.where(last < block.bounds[doc + 1], np.append(block.starts, 0)[np.minimum(last, len(block.starts))], block.ends[last - 1] if len(last) else last)
+    begins = np.concatenate([block.offsets[:-1], stop])
+    ends = np.concatenate([block.offsets[1:], block.starts[first]])
+    owner = np.concatenate([np.arange(len(block.offsets) - 1), doc])
+    begins, ends = begins[np.lexsort((begins, owner))], ends[np.lexsort((ends, owner))]
+    raw = block.buf.tobytes()
+    kept = b"".join([raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)])
+    size = np.bincount(np.sort(owner), weights=ends - begins, minlength=len(block.offsets) - 1).astype(np.int64)
+    return np.frombuffer(kept, np.uint8), np.concatenate([[0], np.cumsum(size)])
 
 
 def _cutter(layout: bool):
