@@ -96,7 +96,7 @@ def page_keywords(parts: Column, metadata: Column, content: Column) -> Column:
 def search_keywords(metadata: Column, path: Column, title: Column) -> Column:
     """TXT-12: metadata keywords, raw path parts beyond two bytes, lower-case title words beyond three."""
     parts = F.filter(F.split(path, "/"), lambda x: F.octet_length(x) > 2)
-    words = F.transform(F.filter(fields(title), lambda x: F.octet_length(x) > 3), F.lower)
+    words = F.transform(F.filter(fields(title), lambda x: F.octet_length(x) > 3), lambda x: F.lower(x))
     return distinct_strings(F.concat(metadata, parts, words))
 
 
@@ -135,7 +135,7 @@ def comma_list(text: Column) -> Column:
 def markdown_clean(markdown: Column) -> Column:
     """HTML-10: at most one empty line in a row, escapes undone, table cells trimmed, other lines without trailing spaces."""
     m = F.replace(F.replace(F.regexp_replace(markdown, r"\n{3,}", "\n\n"), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
-    cells = lambda x: F.array_join(F.transform(F.split(x, r"\|"), F.trim), " | ")
+    cells = lambda x: F.array_join(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), " | ")
     line = lambda x: F.when(x.contains("|"), F.trim(cells(x))).otherwise(F.regexp_replace(x, " +$", ""))
     return F.array_join(F.transform(F.split(m, "\n"), line), "\n")
 
