@@ -53,7 +53,7 @@ class PieceModel:
 class Encoder:
     """Encodes with one model; `most` chunks are kept in each of two generations."""
 
-    def __init__(self, model: PieceModel, most: int = 250_000, longest: int = 32):
+    def __init__(self, model: PieceModel, most: int = 150_000, longest: int = 32):
         import ahocorasick
 
         self.model, self.most, self.longest = model, most, longest
@@ -226,7 +226,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] =
     def run(batches):
         encoder = worker_encoder(model)
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 ids, counts = encoder.encode_batch(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, list_of(ids, counts)], names=[*b.schema.names, "ids"])
         release()
@@ -246,8 +246,8 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
             counts = np.array([n or 0 for n in pa.compute.list_value_length(whole.column("ids")).to_pylist()], np.int64)
             total = np.concatenate([[0], np.cumsum(counts)])
             at = 0
-            while at < whole.num_rows:  # about a million ids at a time
-                to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
+            while at < whole.num_rows:  # about half a million ids at a time
+                to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 19), side="right")) - 1)
                 b = whole.slice(at, to - at)
                 column = b.column("ids")
                 texts = decoder.decode_batch(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[at:to])
