@@ -26,11 +26,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; that setting is made only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "/tmp/pagequarry-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder below spark.checkpoint.dir; a local default serves only where that setting is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/pagequarry-checkpoints"
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
 
 

@@ -77,6 +77,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_packing, op4_jaccard_join, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk)}
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.vec_id
+), n AS (SELECT i, count(*) AS n FROM l GROUP BY i), m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c AS component_id, m.vec_id = c AS kept FROM m LEFT JOIN n ON n.i = m.vec_id
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), t AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w
+), g AS (SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS gram FROM t
+), s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN n < 4 THEN 'short ' || gram ELSE gram END AS gram FROM g WHERE pos <= n - 4 OR (n < 4 AND pos = 0)
+), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (SELECT i.a, i.b FROM i JOIN z x ON x.doc_id = i.a JOIN z y ON y.doc_id = i.b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id
+), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, component_id FROM m LEFT JOIN z USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), t AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w
+), g AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER f AS gram, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), h AS (SELECT doc_id, pos, word, n = 50 AND doc_id > min(doc_id) OVER (PARTITION BY n = 50, gram) AS hit FROM g
+), c AS (SELECT doc_id, pos, word, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM h
+), a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH w AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), t AS (SELECT doc_id, h, unnest(range(n - 49)) AS pos FROM w WHERE n >= 50
+), g AS MATERIALIZED (SELECT doc_id, pos, substring(h, 2 * pos + 1, 100) AS gram FROM t
+), f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), h AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS new FROM g JOIN f USING (gram) WHERE doc_id > first
+), i AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM h
+), r AS MATERIALIZED (SELECT doc_id, min(pos) AS s, max(pos) + 50 AS e FROM i GROUP BY doc_id, run
+), a AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id
+), k AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM r
+  UNION ALL SELECT w.doc_id, coalesce(max(r.e), 0), any_value(w.n) FROM w LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+), p AS (SELECT k.doc_id, string_agg(substring(h, 2 * k.s + 1, 2 * (k.e - k.s)), '' ORDER BY k.s) AS kept FROM k JOIN w USING (doc_id) GROUP BY k.doc_id)
+SELECT w.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM w LEFT JOIN a USING (doc_id) LEFT JOIN p USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -93,4 +146,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_topk": OP10_SQL}
