@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
+from pagequarry.operators.ranking import scratch
 
 
 def suffixes(host: Column) -> Column:
@@ -62,8 +61,7 @@ def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int
     With max_pages the search stops after the level that reaches it.
     """
     spark = seeds.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/pagequarry-checkpoints"
-    folder = f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    folder = scratch(spark)
 
     def keep(df: DataFrame, level: int) -> int:
         df.select("url", F.lit(level).cast("long").alias("depth")).write.parquet(f"{folder}/level={level}")
