@@ -149,11 +149,14 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEP
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR):
-    """(hashes, starts, ends, word offsets) of the words of all documents, by tiles of bounded size."""
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = ()):
+    """(hashes, starts, ends, word offsets) of the words of all documents, by tiles of bounded size.
+
+    With stems, hashes has a row for the words and one for their first n bytes for each n of stems.
+    """
     values = LOWER_VALUES if lower else BYTE_VALUES
     starts, ends = word_spans(buf, offsets, separator)
-    hashes = np.empty(len(starts), U64)
+    hashes = np.empty((1 + len(stems), len(starts)), U64)
     i = 0
     while i < len(starts):
         base = int(starts[i])
@@ -162,9 +165,11 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile:
         pw, inv = power_tables(BYTE_BASE, int(e[-1]) + 1)
         total = np.zeros(int(e[-1]) + 1, U64)
         np.cumsum(values[buf[base : base + int(e[-1])]] * pw[: int(e[-1])], dtype=U64, out=total[1:])
-        hashes[i:j] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(U64) * U64(TOKEN_BASE))
+        for row, stem in enumerate((0, *stems)):
+            to = np.minimum(e, s + stem) if stem else e
+            hashes[row, i:j] = mix((total[to] - total[s]) * inv[s] + (to - s).astype(U64) * U64(TOKEN_BASE))
         i = j
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return hashes if stems else hashes[0], starts, ends, np.searchsorted(starts, offsets)
 
 
 def kgrams(tokens: np.ndarray, k: int) -> np.ndarray:
