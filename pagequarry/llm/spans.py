@@ -137,7 +137,7 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.T
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Callable, schema: T.StructType, block_bytes: int = 4 << 20, part_keys: int = 1 << 19) -> DataFrame:
+def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Callable, schema: T.StructType, block_bytes: int = 4 << 20, part_keys: int = 1 << 19, chunk_tokens: int = 1 << 16) -> DataFrame:
     """Runs the exchange over docs (doc_id long, text string, more columns) and cuts each block's documents.
 
     resolve(payloads, windows, doc_ids, shards): the smallest doc_id of every window of branching paths.
@@ -241,10 +241,15 @@ def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Cal
         answer_sizes = np.where(branching, count[first], 1)
         answer_starts = np.cumsum(answer_sizes) - answer_sizes
         answer = np.repeat(smallest, answer_sizes)
-        b = np.flatnonzero(branching)
+        # keys are independent: branching paths go by whole keys, some at a time, so that what resolves them stays in the cache
+        b = by_key[branching[by_key]]
         if len(b):
-            f = first[b]
-            answer[ranges(answer_starts[b], count[f])] = resolve(data[ranges(starts[f], sizes[f])], count[f], smallest[b], row[f])
+            total = np.cumsum(sizes[first[b]])
+            head = np.concatenate([[True], key[first[b]][1:] != key[first[b]][:-1]])
+            chunk = (total // chunk_tokens)[np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))]
+            for own in np.split(b, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+                f = first[own]
+                answer[ranges(answer_starts[own], count[f])] = resolve(data[ranges(starts[f], sizes[f])], count[f], smallest[own], row[f])
         least = np.minimum.reduceat(answer, answer_starts)
         rows, at = [], 0
         wanted = useful[compact] & (least[compact] < high)

@@ -15,38 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import list_of
+from pagequarry.llm.common import U64, list_of
 from pagequarry.llm.spans import Block, Windows, repeated_windows
 from pagequarry.llm.substring_dedup import runs_of
 
 SHARDS = 8
 
 
+def _ranks(code: np.ndarray) -> tuple[np.ndarray, int]:
+    """(rank of each value among the distinct ones, how many there are)."""
+    order = np.argsort(code)
+    ranked = code[order]
+    rank = np.zeros(len(code), U64)
+    rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]])).astype(U64)[: len(code)]
+    return rank, int(rank.max()) + 1 if len(code) else 0
+
+
 class Collection:
     """Strings as rotations, each closed by `step` end marks; symbols are ranks of `step` bytes at a time."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, step: int):
         padded = sizes + step
-        self.starts = np.cumsum(padded) - padded
-        self.string = np.repeat(np.arange(len(sizes)), padded)
         n = int(padded.sum())
-        text = np.zeros(n, np.int64)
-        offset = np.arange(n) - self.starts[self.string]
-        text[offset < sizes[self.string]] = data.astype(np.int64) + 1
-        forward = np.arange(1, n + 1)
+        kind = np.int32 if n < (1 << 31) else np.int64
+        self.starts = (np.cumsum(padded) - padded).astype(kind)
+        self.string = np.repeat(np.arange(len(sizes), dtype=kind), padded)
+        offset = np.arange(n, dtype=kind) - self.starts[self.string]
+        inside = offset < sizes.astype(kind)[self.string]
+        text = np.zeros(n, np.uint64)
+        text[inside] = data.astype(np.uint64) + U64(1)
+        forward = np.arange(1, n + 1, dtype=kind)
         forward[self.starts + padded - 1] = self.starts
-        self.before = np.arange(n) - step
+        self.before = np.arange(n, dtype=kind) - kind(step)
         wrap = offset < step
-        self.before[wrap] += padded[self.string[wrap]]
-        code, at = text.copy(), np.arange(n)
+        self.before[wrap] += padded.astype(kind)[self.string[wrap]]
+        # symbols joined one by one, ranked whenever the next would not fit 64 bits
+        code, base, at = text, 257, np.arange(n, dtype=kind)
         for _ in range(step - 1):
             at = forward[at]
-            code = code * 257 + text[at]
-        order = np.argsort(code)
-        ranked = code[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-        self.distinct = int(rank.max()) + 1 if n else 0
+            if base > (1 << 63) // 257:
+                code, base = _ranks(code)
+            code = code * U64(257) + text[at]
+            base *= 257
+        rank, self.distinct = _ranks(code)
         self.rank = rank.astype(np.uint16 if self.distinct <= 65536 else np.int64)
 
     def suffix_order(self, positions: np.ndarray, passes: int) -> np.ndarray:
@@ -66,7 +77,7 @@ def merge(orders: list[np.ndarray], symbols: list[np.ndarray], passes: int) -> t
     order, symbol = np.concatenate(orders), np.concatenate(symbols)
     shard = np.repeat(np.arange(len(orders)), [len(o) for o in orders]).astype(np.uint8)
     interval = np.zeros(len(order), np.int32)
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32 if len(order) < (1 << 31) else np.int64)
     for _ in range(passes):
         place[np.argsort(shard, kind="stable")] = np.arange(len(order))
         bwt = symbol[place]
@@ -82,7 +93,7 @@ def resolver(window: int):
     def resolve(data: np.ndarray, count: np.ndarray, docs: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Smallest doc_id of every window of branching paths, from the intervals of the merged transform."""
         sizes = count + window - 1
-        for step in [s for s in (5, 2, 1) if window % s == 0]:
+        for step in [s for s in (10, 5, 2, 1) if window % s == 0]:
             strings = Collection(data, sizes, step)
             if strings.distinct <= 65536:
                 break
