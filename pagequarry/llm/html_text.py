@@ -259,7 +259,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != "text"])
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() != "text"])
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches):

@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null texts and texts without a letter: `und`, 0.  Repeated rows are scored each time.  Empty input: empty result.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     docs = docs.select(*[F.col(f"`{c}`") for c in keep])
     from pyspark.sql import types as T
 

@@ -99,7 +99,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12, layout
     part and is kept whole.  Documents with fewer than `window` words lose nothing.  Rows that repeat a doc_id do not count as smaller than
     each other.  Empty input: empty result.
     """
-    keep = [c for c in docs.columns if c not in RESULT and c != "doc_id"]
+    keep = [c for c in docs.columns if c.lower() not in (*RESULT, "doc_id")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"))
     fields = [f for f in docs.schema.fields if f.name != "text"]
     long = T.LongType()

@@ -28,41 +28,44 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def _blocks(q: DataFrame, n: int, name: str) -> DataFrame:
-    """Packed blocks of about BLOCK_ROWS vectors: id, block, ids binary, dims, values binary."""
+    """Packed blocks of about BLOCK_ROWS vectors of one dimension: block, ids, dims, bytes of a value (2 or 8), values."""
+    fields = ((f"{name}_block", pa.int32()), (f"{name}_ids", pa.binary()), (f"{name}_dims", pa.int32()), (f"{name}_width", pa.int32()), (f"{name}_values", pa.binary()))
 
     def fold(key, table):
         ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        column = table.column("q").combine_chunks()
-        rows = column.to_pylist()
+        rows = table.column("q").combine_chunks().to_pylist()
         groups: dict[int, list[int]] = {}
-        for i in order.tolist():
+        for i in np.argsort(ids, kind="stable").tolist():
             groups.setdefault(len(rows[i]), []).append(i)
-        out = [(key[0].as_py(), ids[g].tobytes(), d, np.array([rows[i] for i in g], np.int64).tobytes()) for d, g in groups.items()]
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(((f"{name}_block", pa.int32()), (f"{name}_ids", pa.binary()), (f"{name}_dims", pa.int32()), (f"{name}_values", pa.binary())))})
+        out = []
+        for d, g in groups.items():
+            values = np.array([rows[i] for i in g], np.int64)
+            small = not values.size or np.abs(values).max() < (1 << 15)
+            out.append((key[0].as_py(), ids[g].tobytes(), d, 2 if small else 8, values.astype(np.int16 if small else np.int64).tobytes()))
+        return pa.table([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(fields)], names=[c for c, _ in fields])
 
     blocks = max(1, -(-n // BLOCK_ROWS))
-    return (
-        q.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        .groupBy("b")
-        .applyInArrow(fold, f"{name}_block int, {name}_ids binary, {name}_dims int, {name}_values binary")
-    )
+    packed = q.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b")
+    return materialise(packed.applyInArrow(fold, f"{name}_block int, {name}_ids binary, {name}_dims int, {name}_width int, {name}_values binary"))
+
+
+def _matrix(r: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(r[f"{name}_ids"], np.int64)
+    return ids, np.frombuffer(r[f"{name}_values"], np.int16 if r[f"{name}_width"] == 2 else np.int64).reshape(len(ids), r[f"{name}_dims"])
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products; through BLAS where doubles are exact."""
-    if q.size and c.size and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < EXACT:
+    if q.size and c.size and float(np.abs(q.astype(np.int64)).max()) * float(np.abs(c.astype(np.int64)).max()) * q.shape[1] < EXACT:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    return q.astype(np.int64) @ c.astype(np.int64).T
 
 
 def _pairs_of_blocks(batches):
     """For each row of block pairs: query ids, candidate ids, scores, mask of a query's own rows; by slices of 512 queries."""
     for b in batches:
         for r in b.to_pylist():
-            qi, ci = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-            d = r["q_dims"]
-            q, c = np.frombuffer(r["q_values"], np.int64).reshape(len(qi), d), np.frombuffer(r["c_values"], np.int64).reshape(len(ci), d)
+            (qi, q), (ci, c) = _matrix(r, "q"), _matrix(r, "c")
             for at in range(0, len(qi), 512):
                 s = _scores(q[at : at + 512], c)
                 yield r, qi[at : at + 512], ci, s, qi[at : at + 512, None] == ci[None, :]
@@ -135,7 +138,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> D
     # the grid of query blocks and candidate blocks: each side is dealt to the cells of its row or column
     left = left.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     right = right.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    grid = materialise(left.join(right, ["q_block", "c_block"]).filter("q_dims = c_dims").repartition(max(1, min(nq * nc, 4096)), "q_block", "c_block"))
+    # it is dealt anew in each round and never stored: what is kept is the blocks, once
+    grid = left.join(right, ["q_block", "c_block"]).filter("q_dims = c_dims")
     score_range = grid.mapInArrow(_range, "query_id long, lo long, hi long, n long").groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     state = materialise(
         score_range.select(
