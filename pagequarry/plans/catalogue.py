@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.operators import assets, crawl, experiments, metrics, process, related, rules, site_index, tree
+from pagequarry.operators import assets, crawl, experiments, metrics, process, related, rules, site_index, telemetry, tree
 from pagequarry.plans.session import prepare
+from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
-from pagequarry.sources import seeds
 from pagequarry.streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,3 +833,82 @@ def limiter_trace(spark, sf_dir):
     """STR-05 to STR-07 (no SQL: a state machine; tested against its definition)."""
     e = events(spark, sf_dir).select(F.concat(F.lit("d"), (col("user_id") % 16).cast("string")).alias("domain"), "ts", "event_id", F.when(col("event_type") == "view", "acquire").otherwise("feedback").alias("kind"), (~ok()).alias("failed"))
     return limiter.trace(e)
+
+
+# extension surfaces --------------------------------------------------------------------------------------------------------------
+
+
+@register("SELECT p.page_id, p.url, c.url IS NOT NULL AS hit, c.title FROM pages p LEFT JOIN (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages WHERE page_id % 4 = 0) c USING (url)")
+def cache_lookup(spark, sf_dir):
+    """JN-08, STR-09."""
+    p = parsed(spark, sf_dir)
+    return extensions.with_cache(p.select("page_id", "url"), p.filter("page_id % 4 = 0"), ["title"]).select("page_id", "url", "hit", "title")
+
+
+@register(f"WITH {L} SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM L WHERE length(href) > 8)")
+def pages_with_long_links(spark, sf_dir):
+    """JN-14."""
+    p = table(spark, sf_dir, "pages")
+    return p.join(pages_source.links(p).filter(F.length("href") > 8).select("page_id"), "page_id", "left_semi").select("page_id", "url")
+
+
+@register("SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0")
+def seed_union(spark, sf_dir):
+    """SET-02."""
+    p = table(spark, sf_dir, "pages")
+    return extensions.seed_union(p.filter("page_id % 2 = 0"), p.filter("page_id % 3 = 0"))
+
+
+@register("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 100")
+def max_pages(spark, sf_dir):
+    """LIM-03, SRT-01: the limit is the feature."""
+    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy("url", "page_id").limit(100)
+
+
+@register(f"WITH {AL}, M AS (SELECT asset_url, '/assets/' || sha256(asset_url) AS local FROM G WHERE type <> 'doc' GROUP BY asset_url) SELECT page_id, pos, G.asset_url, coalesce(local, G.asset_url) AS shown FROM G LEFT JOIN M ON G.asset_url = M.asset_url")
+def asset_rewrite_map(spark, sf_dir):
+    """JN-13, SRT-05."""
+    refs = linked_assets(spark, sf_dir)
+    local = refs.filter("type <> 'doc'").select("asset_url").distinct().withColumn("local", F.concat(F.lit("/assets/"), F.sha2(F.encode("asset_url", "UTF-8"), 256)))
+    return refs.join(local, "asset_url", "left").select("page_id", "pos", "asset_url", F.coalesce("local", "asset_url").alias("shown"))
+
+
+@register(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '^\s+|\s+$', '', 'g'), ''), 'Untitled') AS title,
+  CAST(len(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM pages""")
+def crawler_pages(spark, sf_dir):
+    """SRC-06, HTML-06."""
+    return table(spark, sf_dir, "pages").withColumn("c", extensions.crawler_page(col("html"))).select("page_id", col("c.title").alias("title"), col("c.words").alias("words"))
+
+
+@register("WITH A AS (SELECT url || CASE WHEN page_id % 5 = 0 THEN '/fail-extraction' ELSE '' END AS url FROM pages) SELECT url, CASE WHEN contains(url, 'fail-extraction') THEN NULL ELSE 'Test Page' END AS title, NOT contains(url, 'fail-extraction') AS success FROM A")
+def simulated_extraction(spark, sf_dir):
+    """SRC-17."""
+    p = table(spark, sf_dir, "pages").select(F.concat("url", F.when(col("page_id") % 5 == 0, "/fail-extraction").otherwise("")).alias("url"))
+    return extensions.simulated(p)
+
+
+@register(f"WITH {AL} SELECT type, count(*) AS discovered, count(*) FILTER (type <> 'doc') AS selected, CAST(sum(bytes) AS BIGINT) AS bytes_in FROM G GROUP BY type")
+def asset_counters(spark, sf_dir):
+    """AGG-08, AGG-25."""
+    return linked_assets(spark, sf_dir).groupBy("type").agg(F.count("*").alias("discovered"), F.count_if(col("type") != "doc").alias("selected"), F.sum("bytes").alias("bytes_in"))
+
+
+@register("SELECT event_type AS sink, count(*) AS writes, count(*) FILTER (value > 20) AS errors, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def sink_stats(spark, sf_dir):
+    """AGG-20."""
+    e = table(spark, sf_dir, "events").select(col("event_type").alias("sink"), (col("value") > 20).alias("failed"), col("user_id").alias("bytes"), col("value").alias("latency"))
+    return telemetry.sink_stats(e).drop("mean_latency")
+
+
+@register("WITH A AS (SELECT event_type AS category, event_id FROM events), B AS (SELECT 'all' AS name, event_id FROM A UNION ALL SELECT 'errors', event_id FROM A WHERE category = 'error'), C AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY event_id) > CASE name WHEN 'all' THEN 100 ELSE 5 END AS dropped FROM B) SELECT name, count(*) FILTER (NOT dropped) AS delivered, count(*) FILTER (dropped) AS dropped FROM C GROUP BY name")
+def bus_stats(spark, sf_dir):
+    """STR-12, AGG-21."""
+    e = table(spark, sf_dir, "events").select(col("event_type").alias("category"), "event_id")
+    subscribers = spark.createDataFrame([("all", "*", 100), ("errors", "error", 5)], "name string, category string, buffer int")
+    return telemetry.bus_stats(telemetry.delivered(e, subscribers, ("event_id",)))
+
+
+@register()
+def table_of_contents(spark, sf_dir):
+    """TRE-04 (no SQL: held to fixtures): hierarchy nodes with the headings of their pages."""
+    return tree.contents(with_markdown(spark, sf_dir))
