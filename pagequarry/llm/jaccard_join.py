@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
     rows = rows.select("c", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("c", "m", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     texts = rows.join(reps, rows.m == reps.doc_id).select("c", "i", "j", "m", "text")
-    groups = max(1, parts // 2)
+    groups = 4 * parts
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("c", "ascending"), ("i", "ascending"), ("j", "ascending"), ("m", "ascending")])

@@ -31,7 +31,7 @@ class WordIds(dict):
     does not matter to it; both share the entry of the bare lower-case word.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 300_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
     def cut(batches):
         table = worker_state("packing", tokenizer_path, lambda: WordIds(tokenizer_path))
         for whole in batches:
-            for batch in slices(whole, "text", 6 << 20):
+            for batch in slices(whole, "text", 3 << 20):
                 ids, n = table.encode(*text_buffer(batch.column("text")), end_id)
                 doc, length = piece_lengths(n, max_length)
                 start = np.cumsum(length) - length
@@ -114,7 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "bucket", "token_bytes"],
                 )
-        release()
+            release()
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
