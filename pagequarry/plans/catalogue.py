@@ -908,6 +908,12 @@ def bus_stats(spark, sf_dir):
     return telemetry.bus_stats(telemetry.delivered(e, subscribers, ("event_id",)))
 
 
+@register()
+def strict_hierarchy(spark, sf_dir):
+    """TRE-01 in the strict mode (no SQL: matching by title is sequential; held to fixtures)."""
+    return tree.strict_by_host(parsed(spark, sf_dir))
+
+
 @register()
 def table_of_contents(spark, sf_dir):
     """TRE-04 (no SQL: held to fixtures): hierarchy nodes with the headings of their pages."""

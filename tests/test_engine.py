@@ -82,3 +82,18 @@ def test_site_files(spark):
     assert '"content": "xx"' in site_files.search_script([{"title": "t", "url": "u", "content": "xxx", "keywords": ["k"]}], 2)
     pages = spark.createDataFrame([("http://h/docs/a", "/docs/a", "A", "# One\n## Two", None)], "url string, path string, title string, markdown string, content string")
     assert {(r["path"], r["pos"], r["level"], r["title"]) for r in tree.contents(pages).collect()} == {("docs", -1, 1, "docs"), ("docs/a", -1, 2, "A"), ("docs/a", 0, 3, "One")}
+
+
+def test_enhanced_output_and_backends(spark):
+    from pyspark.sql import functions as F
+
+    from pagequarry.plans.engine import enhanced, metric_lines
+
+    rows = [(1, "http://h/guide/setup", "/guide/setup", "Setup Guide", "Install with config api reference", "# Setup\n## Steps", []), (2, "http://h/api/auth", "/api/auth", "Auth API", "See the setup guide, api and config", "# Auth", [])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, path string, title string, content string, markdown string, keywords array<string>")
+    out = enhanced(pages)
+    assert out["contents"].count() == 6 and out["index"].count() == 5 and out["topics"].count() == 4 and out["search"].count() == 2
+    assert {(r["src"], r["type"]) for r in out["references"].collect()} == {("http://h/api/auth", "mentions"), ("http://h/guide/setup", "related_topic")}
+    metrics = telemetry.samples(pages, F.lit("pages_total"), [], F.lit(1), "counter")
+    assert metric_lines(metrics, "prom").first()["line"] == "pages_total 2.0" and metric_lines(metrics, "otel").first()["name"] == "pages.total" and metric_lines(metrics, "none").count() == 0
+    assert {(r["path"], r["title"]) for r in tree.strict_by_host(pages).collect()} == {("guide", "guide"), ("guide/setup", "Setup Guide"), ("api", "api"), ("api/auth", "Auth API")}
