@@ -113,6 +113,13 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a USING (doc_id)
 """
 
+#: says the same for pages with one article element and no references but these five
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages
+), d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 OP8_SQL = """
 WITH w AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
 ), t AS (SELECT doc_id, h, unnest(range(n - 49)) AS pos FROM w WHERE n >= 50
@@ -146,4 +153,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_html": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op10_topk": OP10_SQL}
