@@ -39,6 +39,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, most: int = 12 << 20) -> DataFrame:
+    """df; its session passes texts to Python in batches of at most `most` bytes, unless the user has set a size (Spark's own is 64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key, None) is None:
+        conf.set(key, str(most))
+    return df
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column (one small aggregate on the driver)."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, alone, kgrams, materialise, mix, pack, partitions_of, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
+from pagequarry.llm.common import U64, alone, bounded_batches, kgrams, materialise, mix, pack, partitions_of, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
 from pagequarry.llm.graph import components, salted_lookup
 
 ENUMERATED = 5
@@ -166,7 +166,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
     texts without words, have empty sets and link with nothing; fewer than `words` words are one shingle.  component_id is the smallest doc_id that links reach.
     A null doc_id takes no part and has a null component.  Rows that repeat a doc_id are one node.  Empty input: empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches):
         alone("jaccard")

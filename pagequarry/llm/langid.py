@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import worker_state
+from pagequarry.llm.common import bounded_batches, worker_state
 
 CLASSES = 40
 UNDETERMINED = "und"
@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, max_rows_per_label: int = 4000, dims: int = 512, se
     About max_rows_per_label rows of each language are used, chosen by a hash of doc_id, so a fit has a bounded cost;
     the prototype is a mean over documents, which more rows would hardly move.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = bounded_batches(labelled).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, dims), np.float32), np.zeros(dims, np.float32), dims, seed)
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null texts and texts without a letter: `und`, 0.  Repeated rows are scored each time.  Empty input: empty result.
     """
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    docs = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep])
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

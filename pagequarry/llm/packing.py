@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import ranges, release, slices, text_buffer, word_hashes, worker_state
+from pagequarry.llm.common import bounded_batches, ranges, release, slices, text_buffer, word_hashes, worker_state
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, token_bytes binary"
 
@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_le
                 )
             release()
 
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    pieces = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

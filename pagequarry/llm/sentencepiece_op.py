@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import list_of, ranges, release, slices, text_buffer, word_hashes, worker_state
+from pagequarry.llm.common import bounded_batches, list_of, ranges, release, slices, text_buffer, word_hashes, worker_state
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -220,7 +220,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] =
     """The `keep` columns, text and ids array<int> of every row; null and empty texts: no ids."""
     from pyspark.sql import types as T
 
-    docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(*keep, F.col("text").cast("string").alias("text"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import BYTE_VALUES, TOKEN_BASE, U64, alone, kgrams, mix, partitions_of, power_tables, ranges, release, sliding_min, text_bytes, text_buffer, unpack, within, word_hashes
+from pagequarry.llm.common import BYTE_VALUES, TOKEN_BASE, U64, alone, bounded_batches, kgrams, mix, partitions_of, power_tables, ranges, release, sliding_min, text_bytes, text_buffer, unpack, within, word_hashes
 
 COPY, KEYS, PATHS = 0, 1, 2
 ANSWER = "block int, kind int, part int, id long, a binary, b binary, c binary"
@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Cal
     Documents with a null doc_id take no part and lose nothing.  Rows that repeat a doc_id are one document as to order: neither
     counts as smaller than the other.
     """
-    total = text_bytes(docs)
+    total = text_bytes(bounded_batches(docs))
     blocks = max(1, -(-total // block_bytes))
     parts = max(1, int(total * (0.009 if spec.words else 0.075)) // part_keys + 1)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
