@@ -158,13 +158,13 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEP
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = ()):
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = (), spans: tuple[np.ndarray, np.ndarray] | None = None):
     """(hashes, starts, ends, word offsets) of the words of all documents, by tiles of bounded size.
 
-    With stems, hashes has a row for the words and one for their first n bytes for each n of stems.
+    spans: (starts, ends) instead of the words that separators make.  With stems, hashes has a row for the words and one for their first n bytes for each n of stems.
     """
     values = LOWER_VALUES if lower else BYTE_VALUES
-    starts, ends = word_spans(buf, offsets, separator)
+    starts, ends = spans or word_spans(buf, offsets, separator)
     hashes = np.empty((1 + len(stems), len(starts)), U64)
     i = 0
     while i < len(starts):

@@ -13,16 +13,61 @@ One narrow stage without a shuffle; a task's memory is one Arrow batch and that
 
 from __future__ import annotations
 
+import json
+import sys
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import bounded_batches, ranges, release, slices, text_buffer, word_hashes, worker_state
+from pagequarry.llm.common import bounded_batches, ranges, release, slices, text_buffer, word_hashes, word_spans, worker_state
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, token_bytes binary"
 
 
+#: letters below this code point stand for themselves in normal form
+SIMPLE_END = "\u0180"
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level models write for each byte: printable ones stand for themselves, the rest follow from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def word_model(spec: dict) -> bool:
+    """Whether a word of simple letters can go straight to the merges: lower case, NFC and white space are all that the normaliser sees to."""
+    parts = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return parts == ["NFC", "Replace", "Lowercase"] and before == ["Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
+
+
+def without_marks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans with a full stop or comma at the end of a word, behind an ASCII letter, as a word of its own: the pre-tokeniser parts there too."""
+    last = buf[ends - 1]
+    cut = np.flatnonzero(((last == 46) | (last == 44)) & (ends - starts > 1))
+    before = buf[ends[cut] - 2] | 32
+    cut = cut[(before >= 97) & (before <= 122)]
+    mark = ends[cut] - 1
+    out_ends = ends.copy()
+    out_ends[cut] = mark
+    return np.insert(starts, cut + 1, mark), np.insert(out_ends, cut + 1, mark + 1)
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit bytes."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -36,16 +81,24 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.most, self.longest, self.older = Tokenizer.from_file(path), most, longest, {}
+        self.simple = word_model(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            if word.isalpha() and not word.islower():
-                ids = self[word.lower()]
-            elif len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].isalpha():
+            text = word.decode("utf-8", "replace")
+            if text.isalpha():
+                low = text.lower()
+                if low != text and text.isascii():
+                    ids = self[low.encode()]
+                elif self.simple and max(text) < SIMPLE_END and "\u0130" not in text:
+                    # a run of such letters is one word to the pre-tokeniser, its normal form is its lower case
+                    ids = packed([t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS))])
+            elif len(word) > 1 and word[-1:] in (b".", b",") and text[:-1].isalpha():
                 ids = self[word[:-1]] + self[word[-1:]]
-            else:
-                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            if ids is None:
+                ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(word) <= self.longest:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -55,15 +108,18 @@ class WordIds(dict):
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, ids of each document), the end id behind each; every distinct word is looked up once."""
-        hashes, starts, ends, bounds = word_hashes(buf, offsets)
+        raw = buf.tobytes()
+        exact = b"<|" in raw  # special tokens are known by their case
+        hashes, starts, ends, bounds = word_hashes(buf, offsets, lower=not exact, spans=without_marks(buf, *word_spans(buf, offsets)))
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        raw, heads = buf.tobytes(), order[new]
-        found = [self[raw[s:e]] for s, e in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
+        heads = order[new]
+        cuts = zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)
+        found = [self[raw[s:e]] for s, e in cuts] if exact else [self[raw[s:e].lower()] for s, e in cuts]
         found.append(np.array([end_id], "<u4").tobytes())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")

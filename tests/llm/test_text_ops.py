@@ -9,7 +9,7 @@ import pytest
 from pagequarry.llm import html_text, langid, packing, queries, sentencepiece_op, toxicity
 from tests.conftest import MEDIUM
 
-EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (None, "no id"), (7, "日本語 ὈΔΥΣΣΕΎΣ 🙂 é x\r\n" * 3), (8, "word " * 30_000), (9, "x" * 5000)]
+EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (None, "no id"), (7, "日本語 ὈΔΥΣΣΕΎΣ 🙂 é x\r\n" * 3), (8, "word " * 30_000), (9, "x" * 5000), (10, "<|ENDOFTEXT|> A.\tB, don't. É. 1a, ...")]
 
 
 def frame(spark, rows=EDGE):
