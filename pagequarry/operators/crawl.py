@@ -54,8 +54,8 @@ def follow_decisions(links: DataFrame, policies: DataFrame, max_depth: int, foll
     return known.withColumn("reason", reason).withColumn("should_follow", F.col("reason") == "")
 
 
-def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
-    """SRC-05: url, depth of every page that seeds reach within max_depth links; edges: src, dst.
+def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """SRC-05: url, depth of every page that seeds reach, within max_depth links if given; edges: src, dst.
 
     Each level is an equi-join and an anti-join with what was visited, written to the shared folder; only counts come to the driver.
     With max_pages the search stops after the level that reaches it.
@@ -70,7 +70,7 @@ def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int
     total = keep(seeds.select("url").distinct(), 0)
     visited = lambda: spark.read.parquet(*[f"{folder}/level={i}" for i in range(level + 1)]).select("url", "depth")
     level = 0
-    while level < max_depth and (max_pages is None or total < max_pages):
+    while (max_depth is None or level < max_depth) and (max_pages is None or total < max_pages):
         last = spark.read.parquet(f"{folder}/level={level}").select(F.col("url").alias("src"))
         found = keep(edges.join(last, "src").select(F.col("dst").alias("url")).distinct().join(visited(), "url", "left_anti"), level + 1)
         level += 1

@@ -249,17 +249,28 @@ EDGES = """E AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT
   JOIN (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM P) b ON a.host = b.host AND b.n IN (2 * a.n, 2 * a.n + 1))"""
 
 
-@register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url WHERE depth < 3)
-SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
-def frontier_bfs(spark, sf_dir):
-    """SRC-05, JN-07, WIN-09: breadth-first levels over a binary tree of each host's pages."""
+def host_trees(spark, sf_dir):
+    """(roots, edges): a binary tree of each host's pages."""
     from pyspark.sql import Window
 
     p = table(spark, sf_dir, "pages").select("page_id", urls.host(col("url")).alias("host"))
     n = p.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
     edges = n.select("host", col("page_id").alias("src"), F.explode(F.array(col("n") * 2, col("n") * 2 + 1)).alias("m")).join(n.select("host", col("n").alias("m"), col("page_id").alias("dst")), ["host", "m"]).select("src", "dst")
-    roots = p.groupBy("host").agg(F.min("page_id").alias("url"))
-    return crawl.frontier(roots, edges, 3).select(col("url").alias("page_id"), "depth")
+    return p.groupBy("host").agg(F.min("page_id").alias("url")), edges
+
+
+@register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url WHERE depth < 3)
+SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
+def frontier_bfs(spark, sf_dir):
+    """SRC-05, JN-07, WIN-09: breadth-first levels over a binary tree of each host's pages, down to the depth of its SQL."""
+    return crawl.frontier(*host_trees(spark, sf_dir), 3).select(col("url").alias("page_id"), "depth")
+
+
+@register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url)
+SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
+def frontier_whole(spark, sf_dir):
+    """SRC-05, JN-07, WIN-09: the same until no new page is found, so every page."""
+    return crawl.frontier(*host_trees(spark, sf_dir)).select(col("url").alias("page_id"), "depth")
 
 
 # words and keywords --------------------------------------------------------------------------------------------------------------

@@ -99,6 +99,20 @@ def test_frontier_stops_at_pages(spark):
     assert crawl.frontier(seeds, edges, 9, max_pages=2).count() == 2
 
 
+def test_frontier_runs_until_empty(spark):
+    from pagequarry.operators import crawl
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3), (20, 21)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "url long")
+    assert {tuple(r) for r in crawl.frontier(seeds, edges).collect()} == {(i, i) for i in range(13)}
+
+
+def test_frontier_whole_returns_every_page(spark):
+    differs, _, _ = compare(spark, connection(MEDIUM), catalogue.QUERIES["frontier_whole"], catalogue.SQL["frontier_whole"], MEDIUM)
+    assert differs is None
+    assert catalogue.QUERIES["frontier_whole"](spark, MEDIUM).count() == spark.read.parquet(f"{MEDIUM}/pages.parquet").count()
+
+
 def test_page_hierarchy_fixture():
     from pagequarry.operators import tree
 
