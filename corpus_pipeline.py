@@ -24,11 +24,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: documents of no language (null, or without a letter) go; a null lang takes the recognised one."""
+    """Stage 2: documents of no language (null, or without a letter) go; a null lang takes the recognised one, and stays if no document has a lang to learn from."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs)
-    kept = langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    kept = langid.predict(docs, model, letters=True).filter("has_letter")
+    return (kept.withColumn("lang", F.coalesce("lang", "lang_pred")) if model.labels else kept).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

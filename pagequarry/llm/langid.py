@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.llm.common import bounded_batches, worker_state
 
@@ -78,14 +79,18 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(label, cosine from 0 to 1); `und` and 0 for a text without a letter or a model without labels."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(label, cosine, has a letter)."""
         ids, counts, letters = trigrams(text)
         if not letters or not self.labels:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, letters
         vector = (counts / counts.sum()) @ trigram_table(self.dims, self.seed)[ids].astype(np.float32) - self.mean
         norm = float(np.linalg.norm(vector))
         cosines = self.prototypes @ vector / (norm or 1.0)
         best = int(cosines.argmax())
-        return self.labels[best], float(min(1.0, max(0.0, cosines[best])))
+        return self.labels[best], float(min(1.0, max(0.0, cosines[best]))), True
 
 
 def fit(labelled: DataFrame, max_rows_per_label: int = 4000, dims: int = 512, seed: int = 7) -> LanguageModel:
@@ -123,20 +128,21 @@ def fit(labelled: DataFrame, max_rows_per_label: int = 4000, dims: int = 512, se
     return LanguageModel(labels, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12), mean, dims, seed)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs plus lang_pred and score, from `text` alone; a clash with such columns of docs replaces them.
+def predict(docs: DataFrame, model: LanguageModel, letters: bool = False) -> DataFrame:
+    """docs plus lang_pred and score, and has_letter with `letters`, from `text` alone; a clash with such columns of docs replaces them.
 
     Null texts and texts without a letter: `und`, 0.  Repeated rows are scored each time.  Empty input: empty result.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("has_letter", T.BooleanType())] * letters]
+    names = [f.name for f in added]
+    keep = [c for c in docs.columns if c.lower() not in names]
     docs = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep])
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def score(batches):
         for b in batches:
-            found = [model.predict(x) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            found = [model.judge(x) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_())[: len(names)])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(score, schema)

@@ -266,3 +266,14 @@ def test_embedding_recall_on_the_table(spark):
     rows = spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()
     got = queries.op2_embedding_dedup(spark, MEDIUM).count()
     assert got == len(rows)
+
+
+def test_language_stage_without_languages(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "more", None)]
+    make = lambda rows: spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.reject_undetermined(spark, make(rows), SMALL).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in got) == [(1, "some words", None), (4, "more", None)]
+    got = corpus_pipeline.reject_undetermined(spark, make([(5, "some words", "und"), *rows]), SMALL).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(1, "und"), (4, "und"), (5, "und")]
