@@ -32,10 +32,13 @@ def reject_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of the documents that links of Jaccard similarity 0.8 or more (five-word shingles) join, the one of smallest doc_id stays, once."""
+    """Stage 3: of the documents that links of Jaccard similarity 0.8 or more (five-word shingles) join, the one of smallest doc_id stays, once; different texts under one doc_id are different documents."""
     docs = docs.select(*COLUMNS)
-    first = jaccard_join.jaccard_components(docs, words=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # a doc_id may have several texts: each is a node of its own, named by a hash
+    nodes = docs.filter("doc_id IS NOT NULL").withColumn("node", F.xxhash64("doc_id", "text"))
+    components = jaccard_join.jaccard_components(nodes.select(F.col("node").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("node"), "component_id").distinct()
+    least = nodes.select("node", "doc_id").distinct().join(components, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("v"))
+    known = nodes.join(least.select("v.node"), "node", "left_semi").dropDuplicates(["doc_id", "node"]).drop("node")
     return known.unionByName(docs.filter("doc_id IS NULL"))
 
 

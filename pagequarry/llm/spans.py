@@ -16,6 +16,7 @@ costs one entry for each block.  Whole-document copies are found first and take
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -123,9 +124,14 @@ def _active(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray,
     column = docs.column("doc_id")
     ids = column.fill_null(0).to_numpy() if column.null_count else column.to_numpy()
     known = column.is_valid().to_numpy(zero_copy_only=False) if column.null_count else np.ones(len(ids), bool)
-    kind = answers.column("kind").to_numpy()
-    copies = answers.column("id").filter(pa.array(kind == COPY)).to_numpy()
-    later = np.isin(ids, copies) & known
+    copies = answers.filter(pa.array(answers.column("kind").to_numpy() == COPY))
+    marks = set(zip(copies.column("id").to_pylist(), copies.column("a").to_pylist(), strict=True))
+    later = np.isin(ids, copies.column("id").to_numpy()) & known
+    # a doc_id may have other texts as well
+    text = docs.column("text")
+    for i in np.flatnonzero(later).tolist():
+        x = text[i].as_buffer()
+        later[i] = x is not None and (int(ids[i]), hashlib.md5(x, usedforsecurity=False).digest()) in marks
     return ids.astype(np.int64), known & ~later, later
 
 
@@ -150,7 +156,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Cal
     parts = max(1, int(total * (0.009 if spec.words else 0.075)) // part_keys + 1)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     copies = later_copies(docs).select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(COPY).alias("kind"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), *[F.lit(None).cast("binary").alias(c) for c in "abc"]
+        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(COPY).alias("kind"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.col("mark").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bc"]
     )
     by_block = docs.groupBy("block")
 
@@ -296,7 +302,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, resolve: Callable, cut: Cal
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_id of each document whose whole text an earlier document (smaller doc_id) has as well.
+    """doc_id and mark (MD5 of the text) of each document whose whole text an earlier document (smaller doc_id) has as well.
 
     The first of each group is found by partial aggregation; groups of one go before anything is joined, and the rest is
     dealt by key and a salt, so a group with a large share of all rows is no task of its own.
@@ -305,4 +311,4 @@ def later_copies(docs: DataFrame) -> DataFrame:
     marks = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("mark"))
     groups = marks.groupBy("mark").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(groups, ["mark", "salt"]).filter("doc_id > least").select("doc_id").distinct()
+    return marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(groups, ["mark", "salt"]).filter("doc_id > least").select("doc_id", "mark").distinct()

@@ -277,3 +277,19 @@ def test_language_stage_without_languages(spark):
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in got) == [(1, "some words", None), (4, "more", None)]
     got = corpus_pipeline.reject_undetermined(spark, make([(5, "some words", "und"), *rows]), SMALL).collect()
     assert sorted((r["doc_id"], r["lang"]) for r in got) == [(1, "und"), (4, "und"), (5, "und")]
+
+
+def test_two_texts_under_one_doc_id(spark):
+    import corpus_pipeline
+
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(3, x), (7, x), (7, y), (7, y), (8, x + " " + y)]
+    words = [(i, tuple(WORD.findall(t))) for i, t in rows]
+    want = sorted((i, " ".join(w for w, m in zip(t, mask) if not m)) for (i, t), mask in zip(words, removed(words, 50)))
+    assert sorted((r["doc_id"], r["kept"]) for r in substring_dedup.remove_repeated_words(frame(spark, rows)).collect()) == want
+    data = [(i, t.encode()) for i, t in rows]
+    want = sorted((i, bytes(b for b, m in zip(t, mask) if not m)) for (i, t), mask in zip(data, removed(data, 50)))
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeated_bytes(frame(spark, rows)).collect()) == want
+    docs = frame(spark, [*rows, (9, y), (None, x), (10, None)]).select(*corpus_pipeline.COLUMNS)
+    got = corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(3, x), (7, y), (8, x + " " + y), (10, None), (None, x)], key=str)
