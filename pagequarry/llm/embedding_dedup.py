@@ -2,8 +2,9 @@
 
 A rotation learnt by iterative quantisation (ITQ) turns each vector into a balanced code of `bits` bits.  The code is cut into `tables` substrings; vectors are
 indexed under each, and every vector probes each table with its substring and all substrings one bit away, so two codes
-that differ in at most 2 * tables - 1 bits meet.  A pair is looked at in the first table where it meets.  Members of a bucket with a
-candidate bring their vectors, and cosines in double precision decide.  Links are counted, and only a spanning forest of them leaves a bucket.
+that differ in at most 2 * tables - 1 bits meet.  A pair is looked at in the first table where it meets.  An entry carries a sketch of its vector: a few
+coordinates on orthonormal directions, rounded.  Projecting never lengthens a difference, so a pair whose sketches are further apart than the threshold allows (the rounding
+added) cannot link, and no other pair is left out.  Members of a bucket with a candidate bring their vectors, and cosines in double precision decide.  Links are counted, and only a spanning forest of them leaves a bucket.
 """
 
 from __future__ import annotations
@@ -17,6 +18,16 @@ from pagequarry.llm.common import U64, materialise, mix, pack, partitions_of, un
 from pagequarry.llm.graph import components, local_components, salted_lookup
 
 
+SKETCH = 16
+#: steps of a sketch to a length of 1: coordinates of a unit vector less the mean lie within -2 and 2
+STEPS = 63
+
+
+def sketch_radius(threshold: float) -> float:
+    """Largest distance, in steps, of the sketches of two vectors whose cosine is at least `threshold`: that of the unit vectors, and half a step a coordinate for each."""
+    return STEPS * float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold + 1e-9))) + float(np.sqrt(SKETCH)) + 1e-6
+
+
 def rotation(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(mean, matrix dims x bits): signs of (x - mean) @ matrix are the code.  Fewer dims than bits: further rotations from other seeds."""
     dims = sample.shape[1]
@@ -56,13 +67,13 @@ def _meets(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndar
     return out
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample: int = 20_000, bits: int = 64, tables: int = 6, most_bits: int = 14, part_entries: int = 1 << 19, block_rows: int = 4096, seed: int = 5) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample: int = 20_000, bits: int = 64, tables: int = 6, part_entries: int = 1 << 19, block_rows: int = 4096, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector of `vectors` (vec_id, embedding, label; other columns are ignored).
 
     Two vectors link when their labels are equal and not null and their cosine in double precision is at least `threshold`.  Vectors that are null, empty, zero or
     hold null or non-finite components, and vectors with a null label or id, link with nothing.  Equal vectors of one label are one representative with a weight.  Rows that
-    repeat a vec_id are one vector (the smallest).  The rotation is fitted on at most about max_sample vectors, all are indexed.  Pairs whose codes differ in more
-    than most_bits bits are not looked at: recall against brute force is measured in the tests.  Empty input: empty result.
+    repeat a vec_id are one vector (the smallest).  The rotation is fitted on at most about max_sample vectors, all are indexed.  Every pair that meets in a
+    bucket is decided exactly; pairs that meet in none are not found, and recall against brute force is measured in the tests.  Empty input: empty result.
     """
     x = F.col("embedding")
     norm = F.aggregate(F.transform(x, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -76,6 +87,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
     n = reps.count()
     parts = max(1, n * tables * (bits // tables + 2) // part_entries + 1)
     cuts = substrings(bits, tables)
+    radius = sketch_radius(threshold)
     sample = reps.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20)) < min(1.0, max_sample / max(1, n)) * (1 << 20)).select("embedding").collect()
     by_dims: dict[int, list] = {}
     for r in sample:
@@ -86,23 +98,27 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
 
     learnt = {d: rotation(unit(np.array(v)), bits, seed=seed) for d, v in by_dims.items()}
 
-    def codes(matrix: np.ndarray) -> np.ndarray:
-        """Codes of the rows of a matrix; a dimension that the sample lacks gets a random rotation."""
+    def codes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, sketches) of the rows of a matrix; a dimension that the sample lacks gets a random rotation."""
         d = matrix.shape[1]
         if d not in learnt:
             learnt[d] = rotation(np.zeros((0, d)), bits, seed=seed)
         mean, r = learnt[d]
-        sign = (unit(matrix) - mean) @ r >= 0
-        return (sign.astype(U64) << np.arange(bits, dtype=U64)).sum(axis=1, dtype=U64)
+        x = (unit(matrix) - mean) @ r
+        # the first columns of a rotation are orthonormal, as many as there are dims
+        sketch = np.zeros((len(x), SKETCH), np.int8)
+        m = min(SKETCH, d, bits)
+        sketch[:, :m] = np.clip(np.rint(x[:, :m] * STEPS), -127, 127)
+        return ((x >= 0).astype(U64) << np.arange(bits, dtype=U64)).sum(axis=1, dtype=U64), sketch
 
     def index(batches):
         for b in batches:
             ids, space = b.column("rep").to_numpy(), b.column("space").to_numpy()
             vectors = b.column("embedding").to_pylist()
-            code = np.zeros(len(ids), U64)
+            code, sketch = np.zeros(len(ids), U64), np.zeros((len(ids), SKETCH), np.int8)
             size = np.array([len(v) for v in vectors], np.int64)
             for d in np.unique(size):
-                code[size == d] = codes(np.array([v for v in vectors if len(v) == d], np.float64))
+                code[size == d], sketch[size == d] = codes(np.array([v for v in vectors if len(v) == d], np.float64))
             bucket, own, role = [], [], []
             for t, (shift, width) in enumerate(cuts):
                 piece = (code >> U64(shift)) & U64((1 << width) - 1)
@@ -113,14 +129,15 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
                     role.append(np.full(len(ids), flip is None))
             bucket, own, role = np.concatenate(bucket), np.concatenate(own), np.concatenate(role)
             where, bounds = partitions_of((bucket >> U64(30)).astype(np.int64) % parts, parts)
-            out = [(p, *pack(bucket[i], ids[own[i]], code[own[i]], role[i])) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], names=["part", "bucket", "id", "code", "indexed"])
+            out = [(p, *pack(bucket[i], ids[own[i]], code[own[i]], role[i], sketch[own[i]])) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 5))], names=["part", "bucket", "id", "code", "indexed", "sketch"])
 
     def candidates(table: pa.Table) -> pa.Table:
         """Members of each bucket that have a candidate there: (bucket, block of the index, block of the probes, id, code, role)."""
         bucket, ids, code, indexed = (np.concatenate(unpack(table.column(c), t)) for c, t in (("bucket", U64), ("id", np.int64), ("code", U64), ("indexed", bool)))
         order = np.lexsort((ids, ~indexed, bucket))
         bucket, ids, code, indexed = bucket[order], ids[order], code[order], indexed[order]
+        sketch = np.concatenate(unpack(table.column("sketch"), np.int8)).reshape(-1, SKETCH)[order]
         heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.concatenate([heads[1:], [len(bucket)]])
         middles = heads + np.add.reduceat(indexed.astype(np.int64), heads) if len(heads) else heads
@@ -128,11 +145,14 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
         for s, m, e in zip(heads.tolist(), middles.tolist(), ends.tolist(), strict=True):
             if m == s or m == e:
                 continue
+            v = sketch[s:e].astype(np.float32)
+            square = (v * v).sum(axis=1)
             # the entry that put a vector here tells the table: probes and index agree on it by the bucket's hash
             for bi, i in enumerate(range(s, m, block_rows)):
                 for bj, j in enumerate(range(m, e, block_rows)):
                     a, b = slice(i, min(i + block_rows, m)), slice(j, min(j + block_rows, e))
-                    hit = (np.bitwise_count(code[a][:, None] ^ code[b][None]) <= most_bits) & (ids[b][None] < ids[a][:, None])
+                    near = square[a.start - s : a.stop - s, None] + square[None, b.start - s : b.stop - s] - 2 * (v[a.start - s : a.stop - s] @ v[b.start - s : b.stop - s].T)
+                    hit = (near <= radius * radius) & (ids[b][None] < ids[a][:, None])
                     if hit.any():
                         x, y = np.flatnonzero(hit.any(axis=1)) + a.start, np.flatnonzero(hit.any(axis=0)) + b.start
                         keep = np.concatenate([x, y])
@@ -142,7 +162,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
         bucket, bi, bj, ids, code, role = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"bucket": bucket.astype(np.int64), "bi": bi.astype(np.int32), "bj": bj.astype(np.int32), "id": ids, "code": code.astype(np.int64), "indexed": role})
 
-    found = reps.select("rep", "space", "embedding").mapInArrow(index, "part int, bucket binary, id binary, code binary, indexed binary").groupBy("part").applyInArrow(candidates, "bucket long, bi int, bj int, id long, code long, indexed boolean")
+    found = reps.select("rep", "space", "embedding").mapInArrow(index, "part int, bucket binary, id binary, code binary, indexed binary, sketch binary").groupBy("part").applyInArrow(candidates, "bucket long, bi int, bj int, id long, code long, indexed boolean")
     members = materialise(found)
     joined = members.join(reps.select(F.col("rep").alias("id"), "weight", "space", "embedding"), "id")
 

@@ -279,6 +279,34 @@ def test_language_stage_without_languages(spark):
     assert sorted((r["doc_id"], r["lang"]) for r in got) == [(1, "und"), (4, "und"), (5, "und")]
 
 
+def test_embedding_recall_with_a_common_mean(spark):
+    rng = np.random.default_rng(6)
+    n, dims = 1200, 64
+    x = rng.normal(size=(n, dims)) * 0.22 / np.sqrt(dims)
+    x[1::2] = x[::2] + rng.normal(size=(n // 2, dims)) * 0.19 / np.sqrt(dims)
+    x[:, 0] += 1.0
+    rows = [(i, [float(v) for v in np.float32(y)], 0) for i, y in enumerate(x)]
+    y = np.float32(x).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    links = int((np.triu(y @ y.T, 1) >= 0.98).sum())
+    got = embedding_dedup.embedding_components(vector_frame(spark, rows)).collect()
+    assert 0.9 * links <= sum(r["n_links"] for r in got) / 2 <= links and links > n // 4
+
+
+def test_sketches_leave_out_no_link():
+    rng = np.random.default_rng(7)
+    for dims in (5, 16, 64):
+        mean, r = embedding_dedup.rotation(rng.normal(size=(400, dims)), 64)
+        a = rng.normal(size=(400, dims))
+        for scale in (0.01, 0.2, 0.5):
+            b = a + rng.normal(size=a.shape) * scale
+            u, v = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (a, b))
+            m = min(embedding_dedup.SKETCH, dims)
+            s, t = (np.clip(np.rint(((z - mean) @ r)[:, :m] * embedding_dedup.STEPS), -127, 127) for z in (u, v))
+            apart = np.linalg.norm(s - t, axis=1)
+            assert (apart[(u * v).sum(axis=1) >= 0.98] <= embedding_dedup.sketch_radius(0.98)).all()
+
+
 def test_two_texts_under_one_doc_id(spark):
     import corpus_pipeline
 
