@@ -7,6 +7,9 @@ with numpy, and the JVM never sees one row for each n-gram.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import tempfile
 import uuid
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: odd multipliers of the polynomial hashes over bytes and over tokens
+#: odd multipliers: of the rules below, and of the polynomial hashes over tokens
 BYTE_BASE = 0x9E3779B97F4A7C15
 TOKEN_BASE = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
@@ -26,8 +29,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local default serves only where that setting is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/pagequarry-checkpoints"
+    """A fresh folder below spark.checkpoint.dir, which all machines must share.
+
+    Where that is unset, a local session (tests) gets a temporary folder of its own; a cluster gets an error, as its machines share no such folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="pagequarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
 
 
@@ -118,8 +129,8 @@ def power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: a random-looking 64-bit value for every byte, by rule
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(BYTE_BASE))
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: the bytes that end a word: space and 0x09 to 0x0D
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -158,27 +169,83 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEP
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tile: int = 1 << 20, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = (), spans: tuple[np.ndarray, np.ndarray] | None = None):
-    """(hashes, starts, ends, word offsets) of the words of all documents, by tiles of bounded size.
+#: words beyond this many bytes are hashed by blake2b, shorter ones eight bytes at a time
+LANES = 64
+#: the low n bytes of a 64-bit word
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes.  Every eight bytes go through a nonlinear mixer, so no rule by which a text is made lets unlike words meet (as
+    it can with polynomials modulo 2**64).  What must be exact compares bytes behind it: distinct_spans here, whole passages at their source in spans.py.
+    """
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", buffer=padded.data, strides=(1,))
+    length = ends - starts
+    salt = U64((seed * BYTE_BASE) & MASK)
+    out = mix((eight[starts] & LOW_BYTES[np.minimum(length, 8)]) + length.astype(U64) * U64(TOKEN_BASE) ^ salt)
+    at = np.flatnonzero((length > 8) & (length <= LANES))
+    for lane in range(8, LANES, 8):
+        if not len(at):
+            break
+        part = eight[starts[at] + lane] & LOW_BYTES[np.minimum(length[at] - lane, 8)]
+        out[at] = mix((out[at] ^ part) * U64(BYTE_BASE) + U64(lane))
+        at = at[length[at] > lane + 8]
+    for i in np.flatnonzero(length > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each stretch, first stretch of each number): equal numbers mean equal bytes.
+
+    Stretches are grouped by their hashes, then each is compared byte for byte with the first of its group; a group
+    that holds unlike ones is parted by its bytes.
+    """
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    heads = order[new]
+    head = heads[number]
+    length = ends - starts
+    unlike = length != length[head]
+    todo = np.flatnonzero((np.arange(len(head)) != head) & ~unlike)
+    step = 1 << 16
+    for a in range(0, len(todo), step):
+        i = todo[a : a + step]
+        n = length[i]
+        same = buf[ranges(starts[i], n)] == buf[ranges(starts[head[i]], n)]
+        bad = np.flatnonzero(~same)
+        if len(bad):
+            unlike[i[np.searchsorted(np.cumsum(n), bad, side="right")]] = True
+    if unlike.any():
+        more, at = {}, len(heads)
+        extra = []
+        for i in np.flatnonzero(unlike).tolist():
+            word = buf[starts[i] : ends[i]].tobytes()
+            if word not in more:
+                more[word] = at + len(extra)
+                extra.append(i)
+            number[i] = more[word]
+        heads = np.concatenate([heads, np.array(extra, heads.dtype)])
+    return number, heads
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = SEPARATOR, stems: tuple[int, ...] = (), spans: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 0):
+    """(hashes, starts, ends, word offsets) of the words of all documents.
 
     spans: (starts, ends) instead of the words that separators make.  With stems, hashes has a row for the words and one for their first n bytes for each n of stems.
     """
-    values = LOWER_VALUES if lower else BYTE_VALUES
     starts, ends = spans or word_spans(buf, offsets, separator)
-    hashes = np.empty((1 + len(stems), len(starts)), U64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + tile, side="right")))
-        s, e = starts[i:j] - base, ends[i:j] - base
-        pw, inv = power_tables(BYTE_BASE, int(e[-1]) + 1)
-        total = np.zeros(int(e[-1]) + 1, U64)
-        np.cumsum(values[buf[base : base + int(e[-1])]] * pw[: int(e[-1])], dtype=U64, out=total[1:])
-        for row, stem in enumerate((0, *stems)):
-            to = np.minimum(e, s + stem) if stem else e
-            hashes[row, i:j] = mix((total[to] - total[s]) * inv[s] + (to - s).astype(U64) * U64(TOKEN_BASE))
-        i = j
-    return hashes if stems else hashes[0], starts, ends, np.searchsorted(starts, offsets)
+    data = LOWER[buf] if lower else buf
+    if stems:
+        hashes = np.stack([span_hashes(data, starts, np.minimum(ends, starts + n) if n else ends, seed) for n in (0, *stems)])
+    else:
+        hashes = span_hashes(data, starts, ends, seed)
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 def kgrams(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -231,10 +298,14 @@ def unpack(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def partitions_of(part: np.ndarray, n: int):
-    """(order, bounds): entries sorted by partition, those of p at order[bounds[p]:bounds[p+1]]."""
-    order = np.argsort(part.astype(np.uint16 if n <= 65536 else np.uint32), kind="stable")
-    return order, np.searchsorted(part[order], np.arange(n + 1))
+def by_partition(part: np.ndarray):
+    """(partition, its entries) of the partitions that occur, in order: the work follows the entries, however many partitions there are."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and int(part.max()) < 65536 else part, kind="stable")
+    ranked = part[order]
+    cuts = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(order)] if len(order) else [0]
+    for s, e in itertools.pairwise(bounds):
+        yield int(ranked[s]), order[s:e]
 
 
 def list_of(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, materialise, mix, pack, partitions_of, unpack
+from pagequarry.llm.common import U64, by_partition, materialise, mix, pack, unpack
 from pagequarry.llm.graph import components, local_components, salted_lookup
 
 
@@ -128,8 +128,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
                     own.append(np.arange(len(ids)))
                     role.append(np.full(len(ids), flip is None))
             bucket, own, role = np.concatenate(bucket), np.concatenate(own), np.concatenate(role)
-            where, bounds = partitions_of((bucket >> U64(30)).astype(np.int64) % parts, parts)
-            out = [(p, *pack(bucket[i], ids[own[i]], code[own[i]], role[i], sketch[own[i]])) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
+            out = [(p, *pack(bucket[i], ids[own[i]], code[own[i]], role[i], sketch[own[i]])) for p, i in by_partition((bucket >> U64(30)).astype(np.int64) % parts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 5))], names=["part", "bucket", "id", "code", "indexed", "sketch"])
 
     def candidates(table: pa.Table) -> pa.Table:

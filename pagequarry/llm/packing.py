@@ -6,7 +6,7 @@ its own: sequences of equal length make up a bucket, a batch draws from one buck
 a document's border and nothing is padded.
 
 Tokenisation is memoised: white space never lies inside a token of the vocabulary's pre-tokeniser, so a text
-is split at spaces and line ends; the distinct words of a slice are found by 64-bit hashes, and the ids of each
+is split at spaces and line ends; the distinct words of a slice are found by hashes and byte comparisons, and the ids of each
 are looked up once in a bounded table.
 One narrow stage without a shuffle; a task's memory is one Arrow batch and that table.
 """
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import bounded_batches, ranges, release, slices, text_buffer, word_hashes, word_spans, worker_state
+from pagequarry.llm.common import LOWER, bounded_batches, distinct_spans, ranges, release, slices, text_buffer, word_hashes, word_spans, worker_state
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, token_bytes binary"
 
@@ -81,7 +81,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.most, self.longest, self.older = Tokenizer.from_file(path), most, longest, {}
-        self.simple = word_model(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.simple = word_model(spec)
+        #: special tokens are found in the text as it is, whatever stands around them
+        self.added = [x["content"].encode() for x in spec.get("added_tokens") or [] if x.get("content")]
         self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
@@ -95,7 +98,8 @@ class WordIds(dict):
                 elif self.simple and max(text) < SIMPLE_END and "\u0130" not in text:
                     # a run of such letters is one word to the pre-tokeniser, its normal form is its lower case
                     ids = packed([t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS))])
-            elif len(word) > 1 and word[-1:] in (b".", b",") and text[:-1].isalpha():
+            elif len(word) > 1 and word[-1:] in (b".", b",") and text[:-1].isalpha() and max(text) < SIMPLE_END and "\u0130" not in text:
+                # letters beyond these may end in a mark once in normal form, and marks join what follows
                 ids = self[word[:-1]] + self[word[-1:]]
             if ids is None:
                 ids = packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -108,18 +112,13 @@ class WordIds(dict):
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, ids of each document), the end id behind each; every distinct word is looked up once."""
-        raw = buf.tobytes()
-        exact = b"<|" in raw  # special tokens are known by their case
-        hashes, starts, ends, bounds = word_hashes(buf, offsets, lower=not exact, spans=without_marks(buf, *word_spans(buf, offsets)))
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        heads = order[new]
-        cuts = zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)
-        found = [self[raw[s:e]] for s, e in cuts] if exact else [self[raw[s:e].lower()] for s, e in cuts]
+        low = LOWER[buf]
+        if any(x.lower() in low.tobytes() for x in self.added):
+            low = buf  # special tokens are known by their case
+        hashes, starts, ends, bounds = word_hashes(low, offsets, spans=without_marks(buf, *word_spans(buf, offsets)))
+        which, heads = distinct_spans(low, starts, ends, hashes)
+        raw = low.tobytes()
+        found = [self[raw[s:e]] for s, e in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
         found.append(np.array([end_id], "<u4").tobytes())
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")

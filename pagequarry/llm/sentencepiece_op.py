@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import bounded_batches, list_of, ranges, release, slices, text_buffer, word_hashes, worker_state
+from pagequarry.llm.common import bounded_batches, distinct_spans, list_of, ranges, release, slices, text_buffer, word_hashes, worker_state
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -162,13 +162,8 @@ class Encoder:
         easy = [plain and bool(x) and "  " not in x and x[0] != " " and x[-1] != " " and SPACE not in x for x in texts]
         buf, offsets = text_buffer(pa.array([x if e else "" for x, e in zip(texts, easy, strict=True)], pa.large_string()))
         hashes, starts, ends, bounds = word_hashes(buf, offsets, separator=ONLY_SPACE)
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        raw, heads = buf.tobytes(), order[new]
+        which, heads = distinct_spans(buf, starts, ends, hashes)
+        raw = buf.tobytes()
         found = [self.chunk(SPACE + raw[s:e].decode("utf-8")) for s, e in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)]
         hard = [i for i, e in enumerate(easy) if not e]
         base = len(found)

@@ -10,6 +10,10 @@ from pagequarry.llm import html_text, langid, packing, queries, sentencepiece_op
 from tests.conftest import MEDIUM
 
 EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (None, "no id"), (7, "日本語 ὈΔΥΣΣΕΎΣ 🙂 é x\r\n" * 3), (8, "word " * 30_000), (9, "x" * 5000), (10, "<|ENDOFTEXT|> A.\tB, don't. É. 1a, ...")]
+#: words that polynomial hashes modulo 2**64 cannot tell apart
+for _n in (1024, 2048, 4096):
+    _bits = [bin(_i).count("1") & 1 for _i in range(_n)]
+    EDGE += [(20 + _n + _k, " ".join(["it", *["".join(_x[_b] for _b in _bits) for _x in _pair], "is"])) for _k, _pair in enumerate((("ab", "ba"), ("ba", "ab"), ("ab",)))]
 
 
 def frame(spark, rows=EDGE):
@@ -35,6 +39,22 @@ def test_packing_matches_the_tokenizer(spark, most):
         assert [x for r in pieces[::copies] for x in r["token_ids"]] == ids
 
 
+def test_packing_of_random_strings():
+    """Letters whose lower case ends in a mark, marks, special tokens: every word has the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer, table = Tokenizer.from_file(path), packing.WordIds(path)
+    rng = np.random.default_rng(4)
+    letters = list("aBé\u0130.,'’1\u0301ßſ \n\u00a0日ｆǅ") + ["<|startoftext|>", "<|", "'S"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 12)))) for _ in range(6000)] + ["\u0130.", "\u0130, x", "a\u0130."]
+    for some in (texts[i::7] for i in range(7)):
+        ids, n = table.encode(*packing.text_buffer(pa.array(some)), 2)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in some]
+        assert n.tolist() == list(map(len, want))
+        assert ids.tolist() == [x for w in want for x in w]
+
+
 def test_packing_crc_and_empty(spark):
     path = queries.tokenizer_path("word_bpe_49k.json")
     r = packing.pack_documents(frame(spark, [(1, "hello world")]), path).selectExpr("*", "crc32(token_bytes) AS c").collect()
