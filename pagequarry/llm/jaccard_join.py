@@ -1,16 +1,17 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document is its set of distinct `words`-word shingles.  Sets of neighbouring sizes share a band; within a band, similarity of at least
-`percent` % bounds the symmetric difference by k.  The shingle domain is dealt by hash into partitions:
-
-* small k: k + 2 partitions, and every pair of them is a signature; at most k differ, so two are equal;
-* large k: more than k + 1 partitions, of which the k + 1 with most shingles are signatures.  At least (partitions - k) are
-  equal in both sets, and the strongest of those is among the k + 1 strongest of either, as the order depends on a partition's content alone.
+`percent` % bounds the symmetric difference by k.  The shingle domain is dealt by hash into n1 first-level partitions; in one of them at least
+two similar sets differ by no more than k2 = ceil((k + 1) / n1) - 1 shingles.  Each first-level partition is dealt into n2 > k2 second-level
+partitions, and every subset of n2 - k2 of those is enumerated: its content is a signature.  At most k2 second-level partitions differ, so
+one subset is equal in both sets.  n1 is 1 for a small k (all subsets of two of k + 2 partitions) and about k / 2 for larger ones
+(all pairs of three partitions each), so the signatures of a set grow with k and a signature stays selective.
 
 So every similar pair shares a signature.  Sets that share one are compared exactly: the smallest doc_id of a bucket
 is its centre, a centre's members (over all its buckets) form a cluster, and every pair that shares a signature lies in some cluster.
 Clusters are searched for components, not for all pairs; heavy ones are cut into pairs of blocks.  Equal sets are one
-representative from the start.
+representative from the start.  Signatures come from hashes; what decides a link are word numbers
+that stand for unlike words in the cluster's texts, not hashes (exact_shingles), and sizes are counted with words compared byte for byte.
 """
 
 from __future__ import annotations
@@ -22,16 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, alone, bounded_batches, kgrams, materialise, mix, pack, partitions_of, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
+from pagequarry.llm.common import LOWER, U64, alone, bounded_batches, by_partition, distinct_spans, kgrams, materialise, mix, pack, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
 from pagequarry.llm.graph import components, salted_lookup
 
+#: up to this k one first-level partition serves
 ENUMERATED = 5
-SPARE = 1.3
 
 
-def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all documents, size of each set); ASCII upper case counts as lower case."""
-    hashes, _, _, bounds = word_hashes(*text_buffer(column), lower=True)
+def levels(k: int) -> tuple[int, int, int]:
+    """(n1, n2, k2): first-level partitions, second-level ones in each, and how many of those may differ."""
+    n1 = 1 if k <= ENUMERATED else -(-(k + 1) // 2)
+    k2 = -(-(k + 1) // n1) - 1
+    return n1, k2 + 2, k2
+
+
+def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int, compare: bool = False) -> tuple[np.ndarray, ...]:
+    """(sorted distinct shingle hashes of all documents, size of each set); ASCII upper case counts as lower case.
+
+    With `compare` also the exact sizes: words of equal hash are compared byte for byte, and should unlike ones have met, exact_shingles counts.
+    """
+    buf, offsets = text_buffer(column)
+    buf = LOWER[buf]
+    hashes, starts, ends, bounds = word_hashes(buf, offsets)
     grams = mix(kgrams(hashes, words))
     out, sizes = [], np.zeros(len(bounds) - 1, np.int64)
     for i, (s, e) in enumerate(itertools.pairwise(bounds.tolist())):
@@ -45,7 +58,61 @@ def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.nda
             continue
         out.append(x)
         sizes[i] = len(x)
-    return (np.concatenate(out) if out else np.zeros(0, U64)), sizes
+    found = np.concatenate(out) if out else np.zeros(0, U64)
+    if compare:
+        number, heads = distinct_spans(buf, starts, ends, hashes)
+        met = len(np.unique(hashes[heads])) < len(heads)
+        return found, sizes, exact_shingles(column, words)[1] if met else sizes
+    return found, sizes
+
+
+def exact_shingles(column: pa.Array | pa.ChunkedArray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of all documents, size of each set), as numbers: equal numbers are shingles of equal words, byte for byte, within this column.
+
+    Words are numbered by their bytes, and a run of words by the numbers of its first and second part, so no hash decides.
+    """
+    buf, offsets = text_buffer(column)
+    buf = LOWER[buf]
+    hashes, starts, ends, bounds = word_hashes(buf, offsets)
+    word, heads = distinct_spans(buf, starts, ends, hashes)
+    count = np.diff(bounds)
+    doc = np.repeat(np.arange(len(count)), count)
+
+    def joined(left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+        """Numbers of pairs of numbers below `most`."""
+        found, number = np.unique(left * most + right, return_inverse=True)
+        return number, len(found)
+
+    run, most, width = word, max(1, len(heads)), 1
+    done, kinds, size = None, 1, 0
+    # the number of every run of `words` words, put together from runs of powers of two; fewer are left at the end of the column
+    while True:
+        if words & width:
+            if done is None:
+                done, kinds, size = run, most, width
+            else:
+                n = len(run) - size
+                done, kinds = joined(done[: max(0, n)], run[size : size + max(0, n)], max(kinds, most))
+                size += width
+        if size == words:
+            break
+        n = len(run) - width
+        run, most = joined(run[: max(0, n)], run[width : width + max(0, n)], most)
+        width *= 2
+    first = np.arange(len(done))
+    inside = doc[first] == doc[first + words - 1] if len(done) else np.zeros(0, bool)
+    owner, value = [doc[first[inside]]], [done[inside]]
+    few = np.flatnonzero((count > 0) & (count < words))
+    if len(few):
+        known: dict[tuple[int, ...], int] = {}
+        owner.append(few)
+        value.append(np.array([kinds + known.setdefault(tuple(word[bounds[i] : bounds[i + 1]].tolist()), len(known)) for i in few.tolist()], np.int64))
+    owner, value = np.concatenate(owner), np.concatenate(value).astype(np.int64)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.bincount(owner[new], minlength=len(count)).astype(np.int64)
 
 
 class Bands:
@@ -78,22 +145,22 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, band: int, k: int) -> np.ndarray:
-    """Signatures of one set in one band."""
+    """Signatures of one set in one band: the contents of all subsets of n2 - k2 second-level partitions in each first-level one."""
     salt = mix(np.array([band + 1], U64) * U64(0x9FB21C651E98DF25))[0]
-    if k == 0:
-        return mix(np.array([shingles.sum(dtype=U64)], U64) + salt)
-    n = k + 2 if k <= ENUMERATED else int((k + 1) * SPARE) + 2
-    part = ((shingles ^ salt) * U64(0xC2B2AE3D27D4EB4F) >> U64(40)).astype(np.int64) % n
-    # the content of a partition: the sum of its mixed shingles, exact to 64 bits
-    order = np.argsort(part.astype(np.uint16) if n <= 65536 else part, kind="stable")
+    n1, n2, k2 = levels(k)
+    part = ((shingles ^ salt) * U64(0xC2B2AE3D27D4EB4F) >> U64(40)).astype(np.int64) % (n1 * n2)
+    # the content of a partition: the sum of its mixed shingles
+    order = np.argsort(part.astype(np.uint16) if n1 * n2 <= 65536 else part, kind="stable")
     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles)[order], dtype=U64)])
-    count = np.bincount(part, minlength=n)
-    ends = np.cumsum(count)
-    content = mix(total[ends] - total[ends - count] + mix(np.arange(1, n + 1).astype(U64) + salt))
-    if k <= ENUMERATED:
-        a, b = np.triu_indices(n, 1)
-        return mix(content[a] * U64(0x9E3779B97F4A7C15) + content[b])
-    return content[np.lexsort((content, -count))[: k + 1]]
+    ends = np.cumsum(np.bincount(part, minlength=n1 * n2))
+    content = mix(np.diff(total[np.concatenate([[0], ends])]) + mix(np.arange(1, n1 * n2 + 1).astype(U64) + salt)).reshape(n1, n2)
+    out = []
+    for subset in itertools.combinations(range(n2), n2 - k2):
+        value = content[:, subset[0]]
+        for i in subset[1:]:
+            value = value * U64(0x9E3779B97F4A7C15) + content[:, i]
+        out.append(mix(value))
+    return np.concatenate(out)
 
 
 def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -154,8 +221,7 @@ def once(c: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def packed_pairs(c: np.ndarray, m: np.ndarray, n: np.ndarray, parts: int) -> pa.Table:
     """Packed rows of pairs by the hash of the pair."""
-    where, bounds = partitions_of((mix(c.astype(U64) * U64(0x9E3779B97F4A7C15) + m.astype(U64)) % U64(parts)).astype(np.int64), parts)
-    rows = [(p, *pack(c[i], m[i], n[i])) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
+    rows = [(p, *pack(c[i], m[i], n[i])) for p, i in by_partition((mix(c.astype(U64) * U64(0x9E3779B97F4A7C15) + m.astype(U64)) % U64(parts)).astype(np.int64))]
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "m", "n"])
 
 
@@ -172,12 +238,12 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
         alone("jaccard")
         for whole in batches:
             for b in slices(whole, "text", slice_bytes):
-                shingles, n = shingle_sets(b.column("text"), words)
-                ends = np.cumsum(n)
+                shingles, own, n = shingle_sets(b.column("text"), words, True)
+                ends = np.cumsum(own)
                 sums = []
                 for seed in (0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles * U64(seed)), dtype=U64)])
-                    sums.append(pa.array((total[ends] - total[ends - n]).astype(np.int64)))
+                    sums.append(pa.array((total[ends] - total[ends - own]).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *sums], names=["doc_id", "n_shingles", "s1", "s2"])
         release()
 
@@ -213,8 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
                 # of copies in this slice one entry for each signature: equal sets have equal signatures
                 order = np.lexsort((doc[owner], sizes[owner], sig)) if len(set(ids)) < len(ids) else np.argsort(sig)
                 sig, owner = sig[order], owner[order]
-                where, bounds = partitions_of((sig >> U64(33)).astype(np.int64) % parts, parts)
-                rows = [(p, *pack(sig[i], doc[owner[i]], sizes[owner[i]].astype(np.int32))) for p in range(parts) if len(i := where[bounds[p] : bounds[p + 1]])]
+                rows = [(p, *pack(sig[i], doc[owner[i]], sizes[owner[i]].astype(np.int32))) for p, i in by_partition((sig >> U64(33)).astype(np.int64) % parts)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sig", "doc", "size"])
         release()
 
@@ -266,14 +331,21 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         heads = np.concatenate([np.flatnonzero(new), [len(c)]])
         a, b = [], []
-        shingles, sizes = shingle_sets(table.column("text"), words)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for s, e in itertools.pairwise(heads.tolist()):
-            if e - s > 1:
-                label = _linked(sizes[s:e], shingles[at[s] : at[e]], percent)
-                moved = np.flatnonzero(label != np.arange(e - s))
-                a.append(m[s + moved])
-                b.append(m[s + label[moved]])
+        text = np.concatenate([[0], np.cumsum([len(x) if x else 0 for x in table.column("text").to_pylist()])])[heads]
+        at = 0
+        while at < len(heads) - 1:  # some clusters at a time
+            to = min(len(heads) - 1, max(at + 1, int(np.searchsorted(text, text[at] + (4 << 20), side="right")) - 1))
+            if heads[to] - heads[at] > to - at:
+                shingles, sizes = exact_shingles(table.column("text").slice(int(heads[at]), int(heads[to] - heads[at])), words)
+                bound = np.concatenate([[0], np.cumsum(sizes)])
+                for s, e in itertools.pairwise(heads[at : to + 1].tolist()):
+                    if e - s > 1:
+                        x, y = s - int(heads[at]), e - int(heads[at])
+                        label = _linked(sizes[x:y], shingles[bound[x] : bound[y]], percent)
+                        moved = np.flatnonzero(label != np.arange(e - s))
+                        a.append(m[s + moved])
+                        b.append(m[s + label[moved]])
+            at = to
         release()
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})
 
