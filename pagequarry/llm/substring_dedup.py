@@ -1,11 +1,13 @@
 """Substring dedup over words by de Bruijn compaction.
 
-Windows of `window` words are the edges of a de Bruijn graph.  Paths of windows that share the k-mer of least hash compact to one
-row wherever they repeat unchanged; joins on that k-mer find where paths branch, and only there windows are compared one by one.
-Source coordinates (the smallest doc_id) come back to each document, which loses every word covered by a window
-that starts in a document with a smaller doc_id as well.  See spans.py for the exchange.
-
-Words are known by 64-bit hashes, windows by a 64-bit hash over them.
+The graph: a window of `window` words is an edge between two nodes, its first and its last window - 1 words.  Edges are dealt by the k-mer of least hash
+inside them, so that equal edges meet; joins on those k-mers bring the paths of edges that more than one document walks (spans.py).
+
+In a partition, equal edges become one, with the source coordinates (smallest doc_id, position there) of all its occurrences.  A node with one edge in and one
+edge out does not branch: edges in a row over such nodes, whose sources are neighbours too, compact to one run with one source.
+The runs come back to the documents that walk them.  Where runs of neighbouring sources follow each other, also across partitions, they are joined to one long passage, and
+that is verified at its source coordinates: the words there are the words here.  A document loses every word covered by a window that starts
+in a document with a smaller doc_id as well.
 """
 
 from __future__ import annotations
@@ -16,17 +18,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import list_of, ranges
-from pagequarry.llm.spans import Block, Windows, grouped, repeated_windows
-
-
-def _resolve(hashes: np.ndarray, count: np.ndarray, docs: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Smallest doc_id of every window of branching paths, by the windows' hashes."""
-    own = np.repeat(docs, count)
-    order, heads = grouped(hashes)
-    out = np.empty_like(own)
-    out[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.concatenate([heads, [len(order)]])))
-    return out
+from pagequarry.llm.common import TOKEN_BASE, U64, list_of, mix, ranges, within
+from pagequarry.llm.spans import Block, Paths, Windows, repeated_windows
+
+
+def compact_graph(paths: Paths) -> tuple[np.ndarray, ...]:
+    """Resolves the paths of a partition (see spans.repeated_windows): the payload of a path of n edges is its n + 1 nodes."""
+    # equal paths are one, with the least source and the largest doc_id
+    order = np.lexsort((paths.at, paths.low, paths.path))
+    ranked = paths.path[order]
+    heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    answer = np.empty(len(order), np.int64)
+    answer[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    high = np.maximum.reduceat(paths.high[order], heads)
+    paths = paths.pick(order[heads])
+    count = paths.count
+    tail_at = ranges(np.cumsum(paths.size) - paths.size, count)
+    tail, head = paths.data[tail_at], paths.data[tail_at + 1]
+    # equal edges are one
+    edge = mix(tail * U64(TOKEN_BASE) + head)
+    doc, at = np.repeat(paths.low, count), np.repeat(paths.at, count) + within(count)
+    order = np.lexsort((at, doc, edge))
+    ranked = edge[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    heads = np.flatnonzero(first)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1
+    one = order[heads]
+    source, place = doc[one], at[one]
+    repeated = source < np.maximum.reduceat(np.repeat(high, count)[order], heads)
+    # a node that does not branch: one edge in, one edge out
+    node = np.unique(np.concatenate([tail[one], head[one]]), return_inverse=True)[1]
+    degree_out, degree_in = (np.bincount(x, minlength=int(node.max()) + 1) for x in (node[: len(one)], node[len(one) :]))
+    straight = ((degree_out == 1) & (degree_in == 1))[node[len(one) :]]
+    left, right = number[:-1], number[1:]
+    joined = straight[left] & repeated[left] & repeated[right] & (source[left] == source[right]) & (place[left] + 1 == place[right])
+    starts = np.concatenate([[True], ~joined])
+    starts[np.cumsum(count) - count] = True
+    return answer, count, source[number], place[number], starts
 
 
 def runs_of(removed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,14 +119,14 @@ def _cutter(layout: bool):
 RESULT = ("text", "block", "n_words", "n_removed", "starts", "ends", "kept")
 
 
-def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12, layout: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12, layout: bool = False, seed: int = 0) -> DataFrame:
     """All columns of docs but text, and n_words, n_removed, starts and ends (word positions of the removed runs), kept string.
 
     kept: the kept words joined by one space; with `layout`, the text as it was without the removed runs.
 
     docs: doc_id, text and more; columns that clash with the result's are replaced.  Null and empty texts have no words.  A null doc_id takes no
     part and is kept whole.  Documents with fewer than `window` words lose nothing.  Rows that repeat a doc_id do not count as smaller than
-    each other.  Empty input: empty result.
+    each other.  Empty input: empty result.  The job stops (spans.Collision) if unlike words or windows meet in a 64-bit hash; `seed` changes those.
     """
     keep = [c for c in docs.columns if c.lower() not in (*RESULT, "doc_id")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text"))
@@ -106,4 +135,4 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 12, layout
     schema = T.StructType(
         [*fields, T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("starts", T.ArrayType(long)), T.StructField("ends", T.ArrayType(long)), T.StructField("kept", T.StringType())]
     )
-    return repeated_windows(docs, Windows(window, k, True), _resolve, _cutter(layout), schema)
+    return repeated_windows(docs, Windows(window, k, True, seed), compact_graph, _cutter(layout), schema)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pagequarry.llm import embedding_dedup, graph, jaccard_join, queries, substring_dedup, suffix_dedup, topk
+from pagequarry.llm import embedding_dedup, graph, jaccard_join, queries, spans, substring_dedup, suffix_dedup, topk
 from tests.conftest import MEDIUM, SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,9 +32,18 @@ def corpus(seed, n=60):
                 text[int(rng.integers(len(text)))] = str(rng.choice(words))
         rows.append((int(i * 7 % n), " ".join(text)))
     rows += [rows[3], (n, None), (n + 1, ""), (n + 2, " \t\n"), (None, passage), (n + 3, (passage + "\n") * 3), (n + 4, "repeat " * 400), (n + 5, "repeat " * 300)]
+    for k, size in enumerate((1024, 2048, 4096)):
+        x, y = thue_morse(size)
+        rows += [(n + 10 + 2 * k, f"{passage} {x} tail"), (n + 11 + 2 * k, f"{passage} {y} tail"), (n + 20 + 2 * k, x), (n + 21 + 2 * k, y)]
     return rows
 
 
+def thue_morse(n):
+    """A word over a and b and its complement: polynomial hashes modulo 2**64 know no difference from 1,024 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def removed(rows, window):
     """Mask of every row: its windows start in a smaller doc_id as well."""
     first = {}
@@ -80,8 +89,6 @@ def test_repeated_bytes(spark, seed):
 
 def test_tiles_of_long_documents(spark, monkeypatch):
     """A document beyond a tile is cut into overlapping tiles; nothing is missed at their borders."""
-    from pagequarry.llm import spans
-
     paths = spans.Block.paths
     monkeypatch.setattr(spans.Block, "paths", lambda self, active, tile=64: paths(self, active, 64))
     rows = [r for r in corpus(5, 20)]
@@ -95,19 +102,66 @@ def test_tiles_of_long_documents(spark, monkeypatch):
     assert sum(int(c.sum()) for _, c, *_ in block.paths(active)) == total and sum(want) > 0
 
 
-def test_merged_transform_equals_sorting():
-    rng = np.random.default_rng(0)
-    texts = [bytes(rng.integers(97, 99, int(rng.integers(10, 40))).astype(np.uint8)) for _ in range(30)]
-    docs = np.arange(30)[::-1].copy()
-    for window in (10, 4, 7):
-        use = [(t, d) for t, d in zip(texts, docs) if len(t) >= window]
-        count = np.array([len(t) - window + 1 for t, _ in use])
-        got = suffix_dedup.resolver(window)(np.frombuffer(b"".join(t for t, _ in use), np.uint8), count, np.array([d for _, d in use]), np.arange(len(use)))
-        first = {}
-        for t, d in use:
-            for a in range(len(t) - window + 1):
-                first[t[a : a + window]] = min(first.get(t[a : a + window], d), d)
-        assert got.tolist() == [first[t[a : a + window]] for t, d in use for a in range(len(t) - window + 1)]
+@pytest.mark.parametrize("window", [10, 4, 7])
+def test_merged_transform_equals_sorting(window):
+    """Shards' transforms, merged: the order, common prefixes and least codes are those of sorting all windows."""
+    rng = np.random.default_rng(window)
+    texts = [t for t in (bytes(rng.integers(97, 99, int(rng.integers(10, 40))).astype(np.uint8)) for _ in range(30)) if len(t) >= window]
+    code = rng.permutation(len(texts)).astype(np.int64) << 32
+    count = np.array([len(t) - window + 1 for t in texts])
+    shard = rng.integers(0, 3, len(texts))
+    got = suffix_dedup.least_codes(np.frombuffer(b"".join(texts), np.uint8), count, code, shard, window)
+    first = {}
+    for t, c in zip(texts, code.tolist()):
+        for a in range(len(t) - window + 1):
+            first[t[a : a + window]] = min(first.get(t[a : a + window], c + a), c + a)
+    assert got.tolist() == [first[t[a : a + window]] for t in texts for a in range(len(t) - window + 1)]
+    strings = suffix_dedup.Collection(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), 1)
+    orders = [strings.suffix_order(np.flatnonzero(shard[strings.string] == z), window) for z in range(3)]
+    position, common = suffix_dedup.merge(orders, [strings.rank[strings.before[o]] for o in orders], window)
+    marked = [bytes([*t, 0]) for t in texts]
+    rotations = [(m * 9)[o : o + window] for i in position.tolist() for m, o in [(marked[strings.string[i]], i - strings.starts[strings.string[i]])]]
+    assert rotations == sorted(rotations)
+    for x, y, c in zip(rotations, rotations[1:], common[1:].tolist()):
+        assert c == next((i for i in range(window) if x[i] != y[i]), window)
+
+
+def test_graph_compacts_paths_that_do_not_branch():
+    """Edges over nodes; 1-2-3-4 is walked by two documents, 3 branches to 5 in a third."""
+    spec = spans.Windows(2, 1, True)
+
+    def paths(*walks):
+        data = [np.array(w, np.uint64) for _, _, w in walks]
+        n = np.array([len(x) - 1 for x in data])
+        low = np.array([d for d, _, _ in walks])
+        return spans.Paths(np.ones(len(walks), np.uint64), np.array([hash(tuple(w)) & 0xFFFF for _, _, w in walks], np.uint64), low, np.array([a for _, a, _ in walks]), low, n, np.concatenate(data), n + 1, np.arange(len(walks)))
+
+    assert spec.grams == 2
+    answer, count, source, place, starts = substring_dedup.compact_graph(paths((1, 10, [1, 2, 3, 4]), (7, 3, [1, 2, 3, 4]), (9, 0, [2, 3, 5])))
+    at = np.cumsum(count) - count
+    own = [list(zip(source[at[a] :][: count[a]].tolist(), place[at[a] :][: count[a]].tolist(), starts[at[a] :][: count[a]].tolist())) for a in answer.tolist()]
+    # node 3 has two edges out: the run 1-2-3 ends there
+    assert own[0] == own[1] == [(1, 10, True), (1, 11, False), (1, 12, True)]
+    assert own[2] == [(1, 11, True), (9, 1, True)]
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_unlike_texts_of_one_hash_stop_the_job(spark, monkeypatch, by_words):
+    """Passages that hashes propose are compared with the text at their source: here the source coordinates are made wrong."""
+    rows = [(i, " ".join(f"{c}{i % 3}" for c in range(90))) for i in range(3)] + [(9, " ".join(f"{c}1" for c in range(80)))]
+    module, name = (substring_dedup, "compact_graph") if by_words else (suffix_dedup, "resolver")
+    real = getattr(module, name)
+
+    def wrong(result):
+        answer, count, source, place, starts = result
+        return answer, count, source, place + 1, starts
+
+    monkeypatch.setattr(module, name, (lambda paths: wrong(real(paths))) if by_words else (lambda window: lambda paths: wrong(real(window)(paths))))
+    cut = substring_dedup.remove_repeated_words if by_words else suffix_dedup.remove_repeated_bytes
+    with pytest.raises(Exception, match="another seed"):
+        cut(frame(spark, rows)).collect()
+    monkeypatch.undo()
+    assert sum(r["n_removed"] > 0 for r in cut(frame(spark, rows), seed=3).collect()) == 1
 
 
 def union_find(ids, links):
@@ -144,6 +198,9 @@ def test_jaccard(spark, percent):
             if i % 6 == 0:
                 near = [w.upper() if w.isascii() else w for w in near]
             rows.append((base * 100 + i, " ".join(near)))
+    for k, size in enumerate((1024, 2048, 4096)):
+        rows += [(800 + 4 * k + i, t) for i, w in enumerate(thue_morse(size)) for t in (w,)]
+        rows += [(802 + 4 * k + i, " ".join(["one", "two", w, "three", w])) for i, w in enumerate(thue_morse(size))]
     rows += [(990, None), (991, ""), (992, "\n"), (993, "la"), (994, "la"), (995, "la la"), (None, rows[0][1]), rows[5]]
     sets = {i: shingles(t) for i, t in rows if i is not None}
     ids = sorted(sets)
