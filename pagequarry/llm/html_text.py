@@ -1,13 +1,15 @@
 """Main text of web pages by tree scoring.
 
-A lenient reader builds a small tree of the elements that are left once menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments are set aside.  Each paragraph passes points for its length and its
+A lenient reader builds the page's tree and marks the elements that are set aside: menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments.  Each paragraph passes points for its length and its
 commas to its parent and, halved at each level, to two further ancestors; an ancestor's points are discounted by the share of its
-text that lies in links.  The best container and its good siblings are kept, and their blocks are given in page order.
+text that lies in links.  The best container wins; unless it is an article or main element, it grows to its parent as long as it holds most of the
+parent's text and that is not links, and its good siblings are kept.  Blocks are given in page order.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
@@ -17,24 +19,31 @@ from pyspark.sql import functions as F
 
 #: Element names and the words in class, id and role that mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
-DROPPED = frozenset("nav footer aside form button select fieldset dialog menu head".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+DROPPED = frozenset("nav footer aside form button select fieldset dialog menu head header script style noscript template textarea title iframe object canvas".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an open p ends where one of these starts
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|commentlist|respond|disqus|replies|reply|share|sharing|social|"
-    r"related|recommended|recommendations|widget|toolbar|skip|search-?form|hidden|header|contentinfo|complementary|search)(?:$|[\s_-])",
-    re.I,
+BLOCKS = ENDS_P | frozenset("body caption dd dialog dt figcaption hgroup legend li optgroup option search summary tbody td tfoot th thead tr".split()) | DROPPED
+#: end tags go no further than the cell they are in, but for those of tables
+CELLS = frozenset("td th caption".split())
+TABLES = frozenset("table tbody thead tfoot tr td th caption".split())
+NEGATIVE = frozenset(
+    "ad ads adbox adsense banner sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe signup login comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations widget toolbar skip searchform header "
+    "contentinfo complementary search".split()
 )
-POSITIVE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|story|entry|content|main|body|text)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+NEGATIVE_STARTS = ("advert", "sponsor", "promo")
+#: "has-sidebar" has a sidebar and is none
+NOT_ITSELF = frozenset("has with no without".split())
+POSITIVE = frozenset("article post story entry content main body text".split())
+#: what shows that an element that was never closed does not reach this far
+RESCUED = frozenset("article main h1".split())
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$|^[^=]*/$""")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?][^>]*>"
     r"|</[^>]*>"
@@ -43,121 +52,146 @@ TOKEN = re.compile(
 )
 
 
+@functools.lru_cache(4096)
+def judged(value: str) -> tuple[bool, bool]:
+    """(marks what is set aside, marks main text) for the value of class, id or role: by the first and the last word of each of its names."""
+    away = good = False
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if not words:
+            continue
+        ends = {words[0], words[-1], "".join(words), "".join(words[:2]), "".join(words[-2:])}
+        if name == "hidden" or (words[0] not in NOT_ITSELF and (ends & NEGATIVE or any(w.startswith(NEGATIVE_STARTS) for w in (words[0], words[-1])))):
+            away = True
+        good = good or bool(POSITIVE & set(words))
+    return away, good
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "weight", "length", "linked", "kept")
+    __slots__ = ("tag", "parent", "children", "points", "weight", "length", "linked", "away", "closed", "inline")
 
-    def __init__(self, tag: str, parent: Node | None, weight: int = 0):
-        self.tag, self.parent, self.children, self.weight = tag, parent, [], weight
+    def __init__(self, tag: str, parent: Node | None, weight: int = 0, away: bool = False):
+        self.tag, self.parent, self.children, self.weight, self.away = tag, parent, [], weight, away
         self.points = 0.0
         self.length = self.linked = 0
-        self.kept = False
+        self.closed = False
+        #: elements that HTML does not know flow with the text, but custom ones stand for blocks
+        self.inline = tag not in BLOCKS and "-" not in tag
+
+
+def _attributes(tag: str, rest: str) -> tuple[int, bool]:
+    """(weight, set aside) of an element."""
+    weight, away = 0, tag in DROPPED
+    if rest and not rest.isspace():
+        for name, value in ATTRIBUTE.findall(rest):
+            name = name.lower()
+            if name == "hidden":
+                away = True
+            elif name == "aria-hidden":
+                away = away or value.strip("\"'").lower() == "true"
+            elif name in ("class", "id", "role"):
+                bad, good = judged(html.unescape(value.strip("\"'")))
+                away = away or (bad and tag not in ("article", "main"))
+                weight = 25 if good else weight
+    return weight, away
 
 
 def parse(page: str) -> Node:
-    """Tree without the set-aside elements; children are nodes and decoded strings, unclosed elements are closed by what follows."""
+    """The tree; children are nodes and decoded strings.  Unclosed elements are closed by what follows, at the latest with their parent."""
     root = node = Node("body", None)
-    skip: list[str] = []  # names of open elements inside a set-aside one
+    loose: list[Node] = []  # set aside, and perhaps never closed
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
-            if not skip:
-                node.children.append(html.unescape(text) if "&" in text else text)
+            node.children.append(html.unescape(text) if "&" in text else text)
             continue
         if m["raw"]:
-            if not skip:
-                node.children.append(" ")
+            node.children.append(" ")
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            if skip:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-                continue
-            if tag == "p" or tag not in INLINE:
-                at = node
-                while at is not None and at.tag != tag:
+            at = node
+            if tag in BLOCKS or "-" in tag:
+                while at is not None and at.tag != tag and (at.tag not in CELLS or tag in TABLES):
                     at = at.parent
-                if at is not None and at.parent is not None:
-                    node = at.parent
-                continue
-            at = node  # an inline element ends only within its block
-            while at.tag in INLINE and at.tag != tag:
-                at = at.parent
-            if at.tag == tag and at.parent is not None:
+            else:  # an inline element ends only within its block
+                while at.inline and at.tag != tag:
+                    at = at.parent
+            if at is not None and at.tag == tag and at.parent is not None:
+                at.closed = True
                 node = at.parent
             continue
         if tag in ("html", "body"):
             continue
-        if skip:
-            if tag not in VOID and not m["rest"].endswith("/"):
-                skip.append(tag)
-            continue
         if tag == "br" or tag == "hr":
             node.children.append("\n")
             if tag == "br":
                 continue
+        at = node
+        while at.inline:
+            at = at.parent
         if tag in ENDS_P:
-            at = node
-            while at.tag in INLINE:
-                at = at.parent
             if at.tag == "p" or (tag in HEADINGS and at.tag in HEADINGS):
+                at.closed = True
                 node = at.parent
-            elif at is not node:
+            else:
                 node = at  # a block inside an inline element: that element is taken as closed
         elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            at = node
-            while at.tag in INLINE or at.tag == "p":
+            while at.inline or at.tag == "p":
                 at = at.parent
             if at.tag == tag or (tag in ("td", "th") and at.tag in ("td", "th")) or (tag in ("dt", "dd") and at.tag in ("dt", "dd")):
+                at.closed = True
                 node = at.parent
-        if tag in VOID:
-            continue
-        weight = 0
-        named = NAMED.findall(m["rest"]) if m["rest"].strip() else ()
-        away = tag in DROPPED
-        for key, value in named:
-            value = value.strip("\"'")
-            key = key.lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                away = True
-            elif key in ("class", "id", "role"):
-                if NEGATIVE.search(value) and tag not in ("article", "main"):
-                    away = True
-                elif POSITIVE.search(value):
-                    weight = 25
-        if tag == "header":
-            at = node
-            while at is not None and at.tag not in ("article", "main"):
-                at = at.parent
-            away = away or at is None
-        if m["rest"].endswith("/"):
+        if tag in VOID or SELF_CLOSED.search(m["rest"]):
             continue
-        if away:
-            skip.append(tag)
-            node.children.append(" ")
-            continue
-        child = Node(tag, node, weight)
+        child = Node(tag, node, *_attributes(tag, m["rest"]))
         node.children.append(child)
         node = child
+        if child.away:
+            loose.append(child)
+    for at in loose:
+        if not at.closed:
+            _rescue(at)
     return root
 
 
+def _rescue(node: Node) -> None:
+    """A set-aside element without an end tag ends before the first article, main or h1 in it that is not set aside by itself."""
+    stack, found = [node], None
+    while stack and found is None:
+        at = stack.pop()
+        for c in at.children:
+            if isinstance(c, Node) and not c.away:
+                if c.tag in RESCUED:
+                    found = c
+                    break
+                stack.append(c)
+    while found is not None and found is not node:
+        siblings = found.parent.children
+        for i in range(siblings.index(found)):
+            if isinstance(siblings[i], Node):
+                siblings[i].away = True
+            else:
+                siblings[i] = " "
+        found = found.parent
+        found.away = False
+
+
 def _measure(root: Node) -> list[Node]:
-    """Text and link lengths of every node, bottom up without recursion; nodes in page order."""
+    """Text and link lengths of every node, bottom up without recursion; nodes in page order, without what is set aside."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.away)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
                 node.length += len(c.strip())
-            else:
+            elif not c.away:
                 node.length += c.length
                 node.linked += c.length if c.tag == "a" else c.linked
     return order
@@ -171,7 +205,7 @@ def _own_text(node: Node) -> str:
         if isinstance(at, str):
             parts.append(at)
         else:
-            stack.extend(c for c in reversed(at.children) if isinstance(c, str) or c.tag in INLINE)
+            stack.extend(c for c in reversed(at.children) if isinstance(c, str) or (c.inline and not c.away))
     return "".join(parts)
 
 
@@ -180,17 +214,18 @@ def density(node: Node) -> float:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The best container with its good siblings; the enclosing article or main element, if there is one."""
+    """The best container with its good siblings."""
     order = _measure(root)
     scored: list[Node] = []
     for node in order:
-        if node.tag in INLINE:
+        if node.inline:
             continue
-        text = " ".join(_own_text(node).split()) if node.tag in PARAGRAPHS or node.tag == "div" or node.tag == "section" or node.tag == "article" else ""
+        paragraph = node.tag in PARAGRAPHS
+        text = " ".join(_own_text(node).split()) if paragraph or node.tag in ("div", "section", "article", "main") else ""
         if not text:
             continue
         points = 1.0 + text.count(",") + min(len(text) / 100, 3.0)
-        at, share = (node.parent if node.tag in PARAGRAPHS and node.parent is not None else node), 1.0
+        at, share = (node.parent if paragraph and node.parent is not None else node), 1.0
         for _ in range(3):
             if at is None:
                 break
@@ -200,26 +235,20 @@ def main_nodes(root: Node) -> list[Node]:
             at.points += points * share
             at, share = at.parent, share / 2
     if not scored:
-        places = [n for n in order if n.tag in ("article", "main")]
-        return places[:1] or [root]
+        return [root]
     final = {id(n): n.points * (1 - density(n)) for n in scored}
     best = max(scored, key=lambda n: final[id(n)])
-    holder, at = None, best
-    while at is not None:
-        if at.tag == "article" or (at.tag == "main" and holder is None):
-            holder = at
-        at = at.parent
-    if holder is not None:
-        best = holder
+    while best.tag not in ("article", "main") and best.parent is not None and best.parent.parent is not None and 2 * best.length >= best.parent.length and density(best.parent) < 0.25:
+        best = best.parent
     if best.parent is None:
         return [best]
     least = max(10.0, 0.2 * final.get(id(best), best.points))
     kept = []
     for n in best.parent.children:
-        if not isinstance(n, Node):
+        if not isinstance(n, Node) or n.away:
             continue
         good = n is best or final.get(id(n), 0.0) >= least
-        if not good and holder is None and (n.tag == "p" or n.tag in HEADINGS):
+        if not good and (n.tag == "p" or n.tag in HEADINGS) and best.tag not in ("article", "main"):
             good = density(n) < 0.25 and n.length > 0
         if good:
             kept.append(n)
@@ -241,9 +270,10 @@ def main_text(page: str | None) -> str:
                 run = []
             elif isinstance(at, str):
                 run.append(at)
+            elif at.away:
+                run.append(" ")
             else:
-                block = at.tag not in INLINE
-                if block:
+                if not at.inline:
                     words.extend("".join(run).split())
                     run = []
                     stack.append(None)

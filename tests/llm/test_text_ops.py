@@ -164,6 +164,36 @@ def test_html_main_text():
     assert html_text.main_text("<article><script>never ends") == ""
 
 
+ARTICLE = "<article><h1>Head</h1><p>Some long text, with commas, and more.</p><p>Second, para.</p></article>"
+WHOLE = "Head Some long text, with commas, and more. Second, para."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # words in other attributes or in the middle of a name mark nothing
+        (f'<div style="overflow: hidden">{ARTICLE}</div>', WHOLE),
+        (f'<div class="overflow-hidden main has-sidebar">{ARTICLE}</div>', WHOLE),
+        ('<article><p title="the hidden valley">One, two.</p><p data-id="menu">Three</p><p hidden>no</p><p class="adBox">no</p></article>', "One, two. Three"),
+        # set-aside elements that are never closed
+        (f'<div class="ad"><div>promo</div>{ARTICLE}<footer>f</footer></body>', WHOLE),
+        (f"<nav><ul><li>x</ul>{ARTICLE}", WHOLE),
+        (f'<div><div class="ad">buy <p>now</p></div>{ARTICLE}</div>', WHOLE),
+        # headers go, formulas stay
+        ("<article><header><h1>H</h1></header><p>One, two.</p><math><mi>x</mi><mo>+</mo><mi>y</mi></math></article>", "One, two. x+y"),
+        # scores decide: between articles, within one, without one
+        (f"<article><p>short</p></article>{ARTICLE}", WHOLE),
+        ('<article class="x y" id=z><div class="wrap"><h2>t</h2><div class="body"><p>a, b, c, d</p><ul><li>l1<li>l2</ul><table><tr><td>c1<td>c2</table></div></div></article><article><p>other</p></article>', "t a, b, c, d l1 l2 c1 c2"),
+        ("<aside><article><p>teaser, one</p></article></aside><main><p>real, text</p></main>", "real, text"),
+        ('<div><p>body, text, of, the, page, here</p></div><div class="post-comments"><p>c, d, e, f, g, h, i, j, k</p></div>', "body, text, of, the, page, here"),
+        ("<div><p>first, real, one</p><h2>Title</h2><p>second, real</p></div><div><p><a href=/x/>link, link, link, link</a></p></div>", "first, real, one Title second, real"),
+        ('<div class="comment"/><p>kept</p><my-box><p>b</p></my-box>', "kept b"),
+    ],
+)
+def test_html_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (None, "u", "<p>x</p>", None)], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages).collect()
