@@ -93,18 +93,19 @@ class LanguageModel:
         return self.labels[best], float(min(1.0, max(0.0, cosines[best]))), True
 
 
-def fit(labelled: DataFrame, max_rows_per_label: int = 4000, dims: int = 512, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, max_rows_per_label: int = 4000, max_languages: int = 256, dims: int = 512, seed: int = 7) -> LanguageModel:
     """Prototypes from text and lang of `labelled` (doc_id, text, lang); null langs and texts without letters are left out.
 
     About max_rows_per_label rows of each language are used, chosen by a hash of doc_id, so a fit has a bounded cost;
-    the prototype is a mean over documents, which more rows would hardly move.
+    the prototype is a mean over documents, which more rows would hardly move.  At most max_languages languages are learnt,
+    those with most rows (ties: the lesser name), so a column full of dirty values costs no more.
     """
     rows = bounded_batches(labelled).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, dims), np.float32), np.zeros(dims, np.float32), dims, seed)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows_per_label / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
