@@ -76,8 +76,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
     bucket is decided exactly; pairs that meet in none are not found, and recall against brute force is measured in the tests.  Empty input: empty result.
     """
     x = F.col("embedding")
-    norm = F.aggregate(F.transform(x, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    fine = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & (norm > 0)
+    fine = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
     all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.transform(x, lambda v: v.cast("double")).alias("embedding"))
     all_rows = all_rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     rows = materialise(all_rows)
@@ -94,6 +93,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
         by_dims.setdefault(len(r[0]), []).append(r[0])
 
     def unit(a: np.ndarray) -> np.ndarray:
+        a = a / np.abs(a).max(axis=1, keepdims=True)  # first, so that no square over- or underflows
         return a / np.linalg.norm(a, axis=1, keepdims=True)
 
     learnt = {d: rotation(unit(np.array(v)), bits, seed=seed) for d, v in by_dims.items()}

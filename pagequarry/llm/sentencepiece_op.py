@@ -212,10 +212,10 @@ def worker_encoder(model: PieceModel) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns, text and ids array<int> of every row; null and empty texts: no ids."""
+    """The `keep` columns, text and ids array<int> of every row; null and empty texts: no ids.  A kept column of one of these names is replaced.  Empty input: empty result."""
     from pyspark.sql import types as T
 
-    docs = bounded_batches(docs).select(*keep, F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in keep if c.lower() not in ("text", "ids")], F.col("text").cast("string").alias("text"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -230,9 +230,10 @@ def encode_documents(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] =
 
 
 def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
-    """encoded plus decoded string, from `ids` alone; null ids: null."""
+    """encoded plus decoded string, from `ids` alone; null ids: null.  A column of that name is replaced.  Empty input: empty result."""
     from pyspark.sql import types as T
 
+    encoded = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c.lower() != "decoded"])
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
@@ -244,7 +245,7 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
             while at < whole.num_rows:  # about half a million ids at a time
                 to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 19), side="right")) - 1)
                 b = whole.slice(at, to - at)
-                column = b.column("ids")
+                column = b.column(b.schema.get_field_index("ids"))
                 texts = decoder.decode_batch(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[at:to])
                 known = column.is_valid().to_pylist()
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t if k else None for t, k in zip(texts, known, strict=True)], pa.string())], names=[*b.schema.names, "decoded"])

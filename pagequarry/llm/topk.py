@@ -54,10 +54,18 @@ def _matrix(r: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(r[f"{name}_values"], np.int16 if r[f"{name}_width"] == 2 else np.int64).reshape(len(ids), r[f"{name}_dims"])
 
 
+def _largest(x: np.ndarray) -> float:
+    return max(-float(x.min()), float(x.max()))
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; through BLAS where doubles are exact."""
-    if q.size and c.size and float(np.abs(q.astype(np.int64)).max()) * float(np.abs(c.astype(np.int64)).max()) * q.shape[1] < EXACT:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    """Exact integer inner products; through BLAS where doubles are exact, refused where 64 bits could not hold them."""
+    if q.size and c.size:
+        most = _largest(q) * _largest(c) * q.shape[1]
+        if most < EXACT:
+            return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+        if most >= 1 << 62:
+            raise ValueError("vectors are too large: a score might not fit 64 bits")
     return q.astype(np.int64) @ c.astype(np.int64).T
 
 
@@ -127,7 +135,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> D
     vectors: vec_id, embedding array of numbers; is_query: a condition on vec_id.  Candidates are all rows of
     another vec_id and of the query's dimension; if there are fewer than k, all are returned.  Ties go to the smaller
     id.  Vectors that are null or hold null or non-finite components, and null ids, take no part.  Of rows that repeat a vec_id one
-    (the smallest vector) counts.  Empty input gives an empty result.
+    (the smallest vector) counts.  Components so large that a score might not fit 64 bits are refused (ValueError in the job).  Empty input gives an empty result.
     """
     q = quantised(vectors, scale).groupBy("vec_id").agg(F.min("q").alias("q"))
     q = materialise(q)

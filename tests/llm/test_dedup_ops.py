@@ -287,6 +287,14 @@ def test_top_k(spark, monkeypatch, scale):
     assert topk.exact_top_k(vector_frame(spark, rows[:1]), "vec_id % 50 = 0").count() == 0
 
 
+def test_extreme_components(spark):
+    rows = [(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [2.0, -1.0], 0)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_components(docs).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(docs, "vec_id = 1").collect()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -92,6 +92,10 @@ def test_sentencepiece_is_optimal_and_round_trips(spark):
             runs = sum(model.scores[i] for i in r["ids"] if model.types[i] == sentencepiece_op.NORMAL)
             runs += unknown * sum(c not in known for c in text)
             assert runs == pytest.approx(brute_viterbi(model, text))
+    clash = docs.withColumnRenamed("block", "ids").withColumnRenamed("source", "decoded")
+    encoded = sentencepiece_op.encode_documents(clash, model, keep=("doc_id", "ids", "decoded", "lang"))
+    assert sentencepiece_op.decode_documents(encoded, model).filter("decoded <> coalesce(text, '')").count() == 0
+    assert sentencepiece_op.decode_documents(sentencepiece_op.encode_documents(docs.limit(0), model), model).count() == 0
     medium = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(200)
     out = sentencepiece_op.decode_documents(sentencepiece_op.encode_documents(medium, model), model)
     assert out.filter("decoded <> text").count() == 0
@@ -122,6 +126,106 @@ def test_language_id_edges(spark):
     assert langid.predict(frame(spark, []), model).count() == 0
 
 
+def test_language_profiles_against_plain_loops(spark):
+    """Prototypes and cosines letter by letter: bind permuted letter vectors, bundle, centre, compare."""
+    texts = [(1, "The cat, and the dog!", "en"), (2, "Of the house 12", "en"), (3, "der Hund und die Katze", "de"), (4, "über das Haus", "de"), (5, "el gato y el perro", "es"), (6, "??", "es"), (7, None, "es"), (8, "x", None)]
+    labelled = spark.createDataFrame([(i, t, y) for i, t, y in texts], "doc_id long, text string, lang string")
+    model = langid.fit(labelled, dims=64, seed=3)
+    letters = np.random.default_rng(3).choice(np.array([-1, 1], np.int8), (langid.CLASSES, 64)).astype(np.float64)
+
+    def profile(text):
+        classes = [0]
+        for c in (text or "") + " ":
+            k = int(langid.letter_classes()[ord(c)])
+            if k or classes[-1]:
+                classes.append(k)
+        grams = [np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(classes, classes[1:], classes[2:])]
+        return np.mean(grams, axis=0) if any(classes) else None
+
+    raw = {y: np.mean([p for _, t, z in texts if z == y and (p := profile(t)) is not None], axis=0) for y in ("de", "en", "es")}
+    mean = np.mean(list(raw.values()), axis=0)
+    for text in ("the hat", "die Maus", "el ratón y la luna", "Ω", "zzz 1 zzz"):
+        v = profile(text) - mean
+        cosines = {y: (p - mean) @ v / np.linalg.norm(p - mean) / np.linalg.norm(v) for y, p in raw.items()}
+        best = max(cosines, key=cosines.get)
+        label, score = model.predict(text)
+        assert label == best and score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-4)
+    dirty = spark.createDataFrame([(i, f"word{i}", f"l{i % 7}") for i in range(70)] + [(99, "one", "z")], "doc_id long, text string, lang string")
+    assert langid.fit(dirty, max_languages=3, dims=8).labels == ["l0", "l1", "l2"]
+
+
+def test_toxicity_gradients():
+    """The gradients of the network against differences of its loss."""
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.fresh(4, 2, 3, 5)
+    net.tables, net.filters = rng.normal(size=net.tables.shape), [rng.normal(size=f.shape) for f in net.filters]
+    net.biases, net.weights = [rng.normal(size=b.shape) for b in net.biases], rng.normal(size=net.weights.shape)
+    sizes = [5, 1, 0, 9]
+    words, bounds = rng.integers(0, 16, (toxicity.TABLES, sum(sizes))).astype(np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+    y, decay = np.array([1.0, 0.0, 1.0, 0.0]), 0.01
+    embedded = toxicity.Network.embedded
+
+    def wide(self, words, bounds):
+        x, first = embedded(self, words, bounds)
+        place = np.arange(words.shape[1]) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * toxicity.PAD
+        x = np.zeros(x.shape)
+        x[place] = np.concatenate([t[w] for t, w in zip(self.tables, words)], axis=1)
+        return x, first
+
+    net.embedded = wide.__get__(net)
+
+    def loss():
+        x, first = net.embedded(words, bounds)
+        z = np.concatenate([np.maximum.reduceat(r, first, axis=0) for r in net.responses(x)], axis=1) @ net.weights + net.bias
+        squares = sum((f * f).sum() for f in net.filters) + (net.weights**2).sum()
+        return np.mean(np.log1p(np.exp(z)) - y * z) + decay / 2 * squares
+
+    dense, bias, touched, dx = toxicity.gradients(net, words, bounds, y, decay)
+    table = np.zeros(net.tables.shape)
+    for t in range(toxicity.TABLES):
+        np.add.at(table[t], words[t, touched], dx[:, t * 2 : t * 2 + 2])
+    for array, grad in [*zip([*net.filters, *net.biases, net.weights], dense), (net.tables, table)]:
+        for i in rng.integers(0, array.size, 12):
+            old = array.flat[i]
+            array.flat[i] = old + 1e-6
+            up = loss()
+            array.flat[i] = old - 1e-6
+            down = loss()
+            array.flat[i] = old
+            assert grad.flat[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    net.bias += 1e-6
+    up = loss()
+    net.bias -= 2e-6
+    assert bias == pytest.approx((up - loss()) / 2e-6, abs=1e-5)
+
+
+def test_toxicity_thresholds_differ_by_language(spark):
+    """A text is judged by the threshold of the language it is recognised as."""
+    model = toxicity.ToxicityModel(
+        toxicity.Network.fresh(8, 2, 2, 1),
+        langid.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string")),
+        {"en": 3.0, "de": -3.0},
+        0.0,
+    )
+    texts = pa.array(["the dog and the cat", "die Katze und der Hund", ""])
+    logits = model.network.logits(*toxicity.table_rows(texts, 8))
+    assert model.score(texts) == pytest.approx(1 / (1 + np.exp(-(logits - np.array([3.0, -3.0, 0.0])))))
+    assert toxicity.best_threshold(np.array([0.0, 1.0, 2.0, 5.0]), np.array([0, 0, 1, 1])) == 1.5
+
+
+def test_toxicity_sample_is_bounded_and_empty_tables(spark, monkeypatch):
+    docs = frame(spark, [(i, "bad word " * 20 if i % 2 else "good word " * 20) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda network, docs, *_: seen.append(sum(d.shape[1] for d in docs)))
+    toxicity.fit(docs, labels, bits=8)
+    toxicity.fit(docs, labels, bits=8, max_sample_bytes=16_000)
+    assert 0 < seen[1] < seen[0] / 3
+    none = toxicity.fit(frame(spark, []), labels.limit(0), bits=8)
+    assert toxicity.score_documents(frame(spark, []), none).count() == 0
+    assert {r["predicted"] for r in toxicity.score_documents(frame(spark), none).collect()} == {0}
+
+
 def test_toxicity_learns_and_scores_whole_texts(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(300)]
