@@ -89,10 +89,24 @@ class Block:
             self.hashes, self.starts, self.ends, self.bounds = word_hashes(self.buf, self.offsets, seed=spec.seed)
         else:
             self.bounds = self.offsets
-            self.values = mix(np.arange(1, 257, dtype=U64) * U64(BYTE_BASE) ^ U64((spec.seed * TOKEN_BASE) & MASK))
+            self.salt = U64((spec.seed * TOKEN_BASE) & MASK)
+            self.values = mix(np.arange(1, 257, dtype=U64) * U64(BYTE_BASE) ^ self.salt)
 
-    def tokens(self, lo: int, hi: int) -> np.ndarray:
-        return self.hashes[lo:hi] if self.spec.words else self.values[self.buf[lo:hi]]
+    def grams(self, lo: int, hi: int) -> np.ndarray:
+        """Mixed hash of every k-gram of a stretch of tokens."""
+        k = self.spec.k
+        if self.spec.words:
+            return mix(kgrams(self.hashes[lo:hi], k))
+        if k < 8:
+            return mix(kgrams(self.values[self.buf[lo:hi]], k))
+        # bytes go eight at a time, the last eight perhaps again in part
+        n = max(0, hi - lo - k + 1)
+        part = np.ascontiguousarray(self.buf[lo:hi])
+        out = None
+        for at in (*range(0, k - 8, 8), k - 8):
+            eight = np.ndarray((n,), "<u8", buffer=part.data, offset=at, strides=(1,)).astype(U64) if n else np.zeros(0, U64)
+            out = eight ^ self.salt if out is None else mix(out) * U64(TOKEN_BASE) + eight
+        return mix(out)
 
     def compare_words(self) -> None:
         """Stops if unlike words of the block have one hash."""
@@ -116,7 +130,7 @@ class Block:
         raw = memoryview(np.ascontiguousarray(flat))
         return [hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(first.tolist(), last.tolist(), strict=True)]
 
-    def paths(self, active: np.ndarray, tile: int = 1 << 19) -> Iterator[tuple[np.ndarray, ...]]:
+    def paths(self, active: np.ndarray, tile: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
         """(first token, windows, key, path hash, document index) of all paths of the active documents, by tiles of bounded size.
 
         A document longer than a tile is cut into overlapping tiles; a path cut there branches, which costs time but no window.
@@ -139,7 +153,7 @@ class Block:
 
     def _paths(self, lo: int, hi: int, docs: np.ndarray, first: np.ndarray, sizes: np.ndarray):
         spec = self.spec
-        grams = mix(kgrams(self.tokens(lo, hi), spec.k))
+        grams = self.grams(lo, hi)
         key = sliding_min(grams, spec.grams)
         at = ranges(first, sizes)
         key = key[at]

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import U64, distinct_spans, list_of
+from pagequarry.llm.common import U64, distinct_spans, list_of, ranges
 from pagequarry.llm.spans import Block, Paths, Windows, repeated_windows
 from pagequarry.llm.substring_dedup import runs_of
 
-SHARDS = 8
+SHARDS = 4
 
 
 def _ranks(code: np.ndarray) -> tuple[np.ndarray, int]:
@@ -40,23 +40,29 @@ class Collection:
         kind = np.int32 if n < (1 << 31) else np.int64
         self.starts = (np.cumsum(padded) - padded).astype(kind)
         self.string = np.repeat(np.arange(len(sizes), dtype=kind), padded)
-        offset = np.arange(n, dtype=kind) - self.starts[self.string]
-        inside = offset < sizes.astype(kind)[self.string]
-        text = np.zeros(n, np.uint64)
-        text[inside] = data.astype(np.uint64) + U64(1)
-        forward = np.arange(1, n + 1, dtype=kind)
-        forward[self.starts + padded - 1] = self.starts
+        # bytes by their rank among those that occur, so that more symbols fit 64 bits; 0 is the end mark
+        known = np.zeros(256, bool)
+        known[data] = True
+        base = int(known.sum()) + 1
+        text = np.zeros(n, U64)
+        text[ranges(self.starts.astype(np.int64), sizes)] = (np.cumsum(known) * known).astype(U64)[data]
         self.before = np.arange(n, dtype=kind) - kind(step)
-        wrap = offset < step
-        self.before[wrap] += padded.astype(kind)[self.string[wrap]]
-        # symbols joined one by one, ranked whenever the next would not fit 64 bits
-        code, base, at = text, 257, np.arange(n, dtype=kind)
-        for _ in range(step - 1):
-            at = forward[at]
-            if base > (1 << 63) // 257:
-                code, base = _ranks(code)
-            code = code * U64(257) + text[at]
-            base *= 257
+        # the first and the last `step` places of a string look round its end
+        wrap = (self.starts[:, None] + np.arange(step, dtype=kind)).ravel()
+        self.before[wrap] += np.repeat(padded.astype(kind), step)
+        last = wrap + np.repeat(sizes.astype(kind), step)
+        inside = np.tile(np.arange(step, dtype=kind), len(sizes))
+        # symbols joined one by one, ranked whenever the next would not fit
+        code, radix = text.copy(), base
+        for j in range(1, step):
+            if radix > (1 << 64) // base:
+                code, radix = _ranks(code)
+            ahead = np.empty_like(text)
+            ahead[:-j] = text[j:]
+            round_ = inside + j >= step
+            ahead[last[round_]] = text[np.minimum(self.starts.repeat(step)[round_] + inside[round_] + kind(j - step), n - 1)]
+            code = code * U64(base) + ahead
+            radix *= base
         rank, self.distinct = _ranks(code)
         self.rank = rank.astype(np.uint16 if self.distinct <= 65536 else np.int64)
 
@@ -77,20 +83,27 @@ def merge(orders: list[np.ndarray], symbols: list[np.ndarray], passes: int, step
     """
     order, symbol = np.concatenate(orders), np.concatenate(symbols)
     shard = np.repeat(np.arange(len(orders)), [len(o) for o in orders]).astype(np.uint8)
-    interval = np.zeros(len(order), np.int32)
-    place = np.empty(len(order), np.int32 if len(order) < (1 << 31) else np.int64)
     common = np.full(len(order), passes * step, np.int32)
     common[:1] = 0
+    interval = None
+    bwt = symbol.copy()
     for done in range(passes):
-        place[np.argsort(shard, kind="stable")] = np.arange(len(order))
-        bwt = symbol[place]
+        if done:
+            bwt[np.argsort(shard, kind="stable")] = symbol
         moved = np.argsort(bwt, kind="stable")
-        shard, bwt, interval = shard[moved], bwt[moved], interval[moved]
-        border = (bwt[1:] != bwt[:-1]) | (interval[1:] != interval[:-1])
-        common[1:][border] = np.minimum(common[1:][border], done * step)
-        interval = np.concatenate([[0], np.cumsum(border, dtype=np.int32)]).astype(np.int32)
-    place[np.argsort(shard, kind="stable")] = np.arange(len(order))
-    return order[place], common
+        shard, sorted_ = shard[moved], bwt[moved]
+        border = sorted_[1:] != sorted_[:-1]
+        if interval is not None:
+            interval = interval[moved]
+            border |= interval[1:] != interval[:-1]
+        found = common[1:]
+        found[border & (found == passes * step)] = done * step
+        if done < passes - 1:
+            interval = np.zeros(len(order), np.int32)
+            np.cumsum(border, dtype=np.int32, out=interval[1:])
+    merged = np.empty_like(order)
+    merged[np.argsort(shard, kind="stable")] = order
+    return merged, common
 
 
 def least_codes(data: np.ndarray, count: np.ndarray, code: np.ndarray, shard: np.ndarray, window: int) -> np.ndarray:
@@ -161,7 +174,7 @@ def _cut_bytes(table: pa.Table, block: Block, ids: np.ndarray, removed: np.ndarr
 RESULT = ("text", "block", "n_bytes", "n_removed", "starts", "ends", "kept")
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, k: int = 24, seed: int = 0) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, k: int = 16, seed: int = 0) -> DataFrame:
     """All columns of docs but text, and n_bytes, n_removed, starts and ends (byte positions of the removed runs), kept binary.
 
     docs: doc_id, text and more; columns that clash with the result's are replaced.  Null texts are empty.  A null doc_id takes no part and is kept
