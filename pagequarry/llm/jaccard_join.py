@@ -10,8 +10,8 @@ one subset is equal in both sets.  n1 is 1 for a small k (all subsets of two of
 So every similar pair shares a signature.  Sets that share one are compared exactly: the smallest doc_id of a bucket
 is its centre, a centre's members (over all its buckets) form a cluster, and every pair that shares a signature lies in some cluster.
 Clusters are searched for components, not for all pairs; heavy ones are cut into pairs of blocks.  Equal sets are one
-representative from the start.  Signatures come from hashes; what decides a link are word numbers
-that stand for unlike words in the cluster's texts, not hashes (exact_shingles), and sizes are counted with words compared byte for byte.
+representative from the start.  Signatures and a first search come from hashes, which can only bring sets nearer; every link that is
+found is then confirmed with numbers that stand for unlike words (exact_shingles), and sizes are counted with words compared byte for byte.
 """
 
 from __future__ import annotations
@@ -163,10 +163,11 @@ def signatures(shingles: np.ndarray, band: int, k: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Labels (smallest member) of the components of one cluster; sizes and concatenated sets."""
+def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of one cluster; sizes and concatenated sets."""
     g = len(sizes)
-    label = np.arange(g)
+    a_out: list[np.ndarray] = [np.zeros(0, np.int64)]
+    b_out: list[np.ndarray] = [np.zeros(0, np.int64)]
     owner = np.repeat(np.arange(g), sizes)
     order = np.argsort(shingles)
     ranked = shingles[order]
@@ -185,7 +186,7 @@ def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray
         alive = keep
     rest = np.flatnonzero(alive)
     if len(rest) < 2:
-        return label
+        return a_out[0], b_out[0]
     starts = np.cumsum(sizes) - sizes
     flags = np.zeros(int(new.sum()), bool)
     while len(rest):
@@ -204,10 +205,21 @@ def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray
             flags[own] = False
             hit = near[100 * both >= percent * (sizes[at] + n - both)]
             if len(hit):
-                label[hit] = seed
+                a_out.append(np.full(len(hit), at, np.int64))
+                b_out.append(hit)
                 queue.extend(hit.tolist())
                 rest = rest[~np.isin(rest, hit)]
-    return label
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
+def _confirmed(column: pa.ChunkedArray, a: np.ndarray, b: np.ndarray, words: int, percent: int) -> np.ndarray:
+    """Whether each link between two texts of the column holds for their words, byte for byte."""
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    shingles, sizes = exact_shingles(column.take(pa.array(used)), words)
+    ends = np.cumsum(sizes)
+    x, y = place[: len(a)], place[len(a) :]
+    both = np.array([len(np.intersect1d(shingles[ends[i] - sizes[i] : ends[i]], shingles[ends[j] - sizes[j] : ends[j]], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    return 100 * both >= percent * (sizes[x] + sizes[y] - both)
 
 
 def once(c: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,19 +344,32 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
         heads = np.concatenate([np.flatnonzero(new), [len(c)]])
         a, b = [], []
         text = np.concatenate([[0], np.cumsum([len(x) if x else 0 for x in table.column("text").to_pylist()])])[heads]
-        at = 0
+        at, cluster = 0, []
         while at < len(heads) - 1:  # some clusters at a time
             to = min(len(heads) - 1, max(at + 1, int(np.searchsorted(text, text[at] + (4 << 20), side="right")) - 1))
             if heads[to] - heads[at] > to - at:
-                shingles, sizes = exact_shingles(table.column("text").slice(int(heads[at]), int(heads[to] - heads[at])), words)
+                column = table.column("text").slice(int(heads[at]), int(heads[to] - heads[at]))
+                shingles, sizes = shingle_sets(column, words)
                 bound = np.concatenate([[0], np.cumsum(sizes)])
-                for s, e in itertools.pairwise(heads[at : to + 1].tolist()):
+                found = []
+                for s, e in itertools.pairwise((heads[at : to + 1] - heads[at]).tolist()):
                     if e - s > 1:
-                        x, y = s - int(heads[at]), e - int(heads[at])
-                        label = _linked(sizes[x:y], shingles[bound[x] : bound[y]], percent)
-                        moved = np.flatnonzero(label != np.arange(e - s))
-                        a.append(m[s + moved])
-                        b.append(m[s + label[moved]])
+                        x, y = _linked(sizes[s:e], shingles[bound[s] : bound[e]], percent)
+                        found.append((x + s, y + s, np.full(len(x), len(found))))
+                        cluster.append((s, e))
+                if found:
+                    x, y, own = (np.concatenate(c) for c in zip(*found, strict=True))
+                    good = _confirmed(column, x, y, words, percent) if len(x) else np.ones(0, bool)
+                    # hashes can only bring sets nearer: where a link does not hold, the cluster is searched again with numbers of words
+                    for i in np.unique(own[~good]).tolist():
+                        s, e = cluster[i]
+                        exact, n = exact_shingles(column.slice(s, e - s), words)
+                        p, q = _linked(n, exact, percent)
+                        x, y, keep = np.concatenate([x, p + s]), np.concatenate([y, q + s]), np.concatenate([good & (own != i), np.ones(len(p), bool)])
+                        own, good = np.concatenate([own, np.full(len(p), -1)]), keep
+                    a.append(m[int(heads[at]) + x[good]])
+                    b.append(m[int(heads[at]) + y[good]])
+                cluster.clear()
             at = to
         release()
         return pa.table({"a": pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), "b": pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))})

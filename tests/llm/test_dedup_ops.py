@@ -386,3 +386,27 @@ def test_two_texts_under_one_doc_id(spark):
     docs = frame(spark, [*rows, (9, y), (None, x), (10, None)]).select(*corpus_pipeline.COLUMNS)
     got = corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(3, x), (7, y), (8, x + " " + y), (10, None), (None, x)], key=str)
+
+
+def test_links_of_hashes_are_confirmed_by_words(spark, monkeypatch):
+    """Shingle hashes with few bits bring unlike sets together; words decide all the same."""
+    real = jaccard_join.shingle_sets
+
+    def coarse(column, words, compare=False):
+        """Shingles hashed to few values for signatures and the search, so that sets of unlike words look alike; sizes stay."""
+        found = real(column, words, compare)
+        if compare:
+            return found
+        return (np.concatenate([[], *[np.arange(n) + 7 for n in found[1]]]).astype(np.uint64), *found[1:])
+
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{j}" for j in range(30)) + (f" end{i}" if i > 3 else "")) for i in range(8)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    import pyarrow as pa
+
+    column = pa.chunked_array([[t for _, t in rows]])
+    a, b = np.array([0, 0, 1, 2]), np.array([4, 1, 5, 3])
+    assert jaccard_join._confirmed(column, a, b, 4, 85).tolist() == [True, False, True, False]
+    monkeypatch.setattr(jaccard_join, "shingle_sets", coarse)
+    got = jaccard_join.jaccard_components(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == union_find(list(sets), links)
