@@ -49,11 +49,6 @@ class Element:
             return selector[1:] in self.attrs.get("class", "").split()
         return self.attrs.get("id") == selector[1:] if selector[0] == "#" else self.tag == selector
 
-    def drop(self) -> None:
-        if self.parent is not None:
-            self.parent.children.remove(self)
-            self.parent = None
-
     def inner(self) -> str:
         out: list[str] = []
         stack: list = list(reversed(self.children))
@@ -92,6 +87,8 @@ class _Reader(HTMLParser):
                 up = up.parent
             if up.tag in SAME[tag]:
                 self.at = up.parent
+                if tag == "tr" and up.tag != "tr" and up.parent.tag == "tr":
+                    self.at = up.parent.parent
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(e)
         if tag not in VOID:
@@ -122,36 +119,35 @@ def parse(html: str) -> Element:
 
 
 def body(root: Element) -> Element:
-    return next((e for e in root.find("body")), root)
+    return next((e for e in root.walk() if e.tag == "body"), root)
 
 
 def _tiny(e: Element) -> bool:
     return e.tag == "img" and e.attrs.get("width") == "1" and e.attrs.get("height") == "1"
 
 
-def without_boilerplate(html: str) -> str:
-    """HTML-03: inner HTML of the body without comments, six tags, marked boxes and tracking pixels."""
-    root = parse(re.sub(r"(?s)<!--.*?-->", "", html))
-    for e in list(root.walk()):
-        if e.tag in BOILERPLATE_TAGS or _tiny(e) or any(e.matches(m) for m in BOILERPLATE_MARKS):
-            e.drop()
-    return body(root).inner()
+def strip_boilerplate(root: Element) -> Element:
+    """HTML-03 on a tree, in place: six tags, marked boxes and tracking pixels go (the reader has left comments out)."""
+    stack = [root]
+    while stack:
+        at = stack.pop()
+        at.children = [c for c in at.children if isinstance(c, str) or not (c.tag in BOILERPLATE_TAGS or _tiny(c) or any(c.matches(m) for m in BOILERPLATE_MARKS))]
+        stack.extend(c for c in at.children if isinstance(c, Element))
+    return root
 
 
-def main_content(html: str, selectors=CONTENT_SELECTORS) -> str:
-    """HTML-02: inner HTML of the first match of the first selector that matches, else the body without boilerplate."""
-    root = parse(html)
-    elements = list(root.walk())
-    for s in selectors:
-        for e in elements:
-            if e.matches(s):
-                return e.inner().strip()
-    return without_boilerplate(html).strip()
+def find_main(root: Element, selectors=CONTENT_SELECTORS) -> Element | None:
+    """HTML-02: the first match of the first selector that matches."""
+    first: dict[str, Element] = {}
+    for e in root.walk():
+        for s in selectors:
+            if s not in first and e.matches(s):
+                first[s] = e
+    return next((first[s] for s in selectors if s in first), None)
 
 
-def absolute_links(html: str, base: str) -> str:
-    """HTML-04."""
-    root = parse(html)
+def resolve_links(root: Element, base: str) -> Element:
+    """HTML-04 on a tree, in place."""
     for e in root.walk():
         for tag, name, skip in (("a", "href", ("http", "#", "mailto:")), ("img", "src", ("http", "data:"))):
             value = e.attrs.get(name, "")
@@ -160,23 +156,42 @@ def absolute_links(html: str, base: str) -> str:
                     e.attrs[name] = urljoin(base, value)
                 except ValueError:
                     pass
-    return body(root).inner()
+    return root
+
 
+def without_boilerplate(html: str) -> str:
+    """HTML-03: inner HTML of the body without comments, six tags, marked boxes and tracking pixels."""
+    return body(strip_boilerplate(parse(html))).inner()
 
-def metadata(html: str) -> dict:
+
+def main_content(html: str, selectors=CONTENT_SELECTORS) -> str:
+    """HTML-02: inner HTML of the main content, else of the body without boilerplate."""
+    found = find_main(parse(html), selectors)
+    return found.inner().strip() if found is not None else without_boilerplate(html).strip()
+
+
+def absolute_links(html: str, base: str) -> str:
+    """HTML-04."""
+    return body(resolve_links(parse(html), base)).inner()
+
+
+def metadata(html: str | Element) -> dict:
     """HTML-05, HTML-06."""
-    root = parse(html)
+    root = parse(html) if isinstance(html, str) else html
     meta: dict[str, str] = {}
-    for e in root.find("meta"):
-        key = e.attrs.get("name") or e.attrs.get("property")
-        if key and key not in meta:
-            meta[key] = e.attrs.get("content", "")
-    title = "".join(e.text() for e in root.find("title")).strip()
-    if not title:
-        title = next((e.text().strip() for e in root.find("h1")), "")
+    titles, heading = [], None
+    for e in root.walk():
+        if e.tag == "meta":
+            key = e.attrs.get("name") or e.attrs.get("property")
+            if key and key not in meta:
+                meta[key] = e.attrs.get("content", "")
+        elif e.tag == "title":
+            titles.append(e.text())
+        elif e.tag == "h1" and heading is None:
+            heading = e.text().strip()
     keywords = meta.get("keywords", "")
     return {
-        "title": title or meta.get("og:title") or "",
+        "title": "".join(titles).strip() or heading or meta.get("og:title") or "",
         "description": meta.get("description") or meta.get("og:description") or "",
         "keywords": [k.strip() for k in keywords.split(",")] if keywords else [],
         "author": meta.get("author", ""),
@@ -184,31 +199,71 @@ def metadata(html: str) -> dict:
     }
 
 
-def images(html: str) -> list[str]:
+def images(html: str | Element) -> list[str]:
     """HTML-07: sources that are neither empty, inline data nor tracking pixels; repeats stay."""
-    return [e.attrs["src"] for e in parse(html).find("img") if e.attrs.get("src") and not e.attrs["src"].startswith("data:") and not _tiny(e)]
-
-
-def to_markdown(html: str) -> str:
-    """HTML-09."""
+    root = parse(html) if isinstance(html, str) else html
+    return [e.attrs["src"] for e in root.find("img") if e.attrs.get("src") and not e.attrs["src"].startswith("data:") and not _tiny(e)]
 
-    def inline(e: Element) -> str:
-        return re.sub(r"[ \t\n\r\f]+", " ", "".join(one(c) for c in e.children)).strip(" ")
 
-    def items(e: Element, depth: int) -> str:
-        out, n = [], 0
-        for c in e.children:
-            if isinstance(c, Element) and c.tag == "li":
-                n += 1
-                head = f"{n}. " if e.tag == "ol" else "- "
-                nested = "".join(items(x, depth + 1) for x in c.children if isinstance(x, Element) and x.tag in ("ul", "ol"))
-                own = Element("x", {}, None)
-                own.children = [x for x in c.children if not (isinstance(x, Element) and x.tag in ("ul", "ol"))]
-                out.append("  " * depth + head + inline(own) + "\n" + nested)
+def page(html: str, base: str, selectors=CONTENT_SELECTORS) -> dict:
+    """HTML-11: metadata, content, Markdown and images of a page, all from one tree."""
+    root = parse(html)
+    out = metadata(root)
+    main = resolve_links(body(strip_boilerplate(root)), base)
+    found = find_main(main, selectors)
+    main = found if found is not None else main
+    return out | {"content": main.inner().strip(), "markdown": to_markdown(main), "images": images(main)}
+
+
+WHITE = re.compile(r"[ \t\n\r\f]+")
+LISTS = ("ul", "ol")
+#: lists below this level are not indented further
+DEEPEST = 64
+
+
+def to_markdown(html: str | Element) -> str:
+    """HTML-09.  Elements are rendered from the innermost outwards, without recursion, so depth costs no stack."""
+    top = body(parse(html)) if isinstance(html, str) else html
+    order, stack = [], [top]
+    while stack:
+        e = stack.pop()
+        order.append(e)
+        stack.extend(c for c in e.children if isinstance(c, Element))
+    done: dict[int, str] = {}
+
+    def shown(c: Element | str) -> str:
+        return WHITE.sub(" ", c) if isinstance(c, str) else done.get(id(c), "")
+
+    def inline(children) -> str:
+        return WHITE.sub(" ", "".join(map(shown, children))).strip(" ")
+
+    def is_list(c) -> bool:
+        return isinstance(c, Element) and c.tag in LISTS
+
+    def items(e: Element) -> str:
+        """Lines of a list and of the lists directly in its items."""
+        out, open_ = [], [(e, 0, iter(e.children), 0)]
+        while open_:
+            at, depth, rest, n = open_.pop()
+            for c in rest:
+                if isinstance(c, Element) and c.tag == "li":
+                    n += 1
+                    out.append("  " * min(depth, DEEPEST) + (f"{n}. " if at.tag == "ol" else "- ") + inline(x for x in c.children if not is_list(x)) + "\n")
+                    open_.append((at, depth, rest, n))
+                    open_.extend((x, depth + 1, iter(x.children), 0) for x in reversed(c.children) if is_list(x))
+                    break
         return "".join(out)
 
     def table(e: Element) -> str:
-        rows = [[inline(c) for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for r in e.find("tr")]
+        rows, below = [], [iter(e.children)]
+        while below:  # the rows of this table, not of tables in its cells
+            c = next(below[-1], None)
+            if c is None:
+                below.pop()
+            elif isinstance(c, Element) and c.tag == "tr":
+                rows.append([inline(x.children) for x in c.children if isinstance(x, Element) and x.tag in ("td", "th")])
+            elif isinstance(c, Element) and c.tag != "table":
+                below.append(iter(c.children))
         rows = [r for r in rows if r]
         if not rows:
             return ""
@@ -216,39 +271,44 @@ def to_markdown(html: str) -> str:
         lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
         return "\n\n" + "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) + "\n\n"
 
-    def one(c) -> str:
-        if isinstance(c, str):
-            return re.sub(r"[ \t\n\r\f]+", " ", c)
+    def one(c: Element) -> str:
         t = c.tag
         if t in ("script", "style", "title", "head"):
             return ""
         if t[0] == "h" and t[1:].isdigit():
-            return f"\n\n{'#' * int(t[1:])} {inline(c)}\n\n"
+            return f"\n\n{'#' * int(t[1:])} {inline(c.children)}\n\n"
         if t == "br":
             return "  \n"
         if t == "hr":
             return "\n\n---\n\n"
         if t in ("b", "strong", "i", "em"):
-            inner, mark = inline(c), "**" if t in ("b", "strong") else "*"
+            inner, mark = inline(c.children), "**" if t in ("b", "strong") else "*"
             return f"{mark}{inner}{mark}" if inner else ""
         if t == "a":
-            return f"[{inline(c)}]({c.attrs.get('href', '')})" if c.attrs.get("href") else inline(c)
+            return f"[{inline(c.children)}]({c.attrs.get('href', '')})" if c.attrs.get("href") else inline(c.children)
         if t == "img":
             return f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})"
         if t == "pre":
             return f"\n\n```\n{c.text().strip(chr(10))}\n```\n\n"
         if t == "code":
             return f"`{c.text()}`"
-        if t in ("ul", "ol"):
-            return "\n\n" + items(c, 0) + "\n"
+        if t in LISTS:
+            inside = c.parent is not None and c.parent.tag == "li" and c.parent.parent is not None and c.parent.parent.tag in LISTS
+            return "" if inside else "\n\n" + items(c) + "\n"  # a list in an item is a part of the outer list's lines
         if t == "table":
             return table(c)
+        inner = "".join(map(shown, c.children))
         if t == "blockquote":
-            return "\n\n" + "\n".join("> " + x for x in "".join(one(x) for x in c.children).strip().split("\n")) + "\n\n"
-        inner = "".join(one(x) for x in c.children)
+            return "\n\n" + "\n".join("> " + x for x in inner.strip().split("\n")) + "\n\n"
         return f"\n\n{inner.strip()}\n\n" if t in ENDS_P or t == "#root" else inner
 
-    return re.sub(r"\n{3,}", "\n\n", one(body(parse(html)))).strip()
+    for e in reversed(order):
+        # the element that was asked for is a frame, whatever its tag
+        done[id(e)] = "".join(map(shown, e.children)) if e is top else one(e)
+        for c in e.children:
+            if isinstance(c, Element) and e.tag not in ("li", *LISTS, "tr", "tbody", "thead", "tfoot", "table"):
+                done.pop(id(c), None)  # what is in here has been used
+    return re.sub(r"\n{3,}", "\n\n", done[id(top)]).strip()
 
 
 def assets(html: str, base: str, all_candidates: bool = False) -> list[tuple[str, str, str, str]]:

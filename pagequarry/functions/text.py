@@ -5,7 +5,7 @@ Lengths are bytes where the semantics count bytes (octet_length).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Markup characters that search text loses, and technical terms that become keywords
@@ -24,12 +24,12 @@ def trimmed(text: Column) -> Column:
 
 def word_count(html: Column) -> Column:
     """TXT-01: words once tags are spaces."""
-    return F.size(fields(F.regexp_replace(html, "<[^>]*>", " "))).cast("long")
+    return F.regexp_count(F.regexp_replace(html, "<[^>]*>", " "), F.lit(r"(?U)\S+")).cast("long")
 
 
 def word_count_by_field(text: Column) -> Column:
     """TXT-02: white-space fields that do not start with a tag."""
-    return F.size(F.filter(fields(text), lambda x: ~x.startswith("<"))).cast("long")
+    return F.regexp_count(text, F.lit(r"(?U)(?<!\S)[^\s<]\S*")).cast("long")
 
 
 def word_count_split(text: Column) -> Column:
@@ -155,19 +155,31 @@ def has_heading(content: Column, levels: str = "12") -> Column:
     return content.rlike(f"<h[{levels}]")
 
 
-def density(content: Column) -> Column:
-    """QLT-03: words against words and tags; no tags 1, no words 0."""
-    words, tags = word_count_by_field(content), tag_count(content)
+#: columns that `counted` adds
+COUNTS = ("word_count", "field_count", "tag_count", "title_bytes")
+
+
+def counted(pages: DataFrame) -> DataFrame:
+    """pages plus the counts of content and title that quality and validation share (TXT-01, TXT-02, TXT-04).
+
+    They come from a generator of one row: expressions and filters on its columns are not pushed below it, so the text of a page is read once, not once for each use of a count.
+    """
+    content, title = F.col("content"), F.col("title")
+    counts = F.struct(word_count(content).alias("word_count"), word_count_by_field(content).alias("field_count"), tag_count(content).alias("tag_count"), F.octet_length(trimmed(title)).alias("title_bytes"))
+    return pages.select(*[F.col(c) for c in pages.columns if c not in COUNTS], F.inline(F.array(counts)))
+
+
+def density(content: Column, words: Column, tags: Column) -> Column:
+    """QLT-03: fields that are no tags against those and tags; no tags 1, no words 0."""
     return F.when(content == "", 0.0).when(tags == 0, 1.0).when(words == 0, 0.0).otherwise(words.cast("double") / (words + tags).cast("double"))
 
 
-def quality_score(title: Column, content: Column, words: Column) -> Column:
-    """QLT-02: deductions in a fixed order."""
-    size = F.octet_length(trimmed(title))
+def quality_score(content: Column, words: Column, fields_: Column, tags: Column, size: Column) -> Column:
+    """QLT-02: deductions in a fixed order; size: bytes of the trimmed title."""
     score = F.lit(1.0) - F.when(size == 0, 0.2).when(size < 10, 0.1).otherwise(0.0)
     score = score - F.when(words < 10, 0.3).when(words < 50, 0.15).otherwise(0.0)
     score = score - F.when(~has_heading(content) & (words > 100), 0.15).otherwise(0.0)
-    d = density(content)
+    d = density(content, fields_, tags)
     score = score - F.when(d < 0.3, 0.25).when(d < 0.5, 0.1).otherwise(0.0)
     return F.when(trimmed(content) == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
@@ -182,15 +194,13 @@ def within(value: Column, low: int, high: int) -> Column:
     return (value >= low) & (value <= high)
 
 
-def tag_ratio_ok(content: Column, most: float) -> Column:
-    """QLT-08, QLT-11: tags against words; a limit of one or more allows all."""
-    words, tags = word_count_by_field(content), tag_count(content)
+def tag_ratio_ok(content: Column, words: Column, tags: Column, most: float) -> Column:
+    """QLT-08, QLT-11: tags against fields that are none; a limit of one or more allows all."""
     return F.when(F.lit(most >= 1.0), True).when(content == "", False).when(tags == 0, True).when(words == 0, False).otherwise(tags.cast("double") / words.cast("double") <= most)
 
 
-def validation(title: Column, content: Column, words: Column) -> Column:
-    """QLT-01: struct<score, issues, has_headings, is_valid>."""
-    t, tags = F.octet_length(trimmed(title)), tag_count(content)
+def validation(content: Column, words: Column, tags: Column, t: Column) -> Column:
+    """QLT-01: struct<score, issues, has_headings, is_valid>; t: bytes of the trimmed title."""
     empty = trimmed(content) == ""
     thin = (words >= 5) & (words <= 15) & (tags > 0) & (words.cast("double") / tags.cast("double") < 1.0)
     first = F.when(t == 0, "missing_title").when(t < 10, "title_too_short")

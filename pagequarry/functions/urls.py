@@ -121,27 +121,28 @@ def anchor(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-zA-Z0-9_\s-]", ""), r"\s+", "-"), "^-+|-+$", "")
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """URL-02: relative to absolute by RFC 3986; the root-relative case stays native, others go through Arrow."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def join(b: pd.Series, h: pd.Series) -> pd.Series:
-        from urllib.parse import urljoin
-
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            try:
-                return urljoin(x, y)
-            except ValueError:
-                return None
-
-        return pd.Series([one(x, y) for x, y in zip(b, h, strict=True)], dtype=object)
+def without_dots(path_: Column) -> Column:
+    """A path from the root without `.` and `..` segments (RFC 3986, 5.2.4)."""
+    parts = F.split(path_, "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path_.contains("/."), F.array_join(F.concat(kept, folder), "/")).otherwise(path_)
 
-    return F.when(href.startswith("/") & ~href.startswith("//"), F.concat(part(base, "PROTOCOL"), F.lit("://"), part(base, "AUTHORITY"), href)).otherwise(join(base, href))
 
-
-def resolve_root(base: Column, href: Column) -> Column:
-    """URL-02 for root-relative references only, native."""
-    return F.when(href.startswith("/") & ~href.startswith("//"), F.concat(part(base, "PROTOCOL"), F.lit("://"), part(base, "AUTHORITY"), href)).otherwise(href)
+def resolve(base: Column, href: Column) -> Column:
+    """URL-02: relative to absolute by RFC 3986, in expressions; null without an absolute base, and an absolute reference is itself."""
+    origin = F.nullif(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.lit(""))
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    base_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.when(base_path.contains("/"), F.regexp_replace(base_path, "[^/]*$", "")).otherwise(F.lit("/"))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(origin.isNull(), F.lit(None))
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when((href == "") | href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(origin, base_path, href))
+        .when(href.startswith("/"), F.concat(origin, without_dots(own), tail))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, own)), tail))
+    )

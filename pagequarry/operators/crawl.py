@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
 from pagequarry.operators.ranking import scratch
+from pagequarry.sources import pages
 
 
 def suffixes(host: Column) -> Column:
@@ -54,6 +57,36 @@ def follow_decisions(links: DataFrame, policies: DataFrame, max_depth: int, foll
     return known.withColumn("reason", reason).withColumn("should_follow", F.col("reason") == "")
 
 
+def recursive(seeds: DataFrame, load: Callable[[DataFrame], DataFrame], policies: DataFrame, max_depth: int | None = None, max_pages: int | None = None, follow_external: bool = False) -> DataFrame:
+    """SRC-05: what `load` (urls to rows with url, html and more) gives for the seeds and for all that can be reached by the links in it, with depth.
+
+    URLs are known without query and fragment.  A level is loaded once and written to the shared folder; its links, as far as the policies (domain, allowed) let
+    them be followed, less all URLs of earlier levels, are the next.  Only counts come to the driver.  The crawl ends when nothing new is found, at
+    max_depth links, or at max_pages URLs (of the level that reaches it the first by URL).  A URL that `load` has no row for stays, without html.
+    """
+    spark = seeds.sparkSession
+    folder = scratch(spark)
+    wanted = seeds.select(urls.canonical(F.col("url")).alias("url")).distinct()
+    level, total = 0, 0
+    while True:
+        if max_pages is not None:
+            wanted = wanted.orderBy("url").limit(max_pages - total)
+        rows = load(wanted)
+        rows = wanted.join(rows, "url", "left").withColumn("depth", F.lit(level).cast("long"))
+        rows.write.parquet(f"{folder}/level={level}")
+        here = spark.read.schema(rows.schema).parquet(f"{folder}/level={level}")
+        found = here.count()
+        total += found
+        if not found or (max_depth is not None and level >= max_depth) or (max_pages is not None and total >= max_pages):
+            break
+        level += 1
+        links = pages.links(here.select(F.xxhash64("url").alias("page_id"), "url", "html")).withColumn("depth", F.lit(level - 1))
+        followed = follow_decisions(links, policies, (max_depth or level) + 1, follow_external).filter("should_follow")
+        seen = spark.read.schema(rows.schema).parquet(*[f"{folder}/level={i}" for i in range(level)]).select("url")
+        wanted = followed.select(urls.canonical(F.col("target")).alias("url")).distinct().join(seen, "url", "left_anti")
+    return spark.read.schema(rows.schema).parquet(*[f"{folder}/level={i}" for i in range(level + 1)])
+
+
 def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
     """SRC-05: url, depth of every page that seeds reach, within max_depth links if given; edges: src, dst.
 

@@ -10,12 +10,16 @@ from pagequarry.functions import text
 PROCESSED = "page_id long, url string, title string, content string, markdown string, description string, author string, keywords array<string>, images array<string>, error string"
 
 
-def processed(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, content, markdown, description, author, keywords, images, error, word_count, validation of every page (page_id, url, html).
+def processed(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, url, title, content, markdown, description, author, keywords, images, error, word_count, validation of every page (page_id, url, html), and its `keep` columns.
 
-    Boilerplate goes, links become absolute, the main content is taken and rendered; metadata is read from the raw page, images from the content.
-    A page that is empty or starts with `<<` is an error row; nothing is dropped.
+    Boilerplate goes, links become absolute, the main content is taken and rendered; metadata is read from the raw page, images from the content: all
+    from one tree.  A page that is empty, starts with `<<` or cannot be processed is an error row; nothing is dropped.
     """
+    from pyspark.sql import types as T
+
+    rows = pages.select("page_id", "url", "html", *keep)
+    schema = T.StructType([*T.StructType.fromDDL(PROCESSED).fields, *[rows.schema[c] for c in keep]])
 
     def run(batches):
         import pyarrow as pa
@@ -30,15 +34,17 @@ def processed(pages: DataFrame) -> DataFrame:
                 if not html or html.startswith("<<"):
                     row["error"] = "empty content" if not html else "malformed content"
                 else:
-                    meta = dom.metadata(html)
-                    content = dom.main_content(dom.absolute_links(dom.without_boilerplate(html), url or ""))
-                    row |= {k: meta[k] for k in ("title", "description", "author", "keywords")}
-                    row |= {"content": content, "markdown": dom.to_markdown(content), "images": dom.images(content)}
+                    try:
+                        page = dom.page(html, url or "")
+                        row |= {k: page[k] for k in ("title", "description", "author", "keywords", "content", "markdown", "images")}
+                    except Exception as e:  # noqa: BLE001 - a page that breaks the reader is its own row's error
+                        row["error"] = f"processing failed: {type(e).__name__}: {e}"
                 for k, v in row.items():
                     out[k].append(v)
             kinds = {"page_id": pa.int64(), "keywords": pa.list_(pa.string()), "images": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], *[b.column(b.schema.get_field_index(c)) for c in keep]], names=[*out, *keep])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, PROCESSED)
-    rows = rows.withColumn("markdown", text.markdown_clean(F.col("markdown"))).withColumn("word_count", text.word_count(F.col("content")))
-    return rows.withColumn("validation", text.validation(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")), F.coalesce("word_count", F.lit(0))))
+    done = rows.mapInArrow(run, schema)
+    done = done.withColumn("markdown", text.markdown_clean(F.col("markdown"))).withColumn("word_count", text.word_count(F.col("content")))
+    content, title = F.coalesce("content", F.lit("")), F.coalesce("title", F.lit(""))
+    return done.withColumn("validation", text.validation(content, F.coalesce("word_count", F.lit(0)), text.tag_count(content), F.octet_length(text.trimmed(title))))

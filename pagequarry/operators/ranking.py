@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,16 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint folder; a local default serves only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/pagequarry-checkpoints"
+    """A fresh folder in the shared checkpoint folder.
+
+    Where spark.checkpoint.dir is unset, a local session (tests) gets a temporary folder; a cluster gets an error, as its machines share no such folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="pagequarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
 
 

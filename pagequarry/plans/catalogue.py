@@ -69,9 +69,9 @@ SELECT page_id, url, title, words AS word_count, tags AS tag_count, {DENSITY} AS
   CAST(CASE WHEN words <= 0 THEN 0 ELSE greatest(1, ceil(words / 200.0)) END AS BIGINT) AS reading_time FROM S WHERE score >= 0.7""")
 def page_quality_report(spark, sf_dir):
     """QLT-02, QLT-03, QLT-04, QLT-14, TXT-01, TXT-04."""
-    rows = parsed(spark, sf_dir).withColumn("word_count", text.word_count(col("content")))
-    rows = rows.withColumn("score", text.quality_score(col("title"), col("content"), col("word_count"))).filter("score >= 0.7")
-    return rows.select("page_id", "url", "title", "word_count", text.tag_count(col("content")).alias("tag_count"), text.density(col("content")).alias("density"), "score", text.reading_time(col("word_count")).alias("reading_time"))
+    rows = text.counted(parsed(spark, sf_dir))
+    rows = rows.withColumn("score", text.quality_score(col("content"), col("word_count"), col("field_count"), col("tag_count"), col("title_bytes"))).filter("score >= 0.7")
+    return rows.select("page_id", "url", "title", "word_count", "tag_count", text.density(col("content"), col("field_count"), col("tag_count")).alias("density"), "score", text.reading_time(col("word_count")).alias("reading_time"))
 
 
 @register(f"""WITH {P}, {COUNTS}, I AS (SELECT *, CASE WHEN title_bytes = 0 THEN 'missing_title' WHEN title_bytes < 10 THEN 'title_too_short' END AS i1,
@@ -84,11 +84,11 @@ SELECT page_id, score, issues, score >= 0.6 AND issues = '' AS is_valid, words B
   regexp_matches(content, '<h[1-6]') AS has_structure, CASE WHEN content = '' THEN false WHEN tags = 0 THEN true WHEN fields = 0 THEN false ELSE tags::DOUBLE / fields::DOUBLE <= 0.5 END AS density_ok FROM K""")
 def page_validation(spark, sf_dir):
     """QLT-01, QLT-05 to QLT-11."""
-    rows = parsed(spark, sf_dir).withColumn("w", text.word_count(col("content")))
-    rows = rows.withColumn("v", text.validation(col("title"), col("content"), col("w")))
+    rows = text.counted(parsed(spark, sf_dir)).withColumnRenamed("word_count", "w")
+    rows = rows.withColumn("v", text.validation(col("content"), col("w"), col("tag_count"), col("title_bytes")))
     return rows.select(
         "page_id", col("v.score").alias("score"), F.array_join("v.issues", ",").alias("issues"), col("v.is_valid").alias("is_valid"), text.within(col("w"), 10, 1000).alias("words_in_range"),
-        text.within(F.octet_length(text.trimmed(col("title"))), 5, 100).alias("title_in_range"), text.has_heading(col("content"), "1-6").alias("has_structure"), text.tag_ratio_ok(col("content"), 0.5).alias("density_ok"),
+        text.within(col("title_bytes"), 5, 100).alias("title_in_range"), text.has_heading(col("content"), "1-6").alias("has_structure"), text.tag_ratio_ok(col("content"), col("field_count"), col("tag_count"), 0.5).alias("density_ok"),
     )
 
 

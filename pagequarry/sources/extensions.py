@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pagequarry.functions import text
+from pagequarry.sources import pages
 
 
 class Fetcher(Protocol):
@@ -98,7 +99,8 @@ def with_cache(urls: DataFrame, cache: DataFrame, columns: Iterable[str]) -> Dat
 def crawler_page(html: Column) -> Column:
     """SRC-06, HTML-06: struct<title, words> as the crawler reads a page: title, else h1, else og:title, else `Untitled`; all text counts, scripts too."""
     pick = lambda pattern: F.nullif(text.trimmed(F.regexp_extract(html, pattern, 1)), F.lit(""))
-    title = F.coalesce(pick(r"(?is)<title[^>]*>(.*?)</title>"), pick(r"(?is)<h1[^>]*>(.*?)</h1>"), pick(r'(?is)<meta\s+property="og:title"\s+content="([^"]*)"'), F.lit("Untitled"))
+    shared = F.nullif(text.trimmed(pages.meta(html, "og:title", "property")), F.lit(""))
+    title = F.coalesce(pick(r"(?is)<title[^>]*>(.*?)</title>"), pick(r"(?is)<h1[^>]*>(.*?)</h1>"), shared, F.lit("Untitled"))
     return F.struct(title.alias("title"), text.word_count(html).alias("words"))
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+import random
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagequarry.functions import urls as url_functions
+from pagequarry.streaming import limiter
+
 
 def inline_seeds(spark: SparkSession, text: str) -> DataFrame:
     """SRC-01: pos, url of a comma-separated list."""
@@ -49,29 +57,86 @@ def config_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("_bad IS NULL AND version IS NOT NULL").drop("_bad").orderBy("created_at", "version")
 
 
-def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str]], retries: int = 3) -> DataFrame:
-    """SRC-04, STR-03: url, status, html, error, attempts; `fetch` runs on executors, up to `retries` times, and errors are rows."""
+@dataclass(frozen=True)
+class Politeness:
+    """STR-03, STR-05, STR-06: how a task fetches: the waits between attempts, and whether a domain's rate limiter gives permits.
+
+    The wait before attempt n + 1 is drawn evenly from 0 to least * 2**(n - 1) seconds, at most `most` (full jitter).
+    """
+
+    least: float = 0.2
+    most: float = 5.0
+    limited: bool = True
+    clock: Callable[[], float] = time.time
+    sleep: Callable[[float], None] = time.sleep
+    seed: int | None = None
+
+    def wait(self, attempt: int, draw: Callable[[], float]) -> float:
+        longest = min(self.most, self.least * 2 ** min(attempt - 1, 60))
+        return draw() * longest or longest
+
+
+def fetch_all(urls: list[str], fetch: Callable[[str], tuple[int, str]], retries: int, manner: Politeness, states: dict) -> list[tuple]:
+    """(url, status, html, error, attempts) of every URL, in order.  What waits for its time lets others go first, so a slow domain holds up only itself."""
+    draw = random.Random(manner.seed).random
+    rows: list = [None] * len(urls)
+    queue: list[tuple[float, int, int]] = []  # ready at, place, attempt
+    for i, url in enumerate(urls):
+        if url:
+            queue.append((0.0, i, 1))
+        else:
+            rows[i] = (url, None, None, "empty url", 0)
+    heapq.heapify(queue)
+    while queue:
+        ready, i, attempt = heapq.heappop(queue)
+        now = manner.clock()
+        if ready > now:
+            manner.sleep(ready - now)
+            now = max(ready, manner.clock())
+        url, again = urls[i], True
+        domain = urlsplit(url).netloc.lower().rpartition("@")[2] if manner.limited else ""
+        if domain:
+            states[domain], decision, wait = limiter.step(states.get(domain, limiter.START), "acquire", now, False)
+            if decision == "wait":
+                heapq.heappush(queue, (now + wait, i, attempt))
+                continue
+        if domain and decision == "rejected":
+            rows[i] = (url, None, None, "circuit open", attempt)
+        else:
+            try:
+                status, html = fetch(url)
+                again = status >= 500 or status == 429
+                rows[i] = (url, status, html, None if status < 400 else f"status {status}", attempt)
+            except Exception as e:  # noqa: BLE001 - whatever a fetcher raises is this row's error
+                rows[i] = (url, None, None, f"{type(e).__name__}: {e}", attempt)
+            if domain:
+                states[domain] = limiter.step(states[domain], "feedback", manner.clock(), again)[0]
+        if again and attempt < retries:
+            heapq.heappush(queue, (manner.clock() + manner.wait(attempt, draw), i, attempt + 1))
+    return rows
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str]], retries: int = 3, manner: Politeness | None = None) -> DataFrame:
+    """SRC-04, STR-03, STR-05: url, status, html, error, attempts; `fetch` runs on executors, at most `retries` times a URL with growing waits, and errors are rows.
+
+    With a limiter (manner.limited) all URLs of a domain go to one task, whose token bucket and breaker give the permits: a domain's rate is sequential by
+    nature.  Without one, URLs stay where they are.  A task that is lost fetches again; write the result out before using it twice.
+    """
+    manner = manner or Politeness(limited=False)
 
     def run(batches):
         import pyarrow as pa
 
+        states: dict = {}
         for b in batches:
-            rows = []
-            for url in b.column("url").to_pylist():
-                row = (url, None, None, "empty url", 0) if not url else None
-                for attempt in range(1, retries + 1) if url else ():
-                    try:
-                        status, html = fetch(url)
-                        row = (url, status, html, None if status < 400 else f"status {status}", attempt)
-                        if status < 500 and status != 429:
-                            break
-                    except Exception as e:  # noqa: BLE001 - whatever a fetcher raises is this row's error
-                        row = (url, None, None, f"{type(e).__name__}: {e}", attempt)
-                rows.append(row)
+            rows = fetch_all(b.column("url").to_pylist(), fetch, retries, manner, states)
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["url", "status", "html", "error", "attempts"])
 
-    return urls.select("url").mapInArrow(run, "url string, status int, html string, error string, attempts int")
+    wanted = urls.select("url")
+    if manner.limited:
+        wanted = wanted.repartition(url_functions.host(F.col("url")))
+    return wanted.mapInArrow(run, "url string, status int, html string, error string, attempts int")
 
 
 def ranked(df: DataFrame, keys: list[str], *order, most: int) -> DataFrame:
