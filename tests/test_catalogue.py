@@ -83,11 +83,19 @@ def test_similar_pairs_asymmetric_and_pruned(spark):
 def test_contained_in_blocks(spark):
     from pagequarry.operators import related
 
-    pages = spark.createDataFrame([("u1", "See Setup Guide and u2"), ("u2", "nothing"), ("u3", "setup"), ("u4", None)], "url string, content string")
-    patterns = spark.createDataFrame([("u2", "explicit_link", "u2"), ("u3", "mentions", "setup"), ("u1", "mentions", "setup guide")], "dst string, kind string, pattern string")
+    pages = spark.createDataFrame(
+        [("u1", "See Setup Guide and u2"), ("u2", "nothing"), ("u3", "setup"), ("u4", None), ("u5", 'a <a href="HTTP://h/p/q?x=http://k/z">the  Old\tmill by a River\nbed</a>'), ("u6", "")], "url string, content string"
+    )
+    patterns = [
+        ("u2", "explicit_link", "u2"), ("u3", "mentions", "setup"), ("u1", "mentions", "setup guide"), ("u1", "mentions", "up guid"), ("u2", "mentions", "p g"), ("h", "explicit_link", "http://h/p"), ("k", "explicit_link", "http://k/z"),
+        ("n", "explicit_link", "http://k/zz"), ("m", "mentions", "old\tmill by a riv"), ("m2", "mentions", "mill by the river"), ("w", "mentions", " "), ("w2", "mentions", "   "), ("t", "mentions", "bed</a> "), ("o", "mentions", "ld\tmil"), ("u5", "mentions", "river"),
+    ]
+    rows = [(u, (c + " ").lower()) for u, c in pages.collect() if c is not None]
+    want = {(u, d, k) for u, c in rows for d, k, p in patterns if p in c and u != d}
+    assert {d for _, d, _ in want} >= {"u2", "u3", "h", "k", "m", "w", "t", "o"}
     for block in (1, 100):
-        got = {tuple(r) for r in related.contained(pages, patterns, block).collect()}
-        assert got == {("u1", "u2", "explicit_link"), ("u1", "u3", "mentions")}
+        got = [tuple(r) for r in related.contained(pages, spark.createDataFrame(patterns, "dst string, kind string, pattern string"), block).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_frontier_stops_at_pages(spark):
