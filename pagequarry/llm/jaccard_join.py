@@ -1,11 +1,14 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document is its set of distinct `words`-word shingles.  Sets of neighbouring sizes share a band; within a band, similarity of at least
-`percent` % bounds the symmetric difference by k.  The shingle domain is dealt by hash into n1 first-level partitions; in one of them at least
-two similar sets differ by no more than k2 = ceil((k + 1) / n1) - 1 shingles.  Each first-level partition is dealt into n2 > k2 second-level
-partitions, and every subset of n2 - k2 of those is enumerated: its content is a signature.  At most k2 second-level partitions differ, so
-one subset is equal in both sets.  n1 is 1 for a small k (all subsets of two of k + 2 partitions) and about k / 2 for larger ones
-(all pairs of three partitions each), so the signatures of a set grow with k and a signature stays selective.
+`percent` % bounds the symmetric difference by k.  The shingle domain is dealt by hash into n1 first-level partitions, each of those into n2 second-level ones,
+and subsets of the second-level partitions are enumerated: the content of a subset is a signature.
+
+* A small k: n1 = 1, n2 = k + 2, all subsets of two.  At most k second-level partitions differ, so one subset is equal in both sets.
+* Larger ones: n1 = 0.6 (k + 1), n2 = 3, all subsets of two.  The first difference in a first-level partition spoils two of its three subsets, the next the
+  third, so k differences spoil no more than n1 + k of the 3 n1 subsets; the others are equal in both sets.  Subsets are ranked by the number of their shingles, ties
+  by their content.  Whatever ranks above the first of the equal ones is spoilt, so that one is among the first n1 + k + 1 of either set: those are its
+  signatures.  The rest, with few shingles or none, would bring unlike sets together.
 
 So every similar pair shares a signature.  Sets that share one are compared exactly: the smallest doc_id of a bucket
 is its centre, a centre's members (over all its buckets) form a cluster, and every pair that shares a signature lies in some cluster.
@@ -17,24 +20,19 @@ found is then confirmed with numbers that stand for unlike words (exact_shingles
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import LOWER, U64, alone, bounded_batches, by_partition, distinct_spans, kgrams, materialise, mix, pack, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
+from pagequarry.llm.common import LOWER, MASK, U64, alone, bounded_batches, by_partition, distinct_spans, kgrams, materialise, mix, pack, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
 from pagequarry.llm.graph import components, salted_lookup
 
-#: up to this k one first-level partition serves
+#: up to this k one first-level partition serves; beyond it there are so many for each difference
 ENUMERATED = 5
-
-
-def levels(k: int) -> tuple[int, int, int]:
-    """(n1, n2, k2): first-level partitions, second-level ones in each, and how many of those may differ."""
-    n1 = 1 if k <= ENUMERATED else -(-(k + 1) // 2)
-    k2 = -(-(k + 1) // n1) - 1
-    return n1, k2 + 2, k2
+FIRST_LEVEL = 0.6
 
 
 def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int, compare: bool = False) -> tuple[np.ndarray, ...]:
@@ -53,7 +51,7 @@ def shingle_sets(column: pa.Array | pa.ChunkedArray, words: int, compare: bool =
             x = x[np.concatenate([[True], x[1:] != x[:-1]])]
         elif e > s:
             # fewer words than a shingle: the whole sequence, which no longer text can equal
-            x = mix(kgrams(hashes[s:e], e - s) + U64(0x51ED270B9F6A3D17) * U64(words - (e - s)))
+            x = mix(kgrams(hashes[s:e], e - s) + U64(0x51ED270B9F6A3D17 * (words - (e - s)) & MASK))
         else:
             continue
         out.append(x)
@@ -145,22 +143,21 @@ class Bands:
 
 
 def signatures(shingles: np.ndarray, band: int, k: int) -> np.ndarray:
-    """Signatures of one set in one band: the contents of all subsets of n2 - k2 second-level partitions in each first-level one."""
+    """Signatures of one set in one band."""
     salt = mix(np.array([band + 1], U64) * U64(0x9FB21C651E98DF25))[0]
-    n1, n2, k2 = levels(k)
+    n1, n2 = (1, k + 2) if k <= ENUMERATED else (max(k // 2 + 1, math.ceil(FIRST_LEVEL * (k + 1))), 3)
     part = ((shingles ^ salt) * U64(0xC2B2AE3D27D4EB4F) >> U64(40)).astype(np.int64) % (n1 * n2)
     # the content of a partition: the sum of its mixed shingles
     order = np.argsort(part.astype(np.uint16) if n1 * n2 <= 65536 else part, kind="stable")
     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles)[order], dtype=U64)])
-    ends = np.cumsum(np.bincount(part, minlength=n1 * n2))
-    content = mix(np.diff(total[np.concatenate([[0], ends])]) + mix(np.arange(1, n1 * n2 + 1).astype(U64) + salt)).reshape(n1, n2)
-    out = []
-    for subset in itertools.combinations(range(n2), n2 - k2):
-        value = content[:, subset[0]]
-        for i in subset[1:]:
-            value = value * U64(0x9E3779B97F4A7C15) + content[:, i]
-        out.append(mix(value))
-    return np.concatenate(out)
+    count = np.bincount(part, minlength=n1 * n2)
+    content = mix(np.diff(total[np.concatenate([[0], np.cumsum(count)])]) + mix(np.arange(1, n1 * n2 + 1).astype(U64) + salt)).reshape(n1, n2)
+    count = count.reshape(n1, n2)
+    a, b = np.triu_indices(n2, 1)
+    subsets = mix(content[:, a] * U64(0x9E3779B97F4A7C15) + content[:, b]).ravel()
+    if n1 == 1:
+        return subsets
+    return subsets[np.lexsort((subsets, -(count[:, a] + count[:, b]).ravel()))[: n1 + k + 1]]
 
 
 def _linked(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:

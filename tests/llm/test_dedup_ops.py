@@ -410,3 +410,21 @@ def test_links_of_hashes_are_confirmed_by_words(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "shingle_sets", coarse)
     got = jaccard_join.jaccard_components(frame(spark, rows)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == union_find(list(sets), links)
+
+
+def test_signatures_meet_under_any_differences():
+    """Differences placed to spoil as many subsets as they can: two in one first-level partition, one in the others."""
+    rng = np.random.default_rng(8)
+    bands = jaccard_join.Bands(80)
+    for size in (30, 90, 300):
+        band = bands.of(size)
+        k = bands.difference(bands.last(band))
+        assert k > jaccard_join.ENUMERATED
+        for _ in range(30):
+            a = np.sort(rng.integers(0, 2**63, size, dtype=np.uint64))
+            gone = rng.permutation(size)[: k // 2]
+            b = np.sort(np.concatenate([np.delete(a, gone), rng.integers(0, 2**63, k - k // 2, dtype=np.uint64)]))
+            x, y = (set(jaccard_join.signatures(s, band, k).tolist()) for s in (a, b))
+            assert x & y
+            n1 = -(-6 * (k + 1) // 10)
+            assert len(x) <= n1 + k + 1 < 3 * n1
