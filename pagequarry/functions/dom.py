@@ -224,11 +224,15 @@ DEEPEST = 64
 def to_markdown(html: str | Element) -> str:
     """HTML-09.  Elements are rendered from the innermost outwards, without recursion, so depth costs no stack."""
     top = body(parse(html)) if isinstance(html, str) else html
-    order, stack = [], [top]
+    order, stack = [], [(top, False)]
+    celled: set[int] = set()  # tables in cells of tables: Markdown has none, so they are text
     while stack:
-        e = stack.pop()
+        e, in_cell = stack.pop()
         order.append(e)
-        stack.extend(c for c in e.children if isinstance(c, Element))
+        if in_cell and e.tag == "table":
+            celled.add(id(e))
+        in_cell = in_cell or e.tag in ("td", "th")
+        stack.extend((c, in_cell) for c in e.children if isinstance(c, Element))
     done: dict[int, str] = {}
 
     def shown(c: Element | str) -> str:
@@ -267,6 +271,8 @@ def to_markdown(html: str | Element) -> str:
         rows = [r for r in rows if r]
         if not rows:
             return ""
+        if id(e) in celled:
+            return " ".join(x for r in rows for x in r if x)
         width = max(map(len, rows))
         lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
         return "\n\n" + "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) + "\n\n"
@@ -306,9 +312,9 @@ def to_markdown(html: str | Element) -> str:
         # the element that was asked for is a frame, whatever its tag
         done[id(e)] = "".join(map(shown, e.children)) if e is top else one(e)
         for c in e.children:
-            if isinstance(c, Element) and e.tag not in ("li", *LISTS, "tr", "tbody", "thead", "tfoot", "table"):
+            if isinstance(c, Element) and e.tag not in ("li", *LISTS, "td", "th", "tr", "tbody", "thead", "tfoot", "table"):
                 done.pop(id(c), None)  # what is in here has been used
-    return re.sub(r"\n{3,}", "\n\n", done[id(top)]).strip()
+    return re.sub(r"\n(?:[ \t]*\n){2,}", "\n\n", done[id(top)]).strip()
 
 
 def assets(html: str, base: str, all_candidates: bool = False) -> list[tuple[str, str, str, str]]:

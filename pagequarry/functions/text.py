@@ -111,6 +111,11 @@ def snippet(content: Column, terms: list[str], most: int = 150, before: int = 50
     return F.when(at >= 0, window).when(size <= most, content).otherwise(F.concat(F.substring(content, 1, most), F.lit("...")))
 
 
+def truncated_for_js(content: Column, most: int = 200) -> Column:
+    """TXT-15: at most `most` characters (a cut by bytes could split a character)."""
+    return F.substring(content, 1, most)
+
+
 def content_type(title: Column, content: Column) -> Column:
     """TXT-16: first match wins."""
     t, c = F.lower(title), F.lower(content)
@@ -194,6 +199,11 @@ def within(value: Column, low: int, high: int) -> Column:
     return (value >= low) & (value <= high)
 
 
+def description_ok(description: Column, required: bool) -> Column:
+    """QLT-12."""
+    return F.lit(True) if not required else F.coalesce(trimmed(description) != "", F.lit(False))
+
+
 def tag_ratio_ok(content: Column, words: Column, tags: Column, most: float) -> Column:
     """QLT-08, QLT-11: tags against fields that are none; a limit of one or more allows all."""
     return F.when(F.lit(most >= 1.0), True).when(content == "", False).when(tags == 0, True).when(words == 0, False).otherwise(tags.cast("double") / words.cast("double") <= most)

@@ -104,3 +104,8 @@ def valid_metric_name(name: Column) -> Column:
 def recent(df: DataFrame, ts: str, tie: str, k: int) -> DataFrame:
     """LIM-01, LIM-02: the last k rows; a top-k in each task, then of those."""
     return df.orderBy(F.desc(ts), F.desc(tie)).limit(k)
+
+
+def ranges(df: DataFrame, name: str, value: str) -> DataFrame:
+    """OBS-01: metric, n, low, high of the values of each name."""
+    return df.groupBy(F.col(name).alias("metric")).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))

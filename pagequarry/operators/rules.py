@@ -11,9 +11,42 @@ RULE = "id string, url_pattern string, content_type string, domain string, path_
 
 
 def glob_regex(pattern: str) -> str:
-    """POL-11: a path glob as a regular expression; `*` and `?` do not cross `/`."""
-    out = {"*": "[^/]*", "?": "[^/]"}
-    return "^" + "".join(out.get(c) or re.escape(c) for c in pattern) + "$"
+    """POL-11: a path glob as a regular expression: `*` and `?` do not cross `/`, `[a-z]` and `[^a-z]` are classes, `\\` takes the next character as it is.
+
+    A pattern that is no glob (an open class, a backslash at the end) matches nothing.
+    """
+    out, i = [], 0
+
+    def literal(at: int) -> tuple[str, int]:
+        """(a character as a regular expression, what is behind it), perhaps behind a backslash."""
+        at += pattern[at : at + 1] == "\\"
+        if at >= len(pattern):
+            raise IndexError
+        return re.escape(pattern[at]), at + 1
+
+    try:
+        while i < len(pattern):
+            if pattern[i] in "*?":
+                out.append("[^/]*" if pattern[i] == "*" else "[^/]")
+                i += 1
+            elif pattern[i] == "[":
+                negated = pattern[i + 1 : i + 2] == "^"
+                i += 1 + negated
+                parts: list[str] = []
+                while pattern[i] != "]" or not parts:
+                    low, i = literal(i)
+                    if pattern[i] == "-":
+                        high, i = literal(i + 1)
+                        low = f"{low}-{high}"
+                    parts.append(low)
+                i += 1
+                out.append(f"[{'^' if negated else ''}{''.join(parts)}]")
+            else:
+                part, i = literal(i)
+                out.append(part)
+    except IndexError:
+        return "(?!)"
+    return "^" + "".join(out) + "$"
 
 
 def url_regex(pattern: str) -> tuple[str, str]:
@@ -50,7 +83,8 @@ def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
         ok = ok & F.coalesce(F.col("path").rlike(r["path_regex"]), F.lit(False)) if r["path_regex"] else ok
         hits.append(F.when(ok, F.struct((-F.lit(r["priority"])).alias("_order"), F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["priority"]).alias("priority"), F.lit(r["action"]).alias("action"))))
     if not hits:
-        return rows.limit(0).withColumn("rule_id", F.lit(None).cast("string"))
+        none = {"rule_id": "string", "priority": "int", "action": "string", "rank": "long"}
+        return rows.limit(0).select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     found = rows.select("*", F.posexplode(F.array_sort(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("_i", "_m"))
     return found.select(*rows.columns, F.col("_m.rule_id").alias("rule_id"), F.col("_m.priority").alias("priority"), F.col("_m.action").alias("action"), (F.col("_i") + 1).cast("long").alias("rank"))
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
+import threading
+import time
+import uuid
 from collections.abc import Callable, Sequence
+from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +27,112 @@ def samples(df: DataFrame, name: Column, labels: list[str], value: Column, kind:
     return rows.groupBy("name", *labels).agg(agg.alias("value")).select("name", shown.alias("labels"), F.lit(kind).alias("kind"), "value")
 
 
-def exposition(metrics: DataFrame) -> DataFrame:
+def exposition(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """SNK-11, OBS-04: one text line for each sample; totals are shown as they are, never added again on a later scrape."""
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'([\\"])', r"\\$1"), F.lit('"')))
-    return metrics.select(F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return metrics.select(*keep, F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def scrape(metrics: DataFrame, help_: dict[str, str] | None = None) -> DataFrame:
+    """SNK-11, OBS-04: name, pos, line: the whole text of a scrape, in order: `# HELP` and `# TYPE` in front of the samples of each name.
+
+    metrics: name, labels, kind, value, as `samples` and `buckets` make them; the samples of a histogram follow the name they end in.
+    """
+    shown = F.create_map(*[F.lit(x) for kv in (help_ or {}).items() for x in kv]) if help_ else F.create_map().cast("map<string,string>")
+    of = F.when(F.col("kind") == "histogram", F.regexp_replace("name", "_(bucket|sum|count)$", "")).otherwise(F.col("name"))
+    rows = metrics.withColumn("family", of)
+    heads = rows.select("family", "kind").distinct().select("family", F.array(F.concat(F.lit("# HELP "), "family", F.lit(" "), F.coalesce(shown[F.col("family")], F.col("family"))), F.concat(F.lit("# TYPE "), "family", F.lit(" "), "kind")).alias("lines"))
+    heads = heads.select(F.col("family").alias("name"), F.posexplode("lines").alias("pos", "line"))
+    samples_ = exposition(rows.withColumn("_family", F.col("family")), keep=("_family",))
+    n = F.row_number().over(Window.partitionBy("_family").orderBy("line")) + 1
+    return heads.withColumn("pos", F.col("pos").cast("long")).unionByName(samples_.select(F.col("_family").alias("name"), n.cast("long").alias("pos"), "line"))
+
+
+def buckets(df: DataFrame, name: str, labels: list[str], value: Column, bounds: list[float]) -> DataFrame:
+    """OBS-01: a histogram as name, labels, kind, value: a cumulative count for each bound and +Inf, the sum and the count, in one aggregate."""
+    counted = [F.count_if(F.col("_v") <= b).alias(f"_{i}") for i, b in enumerate(bounds)]
+    agg = df.select(*labels, value.cast("double").alias("_v")).groupBy(*labels).agg(*counted, F.count("_v").alias("_n"), F.sum("_v").alias("_s"))
+    own = [F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for x in labels for i in range(2)]
+    entry = lambda suffix, v, le=None: F.struct(F.lit(name + suffix).alias("name"), (F.create_map(*own, *([F.lit("le"), F.lit(le)] if le else [])) if own or le else F.create_map().cast("map<string,string>")).alias("labels"), v.cast("double").alias("value"))
+    rows = [entry("_bucket", F.col(f"_{i}"), str(float(b))) for i, b in enumerate(bounds)] + [entry("_bucket", F.col("_n"), "+Inf"), entry("_sum", F.col("_s")), entry("_count", F.col("_n"))]
+    return agg.select(F.inline(F.array(*rows))).select("name", "labels", F.lit("histogram").alias("kind"), "value")
+
+
+class Endpoints:
+    """SNK-12: /healthz (JSON; 503 when unhealthy) and /metrics (text) of a driver, as long as the context lasts; port 0 takes a free one."""
+
+    def __init__(self, health: Callable[[], dict], lines: Callable[[], Sequence[str]], port: int = 0, host: str = "127.0.0.1"):
+        outer = self
+        self.health, self.lines = health, lines
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):  # noqa: N802 - the name that the server calls
+                if self.path.split("?")[0] == "/healthz":
+                    found = outer.health()
+                    status, kind, body = (503 if found.get("status") == "unhealthy" else 200), "application/json", json.dumps(found, default=str)
+                elif self.path.split("?")[0] == "/metrics":
+                    status, kind, body = 200, "text/plain; version=0.0.4", "".join(f"{x}\n" for x in outer.lines())
+                else:
+                    status, kind, body = 404, "text/plain", "not found\n"
+                data = body.encode()
+                self.send_response(status)
+                self.send_header("Content-Type", kind)
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+
+            def log_message(self, *_):
+                """Requests are not logged."""
+
+        self.server = ThreadingHTTPServer((host, port), Handler)
+        self.port = self.server.server_address[1]
+
+    def __enter__(self) -> Endpoints:
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.server.shutdown()
+        self.server.server_close()
+
+
+class Monitor:
+    """OBS-06, OBS-09: business operations of the driver as spans: `with monitor.operation(name, key=value)`, or a function that is wrapped once."""
+
+    COLUMNS = "trace_id string, span_id string, parent_id string, name string, attributes map<string,string>, start timestamp, end timestamp, error string"
+
+    def __init__(self, clock: Callable[[], float] = time.time):
+        self.clock, self.spans, self._open = clock, [], []
+
+    @contextlib.contextmanager
+    def operation(self, name: str, **attributes):
+        parent = self._open[-1] if self._open else None
+        own = {"trace_id": parent["trace_id"] if parent else uuid.uuid4().hex, "span_id": uuid.uuid4().hex[:16], "parent_id": parent["span_id"] if parent else None, "name": name, "attributes": {k: str(v) for k, v in attributes.items()}, "error": None}
+        self._open.append(own)
+        began = self.clock()
+        try:
+            yield own["attributes"]
+        except Exception as e:
+            own["error"] = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            self._open.remove(own)
+            self.spans.append({**own, "start": datetime.fromtimestamp(began, UTC), "end": datetime.fromtimestamp(self.clock(), UTC)})
+
+    def watched(self, name: str, f: Callable, **attributes) -> Callable:
+        """f, every call of which is an operation."""
+
+        @functools.wraps(f)
+        def call(*args, **kwargs):
+            with self.operation(name, **attributes):
+                return f(*args, **kwargs)
+
+        return call
+
+    def table(self, spark) -> DataFrame:
+        """The spans so far, for span_tree and the rest."""
+        names = [c.split()[0] for c in self.COLUMNS.split(", ")]
+        return spark.createDataFrame([tuple(s[n] for n in names) for s in self.spans], self.COLUMNS)
 
 
 def dotted(name: Column) -> Column:

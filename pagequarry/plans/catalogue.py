@@ -929,3 +929,7 @@ def strict_hierarchy(spark, sf_dir):
 def table_of_contents(spark, sf_dir):
     """TRE-04 (no SQL: held to fixtures): hierarchy nodes with the headings of their pages."""
     return tree.contents(with_markdown(spark, sf_dir))
+
+
+# the rest of the queries register themselves here
+from pagequarry.plans import flow_queries  # noqa: E402, F401

@@ -159,6 +159,17 @@ def checksum(config: EngineConfig) -> str:
     return hashlib.sha256(json.dumps(dataclasses.asdict(config), sort_keys=True).encode()).hexdigest()
 
 
+def host_settings(policy: CrawlPolicy, host):
+    """POL-05 for tables: struct<delay, selectors> of a host column, the defaults where the policy has nothing of its own."""
+    from pyspark.sql import functions as F
+
+    def known(values, default):
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])[host], F.lit(default)) if values else F.lit(default)
+
+    listed = {k: "\n".join(v) for k, v in policy.site_selectors.items()}
+    return F.struct(known(policy.site_delays, policy.default_delay).alias("delay"), F.split(known(listed, "\n".join(policy.default_selectors)), "\n").alias("selectors"))
+
+
 class Runtime:
     """CFG-02, CFG-03, STR-17, STR-19: the configuration in force, its validators, observers and versions (JSON files in a folder)."""
 

@@ -9,6 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from pagequarry.functions import text
 from pagequarry.sources import pages
@@ -138,9 +139,9 @@ def download(fetch: Callable[[str], bytes], folder: str) -> Callable[[str, str],
     return get
 
 
-def experiment_results(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-15: recorded results of A/B tests, from JSON lines or arrays."""
-    return spark.read.schema("test_id string, user_id string, variant string, success boolean, response_time double, recorded_at timestamp").option("multiLine", True).json(path)
+def experiment_results(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """SRC-15: recorded results of A/B tests, from JSON lines or arrays on one line; with `pretty` from one array over many lines a file."""
+    return spark.read.schema("test_id string, user_id string, variant string, success boolean, response_time double, recorded_at timestamp").option("multiLine", pretty).json(path)
 
 
 def record_results(results: DataFrame, path: str) -> None:
@@ -153,6 +154,12 @@ def watch(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(folder)
 
 
+def spill(rows: DataFrame, path: str, key: str = "url", folders: int = 64) -> None:
+    """SNK-10: rows written aside as JSON, in folders by the FNV-1a hash of their key, so that one key is found without reading all."""
+    bucket = F.lpad(F.hex(F.pmod(text.fnv32a(F.coalesce(F.col(key), F.lit(""))), F.lit(folders))), 2, "0")
+    rows.withColumn("spill", bucket).write.mode("append").partitionBy("spill").json(path)
+
+
 def spilled(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-10, SNK-10: rows written aside as JSON, read again."""
-    return spark.read.schema(schema).json(path)
+    """SRC-10: rows written aside as JSON, read again, without the column of the folders."""
+    return spark.read.schema(schema).json(path).select(*StructType.fromDDL(schema).names)

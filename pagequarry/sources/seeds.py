@@ -98,7 +98,7 @@ def fetch_all(urls: list[str], fetch: Callable[[str], tuple[int, str]], retries:
         if domain:
             states[domain], decision, wait = limiter.step(states.get(domain, limiter.START), "acquire", now, False)
             if decision == "wait":
-                heapq.heappush(queue, (now + wait, i, attempt))
+                heapq.heappush(queue, (now + max(wait, 0.001), i, attempt))  # so that time goes on
                 continue
         if domain and decision == "rejected":
             rows[i] = (url, None, None, "circuit open", attempt)

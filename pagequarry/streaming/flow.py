@@ -26,6 +26,21 @@ def finish(rows: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") ->
     return rows.writeStream.format(fmt).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def in_flight(rows: DataFrame, most: int) -> DataFrame:
+    """STR-10: rows in as many partitions as may be worked on at a time."""
+    return rows.repartition(max(1, most))
+
+
+def stopped(queries: Sequence[StreamingQuery], drain: bool = True) -> None:
+    """STR-20: ends streams: what has arrived is worked off first, unless `drain` is off; a failed stream does not keep the others."""
+    for q in queries:
+        try:
+            if drain and q.isActive:
+                q.processAllAvailable()
+        finally:
+            q.stop()
+
+
 Sink = Callable[[DataFrame, int], None]
 
 

@@ -8,6 +8,7 @@ from pagequarry.functions import site_files
 from pagequarry.operators import assets, telemetry, tree
 from pagequarry.plans import config as C
 from pagequarry.plans.engine import Engine, with_assets
+from pagequarry.sources.seeds import Politeness, fetch_all
 
 HTML = "<html><head><title>A page about {0}</title></head><body><nav>menu</nav><article><h1>{0}</h1><p>" + "several words of text " * 15 + '<img src="/i.png"></article></body></html>'
 
@@ -97,3 +98,130 @@ def test_enhanced_output_and_backends(spark):
     metrics = telemetry.samples(pages, F.lit("pages_total"), [], F.lit(1), "counter")
     assert metric_lines(metrics, "prom").first()["line"] == "pages_total 2.0" and metric_lines(metrics, "otel").first()["name"] == "pages.total" and metric_lines(metrics, "none").count() == 0
     assert {(r["path"], r["title"]) for r in tree.strict_by_host(pages).collect()} == {("guide", "guide"), ("guide/setup", "Setup Guide"), ("api", "api"), ("api/auth", "Auth API")}
+
+
+def test_each_url_is_fetched_once(spark, tmp_path):
+    """However often a result is read, with assets in front and a journal behind; the journal and the counts are those of the run."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def counted(url):
+        import os
+        import uuid
+
+        (log / f"{uuid.uuid4().hex}-{os.getpid()}").write_text(url)
+        return 200, HTML.format(url.rsplit("/", 1)[1])
+
+    cfg = C.overlay(C.EngineConfig(), {"journal": str(tmp_path / "journal"), "crawl": {"allowed": {"h.org": True}}})
+    engine = Engine(spark, cfg, counted, before=[with_assets(assets.AssetPolicy(), stub)], manner=Politeness(limited=False))
+    for urls in (["http://h.org/a", "http://h.org/b"], ["http://h.org/c"]):
+        done = engine.run(spark.createDataFrame([(u,) for u in urls], "url string"), str(tmp_path / "out"))
+        assert {r["url"] for r in done.collect()} == set(urls) and done.count() == len(urls) == engine.counts["processed"]
+    assert sorted(f.read_text() for f in log.iterdir()) == ["http://h.org/a", "http://h.org/b", "http://h.org/c"]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "journal")).collect()) == ["http://h.org/a", "http://h.org/b", "http://h.org/c"]
+
+
+def test_waits_grow_and_domains_take_turns():
+    """Full jitter up to a doubled bound; the bucket of a domain gives permits, the breaker opens, and others go on meanwhile."""
+    manner = Politeness(least=0.2, most=1.0)
+    assert [manner.wait(n, lambda: 1.0) for n in (1, 2, 3, 4, 99)] == [0.2, 0.4, 0.8, 1.0, 1.0] and manner.wait(2, lambda: 0.5) == 0.2 and manner.wait(2, lambda: 0.0) == 0.4
+    now, seen = [1000.0], []
+
+    def sleep(s):
+        now[0] += s
+
+    def get(url):
+        seen.append((round(now[0] - 1000, 3), url))
+        if "down" in url:
+            raise OSError("down")
+        return 200, "x"
+
+    manner = Politeness(least=0.0, clock=lambda: now[0], sleep=sleep, seed=1)
+    rows = fetch_all([f"http://a/{i}" for i in range(4)] + ["http://b/0", "", None], get, 1, manner, {})
+    assert [r[1] for r in rows] == [200] * 5 + [None, None] and rows[5][3] == "empty url"
+    # one permit at once, then at the growing rate of the domain; b need not wait for a
+    assert [t for t, u in seen if "/a/" in u][0] == 0 and [t for t, u in seen if "/b/" in u] == [0] and [t for t, u in seen if "/a/" in u][-1] > 2.5
+    seen.clear()
+    rows = fetch_all([f"http://down/{i}" for i in range(9)], get, 1, manner, {})
+    assert [r[3] for r in rows].count("OSError: down") == 5 and [r[3] for r in rows].count("circuit open") == 4
+
+
+def test_crawl_follows_links(spark, tmp_path):
+    web = {"http://h.org/": '<a href="a">a</a><a href="http://x.org/">out</a>', "http://h.org/a": "<a class=q HREF='b?x=1'>b</a><a href=/>home</a>", "http://h.org/b": '<a href="/c#z">c</a>', "http://h.org/c": "end"}
+
+    def get(url):
+        return (200, f"<title>t</title><article>{web[url]}</article>") if url in web else (404, "")
+
+    seeds = spark.createDataFrame([("http://h.org/",)], "url string")
+    for depth, pages, want in ((9, 0, ["", "a", "b", "c"]), (2, 0, ["", "a", "b"]), (9, 2, ["", "a"])):
+        cfg = C.overlay(C.EngineConfig(), {"crawl": {"allowed": {"h.org": True}, "max_depth": depth, "max_pages": pages}})
+        engine = Engine(spark, cfg, get, manner=Politeness(limited=False))
+        assert sorted((r["url"], r["depth"]) for r in engine.crawl(seeds).collect()) == [(f"http://h.org/{p}", i) for i, p in enumerate(want)]
+
+
+def test_endpoints_and_monitor(spark):
+    import urllib.error
+    import urllib.request
+
+    state = {"status": "healthy"}
+    with telemetry.Endpoints(lambda: state, lambda: ["# TYPE a counter", "a 1.0"]) as served:
+        at = f"http://127.0.0.1:{served.port}"
+        assert json.load(urllib.request.urlopen(f"{at}/healthz")) == state
+        assert urllib.request.urlopen(f"{at}/metrics").read() == b"# TYPE a counter\na 1.0\n"
+        state["status"] = "unhealthy"
+        for path, code in (("healthz", 503), ("nothing", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                urllib.request.urlopen(f"{at}/{path}")
+            assert e.value.code == code
+    clock = iter([1.0, 2.0, 4.0, 8.0])
+    monitor = telemetry.Monitor(lambda: next(clock))
+
+    def fails():
+        raise ValueError("no")
+
+    with monitor.operation("rules", policy="p"), pytest.raises(ValueError):
+        monitor.watched("rule", fails, rule="r")()
+    spans = {r["name"]: r for r in telemetry.span_tree(monitor.table(spark)).collect()}
+    assert (spans["rules"]["micros"], spans["rule"]["micros"]) == (7_000_000, 2_000_000)
+    assert spans["rule"]["error"] == "ValueError: no" and spans["rule"]["parent_id"] == spans["rules"]["span_id"] and spans["rules"]["attributes"] == {"policy": "p"}
+
+
+def test_links_and_references(spark):
+    """RFC 3986's own examples, and tags by place."""
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from pagequarry.functions import urls
+    from pagequarry.sources import pages
+
+    base = "http://a/b/c/d;p?q"
+    refs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "./g/.", "g/./h", "g/../h", "http:g/x", "mailto:x", "g?y/./x", "g#s/../x"]
+    rows = spark.createDataFrame([(base, r) for r in refs] + [("nowhere", "x"), ("http://h", "x"), (None, "x")], "b string, r string")
+    got = rows.select("b", "r", urls.resolve(F.col("b"), F.col("r")).alias("t")).collect()
+    for row in got[: len(refs)]:
+        assert row["t"] == ("http:g/x" if row["r"] == "http:g/x" else urljoin(base, row["r"]))
+    assert [r["t"] for r in got[len(refs) :]] == [None, "http://h/x", None]
+    html = '<meta content=\'a, "b"\' name=keywords><META NAME=og x="name=keywords"><script>"<meta name=x content=1>"</script><meta property="og:title" content="T &amp; U">'
+    shown = spark.createDataFrame([(html,)], "h string").select(pages.meta(F.col("h"), "keywords"), pages.meta(F.col("h"), "og"), pages.meta(F.col("h"), "x"), pages.meta(F.col("h"), "og:title", "property")).first()
+    assert tuple(shown) == ('a, "b"', None, None, "T & U")
+
+
+def test_globs():
+    import re
+
+    from pagequarry.operators.rules import glob_regex
+
+    for pattern, yes, no in (("/en/*", "/en/a", "/en/a/b"), ("[a-c]?", "b1", "d1"), ("[^a]x", "bx", "ax"), ("a\\*", "a*", "ab"), ("*.html", "x.html", "x/y.html")):
+        assert re.search(glob_regex(pattern), yes) and not re.search(glob_regex(pattern), no)
+    for bad in ("[ab", "x\\", "[a-]"):
+        assert not any(re.search(glob_regex(bad), x) for x in ("a", "b", "[ab", "x", ""))
+
+
+def test_deep_pages_are_rendered(spark):
+    from pagequarry.operators import process
+
+    rows = [(i, "http://h/", tag * 20_000 + "in" + tail) for i, (tag, tail) in enumerate([("<div>", ""), ("<span>", ""), ("<blockquote>", "</blockquote>"), ("<table><tr><td>", ""), ("<ul><li>", "")]) if i != 4]
+    rows.append((9, "http://h/", "<ul><li>" * 3000 + "in"))
+    done = process.processed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(done) == len(rows) and all(r["error"] is None and "in" in r["markdown"] for r in done)
