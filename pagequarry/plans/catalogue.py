@@ -12,7 +12,6 @@ from pagequarry.operators import assets, crawl, experiments, metrics, process, r
 from pagequarry.plans.session import prepare
 from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
-from pagequarry.streaming import limiter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,11 +237,11 @@ def seed_dedup(spark, sf_dir):
     return seeds.first_of_each(table(spark, sf_dir, "pages").select(urls.canonical(col("url")).alias("url"), col("page_id").alias("pos"))).select("url", "pos")
 
 
-@register("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+@register("SELECT page_id, url FROM pages WHERE NOT contains(url, '?')")
 def resume_anti_join(spark, sf_dir):
-    """JN-06, SET-03, SRC-09, STR-11."""
+    """JN-06, SET-03, SRC-09, STR-11: URLs with a query are in the journal."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return seeds.remaining(p, p.filter("page_id % 3 = 0").select("url")).select("page_id", "url")
+    return seeds.remaining(p, p.filter(col("url").contains("?")).select("url")).select("page_id", "url")
 
 
 EDGES = """E AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM P) a
@@ -259,17 +258,10 @@ def host_trees(spark, sf_dir):
     return p.groupBy("host").agg(F.min("page_id").alias("url")), edges
 
 
-@register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url WHERE depth < 3)
-SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
-def frontier_bfs(spark, sf_dir):
-    """SRC-05, JN-07, WIN-09: breadth-first levels over a binary tree of each host's pages, down to the depth of its SQL."""
-    return crawl.frontier(*host_trees(spark, sf_dir), 3).select(col("url").alias("page_id"), "depth")
-
-
 @register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url)
 SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
-def frontier_whole(spark, sf_dir):
-    """SRC-05, JN-07, WIN-09: the same until no new page is found, so every page."""
+def frontier_bfs(spark, sf_dir):
+    """SRC-05, JN-07, WIN-09: breadth-first levels over a binary tree of each host's pages, until no new page is found, so every page."""
     return crawl.frontier(*host_trees(spark, sf_dir)).select(col("url").alias("page_id"), "depth")
 
 
@@ -472,17 +464,17 @@ def markdown_toc(spark, sf_dir):
     return tree.markdown_toc(with_markdown(spark, sf_dir))
 
 
-@register(f"WITH {P}, M AS (SELECT *, {MARKDOWN} AS markdown FROM P) SELECT url, markdown AS part FROM M WHERE page_id % 7 <> 0")
+@register(f"WITH {P}, M AS (SELECT *, {MARKDOWN} AS markdown FROM P) SELECT url, markdown AS part FROM M WHERE content <> ''")
 def compiled_document(spark, sf_dir):
-    """SNK-03, SRT-01."""
-    return tree.compiled_parts(with_markdown(spark, sf_dir).withColumn("success", col("page_id") % 7 != 0)).select("url", "part")
+    """SNK-03, SRT-01: pages that have content succeed."""
+    return tree.compiled_parts(with_markdown(spark, sf_dir).withColumn("success", col("content") != "")).select("url", "part")
 
 
-@register(f"WITH {P}, {COUNTS} SELECT count(*) AS total, count(*) FILTER (page_id % 7 <> 0) AS succeeded, count(*) FILTER (page_id % 7 = 0) AS failed, CAST(sum(words) FILTER (page_id % 7 <> 0) AS BIGINT) AS words, count(DISTINCT host) AS hosts FROM C")
+@register(f"WITH {P}, {COUNTS} SELECT count(*) AS total, count(*) FILTER (words >= 100) AS succeeded, count(*) FILTER (words < 100) AS failed, CAST(sum(words) FILTER (words >= 100) AS BIGINT) AS words, count(DISTINCT host) AS hosts FROM C")
 def compile_stats(spark, sf_dir):
-    """AGG-01 to AGG-04."""
+    """AGG-01 to AGG-04: a page of 100 words or more succeeds."""
     rows = parsed(spark, sf_dir).select("page_id", urls.host(col("url")).alias("host"), text.word_count(col("content")).alias("words"))
-    ok = col("page_id") % 7 != 0
+    ok = col("words") >= 100
     return rows.agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, col("words"))).alias("words"), F.count_distinct("host").alias("hosts"))
 
 
@@ -532,9 +524,13 @@ def similar_pairs(spark, sf_dir):
     return related.similar_pairs(table(spark, sf_dir, "documents").select(col("doc_id").alias("id"), col("text").alias("content")))
 
 
-@register()
+@register(f"""WITH RECURSIVE {SIMILAR}, Z AS MATERIALIZED (SELECT i, j, similarity FROM D WHERE similarity >= 0.7), V AS (SELECT i AS id FROM Z UNION SELECT j FROM Z),
+W AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n, list(i) FILTER (i IS NOT NULL) AS earlier FROM V LEFT JOIN Z ON j = id GROUP BY id),
+R(n, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT W.n, CASE WHEN earlier IS NULL OR len(list_intersect(leaders, earlier)) = 0 THEN list_append(leaders, id) ELSE leaders END FROM R JOIN W ON W.n = R.n + 1),
+Q AS (SELECT unnest(arg_max(leaders, n)) AS id FROM R)
+SELECT min(i) AS leader, j AS member, arg_min(similarity, i) AS similarity FROM Z WHERE i IN (SELECT id FROM Q) AND j NOT IN (SELECT id FROM Q) GROUP BY j""")
 def duplicate_groups(spark, sf_dir):
-    """WIN-03, AGG-17: greedy leaders (no SQL; tested against the sequential rule)."""
+    """WIN-03, AGG-17: greedy leaders, in order of doc_id."""
     return related.duplicate_groups(similar_pairs(spark, sf_dir))
 
 
@@ -657,16 +653,13 @@ def asset_optimised_size(spark, sf_dir):
     return linked_assets(spark, sf_dir).select("page_id", "pos", "type", assets.optimised_size(col("type"), col("bytes")).alias("optimised"))
 
 
-@register()
-def asset_discovery(spark, sf_dir):
-    """AS-01 (no SQL: a DOM; tested on fixtures)."""
-    return assets.discover(table(spark, sf_dir, "pages"))
+DECODED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 
 
-@register()
+@register(rf"""WITH {P}, {COUNTS} SELECT page_id, url, regexp_replace({DECODED.format('title')}, '^\s+|\s+$', '', 'g') AS title, words AS word_count, CAST(NULL AS VARCHAR) AS error FROM C""")
 def processed_pages(spark, sf_dir):
-    """HTML-01 to HTML-12 (no SQL: a DOM; tested on fixtures)."""
-    return process.processed(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "content", "markdown", "word_count", "error", col("validation.score").alias("score"))
+    """HTML-01 to HTML-12: every page through the DOM; content and Markdown are held to the letter in processed_templates."""
+    return process.processed(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "word_count", "error")
 
 
 # events --------------------------------------------------------------------------------------------------------------------------
@@ -839,21 +832,14 @@ def config_changes(spark, sf_dir):
     return e.filter("p IS NULL OR p <> checksum").select("user_id", "event_id", "checksum")
 
 
-@register()
-def limiter_trace(spark, sf_dir):
-    """STR-05 to STR-07 (no SQL: a state machine; tested against its definition)."""
-    e = events(spark, sf_dir).select(F.concat(F.lit("d"), (col("user_id") % 16).cast("string")).alias("domain"), "ts", "event_id", F.when(col("event_type") == "view", "acquire").otherwise("feedback").alias("kind"), (~ok()).alias("failed"))
-    return limiter.trace(e)
-
-
 # extension surfaces --------------------------------------------------------------------------------------------------------------
 
 
-@register("SELECT p.page_id, p.url, c.url IS NOT NULL AS hit, c.title FROM pages p LEFT JOIN (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages WHERE page_id % 4 = 0) c USING (url)")
+@register("SELECT p.page_id, p.url, c.url IS NOT NULL AS hit, c.title FROM pages p LEFT JOIN (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages WHERE contains(url, '#')) c USING (url)")
 def cache_lookup(spark, sf_dir):
-    """JN-08, STR-09."""
+    """JN-08, STR-09: URLs with a fragment are in the cache."""
     p = parsed(spark, sf_dir)
-    return extensions.with_cache(p.select("page_id", "url"), p.filter("page_id % 4 = 0"), ["title"]).select("page_id", "url", "hit", "title")
+    return extensions.with_cache(p.select("page_id", "url"), p.filter(col("url").contains("#")), ["title"]).select("page_id", "url", "hit", "title")
 
 
 @register(f"WITH {L} SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM L WHERE length(href) > 8)")
@@ -863,11 +849,11 @@ def pages_with_long_links(spark, sf_dir):
     return p.join(pages_source.links(p).filter(F.length("href") > 8).select("page_id"), "page_id", "left_semi").select("page_id", "url")
 
 
-@register("SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0")
+@register("SELECT url FROM pages UNION SELECT regexp_replace(url, '[?#].*$', '') AS url FROM pages")
 def seed_union(spark, sf_dir):
-    """SET-02."""
+    """SET-02: the URLs as they are, and without query and fragment."""
     p = table(spark, sf_dir, "pages")
-    return extensions.seed_union(p.filter("page_id % 2 = 0"), p.filter("page_id % 3 = 0"))
+    return extensions.seed_union(p, p.select(urls.canonical(col("url")).alias("url")))
 
 
 @register("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 100")
@@ -925,9 +911,13 @@ def strict_hierarchy(spark, sf_dir):
     return tree.strict_by_host(parsed(spark, sf_dir))
 
 
-@register()
+@register(rf"""WITH T AS ({_tree(PARTS)}), {P}, M AS (SELECT url, {MARKDOWN} AS markdown FROM P),
+X AS (SELECT url, unnest(range(len(regexp_extract_all(markdown, '(?m)^(#{{1,6}})\s+(.+)$', 1)))) AS pos, unnest(regexp_extract_all(markdown, '(?m)^(#{{1,6}})\s+(.+)$', 1)) AS marks, unnest(regexp_extract_all(markdown, '(?m)^(#{{1,6}})\s+(.+)$', 2)) AS raw FROM M),
+Y AS (SELECT url, pos, length(marks) AS depth, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS title FROM X)
+SELECT path, -1::BIGINT AS pos, level, title, url, {SLUG.format('title')} AS anchor FROM T WHERE level <= 3
+UNION ALL SELECT T.path, Y.pos, T.level + Y.depth, Y.title, T.url || '#' || {SLUG.format('Y.title')}, {SLUG.format('Y.title')} FROM T JOIN Y ON Y.url = T.url WHERE T.level + Y.depth <= 3""")
 def table_of_contents(spark, sf_dir):
-    """TRE-04 (no SQL: held to fixtures): hierarchy nodes with the headings of their pages."""
+    """TRE-04: hierarchy nodes with the headings of their pages."""
     return tree.contents(with_markdown(spark, sf_dir))
 
 

@@ -115,10 +115,10 @@ def test_frontier_runs_until_empty(spark):
     assert {tuple(r) for r in crawl.frontier(seeds, edges).collect()} == {(i, i) for i in range(13)}
 
 
-def test_frontier_whole_returns_every_page(spark):
-    differs, _, _ = compare(spark, connection(MEDIUM), catalogue.QUERIES["frontier_whole"], catalogue.SQL["frontier_whole"], MEDIUM)
+def test_frontier_returns_every_page(spark):
+    differs, _, _ = compare(spark, connection(MEDIUM), catalogue.QUERIES["frontier_bfs"], catalogue.SQL["frontier_bfs"], MEDIUM)
     assert differs is None
-    assert catalogue.QUERIES["frontier_whole"](spark, MEDIUM).count() == spark.read.parquet(f"{MEDIUM}/pages.parquet").count()
+    assert catalogue.QUERIES["frontier_bfs"](spark, MEDIUM).count() == spark.read.parquet(f"{MEDIUM}/pages.parquet").count()
 
 
 def test_page_hierarchy_fixture():
