@@ -1,6 +1,6 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact reranking.
 
-A rotation learnt by iterative quantisation (ITQ) turns each vector into a balanced code of `bits` bits.  The code is cut into `tables` substrings; vectors are
+A rotation learnt by iterative quantisation (ITQ) turns each vector into a balanced code of `bits` bits, as many as the number of vectors asks for.  The code is cut into `tables` substrings; vectors are
 indexed under each, and every vector probes each table with its substring and all substrings one bit away, so two codes
 that differ in at most 2 * tables - 1 bits meet.  A pair is looked at in the first table where it meets.  An entry carries a sketch of its vector: a few
 coordinates on orthonormal directions, rounded.  Projecting never lengthens a difference, so a pair whose sketches are further apart than the threshold allows (the rounding
@@ -9,12 +9,14 @@ added) cannot link, and no other pair is left out.  Members of a bucket with a c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import U64, by_partition, materialise, mix, pack, unpack
+from pagequarry.llm.common import BYTE_BASE, MASK, TOKEN_BASE, U64, by_partition, materialise, mix, pack, unpack
 from pagequarry.llm.graph import components, local_components, salted_lookup
 
 
@@ -51,29 +53,43 @@ def rotation(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 5) ->
     return mean, np.concatenate(columns, axis=1)
 
 
+def layout(n: int) -> tuple[int, int]:
+    """(bits, tables) for n vectors: 64 and 6 up to about two million; beyond, substrings wide enough for about two thousand vectors a bucket, and more tables for wider ones, so that
+    the share of links that meet stays about the same however many vectors there are.
+    """
+    width = math.ceil(math.log2(max(1, n) / 2048)) if n > 2048 else 0
+    if width <= 10:
+        return 64, 6
+    tables = math.ceil(0.7 * width)
+    return tables * width, tables
+
+
 def substrings(bits: int, tables: int) -> list[tuple[int, int]]:
-    """(shift, width) of each substring."""
+    """(first bit, width) of each substring; 60 bits at most."""
     widths = [bits // tables + (i < bits % tables) for i in range(tables)]
+    if not 0 < min(widths) <= max(widths) <= 60:
+        raise ValueError("a substring of a code has 1 to 60 bits")
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def _meets(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
-    """First table in which two codes differ in at most one bit; len(cuts) if there is none."""
-    out = np.full(np.broadcast(a, b).shape, len(cuts), np.int8)
-    for t in range(len(cuts) - 1, -1, -1):
-        shift, width = cuts[t]
-        x = ((a ^ b) >> U64(shift)) & U64((1 << width) - 1)
+def _meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First table in which two codes differ in at most one bit (as many as there are tables: none); a, b: substrings, the last axis is the table."""
+    tables = a.shape[-1]
+    out = np.full(np.broadcast_shapes(a.shape, b.shape)[:-1], tables, np.int16)
+    for t in range(tables - 1, -1, -1):
+        x = a[..., t] ^ b[..., t]
         out[(x & (x - U64(1))) == 0] = t  # no bit or one
     return out
 
 
-def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample: int = 20_000, bits: int = 64, tables: int = 6, part_entries: int = 1 << 19, block_rows: int = 4096, seed: int = 5) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample: int = 20_000, bits: int | None = None, tables: int | None = None, part_entries: int = 1 << 19, block_rows: int = 4096, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector of `vectors` (vec_id, embedding, label; other columns are ignored).
 
     Two vectors link when their labels are equal and not null and their cosine in double precision is at least `threshold`.  Vectors that are null, empty, zero or
     hold null or non-finite components, and vectors with a null label or id, link with nothing.  Equal vectors of one label are one representative with a weight.  Rows that
     repeat a vec_id are one vector (the smallest).  The rotation is fitted on at most about max_sample vectors, all are indexed.  Every pair that meets in a
-    bucket is decided exactly; pairs that meet in none are not found, and recall against brute force is measured in the tests.  Empty input: empty result.
+    bucket is decided exactly; pairs that meet in none are not found, and recall against brute force is measured in the tests.  bits and tables follow from the
+    number of vectors (`layout`) unless they are given.  Empty input: empty result.
     """
     x = F.col("embedding")
     fine = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -84,6 +100,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
     groups = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     reps = materialise(groups.select("rep", "weight", F.xxhash64(F.col("label").cast("string"), F.size("embedding")).alias("space"), "embedding", "label"))
     n = reps.count()
+    bits, tables = (x or y for x, y in zip((bits, tables), layout(n), strict=True))
     parts = max(1, n * tables * (bits // tables + 2) // part_entries + 1)
     cuts = substrings(bits, tables)
     radius = sketch_radius(threshold)
@@ -99,7 +116,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
     learnt = {d: rotation(unit(np.array(v)), bits, seed=seed) for d, v in by_dims.items()}
 
     def codes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, sketches) of the rows of a matrix; a dimension that the sample lacks gets a random rotation."""
+        """(substrings of the codes: rows x tables, sketches) of the rows of a matrix; a dimension that the sample lacks gets a random rotation."""
         d = matrix.shape[1]
         if d not in learnt:
             learnt[d] = rotation(np.zeros((0, d)), bits, seed=seed)
@@ -109,33 +126,35 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
         sketch = np.zeros((len(x), SKETCH), np.int8)
         m = min(SKETCH, d, bits)
         sketch[:, :m] = np.clip(np.rint(x[:, :m] * STEPS), -127, 127)
-        return ((x >= 0).astype(U64) << np.arange(bits, dtype=U64)).sum(axis=1, dtype=U64), sketch
+        ones = (x >= 0).astype(U64)
+        return np.stack([(ones[:, first : first + width] << np.arange(width, dtype=U64)).sum(axis=1, dtype=U64) for first, width in cuts], axis=1), sketch
+
+    def bucket_of(space: np.ndarray, piece: np.ndarray, table: int) -> np.ndarray:
+        return mix(mix(space.astype(U64) * U64(BYTE_BASE) + U64(table)) * U64(TOKEN_BASE) + piece)
 
     def index(batches):
         for b in batches:
             ids, space = b.column("rep").to_numpy(), b.column("space").to_numpy()
             vectors = b.column("embedding").to_pylist()
-            code, sketch = np.zeros(len(ids), U64), np.zeros((len(ids), SKETCH), np.int8)
+            pieces, sketch = np.zeros((len(ids), tables), U64), np.zeros((len(ids), SKETCH), np.int8)
             size = np.array([len(v) for v in vectors], np.int64)
             for d in np.unique(size):
-                code[size == d], sketch[size == d] = codes(np.array([v for v in vectors if len(v) == d], np.float64))
+                pieces[size == d], sketch[size == d] = codes(np.array([v for v in vectors if len(v) == d], np.float64))
             bucket, own, role = [], [], []
-            for t, (shift, width) in enumerate(cuts):
-                piece = (code >> U64(shift)) & U64((1 << width) - 1)
+            for t, (_, width) in enumerate(cuts):
                 for flip in (None, *[U64(0), *[U64(1) << U64(i) for i in range(width)]]):
-                    value = piece if flip is None else piece ^ flip
-                    bucket.append(mix(space.astype(U64) * U64(0x9E3779B97F4A7C15) + value * U64(64) + U64(t)))
+                    bucket.append(bucket_of(space, pieces[:, t] if flip is None else pieces[:, t] ^ flip, t))
                     own.append(np.arange(len(ids)))
                     role.append(np.full(len(ids), flip is None))
             bucket, own, role = np.concatenate(bucket), np.concatenate(own), np.concatenate(role)
-            out = [(p, *pack(bucket[i], ids[own[i]], code[own[i]], role[i], sketch[own[i]])) for p, i in by_partition((bucket >> U64(30)).astype(np.int64) % parts)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 5))], names=["part", "bucket", "id", "code", "indexed", "sketch"])
+            out = [(p, *pack(bucket[i], ids[own[i]], role[i], sketch[own[i]])) for p, i in by_partition((bucket >> U64(30)).astype(np.int64) % parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], names=["part", "bucket", "id", "indexed", "sketch"])
 
     def candidates(table: pa.Table) -> pa.Table:
-        """Members of each bucket that have a candidate there: (bucket, block of the index, block of the probes, id, code, role)."""
-        bucket, ids, code, indexed = (np.concatenate(unpack(table.column(c), t)) for c, t in (("bucket", U64), ("id", np.int64), ("code", U64), ("indexed", bool)))
+        """Members of each bucket that have a candidate there: (bucket, block of the index, block of the probes, id, role)."""
+        bucket, ids, indexed = (np.concatenate(unpack(table.column(c), t)) for c, t in (("bucket", U64), ("id", np.int64), ("indexed", bool)))
         order = np.lexsort((ids, ~indexed, bucket))
-        bucket, ids, code, indexed = bucket[order], ids[order], code[order], indexed[order]
+        bucket, ids, indexed = bucket[order], ids[order], indexed[order]
         sketch = np.concatenate(unpack(table.column("sketch"), np.int8)).reshape(-1, SKETCH)[order]
         heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.concatenate([heads[1:], [len(bucket)]])
@@ -155,20 +174,19 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
                     if hit.any():
                         x, y = np.flatnonzero(hit.any(axis=1)) + a.start, np.flatnonzero(hit.any(axis=0)) + b.start
                         keep = np.concatenate([x, y])
-                        out.append((np.full(len(keep), bucket[s]), np.full(len(keep), bi), np.full(len(keep), bj), ids[keep], code[keep], np.arange(len(keep)) < len(x)))
+                        out.append((np.full(len(keep), bucket[s]), np.full(len(keep), bi), np.full(len(keep), bj), ids[keep], np.arange(len(keep)) < len(x)))
         if not out:
-            out.append((np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, U64), np.zeros(0, bool)))
-        bucket, bi, bj, ids, code, role = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"bucket": bucket.astype(np.int64), "bi": bi.astype(np.int32), "bj": bj.astype(np.int32), "id": ids, "code": code.astype(np.int64), "indexed": role})
+            out.append((np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)))
+        bucket, bi, bj, ids, role = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"bucket": bucket.astype(np.int64), "bi": bi.astype(np.int32), "bj": bj.astype(np.int32), "id": ids, "indexed": role})
 
-    found = reps.select("rep", "space", "embedding").mapInArrow(index, "part int, bucket binary, id binary, code binary, indexed binary, sketch binary").groupBy("part").applyInArrow(candidates, "bucket long, bi int, bj int, id long, code long, indexed boolean")
+    found = reps.select("rep", "space", "embedding").mapInArrow(index, "part int, bucket binary, id binary, indexed binary, sketch binary").groupBy("part").applyInArrow(candidates, "bucket long, bi int, bj int, id long, indexed boolean")
     members = materialise(found)
     joined = members.join(reps.select(F.col("rep").alias("id"), "weight", "space", "embedding"), "id")
 
     def rerank(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("bi", "ascending"), ("bj", "ascending"), ("indexed", "descending")])
-        bucket, bi, bj, ids, code, weight, space, indexed = (table.column(c).to_numpy() for c in ("bucket", "bi", "bj", "id", "code", "weight", "space", "indexed"))
-        code = code.astype(U64)
+        bucket, bi, bj, ids, weight, space, indexed = (table.column(c).to_numpy() for c in ("bucket", "bi", "bj", "id", "weight", "space", "indexed"))
         vectors = table.column("embedding").combine_chunks()
         new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
         heads = np.concatenate([np.flatnonzero(new), [len(bucket)]])
@@ -178,10 +196,11 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
             m = s + int(indexed[s:e].sum())
             if m == s or m == e:
                 continue
-            v = unit(np.array(vectors.slice(s, e - s).to_pylist(), np.float64))
-            meets = _meets(code[s:m][:, None], code[m:e][None], cuts)
+            matrix = np.array(vectors.slice(s, e - s).to_pylist(), np.float64)
+            v, pieces = unit(matrix), codes(matrix)[0]
+            meets = _meets(pieces[: m - s][:, None], pieces[m - s :][None])
             # the bucket's own table: the one whose hash it is
-            t = next(t for t, (shift, width) in enumerate(cuts) if mix(space[s : s + 1].astype(U64) * U64(0x9E3779B97F4A7C15) + ((code[s : s + 1] >> U64(shift)) & U64((1 << width) - 1)) * U64(64) + U64(t))[0] == U64(int(bucket[s]) & ((1 << 64) - 1)))
+            t = next(t for t in range(tables) if bucket_of(space[s : s + 1], pieces[:1, t], t)[0] == U64(int(bucket[s]) & MASK))
             hit = (meets == t) & (v[: m - s] @ v[m - s :].T >= threshold) & (ids[m:e][None] < ids[s:m][:, None])
             x, y = np.nonzero(hit)
             if not len(x):
@@ -197,7 +216,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
         k = len(counts)
         return pa.table({"a": np.concatenate([edges[0], np.fromiter(counts, np.int64, k)]), "b": pa.array([*edges[1].tolist(), *[None] * k], pa.int64()), "links": pa.array([*[None] * len(edges[0]), *counts.values()], pa.int64())})
 
-    out = materialise(joined.groupBy(F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(max(8, parts))).alias("g")).applyInArrow(rerank, "a long, b long, links long"))
+    out = materialise(joined.groupBy(F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(max(64, 8 * parts))).alias("g")).applyInArrow(rerank, "a long, b long, links long"))
     classes = components(out.filter("b IS NOT NULL").select("a", "b"))
     counts = out.filter("links IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     told = reps.select("rep", "weight").join(counts, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")

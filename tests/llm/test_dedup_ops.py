@@ -328,9 +328,31 @@ def test_digest_queries(spark):
 
 
 def test_embedding_recall_on_the_table(spark):
-    rows = spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()
-    got = queries.op2_embedding_dedup(spark, MEDIUM).count()
-    assert got == len(rows)
+    """The table's own vectors and a near copy of each, against brute force; the standard codes, and codes beyond 64 bits."""
+    rng = np.random.default_rng(9)
+    own = [r for r in spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect() if r["embedding"]]
+    rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in own]
+    top = max(i for i, *_ in rows) + 1
+    rows += [(top + k, [float(np.float32(c + d)) for c, d in zip(v, rng.normal(size=len(v)) * 0.17 * np.linalg.norm(v) / np.sqrt(len(v)))], y) for k, (_, v, y) in enumerate(rows)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([y for *_, y in rows])
+    links = int((np.triu(x @ x.T, 1) >= 0.98)[label[:, None] == label[None]].sum())
+    assert links > 0.8 * len(own)
+    for bits, tables in ((None, None), (180, 9)):
+        got = embedding_dedup.embedding_components(vector_frame(spark, rows), bits=bits, tables=tables).collect()
+        assert len(got) == len(rows) and 0.99 * links <= sum(r["n_links"] for r in got) / 2 <= links
+
+
+def test_codes_grow_with_the_table():
+    assert embedding_dedup.layout(0) == embedding_dedup.layout(50_000) == (64, 6)
+    for n in (10**6, 10**8, 10**10):
+        bits, tables = embedding_dedup.layout(n)
+        assert all(n / 2**w <= 4096 for _, w in embedding_dedup.substrings(bits, tables))
+        flips = bits * np.arccos(0.98) / np.pi
+        assert 2 * tables - 1 >= flips + 1.5 * np.sqrt(flips)
+    with pytest.raises(ValueError):
+        embedding_dedup.substrings(64, 1)
 
 
 def test_language_stage_without_languages(spark):
