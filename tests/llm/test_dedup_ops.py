@@ -450,3 +450,58 @@ def test_signatures_meet_under_any_differences():
             assert x & y
             n1 = -(-6 * (k + 1) // 10)
             assert len(x) <= n1 + k + 1 < 3 * n1
+
+
+def edge_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns whose names the stages use themselves."""
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(1, "The cat, and the dog.", "en", "s", 21), (1, "The cat, and the dog.", "en", "s", 21), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "no id here", None, "s", 1), (4, " \t\n", "de", None, 3), (5, "12 34 !?", None, "s", 8)]
+    rows += [(6, long, "en", "s", len(long)), (7, long + " more", "en", "s", 1), (8, "日本語 の 文", None, "s", 7), (None, None, None, None, None), (9, "x", "en", "s", 1), (10, "x", "en", "s", 1)]
+    names = ("score", "predicted", "lang_pred", "kept", "block", "n_removed", "component_id", "toxic", "ids", "start")
+    return spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+
+
+def test_pipeline_stages_on_edge_documents(spark):
+    import unicodedata
+    import zlib
+
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from pagequarry.llm import toxicity
+
+    docs = edge_documents(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+
+    def kept(stage):
+        out = stage(spark, docs, SMALL)
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key)
+
+    # toxicity: each text scored by itself
+    model = toxicity.fit(docs.select(*corpus_pipeline.COLUMNS), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert kept(corpus_pipeline.reject_toxic) == sorted((r for r in rows if model.score(pa.array([r[1]], pa.string()))[0] < 0.5), key=key)
+    # language: texts with a letter
+    assert kept(corpus_pipeline.reject_undetermined) == sorted((r for r in rows if any(unicodedata.category(c)[0] == "L" for c in r[1] or "")), key=key)
+    # groups: one row of each, rows without an id or a set stay
+    sets = {i: shingles(t, 5) for i, t in rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    least = set(union_find(list(sets), links).values())
+    assert kept(corpus_pipeline.one_of_each_group) == sorted([*dict(r for r in rows if r[0] in least).items(), *[r for r in rows if r[0] is None]], key=key)
+    # repeats: rows without an id are left alone, a document that loses all its words goes
+    words = [(i, tuple(WORD.findall(t or ""))) for i, t in rows]
+    want = [(i, [w for w, m in zip(x, mask) if not m], mask.any()) for (i, x), mask in zip(words, removed(words, 50))]
+    assert sorted(((i, WORD.findall(t or "")) for i, t in kept(corpus_pipeline.cut_repeats)), key=str) == sorted(((i, w) for i, w, m in want if w or not m), key=str)
+    # packing: the ids of every text, and the end id
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    pieces = corpus_pipeline.pack(spark, docs, SMALL).collect()
+    ids = [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
+    assert sorted(sum(p["length"] for p in pieces if p["doc_id"] == i) for i in {i for i, _ in rows}) == sorted(sum(len(x) for j, x in ids if j == i) for i in {i for i, _ in rows})
+    whole = {(i, x.tobytes()) for i, x in ids}
+    for p in pieces:
+        assert any(i == p["doc_id"] and x[4 * p["start"] : 4 * (p["start"] + p["length"])] == bytes(p["token_bytes"]) for i, x in whole) and p["ids_crc32"] == zlib.crc32(bytes(p["token_bytes"]))
+    # empty tables
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
