@@ -213,14 +213,15 @@ def test_toxicity_thresholds_differ_by_language(spark):
     assert toxicity.best_threshold(np.array([0.0, 1.0, 2.0, 5.0]), np.array([0, 0, 1, 1])) == 1.5
 
 
-def test_toxicity_sample_is_bounded_and_empty_tables(spark, monkeypatch):
-    docs = frame(spark, [(i, "bad word " * 20 if i % 2 else "good word " * 20) for i in range(400)])
-    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda network, docs, *_: seen.append(sum(d.shape[1] for d in docs)))
-    toxicity.fit(docs, labels, bits=8)
-    toxicity.fit(docs, labels, bits=8, max_sample_bytes=16_000)
-    assert 0 < seen[1] < seen[0] / 3
+def test_toxicity_sample_is_bounded_and_empty_tables(spark):
+    docs = frame(spark, [(i, "bad word " * 20 if i % 2 else "good word " * 20) for i in range(400)] + [(5, "bad")] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, 0), (6, None)], "doc_id long, toxic int")
+    taken = toxicity.sampled(docs, labels, 10_000, 1 << 20, 64 << 20).collect()
+    assert len(taken) == 400 and {r["text"] for r in taken if r["doc_id"] == 5} == {"bad"} and all(r["toxic"] == r["doc_id"] % 2 for r in taken)
+    few = toxicity.sampled(docs, labels, 10_000, 1 << 20, 16_000).collect()
+    assert 4_000 < sum(len(r["text"]) for r in few) < 32_000
+    assert 20 < toxicity.sampled(docs, labels, 30, 1 << 20, 64 << 20).count() < 120
+    assert {r["toxic"] for r in toxicity.sampled(docs, labels, 10_000, 185, 64 << 20).collect() if r["doc_id"] != 5} == {1}
     none = toxicity.fit(frame(spark, []), labels.limit(0), bits=8)
     assert toxicity.score_documents(frame(spark, []), none).count() == 0
     assert {r["predicted"] for r in toxicity.score_documents(frame(spark), none).collect()} == {0}
