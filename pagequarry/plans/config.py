@@ -99,6 +99,70 @@ class HealthPolicy:
         return dataclasses.replace(out, unhealthy_ratio=max(out.unhealthy_ratio, out.degraded_ratio), sample_percent=min(100.0, out.sample_percent))
 
 
+@dataclasses.dataclass(frozen=True)
+class FetchPolicy:
+    """POL-18: how pages are fetched."""
+
+    timeout_s: float = 30.0
+    max_retries: int = 3
+    request_delay_s: float = 0.0
+
+    def __post_init__(self):
+        if self.timeout_s <= 0:
+            raise ConfigError("the timeout must be positive")
+        if self.max_retries < 0 or self.request_delay_s < 0:
+            raise ConfigError("retries and delays must not be negative")
+
+
+@dataclasses.dataclass(frozen=True)
+class ScrapeConfig:
+    """POL-18: a crawl as the command line describes it; fewer than one worker count as one."""
+
+    start_url: str
+    allowed_domains: tuple[str, ...]
+    max_depth: int = 1
+    workers: int = 1
+
+    def __post_init__(self):
+        if not self.start_url or not self.allowed_domains or self.max_depth < 1:
+            raise ConfigError("a crawl needs a start URL, an allowed domain and a depth of one or more")
+        object.__setattr__(self, "workers", max(1, self.workers))
+
+    def crawl_policy(self) -> CrawlPolicy:
+        return CrawlPolicy(allowed=dict.fromkeys(self.allowed_domains, True), max_depth=self.max_depth)
+
+
+@dataclasses.dataclass(frozen=True)
+class ProcessorView:
+    """POL-12, POL-16: what processing takes from the policies."""
+
+    selectors: tuple[str, ...]
+    metadata: bool
+    images: bool
+    markdown: bool
+    min_words: int
+
+    def steps(self) -> dict[str, bool]:
+        """The flags of `rules.processing_steps`."""
+        return {"metadata_extraction": self.metadata, "image_extraction": self.images, "markdown_conversion": self.markdown}
+
+    def accepts(self, words):
+        return words >= self.min_words
+
+
+@dataclasses.dataclass(frozen=True)
+class OutputView:
+    """POL-12, POL-16: what output takes from the policies."""
+
+    format: str
+    compression: bool
+    require_validation: bool = True
+    max_bytes: int = 1 << 20
+
+    def accepts(self, size, valid):
+        return (size <= self.max_bytes) & valid if self.require_validation else size <= self.max_bytes
+
+
 @dataclasses.dataclass(frozen=True)
 class EngineConfig:
     crawl: CrawlPolicy = CrawlPolicy()
@@ -109,6 +173,15 @@ class EngineConfig:
     resume: bool = False
     journal: str = ""
 
+    def processor(self) -> ProcessorView:
+        """POL-12: a quality threshold of 0 to 1 asks for so many hundredths of a hundred words."""
+        p = self.processing
+        return ProcessorView(self.crawl.default_selectors, p.metadata_extraction, p.image_extraction, p.markdown_conversion, int(p.quality_threshold * 100))
+
+    def outlet(self) -> OutputView:
+        """POL-12."""
+        return OutputView(self.output.default_format, self.output.compression)
+
 
 def seconds(text: str) -> float:
     """`1h2m3.5s`, `200ms` and the like in seconds."""
@@ -170,6 +243,22 @@ def host_settings(policy: CrawlPolicy, host):
     return F.struct(known(policy.site_delays, policy.default_delay).alias("delay"), F.split(known(listed, "\n".join(policy.default_selectors)), "\n").alias("selectors"))
 
 
+class PolicyManager:
+    """POL-07: the policies in force; none but valid ones are taken, and the settings of a host are looked up in them."""
+
+    def __init__(self, config: EngineConfig | None = None):
+        self.current = config or EngineConfig()
+
+    def configure(self, values: dict[str, Any]) -> EngineConfig:
+        """The policies with these values laid over them; what is not valid raises and changes nothing."""
+        self.current = overlay(self.current, values)
+        return self.current
+
+    def for_host(self, host: str) -> dict[str, Any]:
+        crawl = self.current.crawl
+        return {"selectors": crawl.selectors(host), "delay": crawl.delay(host), "max_depth": crawl.max_depth}
+
+
 class Runtime:
     """CFG-02, CFG-03, STR-17, STR-19: the configuration in force, its validators, observers and versions (JSON files in a folder)."""
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.operators import assets, crawl, metrics, process, related, telemetry
+from pagequarry.operators import assets, crawl, metrics, process, related, rules, telemetry
 from pagequarry.operators.ranking import scratch
 from pagequarry.plans import config
-from pagequarry.plans.catalogue import HOST_OF, RELATED, RULES_SQL, L, P, events, ok, parsed, register, site_policies, table
+from pagequarry.plans.catalogue import COUNTS, HOST_OF, RELATED, RULES_SQL, L, P, events, ok, parsed, register, site_policies, table
 from pagequarry.plans.engine import with_assets
 from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
@@ -269,6 +269,16 @@ def host_settings(spark, sf_dir):
     return rows.select("page_id", "s.delay", F.array_join("s.selectors", "|").alias("selectors"))
 
 
+@register(f"WITH {P}, {COUNTS} SELECT page_id, 'html' AS format, words >= 70 AS processed, strlen(content) <= 1048576 AND content <> '' AS written, 'content_extraction,content_cleaning,image_extraction,markdown_conversion' AS steps FROM C")
+def policy_gates(spark, sf_dir):
+    """POL-07, POL-12, POL-14, POL-16: what processing and output take from the policies, as gates over all pages."""
+    cfg = config.PolicyManager().configure({"processing": {"quality_threshold": 0.7, "metadata_extraction": False}, "output": {"default_format": "html"}})
+    view, outlet = cfg.processor(), cfg.outlet()
+    rows = text.counted(parsed(spark, sf_dir))
+    steps = F.array_join(rules.processing_steps({k: F.lit(v) for k, v in view.steps().items()}), ",")
+    return rows.select("page_id", F.lit(outlet.format).alias("format"), view.accepts(col("word_count")).alias("processed"), outlet.accepts(F.octet_length("content"), col("content") != "").alias("written"), steps.alias("steps"))
+
+
 BOUNDS = (1.0, 5.0, 25.0)
 
 

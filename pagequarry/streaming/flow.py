@@ -75,6 +75,16 @@ def buffered(sink: Sink, before: Callable[[DataFrame], DataFrame] | None = None,
     return write
 
 
+def forwarding(first: Sink, *others: Sink) -> Sink:
+    """SNK-08: a sink that passes each batch on to others once it has it; the first that fails ends the batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for sink in (first, *others):
+            sink(batch, number)
+
+    return write
+
+
 def json_sink(path: str) -> Sink:
     """SNK-02: one compact JSON line for each row; a repeated batch overwrites itself."""
     return lambda batch, number: batch.write.mode("overwrite").json(f"{path}/batch={number}")

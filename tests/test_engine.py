@@ -225,3 +225,36 @@ def test_deep_pages_are_rendered(spark):
     rows.append((9, "http://h/", "<ul><li>" * 3000 + "in"))
     done = process.processed(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(done) == len(rows) and all(r["error"] is None and "in" in r["markdown"] for r in done)
+
+
+def test_policies_and_views():
+    for bad in (lambda: C.FetchPolicy(timeout_s=0), lambda: C.FetchPolicy(max_retries=-1), lambda: C.ScrapeConfig("", ("h",)), lambda: C.ScrapeConfig("u", ()), lambda: C.ScrapeConfig("u", ("h",), 0)):
+        with pytest.raises(C.ConfigError):
+            bad()
+    scrape = C.ScrapeConfig("http://h/", ("h",), 3, 0)
+    assert scrape.workers == 1 and scrape.crawl_policy().allowed == {"h": True} and scrape.crawl_policy().max_depth == 3
+    manager = C.PolicyManager()
+    with pytest.raises(C.ConfigError):
+        manager.configure({"general": {"max_concurrency": 0}})
+    assert manager.current == C.EngineConfig()
+    manager.configure({"crawl": {"site_delays": {"h": 2.0}}, "processing": {"quality_threshold": 0.29, "image_extraction": False}, "output": {"compression": True}})
+    assert manager.for_host("h")["delay"] == 2.0 and manager.for_host("x")["delay"] == 1.0
+    view, outlet = manager.current.processor(), manager.current.outlet()
+    assert view.steps() == {"metadata_extraction": True, "image_extraction": False, "markdown_conversion": True} and view.min_words == 28 and view.accepts(28) and not view.accepts(27)
+    assert outlet.compression and outlet.accepts(1 << 20, True) and not outlet.accepts((1 << 20) + 1, True)
+
+
+def test_forwarding_and_stopping(spark, tmp_path):
+    from pagequarry.streaming import flow
+
+    got = []
+    sink = flow.forwarding(lambda b, n: got.append(("first", n)), lambda b, n: got.append(("next", n)))
+    sink(None, 4)
+    assert got == [("first", 4), ("next", 4)]
+    with pytest.raises(ZeroDivisionError):
+        flow.forwarding(lambda b, n: 1 // 0, lambda b, n: got.append("never"))(None, 5)
+    assert "never" not in got and flow.in_flight(spark.range(10), 3).rdd.getNumPartitions() == 3
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("memory").queryName("drained").start()
+    flow.stopped([stream])
+    assert not stream.isActive and spark.table("drained").count() == 5
