@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import tempfile
 import uuid
 
@@ -298,6 +299,13 @@ def unpack(column, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def deal(entries: float, a_block: float, a_part: int) -> int:
+    """How many hash partitions `entries` go to, when a block sends a_block of them: about a_part each, but not so many that a block's packed rows hold fewer than 64,
+    unless more than 16 million would come to one partition.
+    """
+    return max(1, math.ceil(max(entries / (16 << 20), min(entries / a_part, a_block / 64))))
+
+
 def by_partition(part: np.ndarray):
     """(partition, its entries) of the partitions that occur, in order: the work follows the entries, however many partitions there are."""
     order = np.argsort(part.astype(np.uint16) if len(part) and int(part.max()) < 65536 else part, kind="stable")

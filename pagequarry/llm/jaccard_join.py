@@ -19,6 +19,7 @@ found is then confirmed with numbers that stand for unlike words (exact_shingles
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import LOWER, MASK, U64, alone, bounded_batches, by_partition, distinct_spans, kgrams, materialise, mix, pack, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
+from pagequarry.llm.common import LOWER, MASK, U64, alone, bounded_batches, by_partition, deal, distinct_spans, kgrams, materialise, mix, pack, ranges, release, slices, text_bytes, text_buffer, unpack, word_hashes
 from pagequarry.llm.graph import components, salted_lookup
 
 #: up to this k one first-level partition serves; beyond it there are so many for each difference
@@ -234,7 +235,7 @@ def packed_pairs(c: np.ndarray, m: np.ndarray, n: np.ndarray, parts: int) -> pa.
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "m", "n"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 4 << 20, part_signatures: int = 1 << 19, block_shingles: int = 1 << 19) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 4 << 20, part_signatures: int = 1 << 19, batch_signatures: int = 1 << 20, block_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs without ASCII white space, A-Z as a-z; two sets are linked when 100 * intersection >= percent * union.  Null and empty texts, and
@@ -262,34 +263,49 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice
     equal = usable.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     copies = materialise(salted_lookup(usable, equal, key, "doc_id").filter("least < doc_id").select("doc_id", F.col("least").alias("rep")).distinct())
 
-    parts = max(1, int(text_bytes(docs) * 0.05) // part_signatures + 1)
+    parts = deal(text_bytes(docs) * 0.08, batch_signatures, part_signatures)
+
+    def packed_signatures(found: list[np.ndarray], doc: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
+        """Packed rows by partition, a signature of a document once."""
+        sig, doc, size = np.concatenate(found), np.concatenate(doc), np.concatenate(size)
+        order = np.lexsort((doc, size, sig))
+        sig, doc, size = sig[order], doc[order], size[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+        sig, doc, size = sig[new], doc[new], size[new]
+        rows = [(p, *pack(sig[i], doc[i], size[i])) for p, i in by_partition((sig >> U64(33)).astype(np.int64) % parts)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sig", "doc", "size"])
 
     def sign(batches):
         alone("jaccard")
         bands = Bands(percent)
+        kept: tuple[list, list, list] = ([], [], [])
+        held, seen = 0, set()
         for whole in batches:
             for b in slices(whole, "text", slice_bytes):
                 shingles, sizes = shingle_sets(b.column("text"), words)
                 ids = b.column("doc_id").to_pylist()
                 ends = np.cumsum(sizes)
-                found, owner = [], []
                 for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
                     if not n or ids[i] is None:
                         continue
                     own = shingles[e - n : e]
+                    # equal sets have equal signatures: one of them speaks for all, as copies are known by then
+                    mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    if mark in seen:
+                        continue
+                    seen.add(mark)
                     for band in bands.joined(n):
                         sig = signatures(own, band, bands.difference(bands.last(band)))
-                        found.append(sig)
-                        owner.append(np.full(len(sig), i, np.int64))
-                if not found:
-                    continue
-                sig, owner = np.concatenate(found), np.concatenate(owner)
-                doc = np.array([x or 0 for x in ids], np.int64)
-                # of copies in this slice one entry for each signature: equal sets have equal signatures
-                order = np.lexsort((doc[owner], sizes[owner], sig)) if len(set(ids)) < len(ids) else np.argsort(sig)
-                sig, owner = sig[order], owner[order]
-                rows = [(p, *pack(sig[i], doc[owner[i]], sizes[owner[i]].astype(np.int32))) for p, i in by_partition((sig >> U64(33)).astype(np.int64) % parts)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sig", "doc", "size"])
+                        for column, value in zip(kept, (sig, np.full(len(sig), ids[i], np.int64), np.full(len(sig), n, np.int32)), strict=True):
+                            column.append(value)
+                        held += len(sig)
+                    if held >= batch_signatures:
+                        yield packed_signatures(*kept)
+                        kept, held = ([], [], []), 0
+                        seen.clear()
+        if held:
+            yield packed_signatures(*kept)
         release()
 
     def stars(table: pa.Table) -> pa.Table:

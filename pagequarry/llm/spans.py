@@ -37,6 +37,7 @@ from pagequarry.llm.common import (
     alone,
     bounded_batches,
     by_partition,
+    deal,
     distinct_spans,
     kgrams,
     mix,
@@ -254,8 +255,10 @@ def repeated_windows(docs: DataFrame, spec: Windows, resolve: Resolve, cut: Call
     """
     total = text_bytes(bounded_batches(docs))
     # blocks grow with the input up to 64 MB, so that what a partition gets from each stays more than a few entries
-    blocks = max(1, -(-total // min(max(block_bytes, total >> 16), 64 << 20)))
-    parts = max(1, int(total * (0.009 if spec.words else 0.075)) // part_keys + 1)
+    block_bytes = min(max(block_bytes, total >> 16), 64 << 20)
+    blocks = max(1, -(-total // block_bytes))
+    a_byte = 0.009 if spec.words else 0.06  # distinct keys
+    parts = deal(total * a_byte, block_bytes * a_byte, part_keys)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     copies = later_copies(docs).select(
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(COPY).alias("kind"), F.lit(0).alias("part"), F.col("doc_id").alias("id"), F.col("mark").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bcde"]

@@ -505,3 +505,11 @@ def test_pipeline_stages_on_edge_documents(spark):
     # empty tables
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_entries_are_dealt_to_bounded_partitions():
+    from pagequarry.llm.common import deal
+
+    assert deal(0, 10, 100) == 1 and deal(1000, 10_000, 100) == 10  # so many each
+    assert deal(1e9, 64_000, 1 << 19) == 1000  # but rows of 64 entries
+    assert deal(1e13, 64_000, 1 << 19) == -(-(10**13) // (16 << 20))  # and a bound for a partition
