@@ -415,11 +415,12 @@ def test_links_of_hashes_are_confirmed_by_words(spark, monkeypatch):
     real = jaccard_join.shingle_sets
 
     def coarse(column, words, compare=False):
-        """Shingles hashed to few values for signatures and the search, so that sets of unlike words look alike; sizes stay."""
+        """All shingles but one hashed to few values for signatures and the search, so that sets of unlike words look alike; sizes stay."""
         found = real(column, words, compare)
         if compare:
             return found
-        return (np.concatenate([[], *[np.arange(n) + 7 for n in found[1]]]).astype(np.uint64), *found[1:])
+        last = found[0][np.cumsum(found[1]) - 1]
+        return (np.concatenate([np.append((np.arange(n - 1) + 7).astype(np.uint64), x) for n, x in zip(found[1], last)]), *found[1:])
 
     rows = [(i, " ".join(f"{'abcd'[i % 4]}{j}" for j in range(30)) + (f" end{i}" if i > 3 else "")) for i in range(8)]
     sets = {i: shingles(t) for i, t in rows}
