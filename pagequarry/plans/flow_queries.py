@@ -6,14 +6,16 @@ row by row and does not share a pattern with the code.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.operators import assets, crawl, metrics, process, related, rules, telemetry
+from pagequarry.operators import assets, crawl, metrics, process, related, rules, site_index, telemetry, tree
 from pagequarry.operators.ranking import scratch
 from pagequarry.plans import config
-from pagequarry.plans.catalogue import COUNTS, HOST_OF, RELATED, RULES_SQL, L, P, events, ok, parsed, register, site_policies, table
-from pagequarry.plans.engine import with_assets
+from pagequarry.plans.catalogue import COUNTS, HOST_OF, RELATED, RULES_SQL, SQL, L, P, events, ok, parsed, register, site_policies, table, with_markdown
+from pagequarry.plans.engine import enhanced, metric_lines, with_assets
 from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
 from pagequarry.streaming import flow, limiter
@@ -46,9 +48,9 @@ def stub_fetch(url: str) -> tuple[int, str]:
   CASE WHEN length(url) % 5 = 0 THEN 'OSError: unreachable' WHEN length(url) % 5 = 1 THEN 'status 503' WHEN length(url) % 5 = 2 THEN 'status 404' END AS error,
   CASE WHEN length(url) % 5 < 2 THEN 2 ELSE 1 END AS attempts, length(CASE WHEN length(url) % 5 > 0 THEN '<title>' || url || '</title>' END) AS n FROM pages""")
 def fetched_pages(spark, sf_dir):
-    """SRC-04, STR-03, EXT-01: errors are rows; what may pass is tried again."""
+    """SRC-04, STR-03, STR-10, EXT-01: errors are rows; what may pass is tried again; four tasks at a time."""
     manner = seeds.Politeness(least=0.0, limited=False)
-    return seeds.fetched(table(spark, sf_dir, "pages"), stub_fetch, 2, manner).select("url", "status", "error", "attempts", F.length("html").cast("long").alias("n"))
+    return seeds.fetched(flow.in_flight(table(spark, sf_dir, "pages"), 4), stub_fetch, 2, manner).select("url", "status", "error", "attempts", F.length("html").cast("long").alias("n"))
 
 
 CRAWLED = f"""K AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, any_value(html) AS html FROM pages GROUP BY 1),
@@ -139,7 +141,7 @@ def asset_execute(spark, sf_dir):
 @register(rf"""WITH {EXECUTED}, Z AS (SELECT page_id, list_sort(list(hash || chr(1) || original || chr(1) || {PLACE})) AS steps FROM Y WHERE body IS NOT NULL GROUP BY page_id)
 SELECT U.page_id, list_reduce(list_concat([replace('{ASSET_PAGE.replace("'", "''")}', '@', id)], steps), lambda h, s: replace(h, split_part(s, chr(1), 2), split_part(s, chr(1), 3))) AS html FROM U JOIN Z USING (page_id)""")
 def asset_rewrite(spark, sf_dir):
-    """AS-08, AS-10, EXT-04, EXT-07: the whole asset stage in front of processing, originals replaced in order of hash."""
+    """AS-08, AS-10, EXT-02, EXT-04, EXT-07: the whole asset stage in front of processing, originals replaced in order of hash."""
     stage = with_assets(assets.AssetPolicy(block_types=("doc",), optimize=True), stub_body)
     return stage(templated(spark, sf_dir, ASSET_PAGE)).select("page_id", "html")
 
@@ -212,16 +214,44 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(EVENT).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
 
 
-@register("SELECT event_type, count(*) AS lines, count(*) AS journalled, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
+@register("SELECT event_type, count(*) AS lines, count(*) AS journalled, count(*) AS forwarded, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def tee_stream(spark, sf_dir):
-    """SNK-01, SNK-02, SNK-05, SNK-06, SNK-09, STR-01, STR-02, STR-04: one stream to a JSON sink and a journal, the JSON sink with a step before it."""
+    """SNK-01, SNK-02, SNK-05, SNK-06, SNK-08, SNK-09, STR-01, STR-02, STR-04, EXT-03, EXT-05: one stream to a JSON sink with a step before it, and to a journal that forwards."""
     out = scratch(spark)
     rows = flow.staged(event_stream(spark, sf_dir), lambda d: d.withColumn("url", F.concat("event_type", F.lit("/"), col("event_id").cast("string"))))
-    sinks = [flow.buffered(flow.json_sink(f"{out}/json"), before=lambda b: b.select("event_id", "event_type", "user_id")), flow.journal_sink(f"{out}/journal")]
+    sinks = [flow.buffered(flow.json_sink(f"{out}/json"), before=lambda b: b.select("event_id", "event_type", "user_id")), flow.forwarding(flow.journal_sink(f"{out}/journal"), flow.journal_sink(f"{out}/forwarded"))]
     flow.tee(rows, sinks, f"{out}/checkpoint").awaitTermination()
     lines = extensions.spilled(spark, f"{out}/json", "event_id long, event_type string, user_id long").groupBy("event_type").agg(F.count("*").alias("lines"), F.sum("user_id").alias("users"))
-    done = seeds.journal(spark, f"{out}/journal").groupBy(F.split_part("url", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("journalled"))
-    return lines.join(done, "event_type").select("event_type", "lines", "journalled", "users")
+    told = lambda folder: seeds.journal(spark, f"{out}/{folder}").groupBy(F.split_part("url", F.lit("/"), F.lit(1)).alias("event_type")).agg(F.count("*").alias("n"))
+    done, passed = told("journal").withColumnRenamed("n", "journalled"), told("forwarded").withColumnRenamed("n", "forwarded")
+    return lines.join(done, "event_type").join(passed, "event_type").select("event_type", "lines", "journalled", "forwarded", "users")
+
+
+@register("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation")
+def watched_files(spark, sf_dir):
+    """SRC-16: JSON files of a folder as a stream."""
+    out = scratch(spark)
+    table(spark, sf_dir, "nation").select(col("n_nationkey").cast("long").alias("k"), col("n_name").alias("name")).write.json(f"{out}/in")
+    flow.finish(extensions.watch(spark, f"{out}/in", "k long, name string"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("k long, name string").parquet(f"{out}/rows")
+
+
+@register("SELECT DISTINCT sha256(url) || '.bin' AS name, CAST(strlen('body  of   ' || url || chr(10)) AS BIGINT) AS size FROM pages")
+def downloaded_assets(spark, sf_dir):
+    """SRC-08: files in a shared folder, one for each URL, however many rows ask for it."""
+    out = scratch(spark)
+
+    def run(batches):
+        import pyarrow as pa
+
+        get = extensions.download(stub_body, out)
+        for b in batches:
+            names = [get(u, n) for u, n in zip(b.column("url").to_pylist(), b.column("name").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    rows = table(spark, sf_dir, "pages").select("url", F.concat(F.sha2(F.encode("url", "UTF-8"), 256), F.lit(".bin")).alias("name"))
+    rows.unionByName(rows).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    return spark.read.format("binaryFile").load(out).select(F.element_at(F.split("path", "/"), -1).alias("name"), col("length").alias("size"))
 
 
 @register(f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE {'ts IS NOT NULL'} GROUP BY ALL")
@@ -279,6 +309,52 @@ def policy_gates(spark, sf_dir):
     return rows.select("page_id", F.lit(outlet.format).alias("format"), view.accepts(col("word_count")).alias("processed"), outlet.accepts(F.octet_length("content"), col("content") != "").alias("written"), steps.alias("steps"))
 
 
+def _escaped(x: str) -> str:
+    for shown, meant in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+        x = f"replace({x}, '{shown}', '{meant}')"
+    return x
+
+
+@register(f"""WITH N AS ({SQL['nav_nodes']}) SELECT path, level, CASE WHEN url <> '' THEN '<a href="' || {_escaped('url')} || '">' || {_escaped('title')} || '</a>' ELSE '<span>' || {_escaped('title')} || '</span>' END AS item FROM N""")
+def navigation_items(spark, sf_dir):
+    """TRE-03."""
+    return tree.navigation_items(tree.navigation(parsed(spark, sf_dir)))
+
+
+@register(f"WITH N AS ({SQL['search_index']}) SELECT page_id, title, url, substring(content, 1, 200) AS content, weight FROM N")
+def search_documents(spark, sf_dir):
+    """SCH-06, TXT-15: what the search script of a site gets of each page, from the JSON it gets."""
+    index = site_index.search_index(parsed(spark, sf_dir))
+    sent = index.select(F.to_json(F.struct("page_id", "title", "url", text.truncated_for_js(col("content")).alias("content"), "weight")).alias("value"))
+    return sent.select(F.from_json("value", "page_id long, title string, url string, content string, weight double").alias("d")).select("d.*")
+
+
+ENHANCED = {"contents": "table_of_contents", "index": "index_entries", "topics": "topic_index", "search": "search_index", "references": "cross_references"}
+
+
+@register(" UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n FROM ({SQL[query]}) t" + (" WHERE title <> ''" if part == "index" else "") for part, query in ENHANCED.items()))
+def enhanced_output(spark, sf_dir):
+    """SCH-08: how many rows each part of the enhanced output has."""
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n") for part, rows in enhanced(with_markdown(spark, sf_dir)).items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("SELECT event_id, user_id FROM events WHERE CAST('0x' || substring(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2500")
+def sampled_traces(spark, sf_dir):
+    """STR-18: a quarter of all traces (here: users), each whole; sampling is the feature."""
+    return telemetry.sampled(table(spark, sf_dir, "events"), "user_id", 25).select("event_id", "user_id")
+
+
+@register("""WITH C AS (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1) SELECT 'prom' AS backend, 'all_events_total{type="' || event_type || '"}' AS name, n AS value FROM C UNION ALL SELECT 'otel', 'all.events.total', n FROM C""")
+def metric_backends(spark, sf_dir):
+    """OBS-12: the same samples for two backends, and none for `none`."""
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "type")
+    counted = telemetry.samples(e, F.lit("all_events_total"), ["type"], F.lit(1), "counter")
+    lines = metric_lines(counted, "prom").select(F.lit("prom").alias("backend"), F.split_part("line", F.lit(" "), F.lit(1)).alias("name"), F.split_part("line", F.lit(" "), F.lit(2)).cast("double").alias("value"))
+    rows = metric_lines(counted, "otel").select(F.lit("otel").alias("backend"), "name", "value")
+    return lines.unionByName(rows).unionByName(metric_lines(counted, "none").select(F.lit("none").alias("backend"), "name", "value"))
+
+
 BOUNDS = (1.0, 5.0, 25.0)
 
 
