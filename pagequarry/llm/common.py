@@ -109,6 +109,7 @@ def release() -> None:
     """Gives freed memory back to the system; large temporaries would otherwise stay with an idle worker."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

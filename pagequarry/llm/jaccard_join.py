@@ -235,7 +235,7 @@ def packed_pairs(c: np.ndarray, m: np.ndarray, n: np.ndarray, parts: int) -> pa.
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "c", "m", "n"])
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 4 << 20, part_signatures: int = 1 << 19, batch_signatures: int = 1 << 20, block_shingles: int = 1 << 19) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, slice_bytes: int = 4 << 20, part_signatures: int = 1 << 19, batch_signatures: int = 1 << 19, block_shingles: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs without ASCII white space, A-Z as a-z; two sets are linked when 100 * intersection >= percent * union.  Null and empty texts, and
