@@ -46,19 +46,29 @@ class AssetStrategy(Protocol):
 
 
 class _Slice(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
+    """Some URLs, or a file of them."""
+
+    def __init__(self, urls: list[str], file: str | None = None):
+        self.urls, self.file = urls, file
+
+    def __iter__(self) -> Iterator[str]:
+        yield from self.urls
+        if self.file:
+            with open(self.file, encoding="utf-8") as lines:
+                yield from (x for line in lines if (x := line.strip()) and not x.startswith("#"))
 
 
 class _PageReader(DataSourceReader):
-    def __init__(self, urls: list[str], fetch: Fetcher, parts: int):
-        self.urls, self.fetch, self.parts = urls, fetch, max(1, parts)
+    def __init__(self, urls: list[str], folder: str | None, fetch: Fetcher, parts: int):
+        self.urls, self.folder, self.fetch, self.parts = urls, folder, fetch, max(1, parts)
 
     def partitions(self) -> list[_Slice]:
+        if self.folder:
+            return [_Slice([], f.path) for f in sorted(os.scandir(self.folder), key=lambda f: f.name) if f.is_file() and not f.name.startswith(("_", "."))] or [_Slice([])]
         return [_Slice(self.urls[i :: self.parts]) for i in range(self.parts) if self.urls[i :: self.parts]] or [_Slice([])]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        for url in partition.urls:
+        for url in partition:
             try:
                 status, html = self.fetch(url)
                 yield url, status, html, None
@@ -67,7 +77,9 @@ class _PageReader(DataSourceReader):
 
 
 def page_source(name_: str, fetch: Fetcher) -> type[DataSource]:
-    """EXT-01, SRC-04: a Spark data source of that name: `spark.read.format(name).option("urls", "u1 u2").option("partitions", 2).load()`."""
+    """EXT-01, SRC-04: a Spark data source of that name: `spark.read.format(name).option("urls", "u1 u2").option("partitions", 2).load()`, or
+    `.option("seeds", folder)` for a shared folder of text files, a URL a line: a file is a partition that executors read, so the URLs never come to the driver.
+    """
 
     class Pages(DataSource):
         @classmethod
@@ -78,7 +90,7 @@ def page_source(name_: str, fetch: Fetcher) -> type[DataSource]:
             return "url string, status int, html string, error string"
 
         def reader(self, schema) -> DataSourceReader:
-            return _PageReader(self.options.get("urls", "").split(), fetch, int(self.options.get("partitions", "1")))
+            return _PageReader(self.options.get("urls", "").split(), self.options.get("seeds"), fetch, int(self.options.get("partitions", "1")))
 
     return Pages
 

@@ -13,11 +13,14 @@ def fetch(url):
     return 200, f"<p>{url}</p>"
 
 
-def test_page_source(spark):
+def test_page_source(spark, tmp_path):
     spark.dataSource.register(extensions.page_source("quarry_pages", fetch))
     got = {r["url"]: r for r in spark.read.format("quarry_pages").option("urls", "http://a http://bad http://c").option("partitions", "2").load().collect()}
     assert got["http://a"]["html"] == "<p>http://a</p>" and got["http://bad"]["error"].startswith("OSError") and len(got) == 3
     assert spark.read.format("quarry_pages").load().count() == 0
+    spark.createDataFrame([(f"http://s/{i}",) for i in range(9)] + [("# note",), (" ",)], "value string").repartition(3).write.text(str(tmp_path / "seeds"))
+    seeded = spark.read.format("quarry_pages").option("seeds", str(tmp_path / "seeds")).load()
+    assert seeded.rdd.getNumPartitions() == 3 and sorted(r["url"] for r in seeded.collect()) == [f"http://s/{i}" for i in range(9)]
 
 
 def test_capped_fetch_and_download(tmp_path):
