@@ -244,7 +244,7 @@ def downloaded_assets(spark, sf_dir):
     def run(batches):
         import pyarrow as pa
 
-        get = extensions.download(stub_body, out)
+        get = extensions.download(stub_body, out.removeprefix("file://").removeprefix("file:"))  # a mounted folder
         for b in batches:
             names = [get(u, n) for u, n in zip(b.column("url").to_pylist(), b.column("name").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
