@@ -20,11 +20,11 @@ BINS = 512
 EXACT = 1 << 53
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and q array<long> = floor(scale * x); rows that are null or hold null or non-finite components go."""
+def quantised(vectors: DataFrame, scale: int = 256, more: tuple = (), known: bool = True) -> DataFrame:
+    """vec_id, q array<long> = floor(scale * x) and `more` columns; rows that are null or hold null or non-finite components go, and with `known` null ids."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * float(scale)).cast("long")).alias("q"))
+    fine = x.isNotNull() & (F.col("vec_id").isNotNull() | F.lit(not known)) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * float(scale)).cast("long")).alias("q"), *more)
 
 
 def _blocks(q: DataFrame, n: int, name: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _largest(x: np.ndarray) -> float:
     return max(-float(x.min()), float(x.max()))
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+def integer_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products; through BLAS where doubles are exact, refused where 64 bits could not hold them."""
     if q.size and c.size:
         most = _largest(q) * _largest(c) * q.shape[1]
@@ -75,7 +75,7 @@ def _pairs_of_blocks(batches):
         for r in b.to_pylist():
             (qi, q), (ci, c) = _matrix(r, "q"), _matrix(r, "c")
             for at in range(0, len(qi), 512):
-                s = _scores(q[at : at + 512], c)
+                s = integer_products(q[at : at + 512], c)
                 yield r, qi[at : at + 512], ci, s, qi[at : at + 512, None] == ci[None, :]
 
 
@@ -121,7 +121,7 @@ def _final(k: int):
         for r, qi, ci, s, own in _pairs_of_blocks(batches):
             lo, _, need = _state(r, qi)
             for i in range(len(qi)):
-                at = np.flatnonzero((s[i] >= lo[i]) & ~own[i]) if need[i] > 0 else []
+                at = np.flatnonzero((s[i] >= lo[i]) & ~own[i] & (need[i] > 0))
                 at = at[np.lexsort((ci[at], -s[i][at]))][:k]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qi[i])), pa.array(ci[at]), pa.array(s[i][at])], names=["query_id", "vec_id", "score"])
