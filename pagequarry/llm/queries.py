@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import embedding_dedup, hard_negatives, html_text, jaccard_join, langid, packing, sentencepiece_op, substring_dedup, suffix_dedup, topk, toxicity, whitening
+from pagequarry.llm import embedding_dedup, hard_negatives, html_text, jaccard_join, langid, packing, quality, sentencepiece_op, substring_dedup, suffix_dedup, topk, toxicity, whitening
 from pagequarry.llm.common import read_table
 
 
@@ -83,8 +83,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=4, scale=256)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_packing, op4_jaccard_join, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk, op11_hard_negatives, op12_whitening)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_packing, op4_jaccard_join, op5_language_id, op6_substring_dedup, op7_html, op8_suffix_dedup, op9_toxicity, op10_topk, op11_hard_negatives, op12_whitening, op13_quality)}
 
 
 OP2_SQL = """
@@ -178,6 +183,42 @@ WITH q AS MATERIALIZED (
 SELECT * FROM n WHERE rank <= 5
 """
 
+#: crc32 by its bitwise rule: a table of 256 values, then a fold over the bytes of each distinct n-gram
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), k AS (SELECT doc_id, min(quality) = 1 AS trusted FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), w AS MATERIALIZED (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), n AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid
+), g3 AS (SELECT rid, pos, lead(word, 2) OVER o IS NOT NULL AS whole, (word, lead(word) OVER o, lead(word, 2) OVER o) AS g FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), rw AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) AS c FROM g3 WHERE whole) WHERE c > 1
+), rp AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, pos + unnest([0, 1, 2]) AS pos FROM rw) GROUP BY rid
+), ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d
+), dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), b AS MATERIALIZED (
+  SELECT d.rid, doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN n USING (rid) LEFT JOIN dl USING (rid) LEFT JOIN rp USING (rid)
+), t AS (SELECT rid, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]+') AS ts FROM d
+), g AS MATERIALIZED (SELECT rid, doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS gram FROM t
+), h AS (SELECT gram, hex(encode(gram)) AS x FROM (SELECT DISTINCT gram FROM g)
+), i AS (SELECT gram, list_transform(range(1, len(x), 2), lambda j: 16 * (instr('0123456789ABCDEF', x[j]) - 1) + instr('0123456789ABCDEF', x[j + 1]) - 1) AS bytes FROM h
+), j AS MATERIALIZED (SELECT gram, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295::BIGINT) % 16384 AS bin FROM i, crc
+), ids AS (SELECT doc_id, hex(encode(doc_id::VARCHAR)) AS x FROM k
+), aside AS MATERIALIZED (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda j: 16 * (instr('0123456789ABCDEF', x[j]) - 1) + instr('0123456789ABCDEF', x[j + 1]) - 1)::BIGINT[]), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295::BIGINT) % 5 = 0 AS out FROM ids, crc
+), c AS (SELECT bin, count(*) AS raw, count(*) FILTER (trusted AND NOT out) AS own FROM g JOIN j USING (gram) LEFT JOIN k USING (doc_id) LEFT JOIN aside USING (doc_id) GROUP BY bin
+), s AS (SELECT sum(raw) + 16384 AS r, sum(own) + 16384 AS o FROM c
+), v AS (SELECT bin, CAST(floor(65536.0::DOUBLE * (ln((own + 1) / o::DOUBLE) - ln((raw + 1) / r::DOUBLE)) + 0.5) AS BIGINT) AS w FROM c, s
+), z AS MATERIALIZED (SELECT b.*, b.n_words < 50 OR 100 * b.n_repeat_words > 50 * b.n_words AS base_failed, coalesce(step, 0) AS step
+  FROM b LEFT JOIN (SELECT rid, CAST(floor(sum(w)::DOUBLE / (count(*) * 64.0::DOUBLE)) AS INTEGER) AS step FROM g JOIN j USING (gram) JOIN v USING (bin) GROUP BY rid) USING (rid)
+), e AS (SELECT step, count(*) FILTER (trusted) AS good, count(*) FILTER (NOT trusted) AS bad FROM z JOIN k USING (doc_id) JOIN aside USING (doc_id) WHERE out AND NOT base_failed GROUP BY step
+), m AS (SELECT step, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(bad) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mistakes, lag(step) OVER (ORDER BY step) AS below FROM e
+), least AS (SELECT CAST(floor((step + coalesce(below, step)) / 2.0) AS INTEGER) AS step FROM m ORDER BY mistakes, step LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(step >= (SELECT step FROM least), true) AS kept FROM z
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_html": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op10_topk": OP10_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_html": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op10_topk": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_quality": OP13_SQL}
