@@ -20,7 +20,7 @@ MOST_BROADCAST = 1 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -56,8 +56,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     count = lambda c: F.char_length(c).cast("long")
     counts = {
         "n_words": F.col("n").cast("long"),
-        "word_chars": count(F.translate("text", " \t\n\x0b\f\r", "")),
-        "n_symbols": count(F.col("text")) - count(F.translate("text", SYMBOLS, "")),
+        "word_chars": count(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": F.col("n_repeat_words"),
     }
