@@ -111,6 +111,17 @@ def snippet(content: Column, terms: list[str], most: int = 150, before: int = 50
     return F.when(at >= 0, window).when(size <= most, content).otherwise(F.concat(F.substring(content, 1, most), F.lit("...")))
 
 
+def snippet_for(content: Column, terms: Column, most: int = 150, before: int = 50) -> Column:
+    """TXT-14 for a column of terms."""
+    lowered = F.lower(content)
+    first = F.get(F.filter(terms, lambda t: F.contains(lowered, t)), F.lit(0))
+    at = F.coalesce(F.position(first, lowered) - 1, F.lit(-1))
+    start = F.when(at > before, at - before).otherwise(0)
+    size = F.length(content)
+    window = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(content, start + 1, F.lit(most)), F.when(start + most < size, "...").otherwise(""))
+    return F.when(at >= 0, window).when(size <= most, content).otherwise(F.concat(F.substring(content, 1, most), F.lit("...")))
+
+
 def truncated_for_js(content: Column, most: int = 200) -> Column:
     """TXT-15: at most `most` characters (a cut by bytes could split a character)."""
     return F.substring(content, 1, most)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.operators import assets, crawl, experiments, metrics, process, related, rules, site_index, telemetry, tree
+from pagequarry.operators import assets, crawl, experiments, gram_index, metrics, process, related, rules, site_index, telemetry, tree
 from pagequarry.plans.session import prepare
 from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
@@ -391,6 +391,35 @@ def search_topk(spark, sf_dir):
     return site_index.top_hits(site_index.search(site_index.search_index(parsed(spark, sf_dir)), QUERY), 20).select("page_id", "url", "score")
 
 
+#: a query for each title: its first and its last word
+ASKED = r"""A AS (SELECT DISTINCT regexp_extract(title, '^(\S+)', 1) || ' ' || regexp_extract(title, '(\S+)$', 1) AS query FROM P WHERE title <> ''), B AS (SELECT query, list_filter(string_split(lower(query), ' '), lambda t: t <> '') AS terms FROM A)"""
+_POINTS = """list_sum(list_transform(terms, lambda t: CASE WHEN contains(lower(title), t) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(title || ' ' || body || ' ' || array_to_string(keys, ' ')), t) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 2.0::DOUBLE * len(list_filter(keys, lambda k: contains(lower(k), t))))) * weight"""
+
+
+@register(f"""WITH {P}, {S}, {ASKED}, H AS (SELECT query, terms, page_id, url, title, body, {_POINTS} AS score FROM B, S), R AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, url, page_id) AS rank FROM H WHERE score > 0),
+F AS (SELECT *, list_filter(terms, lambda t: contains(lower(body), t)) AS seen FROM R WHERE rank <= 5), G AS (SELECT *, CASE WHEN len(seen) = 0 THEN -1 ELSE strpos(lower(body), seen[1]) - 1 END AS hit FROM F), K AS (SELECT *, CASE WHEN hit > 50 THEN hit - 50 ELSE 0 END AS st FROM G)
+SELECT query, rank, page_id, score, CASE WHEN hit >= 0 THEN (CASE WHEN st > 0 THEN '...' ELSE '' END) || substring(body, CAST(st + 1 AS BIGINT), 150) || (CASE WHEN st + 150 < length(body) THEN '...' ELSE '' END)
+  WHEN length(body) <= 150 THEN body ELSE substring(body, 1, 150) || '...' END AS snippet FROM K""")
+def search_many(spark, sf_dir):
+    """SCH-03, SCH-04, SRT-04, TXT-14: a query for each distinct title against one stored index of all pages."""
+    p = parsed(spark, sf_dir)
+    index = site_index.stored_search_index(site_index.search_index(p))
+    words = F.concat_ws(" ", F.regexp_extract("title", r"^(\S+)", 1), F.regexp_extract("title", r"(\S+)$", 1))
+    asked = p.filter("title <> ''").select(words.alias("query")).distinct().withColumn("query_id", col("query"))
+    return site_index.search_many(index, asked, 5).select(col("query_id").alias("query"), "rank", "page_id", "score", "snippet")
+
+
+@register(f"""WITH {P}, {S}, W AS (SELECT lower(title || ' ' || body || ' ' || array_to_string(keys, ' ')) AS low, lower(title) AS t, list_transform(keys, lambda k: lower(k)) AS ks, weight FROM S),
+G AS (SELECT DISTINCT low, t, ks, weight, substring(low, CAST(i AS BIGINT), 3) AS gram FROM (SELECT *, unnest(range(1, length(low) - 1)) AS i FROM W)),
+V AS (SELECT gram, (1.0::DOUBLE + CASE WHEN contains(t, gram) THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + 2.0::DOUBLE * len(list_filter(ks, lambda k: contains(k, gram)))) * weight AS best FROM G)
+SELECT gram, max(best) AS best FROM V WHERE NOT contains(gram, ' ') GROUP BY gram""")
+def search_grams(spark, sf_dir):
+    """SCH-01: what a triple of characters within a word can count at most, from the stored index."""
+    index = site_index.stored_search_index(site_index.search_index(parsed(spark, sf_dir)))
+    triples = index.postings.filter(col("gram") >= 1 << 42).groupBy("gram").agg(F.max("best").alias("best"))
+    return triples.select(gram_index.triple(col("gram")).alias("gram"), "best").filter(~F.contains(col("gram"), F.lit(" ")))
+
+
 #: Markdown made of a page: its title as a heading and its paragraphs
 MARKDOWN = r"('# ' || title || chr(10) || regexp_replace(regexp_replace(content, '<p>', chr(10) || '## ', 'g'), '<[^>]*>', ' ', 'g'))"
 
