@@ -80,6 +80,31 @@ def _needed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["term", "n", "gram"])
 
 
+def _occurrences(columns: list[str]):
+    """The first `most` rows of a block that have each of its terms."""
+
+    def scan(terms, rows):
+        import ahocorasick
+
+        machine, sent, out = ahocorasick.Automaton(), {}, []
+        names, most = terms.column("term").to_pylist(), terms.column("most").to_pylist()
+        for i, term in enumerate(names):
+            machine.add_word(term, i)
+        if len(machine) and rows.num_rows:
+            machine.make_automaton()
+            texts, order = rows.column("low").to_pylist(), np.argsort(rows.column("row").to_numpy())
+            for r in order.tolist():
+                for i in {hit for _, hit in machine.iter(texts[r])}:
+                    if sent.get(i, 0) < most[i]:
+                        sent[i] = sent.get(i, 0) + 1
+                        out.append((i, r))
+        at = pa.array([r for _, r in out], pa.int64())
+        kept = rows.select(["row", *columns]).take(at)
+        return pa.table([pa.array([names[i] for i, _ in out], pa.string()), pa.array([most[i] for i, _ in out], pa.int64()), *kept.columns], names=["term", "most", "row", *columns])
+
+    return scan
+
+
 @dataclass
 class GramIndex:
     """rows: the indexed rows with `block` and their lower-case text `low`; postings: gram, block, best; sizes: gram, blocks; spans: (first block, blocks) of each part."""
@@ -88,6 +113,11 @@ class GramIndex:
     postings: DataFrame
     sizes: DataFrame
     spans: list[tuple[int, int]]
+    #: of the last best_rows: the (query_id, block) that were scored, and the value below which no posting was read
+    scored: DataFrame | None = None
+    floor: float = 0.0
+    #: of the last first_rows: the last block that was read; None: all were
+    reached: int | None = None
 
     @staticmethod
     def build(table: DataFrame, order: list[str], low: Column, pieces: Column | None = None, points: Column | None = None, weight: Column | None = None, block_rows: int = 64, path: str | None = None) -> GramIndex:
@@ -101,8 +131,8 @@ class GramIndex:
         rows = table.withColumn("low", F.coalesce(low, F.lit("")))
         rows = rows.withColumn("pieces", none("string") if pieces is None else pieces).withColumn("points", none("double") if points is None else points)
         rows = rows.withColumn("weight", F.lit(1.0) if weight is None else weight)
-        number = F.shiftright(F.monotonically_increasing_id(), block_rows.bit_length() - 1)
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", number).write.parquet(f"{path}/rows")
+        numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+        numbered.withColumn("block", F.shiftright("row", block_rows.bit_length() - 1)).write.parquet(f"{path}/rows")
         stored = spark.read.parquet(f"{path}/rows")
         found = stored.select("block", "low", "weight", "pieces", "points").mapInArrow(_postings, "gram long, block long, best double")
         # one exchange: what is dealt by range of (gram, block) is grouped where it is
@@ -133,40 +163,52 @@ class GramIndex:
         rare = found.groupBy("term", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("blocks", "gram"))), 1, PROBES).alias("rare"), F.count("*").alias("known"))
         return rare.filter("known = n").select("term", F.col("rare.gram").alias("grams"))
 
-    def first_rows(self, wanted: DataFrame, columns: list[str], reach: int = 8) -> DataFrame:
+    def first_rows(self, wanted: DataFrame, columns: list[str], reach: int = 8, group: int = 20_000) -> DataFrame:
         """term and `columns` of the first `most` rows, in the index's order, whose text has the term; wanted: term, most.
 
         Blocks are taken in order, in growing rounds.  A term that has its rows is in no later round, so of a frequent term's postings and rows only the first are read;
-        a rare term has few postings.
+        a rare term has few postings.  A block's terms look for their places together, in one pass over each text; more than about `group` terms are parted.
         """
         todo = written(wanted.filter("term <> ''").groupBy("term").agg(F.max("most").alias("most")).join(self.probes(wanted), "term"))
-        found, at = None, -1
-        key = Window.partitionBy("term").orderBy("_at")
-        while True:
-            to = self.block_at(reach - 1)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.rows.select("row", *columns).schema)
+        found, at, left = None, -1, todo.count()
+        key = Window.partitionBy("term").orderBy("row")
+        while left:
+            to = self.reached = self.block_at(reach - 1)
             here = lambda df: df.filter((F.col("block") > at) & (F.col("block") <= to) if to is not None else F.col("block") > at)
             asked = todo.select("term", "most", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
             blocks = asked.join(here(self.postings).select("gram", "block"), "gram").groupBy("term", "most", "n", "block").agg(F.count("*").alias("have")).filter("have = n")
-            rows = here(self.rows).select("block", "low", *columns)
-            hits = blocks.join(rows, "block").filter(F.contains("low", "term")).withColumn("_at", F.struct("block", *columns))
-            hits = hits.withColumn("_n", F.row_number().over(key)).filter("_n <= most").select("term", *columns, "_at")
+            parts = -(-left // group)
+            blocks = blocks.select("term", "most", "block", F.pmod(F.xxhash64("term"), F.lit(parts)).alias("part"))
+            rows = here(self.rows).select("block", "low", "row", *columns).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+            hits = blocks.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInArrow(_occurrences(columns), f"term string, most long, {schema}")
+            hits = hits.withColumn("_n", F.row_number().over(key)).filter("_n <= most").drop("_n", "most")
             found = written(hits if found is None else found.unionByName(hits))
             if to is None or to == self.spans[-1][0] + self.spans[-1][1] - 1:
                 break
             have = found.groupBy("term").agg(F.count("*").alias("have"))
             todo = written(todo.join(have, "term", "left").filter("have IS NULL OR have < most").drop("have"))
-            if not todo.limit(1).count():
-                break
-            at, reach = to, reach * 4
+            at, reach, left = to, reach * 4, todo.count()
+        if found is None:
+            return wanted.select("term").limit(0).join(self.rows.select(*columns).limit(0))
         limits = wanted.groupBy("term").agg(F.max("most").alias("most"))
         # the last round of a term may bring more than it lacked
         return found.join(limits, "term").withColumn("_n", F.row_number().over(key)).filter("_n <= most").select("term", *columns)
 
-    def best_rows(self, queries: DataFrame, score: Column, k: int, tie: list[str], columns: list[str], batch: int = 16) -> DataFrame:
+    @staticmethod
+    def score() -> Column:
+        """The score of a row for a column `terms`: each term's points, times the row's weight."""
+
+        def points(term: Column) -> Column:
+            own = F.zip_with("pieces", "points", lambda piece, p: F.when(F.contains(piece, term), p).otherwise(0.0))
+            return F.aggregate(own, F.when(F.contains("low", term), 1.0).otherwise(0.0), lambda total, p: total + p)
+
+        return F.aggregate("terms", F.lit(0.0), lambda total, t: total + points(t)) * F.col("weight")
+
+    def best_rows(self, queries: DataFrame, k: int, tie: list[str], columns: list[str], batch: int = 8) -> DataFrame:
         """query_id, score and `columns` of each query's k rows of the highest score, ties by `tie`; rows without a score above 0 are no hits.
 
-        queries: query_id, terms (lower-case strings; one that occurs twice counts twice).  score: an expression of a row and `terms`, the sum over the terms of what the
-        index was built with.  Postings are read in layers of falling value.  A block's bound is the sum over the terms of the least value of its grams, or of the
+        queries: query_id, terms (lower-case strings; one that occurs twice counts twice).  Postings are read in layers of falling value.  A block's bound is the sum over the terms of the least value of its grams, or of the
         layer's floor where a gram has not come up yet.  Blocks are scored by falling bound; a query is done when the floor, for all its terms, is no more than its k-th score.
         """
         # bounds add what scores multiply: rounding must not bring a bound below a score
@@ -186,26 +228,28 @@ class GramIndex:
             most = F.when(F.col("have") == F.col("n"), F.col("least")).otherwise(F.lit(floor))
             bounds = terms.join(layer.select("term", "block", most.alias("most")), "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("times")).alias("sum"), F.sum("times").alias("seen"))
             bounds = bounds.join(open_, "query_id").select("query_id", "block", ((F.col("sum") + (F.col("n_terms") - F.col("seen")) * floor) * slack).alias("bound"))
-            bounds = written(bounds)
+            bounds, step = written(bounds), batch
             while True:
                 rest = bounds if scored is None else bounds.join(scored, ["query_id", "block"], "left_anti")
                 rest = rest.join(open_.select("query_id", "theta"), "query_id").filter("bound >= theta")
-                chosen = written(rest.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("_n") <= batch).select("query_id", "block"))
+                chosen = written(rest.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("_n") <= step).select("query_id", "block"))
                 if not chosen.limit(1).count():
                     break
                 scored = chosen if scored is None else scored.unionByName(chosen)
-                hits = chosen.join(self.rows, "block").join(queries.select("query_id", "terms"), "query_id").withColumn("score", score).filter("score > 0")
+                hits = chosen.join(self.rows, "block").join(queries.select("query_id", "terms"), "query_id").filter(F.exists("terms", lambda t: F.contains("low", t))).withColumn("score", self.score())
                 hits = hits.select("query_id", "score", *columns)
                 hits = hits if top is None else hits.unionByName(top)
                 top = written(hits.withColumn("_n", F.row_number().over(ranks)).filter(F.col("_n") <= k).drop("_n"))
                 open_ = self._thresholds(open_, top, k)
-                batch *= 4
+                step *= 4
             if floor == 0:
                 break
-            open_ = written(open_.filter(~((F.col("theta") > 0) & (F.col("n_terms") * floor * slack <= F.col("theta")))))
+            # what is unread is below the floor; for one term that holds to the last bit
+            unread = F.when(F.col("n_terms") == 1, F.lit(floor)).otherwise(F.col("n_terms") * floor * slack)
+            open_ = written(open_.filter(~((F.col("theta") > 0) & (unread <= F.col("theta")))))
             if not open_.limit(1).count():
                 break
-        self.scored = scored
+        self.scored, self.floor = scored, floor
         if top is None:
             return queries.select("query_id").limit(0).withColumn("score", F.lit(0.0)).join(self.rows.select(*columns).limit(0))
         return top
