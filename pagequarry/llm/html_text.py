@@ -31,9 +31,17 @@ TABLES = frozenset("table tbody thead tfoot tr td th caption".split())
 NEGATIVE = frozenset(
     "ad ads adbox adsense banner sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup login comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations widget toolbar skip searchform header "
-    "contentinfo complementary search".split()
+    "contentinfo complementary search advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion promotions".split()
 )
-NEGATIVE_STARTS = ("advert", "sponsor", "promo")
+#: words that add nothing to what a name says: where a part stands, and what it is made of
+STRUCTURAL = frozenset(
+    "site page main global top bottom left right upper lower primary secondary inner outer box block area zone slot unit section region wrap wrapper container holder panel pane list item items bar row col column grid group "
+    "links link buttons button icons icon form field input title heading label text body content post posts article articles story stories entry author meta thread user reader readers mobile desktop sticky fixed wp js".split()
+)
+#: words that are topics as well: as the id of a section they say little
+TOPICAL = frozenset("ad ads notice notices alert comment reply replies share sharing social related recommended recommendations search menu navigation header login skip overlay consent subscribe popup modal widget".split())
+#: a doubtful part with this share of its text in links is set aside
+LINKED = 0.3
 #: "has-sidebar" has a sidebar and is none
 NOT_ITSELF = frozenset("has with no without".split())
 POSITIVE = frozenset("article post story entry content main body text".split())
@@ -52,26 +60,44 @@ TOKEN = re.compile(
 )
 
 
+def _words(name: str) -> list[str]:
+    return [w for w in re.split(r"[_-]+|(?<=[a-z])(?=\d)|(?<=\d)(?=[a-z])", name) if w]
+
+
+def _known(words: list[str]) -> bool:
+    """A name that holds a word for what is set aside, and else only words that add nothing; "skip-to", "adbox" and "adBox" are such names."""
+    rest = [w for w in words if w not in STRUCTURAL and not w.isdigit()]
+    return bool(rest) and all(w in NEGATIVE for w in rest)
+
+
 @functools.lru_cache(4096)
-def judged(value: str) -> tuple[bool, bool]:
-    """(marks what is set aside, marks main text) for the value of class, id or role: by the first and the last word of each of its names."""
-    away = good = False
+def judged(value: str) -> tuple[bool, bool, bool, bool]:
+    """(known, head, modifier, good) for the value of a class, id or role.
+
+    known: one of its names says nothing but what is set aside; head: a name ends so ("acme-sidebar"), as the last word of a compound says what a thing is; modifier: a name
+    begins so ("related-work", "search-results"), which says little; good: a name marks main text.
+    """
+    known = head = modifier = good = False
     for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
-        words = [w for w in re.split(r"[_-]+", name) if w]
+        words = _words(name)
         if not words:
             continue
-        ends = {words[0], words[-1], "".join(words), "".join(words[:2]), "".join(words[-2:])}
-        if name == "hidden" or (words[0] not in NOT_ITSELF and (ends & NEGATIVE or any(w.startswith(NEGATIVE_STARTS) for w in (words[0], words[-1])))):
-            away = True
+        last = [w for w in words if not w.isdigit() and w not in STRUCTURAL][-1:]
+        if name == "hidden":
+            known = True
+        elif words[0] not in NOT_ITSELF:
+            known = known or _known(words) or "".join(words) in NEGATIVE
+            head = head or bool(last) and last[0] in NEGATIVE
+            modifier = modifier or words[0] in NEGATIVE
         good = good or bool(POSITIVE & set(words))
-    return away, good
+    return known, head, modifier, good
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "weight", "length", "linked", "away", "closed", "inline")
+    __slots__ = ("tag", "parent", "children", "points", "weight", "length", "linked", "away", "doubtful", "closed", "inline")
 
-    def __init__(self, tag: str, parent: Node | None, weight: int = 0, away: bool = False):
-        self.tag, self.parent, self.children, self.weight, self.away = tag, parent, [], weight, away
+    def __init__(self, tag: str, parent: Node | None, weight: int = 0, away: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.children, self.weight, self.away, self.doubtful = tag, parent, [], weight, away, doubtful
         self.points = 0.0
         self.length = self.linked = 0
         self.closed = False
@@ -79,9 +105,13 @@ class Node:
         self.inline = tag not in BLOCKS and "-" not in tag
 
 
-def _attributes(tag: str, rest: str) -> tuple[int, bool]:
-    """(weight, set aside) of an element."""
-    weight, away = 0, tag in DROPPED
+def _attributes(tag: str, rest: str) -> tuple[int, bool, bool]:
+    """(weight, set aside, doubtful) of an element; what is doubtful is set aside if links make up much of it.
+
+    Ids are often slugs of headings: they count if all of a name is known, on containers only, and for a section not if its words are topics too.  Paragraphs and headings
+    are set aside by a class that is known as a whole.
+    """
+    weight, away, doubtful = 0, tag in DROPPED, False
     if rest and not rest.isspace():
         for name, value in ATTRIBUTE.findall(rest):
             name = name.lower()
@@ -90,10 +120,19 @@ def _attributes(tag: str, rest: str) -> tuple[int, bool]:
             elif name == "aria-hidden":
                 away = away or value.strip("\"'").lower() == "true"
             elif name in ("class", "id", "role"):
-                bad, good = judged(html.unescape(value.strip("\"'")))
-                away = away or (bad and tag not in ("article", "main"))
+                value = html.unescape(value.strip("\"'"))
+                known, head, modifier, good = judged(value)
                 weight = 25 if good else weight
-    return weight, away
+                if tag in ("article", "main"):
+                    continue
+                text = tag in HEADINGS or tag == "p"
+                if name == "id":
+                    certain = known and not text and not (tag == "section" and set(_words(value.lower())) & TOPICAL)
+                else:
+                    certain = known or (head and not text)
+                away = away or certain
+                doubtful = doubtful or ((known or head or modifier) and not text)
+    return weight, away, doubtful
 
 
 def parse(page: str) -> Node:
@@ -180,13 +219,19 @@ def _rescue(node: Node) -> None:
         found.away = False
 
 
-def _measure(root: Node) -> list[Node]:
-    """Text and link lengths of every node, bottom up without recursion; nodes in page order, without what is set aside."""
+def _below(root: Node) -> list[Node]:
+    """Nodes in page order, without what is set aside."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.away)
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Text and link lengths of every node, bottom up without recursion; sets aside what is doubtful and full of links.  Nodes in page order, without what is set aside."""
+    order, dropped = _below(root), False
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
@@ -194,7 +239,9 @@ def _measure(root: Node) -> list[Node]:
             elif not c.away:
                 node.length += c.length
                 node.linked += c.length if c.tag == "a" else c.linked
-    return order
+        if node.doubtful and density(node) >= LINKED:
+            node.away = dropped = True
+    return _below(root) if dropped else order
 
 
 def _own_text(node: Node) -> str:

@@ -1,5 +1,6 @@
 """op1, op3, op5, op7 and op9 against brute force, round trips and held-out accuracy."""
 
+import re
 import zlib
 
 import numpy as np
@@ -299,6 +300,38 @@ def test_html_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "Many words, with commas, and more of them. " * 6
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<section id="related-work"><h2>Related work</h2><p>{}</p></section>', '<p id="social-history">{}</p>', '<h2 id="search-algorithms">{}</h2>', '<h2 id="notice-period">{}</h2>', '<p class="promoter-region">{}</p>',
+        '<div class="social-science">{}</div>', '<section id="classified-ads"><p>{}</p></section>', '<p id="sponsorship">{}</p>', '<section id="search"><p>{}</p></section>', '<h3 id="comments">{}</h3>', '<p id="menu">{}</p>',
+        '<div class="search-results-of-the-trial"><p>{}</p></div>', '<section id="banner-blindness">{}</section>', '<div id="header-files"><p>{}</p></div>', '<li class="related-species">{}</li>',
+    ],
+)
+def test_slugs_of_headings_mark_nothing(part):
+    """Names that begin with a word for menus or adverts, but are about something: the text stays, within the article and whole."""
+    inner = part.format(LONG)
+    page = f"<body><nav>Menu</nav><article><h1>Head</h1><p>{LONG}</p>{inner}<p>{LONG}</p></article><footer>f</footer></body>"
+    words = re.sub("<[^>]*>", " ", inner).split()
+    assert html_text.main_text(page).split() == ["Head", *LONG.split(), *words, *LONG.split()]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="acme-sidebar">{}</div>', '<div class="post-comments"><p>{}</p></div>', '<section class="comments">{}</section>', '<section id="comments">{}</section>', '<div id="disqus_thread">{}</div>', '<div id="search">{}</div>',
+        '<div class="cookie-notice">{}</div>', '<div id="newsletter-signup">{}</div>', '<div class="related-posts">{}</div>', '<ul class="share-buttons"><li>{}</li></ul>', '<p class="adBox">{}</p>', '<div class="widget_2">{}</div>',
+        '<div class="related-stories-of-today"><p><a href=/x>{}</a></p></div>', '<section id="related"><a href=/x>{}</a></section>', '<div role="navigation">{}</div>', '<div class="ad-slot-3">{}</div>', '<div class="sponsored">{}</div>', '<div class="reader-comments">{}</div>',
+    ],
+)
+def test_parts_that_are_set_aside(part):
+    page = f"<body><article><h1>Head</h1><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article></body>"
+    assert html_text.main_text(page).split() == ["Head", *LONG.split(), *LONG.split()]
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (None, "u", "<p>x</p>", None)], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages).collect()
