@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
+from pagequarry.operators.ranking import sum_before
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,7 @@ def decide(assets: DataFrame, policy: AssetPolicy) -> DataFrame:
 
 def within_budget(assets: DataFrame, size: str, most: int) -> DataFrame:
     """WIN-06: references of a page while the bytes before them are below the budget."""
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return assets.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long")).filter(F.col("before") < most)
+    return sum_before(assets, ["page_id"], ["pos"], size, "before").filter(F.col("before") < most)
 
 
 def asset_path(prefix: Column, hash_: Column, url: Column) -> Column:

@@ -5,9 +5,11 @@ All are one partial and one final aggregate; hot keys cost a row for each task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.operators.ranking import beside
+
 #: Bounds of the page-duration histogram in seconds, and the severity of states
 DURATION_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 SEVERITY = {"healthy": 0, "unknown": 1, "degraded": 2, "unhealthy": 3}
@@ -81,9 +83,8 @@ def overall(probes: DataFrame) -> DataFrame:
 
 
 def changes(df: DataFrame, key: str, ts: str, tie: str, status: Column) -> DataFrame:
-    """WIN-08: rows at which a key's state differs from the one before; the first is no change."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    rows = df.withColumn("status", status).withColumn("previous", F.lag("status").over(w))
+    """WIN-08: rows at which a key's state differs from the one before; the first is no change.  A key may hold most rows (a segmented scan)."""
+    rows = beside(df.withColumn("status", status), [key], [ts, tie], "status", "previous")
     return rows.filter("previous IS NOT NULL AND previous <> status").select(key, ts, tie, "previous", "status")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text, urls
-from pagequarry.operators import assets, crawl, experiments, gram_index, metrics, process, related, rules, site_index, telemetry, tree
+from pagequarry.operators import assets, crawl, experiments, gram_index, metrics, process, ranking, related, rules, site_index, telemetry, tree
 from pagequarry.plans.session import prepare
 from pagequarry.sources import extensions, seeds
 from pagequarry.sources import pages as pages_source
@@ -316,10 +316,10 @@ B AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '^\s+|\s+$
   list_transform(string_split(regexp_replace(other, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS b FROM A WHERE other IS NOT NULL)
 SELECT doc_id, array_to_string(list_filter(a, lambda x: strlen(x) > 10 AND list_contains(b, x)), chr(10)) AS common FROM B""")
 def common_lines(spark, sf_dir):
-    """TXT-09: each document against the next of its source."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").withColumn("other", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id"))).filter("other IS NOT NULL")
+    """TXT-09: each document against the next of its source; only ids are put in order, the next one's text comes by a join."""
+    d = table(spark, sf_dir, "documents")
+    following = ranking.beside(d.select("source", "doc_id"), ["source"], ["doc_id"], "doc_id", "next", ahead=True).filter("next IS NOT NULL")
+    d = d.select("doc_id", "text").join(following.select("doc_id", "next"), "doc_id").join(d.select(col("doc_id").alias("next"), col("text").alias("other")), "next").filter("other IS NOT NULL")
     return d.select("doc_id", text.common_lines(col("text"), col("other")).alias("common"))
 
 
