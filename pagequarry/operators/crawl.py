@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
 from pagequarry.operators.ranking import scratch
+from pagequarry.operators.visited import BUCKET_URLS, Visited
 from pagequarry.sources import pages
 
 
@@ -57,57 +58,57 @@ def follow_decisions(links: DataFrame, policies: DataFrame, max_depth: int, foll
     return known.withColumn("reason", reason).withColumn("should_follow", F.col("reason") == "")
 
 
-def recursive(seeds: DataFrame, load: Callable[[DataFrame], DataFrame], policies: DataFrame, max_depth: int | None = None, max_pages: int | None = None, follow_external: bool = False) -> DataFrame:
+def recursive(seeds: DataFrame, load: Callable[[DataFrame], DataFrame], policies: DataFrame, max_depth: int | None = None, max_pages: int | None = None, follow_external: bool = False, buckets: int = 8) -> DataFrame:
     """SRC-05: what `load` (urls to rows with url, html and more) gives for the seeds and for all that can be reached by the links in it, with depth.
 
     URLs are known without query and fragment.  A level is loaded once and written to the shared folder; its links, as far as the policies (domain, allowed) let
     them be followed, less all URLs of earlier levels, are the next.  Only counts come to the driver.  The crawl ends when nothing new is found, at
-    max_depth links, or at max_pages URLs (of the level that reaches it the first by URL).  A URL that `load` has no row for stays, without html.
+    max_depth links, or at max_pages URLs (of the level that reaches it the first by URL).  A URL that `load` has no row for stays, without html; of several rows one is kept.
+    buckets: of the visited table; about one for each million URLs that a level may have.
     """
     spark = seeds.sparkSession
     folder = scratch(spark)
-    wanted = seeds.select(urls.canonical(F.col("url")).alias("url")).distinct()
+    visited = Visited(spark, buckets)
+    wanted = seeds.select(urls.canonical(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()
     level, total = 0, 0
     while True:
         if max_pages is not None:
             wanted = wanted.orderBy("url").limit(max_pages - total)
-        rows = load(wanted)
-        rows = wanted.join(rows, "url", "left").withColumn("depth", F.lit(level).cast("long"))
+        found = visited.add(wanted.withColumn("depth", F.lit(level).cast("long")))
+        asked = visited.last()
+        # a source may give a URL twice; one row of it is enough
+        rows = asked.join(load(asked.select("url")).dropDuplicates(["url"]), "url", "left")
         rows.write.parquet(f"{folder}/level={level}")
         here = spark.read.schema(rows.schema).parquet(f"{folder}/level={level}")
-        found = here.count()
         total += found
         if not found or (max_depth is not None and level >= max_depth) or (max_pages is not None and total >= max_pages):
             break
         level += 1
         links = pages.links(here.select(F.xxhash64("url").alias("page_id"), "url", "html")).withColumn("depth", F.lit(level - 1))
         followed = follow_decisions(links, policies, (max_depth or level) + 1, follow_external).filter("should_follow")
-        seen = spark.read.schema(rows.schema).parquet(*[f"{folder}/level={i}" for i in range(level)]).select("url")
-        wanted = followed.select(urls.canonical(F.col("target")).alias("url")).distinct().join(seen, "url", "left_anti")
-    return spark.read.schema(rows.schema).parquet(*[f"{folder}/level={i}" for i in range(level + 1)])
+        wanted = visited.new(followed.select(urls.canonical(F.col("target")).alias("url")))
+    return spark.read.schema(here.schema).parquet(*[f"{folder}/level={i}" for i in range(level + 1)])
 
 
-def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
-    """SRC-05: url, depth of every page that seeds reach, within max_depth links if given; edges: src, dst.
+def buckets_for(rows: DataFrame) -> int:
+    """Buckets of a visited table for at most so many URLs."""
+    return max(8, -(-rows.count() // BUCKET_URLS))
 
-    Each level is an equi-join and an anti-join with what was visited, written to the shared folder; only counts come to the driver.
-    With max_pages the search stops after the level that reaches it.
-    """
-    spark = seeds.sparkSession
-    folder = scratch(spark)
 
-    def keep(df: DataFrame, level: int) -> int:
-        df.select("url", F.lit(level).cast("long").alias("depth")).write.parquet(f"{folder}/level={level}")
-        return spark.read.parquet(f"{folder}/level={level}").count()
+def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """SRC-05, JN-07, WIN-09: url, depth of every page that seeds reach, within max_depth links if given; edges: src, dst.
 
-    total = keep(seeds.select("url").distinct(), 0)
-    visited = lambda: spark.read.parquet(*[f"{folder}/level={i}" for i in range(level + 1)]).select("url", "depth")
+    A level is an equi-join of the last one with the edges and a look into the buckets of the visited table that its targets meet; only counts and numbers of buckets
+    come to the driver.  With max_pages the search stops after the level that reaches it.
+    """
+    visited = Visited(seeds.sparkSession, buckets_for(edges))
+    total = visited.add(seeds.select("url").distinct().withColumn("depth", F.lit(0).cast("long")))
     level = 0
     while (max_depth is None or level < max_depth) and (max_pages is None or total < max_pages):
-        last = spark.read.parquet(f"{folder}/level={level}").select(F.col("url").alias("src"))
-        found = keep(edges.join(last, "src").select(F.col("dst").alias("url")).distinct().join(visited(), "url", "left_anti"), level + 1)
+        targets = edges.join(visited.last().select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url"))
         level += 1
+        found = visited.add(visited.new(targets).withColumn("depth", F.lit(level).cast("long")))
         total += found
         if not found:
             break
-    return visited()
+    return visited.rows()

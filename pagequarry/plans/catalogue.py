@@ -23,6 +23,10 @@ P = r"""P AS (SELECT page_id, url, html,
   lower(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')) AS host,
   regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
   regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS content FROM pages)"""
+#: links as pages_source.links reads them
+L = r"""H AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS pos FROM pages),
+L AS (SELECT *, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS target
+  FROM H WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|javascript:|tel:)'))"""
 #: words by white-space field that are no tags, and tags
 COUNTS = r"""C AS (SELECT *, CAST(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '' AND NOT starts_with(x, '<'))) AS BIGINT) AS fields,
   CAST(length(content) - length(replace(content, '<', '')) AS BIGINT) AS tags,
@@ -169,9 +173,6 @@ def url_filename_ext(spark, sf_dir):
 
 # links and crawl decisions -------------------------------------------------------------------------------------------------------
 
-L = r"""H AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)))) AS pos FROM pages),
-L AS (SELECT *, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS target
-  FROM H WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|javascript:|tel:)'))"""
 DOMAINS = (("example.com", True), ("example.net", True), ("spam-farm.example.org", False), ("example.org", True))
 
 
@@ -244,25 +245,14 @@ def resume_anti_join(spark, sf_dir):
     return seeds.remaining(p, p.filter(col("url").contains("?")).select("url")).select("page_id", "url")
 
 
-EDGES = """E AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM P) a
-  JOIN (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM P) b ON a.host = b.host AND b.n IN (2 * a.n, 2 * a.n + 1))"""
-
-
-def host_trees(spark, sf_dir):
-    """(roots, edges): a binary tree of each host's pages."""
-    from pyspark.sql import Window
-
-    p = table(spark, sf_dir, "pages").select("page_id", urls.host(col("url")).alias("host"))
-    n = p.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
-    edges = n.select("host", col("page_id").alias("src"), F.explode(F.array(col("n") * 2, col("n") * 2 + 1)).alias("m")).join(n.select("host", col("n").alias("m"), col("page_id").alias("dst")), ["host", "m"]).select("src", "dst")
-    return p.groupBy("host").agg(F.min("page_id").alias("url")), edges
-
-
-@register(f"""WITH RECURSIVE {P}, {EDGES}, B(url, depth) AS (SELECT min(page_id), 0 FROM P GROUP BY host UNION ALL SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url)
-SELECT url AS page_id, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
+@register(f"""WITH RECURSIVE {P}, {L}, E AS (SELECT url AS src, href AS dst FROM L UNION SELECT href, url FROM L),
+B(url, depth) AS (SELECT min(url), 0 FROM P GROUP BY host UNION SELECT E.dst, depth + 1 FROM B JOIN E ON E.src = B.url WHERE depth < 16) SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM B GROUP BY url""")
 def frontier_bfs(spark, sf_dir):
-    """SRC-05, JN-07, WIN-09: breadth-first levels over a binary tree of each host's pages, until no new page is found, so every page."""
-    return crawl.frontier(*host_trees(spark, sf_dir)).select(col("url").alias("page_id"), "depth")
+    """SRC-05, JN-07, WIN-09: breadth-first levels from the first page of each host, to the addresses that a page links to, as written, and to the pages that link to an address, until nothing is new."""
+    p = table(spark, sf_dir, "pages")
+    links = pages_source.links(p).select("url", "href")
+    edges = ranking.written(links.select(col("url").alias("src"), col("href").alias("dst")).union(links.select("href", "url")).distinct())
+    return crawl.frontier(p.groupBy(urls.host(col("url")).alias("host")).agg(F.min("url").alias("url")), edges)
 
 
 # words and keywords --------------------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Every registered query of the library's own operators against its SQL on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.plans import catalogue
 from tests.conftest import MEDIUM, SMALL
@@ -115,10 +116,40 @@ def test_frontier_runs_until_empty(spark):
     assert {tuple(r) for r in crawl.frontier(seeds, edges).collect()} == {(i, i) for i in range(13)}
 
 
-def test_frontier_returns_every_page(spark):
+def test_frontier_follows_links_deep(spark):
     differs, _, _ = compare(spark, connection(MEDIUM), catalogue.QUERIES["frontier_bfs"], catalogue.SQL["frontier_bfs"], MEDIUM)
     assert differs is None
-    assert catalogue.QUERIES["frontier_bfs"](spark, MEDIUM).count() == spark.read.parquet(f"{MEDIUM}/pages.parquet").count()
+    assert catalogue.QUERIES["frontier_bfs"](spark, MEDIUM).agg({"depth": "max"}).first()[0] >= 3
+
+
+def test_a_level_reads_only_the_buckets_it_meets(spark):
+    """A chain with links back: each level has one new URL, and known ones in at most two of the buckets; URLs that no filter knows read nothing."""
+    from pagequarry.operators.visited import Visited
+
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "url string")
+    visited = Visited(spark, 64)
+    first = [f"u{i}" for i in range(500)]
+    assert visited.add(frame(first).withColumn("depth", F.lit(0).cast("long"))) == 500
+    assert {r["url"] for r in visited.new(frame(["v1", "v2", "v2", None])).collect()} == {"v1", "v2"}
+    assert {r["url"] for r in visited.new(frame(["u3", "v1", "u400", "v9"])).collect()} == {"v1", "v9"}
+    assert len(visited.met[0]) <= 1 and 1 <= len(visited.met[1]) <= 3
+    visited.add(frame(["v1", "v9"]).withColumn("depth", F.lit(1).cast("long")))
+    assert {r["url"] for r in visited.new(frame(["v1", "u7", "w"])).collect()} == {"w"}
+    assert visited.add(frame([]).withColumn("depth", F.lit(2).cast("long"))) == 0
+    assert {r["url"] for r in visited.new(frame([*first, "v9", "x"])).collect()} == {"x"}
+    assert visited.rows().count() == 502
+
+
+def test_crawl_keeps_one_row_of_a_url(spark):
+    from pagequarry.operators import crawl
+
+    web = {"http://a/1": '<a href="/2">x</a><a href="/3">x</a>', "http://a/2": '<a href="/4?q">x</a><a href="/1">x</a>', "http://a/4": '<a href="/5#f">x</a>', "http://a/5": "end"}
+    rows = spark.createDataFrame([(u, h) for u, h in web.items() for _ in range(2)], "url string, html string")
+    seeds, policies = spark.createDataFrame([("http://a/1",), ("http://a/1?x",), (None,)], "url string"), spark.createDataFrame([("a", True)], "domain string, allowed boolean")
+    load = lambda wanted: rows.join(wanted, "url", "left_semi")
+    got = sorted((r["url"], r["depth"], r["html"] is not None) for r in crawl.recursive(seeds, load, policies).collect())
+    assert got == [("http://a/1", 0, True), ("http://a/2", 1, True), ("http://a/3", 1, False), ("http://a/4", 2, True), ("http://a/5", 3, True)]
+    assert crawl.recursive(seeds, load, policies, max_pages=3).count() == 3
 
 
 def test_page_hierarchy_fixture():
