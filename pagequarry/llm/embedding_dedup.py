@@ -87,13 +87,14 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
 
     Two vectors link when their labels are equal and not null and their cosine in double precision is at least `threshold`.  Vectors that are null, empty, zero or
     hold null or non-finite components, and vectors with a null label or id, link with nothing.  Equal vectors of one label are one representative with a weight.  Rows that
-    repeat a vec_id are one vector (the smallest).  The rotation is fitted on at most about max_sample vectors, all are indexed.  Every pair that meets in a
+    repeat a vec_id are one vector (the smallest); each row without an id stays, alone and kept, with a null component_id.  The rotation is fitted on at most about max_sample vectors, all are indexed.  Every pair that meets in a
     bucket is decided exactly; pairs that meet in none are not found, and recall against brute force is measured in the tests.  bits and tables follow from the
     number of vectors (`layout`) unless they are given.  Empty input: empty result.
     """
     x = F.col("embedding")
     fine = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
-    all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.transform(x, lambda v: v.cast("double")).alias("embedding"))
+    nameless = vectors.filter("vec_id IS NULL").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    all_rows = vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.transform(x, lambda v: v.cast("double")).alias("embedding"))
     all_rows = all_rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     rows = materialise(all_rows)
     usable = rows.filter(F.coalesce(fine, F.lit(False)))
@@ -225,7 +226,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.98, max_sample
     named = salted_lookup(usable.select("vec_id", "label", "embedding"), copies, ["label", "embedding"], "vec_id").select("vec_id", F.coalesce("rep", "vec_id").alias("rep"))
     result = rows.select("vec_id").join(named.join(told, "rep").drop("rep"), "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")).unionByName(nameless)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:

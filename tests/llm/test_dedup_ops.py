@@ -259,8 +259,11 @@ def test_embedding_dedup(spark):
     links = [(a, b) for a in ids for b in ids if a < b and good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.linalg.norm(good[a][0]) / np.linalg.norm(good[b][0]) >= 0.98]
     want = union_find(sorted({i for i, *_ in rows if i is not None}), links)
     degree = {i: sum(i in x for x in links) for i in want}
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_components(vector_frame(spark, rows), block_rows=64).collect()}
-    assert set(got) - {None} == set(want)
+    rows += [(None, None, None), (None, rows[5][1], 1)]
+    told = embedding_dedup.embedding_components(vector_frame(spark, rows), block_rows=64).collect()
+    assert [tuple(r) for r in told if r["vec_id"] is None] == [(None, 0, None, True)] * 3
+    got = {r["vec_id"]: r for r in told if r["vec_id"] is not None}
+    assert len(got) == len(told) - 3 and set(got) == set(want)
     assert sum(r["n_links"] for r in got.values()) >= 0.97 * sum(degree.values()) > 0
     assert all(got[i]["n_links"] <= degree[i] for i in want)
     assert sum(got[i]["component_id"] != want[i] for i in want) <= 0.01 * len(want)
