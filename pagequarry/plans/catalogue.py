@@ -515,6 +515,13 @@ def keyword_overlap_pairs(spark, sf_dir):
     return related.overlap_pairs(parsed(spark, sf_dir))
 
 
+@register(f"""WITH {P}, {SETS}, S AS (SELECT list_sort(keys) AS keys, count(*) AS pages FROM K WHERE len(keys) >= 2 GROUP BY 1),
+M AS (SELECT a.keys, a.pages, CAST(sum(b.pages) - 1 AS BIGINT) AS linked FROM S a JOIN S b ON len(list_intersect(a.keys, b.keys)) >= 2 GROUP BY ALL) SELECT array_to_string(keys, ',') AS keywords, pages, linked FROM M""")
+def keyword_overlap_classes(spark, sf_dir):
+    """JN-02, SET-04, AGG-16: classes of equal keyword sets, their pages, and the other pages that each of these shares two keywords with."""
+    return related.overlap_links(parsed(spark, sf_dir)).select(F.array_join("keywords", ",").alias("keywords"), "pages", "linked")
+
+
 CROSS = f"""{SETS}, X AS (SELECT a.url AS src, b.url AS dst, CASE WHEN contains(lower(a.content || ' '), lower(b.url)) THEN 'explicit_link' WHEN b.title <> '' AND contains(lower(a.content || ' '), lower(b.title)) THEN 'mentions'
   WHEN len(list_intersect(a.keys, b.keys)) >= 2 THEN 'related_topic' END AS type FROM K a JOIN K b ON a.url <> b.url),
 Y AS (SELECT src, dst, type, CASE type WHEN 'explicit_link' THEN 1.0::DOUBLE WHEN 'mentions' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM X WHERE type IS NOT NULL)"""
@@ -799,6 +806,21 @@ def latency_histogram(spark, sf_dir):
     return metrics.histogram(events(spark, sf_dir), ["event_type"], col("value")).withColumn("le", F.when(col("le") == float("inf"), 1e300).otherwise(col("le")))
 
 
+@register(f"""WITH H AS (SELECT event_type, ts, value, user_id, {OK} AS ok, unnest(range(24)) AS i FROM events), W AS (SELECT event_type, date_trunc('hour', ts) - INTERVAL '1 hour' * i AS start, value, user_id, ok FROM H),
+A AS (SELECT event_type, start, count(*) AS n, count(*) FILTER (NOT ok) AS failed, count(DISTINCT user_id) AS members, quantile_disc(value, 0.92) AS low, quantile_disc(value, 0.98) AS high FROM W GROUP BY ALL)
+SELECT event_type, start, n, failed, true AS distinct_near, true AS p95_near FROM A""")
+def slo_sketches(spark, sf_dir):
+    """AGG-22 to AGG-24: daily windows each hour from sketches kept by hour; what is estimated is held to the exact answer (within 5 %, and between the ranks 0.92 and 0.98)."""
+    e = events(spark, sf_dir)
+    hourly = ranking.written(metrics.sketched(e, "ts", ["event_type"], ok(), "value", "user_id"))
+    daily = metrics.read_sketches(metrics.rolled(hourly, ["event_type"], "1 day", "1 hour"), ["event_type"], {"p95": 0.95}).withColumn("failed", F.round(col("ratio") * col("n")).cast("long"))
+    w = F.window("ts", "1 day", "1 hour")
+    exact = e.groupBy(w.alias("w"), "event_type").agg(F.count_distinct("user_id").alias("members"), F.expr("percentile_disc(0.92) WITHIN GROUP (ORDER BY value)").alias("low"), F.expr("percentile_disc(0.98) WITHIN GROUP (ORDER BY value)").alias("high"))
+    both = daily.join(exact.select("event_type", col("w.start").alias("start"), "members", "low", "high"), ["event_type", "start"])
+    near = F.abs(col("distinct") - col("members")) <= F.greatest(F.lit(1.0), 0.05 * col("members"))
+    return both.select("event_type", col("start").cast("timestamp_ntz").alias("start"), "n", "failed", near.alias("distinct_near"), col("p95").between(col("low"), col("high")).alias("p95_near"))
+
+
 @register(f"SELECT event_type, count(DISTINCT {K}) AS n_labels, count(DISTINCT {K}) > 99 AS exceeded FROM events GROUP BY 1")
 def label_cardinality(spark, sf_dir):
     """AGG-22."""

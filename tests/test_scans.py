@@ -80,3 +80,37 @@ def test_queries_in_ranges(spark, monkeypatch, name):
     monkeypatch.setattr(ranking, "MOST_ROWS", 0)
     differs, _, _ = compare(spark, connection(MEDIUM), catalogue.QUERIES[name], catalogue.SQL[name], MEDIUM)
     assert differs is None
+
+
+def test_sketches_merge(spark):
+    """Hours merged to days are as good as days; estimates hold their stated errors; nulls count in n only."""
+    rng = random.Random(7)
+    rows = [(f"2024-01-0{1 + i % 3} {i % 24:02}:10:00", i % 2, i % 5 != 0, rng.random() if i % 11 else None, f"m{rng.randint(0, 3000)}" if i % 13 else None) for i in range(20_000)]
+    frame = spark.createDataFrame([(*r[1:], r[0]) for r in rows], "k int, ok boolean, value double, member string, at string").withColumn("ts", F.to_timestamp("at"))
+    hourly = metrics.sketched(frame, "ts", ["k"], F.col("ok"), "value", "member")
+    got = {(r["k"], r["start"].day): r for r in metrics.read_sketches(metrics.rolled(hourly, ["k"], "1 day"), ["k"], {"p50": 0.5, "p95": 0.95}).collect()}
+    assert len(got) == 6
+    for (k, day), r in got.items():
+        own = [x for x in rows if x[1] == k and int(x[0][8:10]) == day]
+        values, members = sorted(x[3] for x in own if x[3] is not None), {x[4] for x in own if x[4]}
+        assert r["n"] == len(own) and r["ratio"] == sum(not x[2] for x in own) / len(own)
+        assert abs(r["distinct"] - len(members)) <= 0.06 * len(members)
+        assert values[int(0.47 * len(values))] <= r["p50"] <= values[int(0.53 * len(values))] and values[int(0.92 * len(values))] <= r["p95"] <= values[int(0.98 * len(values))]
+    nothing = frame.filter("value IS NULL").limit(3)
+    assert [r["p50"] for r in metrics.read_sketches(metrics.sketched(nothing, "ts", [], F.col("ok"), "value", "member"), [], {"p50": 0.5}).collect()] == [None] * nothing.select("ts").distinct().count()
+    # a length that is no multiple of the slide
+    odd = metrics.windowed_ratio(frame, "ts", F.col("ok"), "50 minutes", "20 minutes")
+    assert odd.agg(F.sum("n")).first()[0] == frame.select(F.window("ts", "50 minutes", "20 minutes")).count()
+
+
+def test_a_keyword_pair_on_many_pages_is_cut_into_tiles(spark):
+    from pagequarry.operators import related
+
+    rng = random.Random(9)
+    sets = [sorted({"hot", "pair", f"w{i}", *rng.sample(["a", "b", "c"], rng.randint(0, 2))}) for i in range(60)] + [sorted(rng.sample(["a", "b", "c", "d", "hot"], 3)) for _ in range(10)]
+    distinct = sorted({tuple(s) for s in sets})
+    classes = spark.createDataFrame([(list(s), sets.count(list(s))) for s in distinct], "keywords array<string>, pages long")
+    want = {(a, b, len(set(a) & set(b))) for a in distinct for b in distinct if len(set(a) & set(b)) >= 2}
+    for tile in (7, 512):
+        got = [(tuple(r["a"]), tuple(r["b"]), r["n"]) for r in related.overlapping_classes(classes, tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
