@@ -1,12 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter class has a random bipolar vector.  A letter trigram is the product (binding) of its letters'
+Every letter has a random bipolar vector, drawn from its code point, whatever its script.  A letter trigram is the product (binding) of its letters'
 vectors, each permuted by its place; a document is the sum (bundle) of its trigrams' vectors; a language's
 prototype is the bundle of its training documents.  A document gets the language whose prototype, less the mean of
 all prototypes, has the largest cosine with the document's vector less the same mean.
 
-Bundling is linear, so a document is kept as its distinct trigrams and their counts, and each worker makes
-the table of trigram vectors from the seed alone.  Training sends sums of counts; scoring is one narrow stage.
+Each worker keeps a table of the trigrams of a to z, made from the seed alone; those with other letters are bound when they are met.
+Bundling is linear, so training sends one sum of vectors a language; scoring is one narrow stage.
 """
 
 from __future__ import annotations
@@ -20,51 +20,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import bounded_batches, worker_state
+from pagequarry.llm.common import BYTE_BASE, TOKEN_BASE, U64, bounded_batches, materialise, mix, worker_state
 
-CLASSES = 40
+#: codes of the gap and of a to z
+BASIC = 27
+CODE_BITS = 21
 UNDETERMINED = "und"
 
 
-def letter_classes() -> np.ndarray:
-    """Code point -> class: 0 no letter, 1-26 a-z, the rest by a rule over the lower-case letter."""
+def letter_codes() -> np.ndarray:
+    """Code point -> code of its letter: 0 no letter, 1-26 a-z, any other the code point of the lower-case letter."""
 
     def make() -> np.ndarray:
-        out = np.zeros(0x110000, np.uint8)
+        out = np.zeros(0x110000, np.uint32)
         for c in range(0x33480):
             if unicodedata.category(chr(c))[0] == "L":
                 low = ord(chr(c).lower()[0])
-                out[c] = low - 96 if 97 <= low <= 122 else 27 + low % (CLASSES - 27)
+                out[c] = low - 96 if 97 <= low <= 122 else low
         return out
 
     return worker_state("languages", "letters", make)
 
 
+def letter_vectors(codes: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """int8 (letters, dims): random signs, a letter's from its code and the seed alone."""
+    words = np.arange(-(-dims // 64), dtype=U64) * U64(TOKEN_BASE)
+    bits = mix(mix(codes.astype(U64)[:, None] * U64(BYTE_BASE) + U64(seed)) + words)
+    return np.unpackbits(bits.view(np.uint8), axis=1, count=dims).astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+def bound(letters: np.ndarray, first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Vectors of trigrams whose letters are rows of `letters`, each permuted by its place."""
+    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
+
+
 def trigram_table(dims: int, seed: int) -> np.ndarray:
-    """int8 (CLASSES**3, dims): the bound vector of every trigram of classes."""
+    """int8 (BASIC**3, dims): the bound vectors of the trigrams of a to z and gaps."""
 
     def make() -> np.ndarray:
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (CLASSES, dims))
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        return (first[:, None, None] * second[None, :, None] * letters[None, None]).reshape(-1, dims)
+        ids = np.arange(BASIC**3)
+        return bound(letter_vectors(np.arange(BASIC), dims, seed), ids // BASIC**2, ids // BASIC % BASIC, ids % BASIC)
 
     return worker_state("languages", (dims, seed), make)
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(distinct trigrams, counts, has a letter); runs of other characters count as one gap, the ends as gaps."""
+    """(distinct trigrams, their shares, has a letter): three codes of CODE_BITS bits each; runs of other characters count as one gap, the ends as gaps."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = letter_classes()[points]
-    if not cls.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), False
-    cls = np.concatenate([[0], cls, [0]]).astype(np.uint16)
-    keep = cls != 0
-    keep[1:] |= cls[:-1] != 0
+    codes = letter_codes()[points]
+    if not codes.any():
+        return np.zeros(0, U64), np.zeros(0, np.float32), False
+    codes = np.concatenate([[0], codes, [0]]).astype(U64)
+    keep = codes != 0
+    keep[1:] |= codes[:-1] != 0
     keep[0] = True
-    cls = cls[keep]
-    ids = np.sort(cls[:-2] * np.uint16(CLASSES * CLASSES) + cls[1:-1] * np.uint16(CLASSES) + cls[2:])
+    codes = codes[keep]
+    ids = np.sort((codes[:-2] << U64(2 * CODE_BITS)) | (codes[1:-1] << U64(CODE_BITS)) | codes[2:])
     new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[new].astype(np.int64), np.diff(np.concatenate([new, [len(ids)]])).astype(np.float32), True
+    return ids[new], (np.diff(np.concatenate([new, [len(ids)]])) / len(ids)).astype(np.float32), True
+
+
+def bundled(ids: np.ndarray, shares: np.ndarray, dims: int, seed: int, tile: int = 4096) -> np.ndarray:
+    """Sum of the trigrams' vectors by their shares."""
+    mask = U64((1 << CODE_BITS) - 1)
+    places = [(ids >> U64(s)).astype(U64) & mask for s in (2 * CODE_BITS, CODE_BITS, 0)]
+    places = [p.astype(np.int64) for p in places]
+    basic = np.maximum(np.maximum(*places[:2]), places[2]) < BASIC
+    x, y, z = (p[basic] for p in places)
+    out = shares[basic] @ trigram_table(dims, seed)[(x * BASIC + y) * BASIC + z].astype(np.float32)
+    others = np.flatnonzero(~basic)
+    for at in range(0, len(others), tile):
+        own = others[at : at + tile]
+        letters, rows = np.unique(np.concatenate([p[own] for p in places]), return_inverse=True)
+        out += shares[own] @ bound(letter_vectors(letters, dims, seed), *rows.reshape(3, -1)).astype(np.float32)
+    return out
 
 
 @dataclass(frozen=True)
@@ -83,47 +112,51 @@ class LanguageModel:
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """(label, cosine, has a letter)."""
-        ids, counts, letters = trigrams(text)
+        ids, shares, letters = trigrams(text)
         if not letters or not self.labels:
             return UNDETERMINED, 0.0, letters
-        vector = (counts / counts.sum()) @ trigram_table(self.dims, self.seed)[ids].astype(np.float32) - self.mean
+        vector = bundled(ids, shares, self.dims, self.seed) - self.mean
         norm = float(np.linalg.norm(vector))
         cosines = self.prototypes @ vector / (norm or 1.0)
         best = int(cosines.argmax())
         return self.labels[best], float(min(1.0, max(0.0, cosines[best]))), True
 
 
-def fit(labelled: DataFrame, max_rows_per_label: int = 4000, max_languages: int = 256, dims: int = 512, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, max_rows_per_label: int = 4000, max_rows: int = 1 << 16, dims: int = 512, seed: int = 7) -> LanguageModel:
     """Prototypes from text and lang of `labelled` (doc_id, text, lang); null langs and texts without letters are left out.
 
-    About max_rows_per_label rows of each language are used, chosen by a hash of doc_id, so a fit has a bounded cost;
-    the prototype is a mean over documents, which more rows would hardly move.  At most max_languages languages are learnt,
-    those with most rows (ties: the lesser name), so a column full of dirty values costs no more.
+    About max_rows_per_label rows of each language are used, and about max_rows in all, chosen by a hash of doc_id, so a fit has a bounded cost and the model a bounded size;
+    the prototype is a mean over documents, which more rows would hardly move.  Every language of the sample is learnt: where they are so many that max_rows
+    binds (dirty values), the share of rows falls alike for all.  Only the names of languages beyond max_rows_per_label rows and one vector a language and task come to the driver.
     """
     rows = bounded_batches(labelled).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros((0, dims), np.float32), np.zeros(dims, np.float32), dims, seed)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows_per_label / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
+    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    wanted = sizes.agg(F.sum(F.least("n", F.lit(max_rows_per_label)))).first()[0] or 0
+    whole = min(1.0, max_rows / max(1, wanted))
+    parts = {r["lang"]: whole * max_rows_per_label / r["n"] for r in sizes.filter(F.col("n") > max_rows_per_label).collect()}
+    share = F.coalesce(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")], F.lit(whole)) if parts else F.lit(whole)
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
+        sizes: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids, counts, letters = trigrams(text)
+                ids, shares, letters = trigrams(text)
                 if letters:
-                    total = sums.setdefault(lang, np.zeros(CLASSES**3))
-                    total[ids] += counts / counts.sum()
+                    sums.setdefault(lang, np.zeros(dims))
+                    sums[lang] += bundled(ids, shares, dims, seed)
+                    sizes[lang] = sizes.get(lang, 0) + 1
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(sizes.values(), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "n", "sums"])
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.select("lang", "text").repartition(8).mapInArrow(bundle, "lang string, sums binary").toLocalIterator():
+    count: dict[str, int] = {}
+    for r in chosen.select("lang", "text").repartition(8).mapInArrow(bundle, "lang string, n long, sums binary").toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["sums"], np.float64)
+        count[r["lang"]] = count.get(r["lang"], 0) + r["n"]
     labels = sorted(total)
-    table = trigram_table(dims, seed).astype(np.float32)
-    raw = np.array([(total[k] / total[k].sum()).astype(np.float32) @ table for k in labels]).reshape(len(labels), dims)
+    raw = np.array([total[k] / count[k] for k in labels], np.float32).reshape(len(labels), dims)
     mean = raw.mean(axis=0) if len(labels) > 1 else np.zeros(dims, np.float32)
     centred = raw - mean
     return LanguageModel(labels, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12), mean, dims, seed)
