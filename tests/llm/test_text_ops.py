@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagequarry.llm import html_text, langid, packing, queries, sentencepiece_op, toxicity
+from pagequarry.llm import common, html_text, langid, packing, queries, sentencepiece_op, toxicity
 from tests.conftest import MEDIUM
 
 EDGE = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (5, "the cat. The CAT, don't <|endoftext|> stop"), (None, "no id"), (7, "日本語 ὈΔΥΣΣΕΎΣ 🙂 é x\r\n" * 3), (8, "word " * 30_000), (9, "x" * 5000), (10, "<|ENDOFTEXT|> A.\tB, don't. É. 1a, ...")]
@@ -132,15 +132,19 @@ def test_language_profiles_against_plain_loops(spark):
     texts = [(1, "The cat, and the dog!", "en"), (2, "Of the house 12", "en"), (3, "der Hund und die Katze", "de"), (4, "über das Haus", "de"), (5, "el gato y el perro", "es"), (6, "??", "es"), (7, None, "es"), (8, "x", None)]
     labelled = spark.createDataFrame([(i, t, y) for i, t, y in texts], "doc_id long, text string, lang string")
     model = langid.fit(labelled, dims=64, seed=3)
-    letters = np.random.default_rng(3).choice(np.array([-1, 1], np.int8), (langid.CLASSES, 64)).astype(np.float64)
+    def vector(code):
+        # 64 signs: the bits of a mixed number, lowest byte first, highest bit of a byte first
+        mixed = mixed_number((mixed_number((code * common.BYTE_BASE + 3) & common.MASK)) & common.MASK)
+        return np.array([1.0 if byte >> k & 1 else -1.0 for byte in mixed.to_bytes(8, "little") for k in range(7, -1, -1)])
 
     def profile(text):
         classes = [0]
         for c in (text or "") + " ":
-            k = int(langid.letter_classes()[ord(c)])
+            low = c.lower()
+            k = 0 if not c.isalpha() else ord(low) - 96 if "a" <= low <= "z" else ord(low)
             if k or classes[-1]:
                 classes.append(k)
-        grams = [np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(classes, classes[1:], classes[2:])]
+        grams = [np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(classes, classes[1:], classes[2:])]
         return np.mean(grams, axis=0) if any(classes) else None
 
     raw = {y: np.mean([p for _, t, z in texts if z == y and (p := profile(t)) is not None], axis=0) for y in ("de", "en", "es")}
@@ -151,8 +155,41 @@ def test_language_profiles_against_plain_loops(spark):
         best = max(cosines, key=cosines.get)
         label, score = model.predict(text)
         assert label == best and score == pytest.approx(min(1, max(0, cosines[best])), abs=1e-4)
-    dirty = spark.createDataFrame([(i, f"word{i}", f"l{i % 7}") for i in range(70)] + [(99, "one", "z")], "doc_id long, text string, lang string")
-    assert langid.fit(dirty, max_languages=3, dims=8).labels == ["l0", "l1", "l2"]
+
+
+def test_every_language_of_the_sample_is_learnt(spark):
+    """No cap on languages; the rows that a fit reads are bounded in all and by language, for small languages and large ones alike."""
+    rows = [(i, f"word{chr(97 + i % 26)} {chr(97 + i // 26 % 26)}text", f"l{i % 400:03}") for i in range(2000)]
+    dirty = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(dirty, dims=64).labels == [f"l{i:03}" for i in range(400)]
+    assert 60 < len(langid.fit(dirty, max_rows=100, dims=64).labels) < 150
+    large = spark.createDataFrame([(i, "the cat", "en") for i in range(3000)] + [(5000 + i, "der Hund", "de") for i in range(5)], "doc_id long, text string, lang string")
+    assert langid.fit(large, max_rows_per_label=50, dims=64).labels == ["de", "en"]
+
+
+def test_letters_of_every_script_have_vectors_of_their_own(spark):
+    greek, cyrillic = [chr(c) for c in range(0x3B1, 0x3CA)], [chr(c) for c in range(0x430, 0x450)]
+    han, kana = [chr(c) for c in range(0x4E00, 0x4E40)], [chr(c) for c in range(0x3041, 0x3091)]
+    codes = langid.letter_codes()[[ord(c) for c in greek + cyrillic + han + kana]]
+    vectors = langid.letter_vectors(codes, 512, 7).astype(int)
+    apart = vectors @ vectors.T - 512 * np.eye(len(codes), dtype=int)
+    assert len(set(codes.tolist())) == len(codes) and np.abs(apart).max() < 200
+    rng = np.random.default_rng(2)
+    # two languages of one script differ only in how often they use its letters
+    kinds = {"el": (greek, 0), "ru": (cyrillic, 0), "bg": (cyrillic, 1), "zh": (han, 0), "ja": (kana, 0)}
+
+    def text(kind):
+        letters, turn = kinds[kind]
+        weight = np.roll(1 / np.arange(1, len(letters) + 1), turn * len(letters) // 2)
+        return " ".join("".join(rng.choice(letters, 5, p=weight / weight.sum())) for _ in range(40))
+
+    model = langid.fit(spark.createDataFrame([(i, text(k), k) for i, k in enumerate(list(kinds) * 20)], "doc_id long, text string, lang string"))
+    told = [(k, model.predict(text(k))[0]) for k in list(kinds) * 20]
+    assert sum(a == b for a, b in told) >= 98
+    # a text with very many unlike trigrams goes by tiles
+    ids, shares, _ = langid.trigrams("".join(rng.choice(han, 20_000)))
+    assert len(ids) > 8192
+    assert langid.bundled(ids, shares, 64, 7) == pytest.approx(langid.bundled(ids, shares, 64, 7, tile=1 << 20), abs=1e-4)
 
 
 def test_toxicity_gradients():
@@ -177,7 +214,7 @@ def test_toxicity_gradients():
 
     def loss():
         x, first = net.embedded(words, bounds)
-        z = np.concatenate([np.maximum.reduceat(r, first, axis=0) for r in net.responses(x)], axis=1) @ net.weights + net.bias
+        z = np.concatenate([toxicity.maxima(r, first, np.diff(bounds) + 1) for r in net.responses(x)], axis=1) @ net.weights + net.bias
         squares = sum((f * f).sum() for f in net.filters) + (net.weights**2).sum()
         return np.mean(np.log1p(np.exp(z)) - y * z) + decay / 2 * squares
 
@@ -200,6 +237,75 @@ def test_toxicity_gradients():
     assert bias == pytest.approx((up - loss()) / 2e-6, abs=1e-5)
 
 
+def mixed_number(h):
+    """The 64-bit finaliser with plain integers."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & common.MASK
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & common.MASK
+    return h ^ h >> 31
+
+
+def test_toxicity_scores_against_plain_loops(spark):
+    """Words, their hashes, windows, maxima, logistic layer and thresholds, word by word; tiles and long texts alike."""
+    rng = np.random.default_rng(4)
+    bits, dims, filters = 6, 3, 4
+    net = toxicity.Network.fresh(bits, dims, filters, 9)
+    net.tables = rng.normal(size=net.tables.shape).astype(np.float32)
+    net.biases = [rng.normal(size=filters).astype(np.float32) for _ in toxicity.WIDTHS]
+    net.bias = 0.3
+
+    def row(word):
+        size = len(word)
+        h = mixed_number((int.from_bytes(word[:8], "little") + size * common.TOKEN_BASE) & common.MASK)
+        for lane in range(8, size, 8):
+            h = mixed_number(((h ^ int.from_bytes(word[lane : lane + 8], "little")) * common.BYTE_BASE + lane) & common.MASK)
+        return h & ((1 << bits) - 1)
+
+    def logit(text):
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+        vectors = [np.concatenate([net.tables[t][row(w[:n])] for t, n in enumerate((len(w), *toxicity.STEMS))]).astype(float) for w in words]
+        vectors += [np.zeros(toxicity.TABLES * dims)] * toxicity.PAD
+        z, f = net.bias, 0
+        for width, matrix, bias in zip(toxicity.WIDTHS, net.filters, net.biases, strict=True):
+            for k in range(filters):
+                best = 0.0
+                for at in range(len(words) + 1):
+                    window = np.concatenate(vectors[at : at + width])
+                    best = max(best, bias[k] + float(window @ matrix[: len(window), k]))
+                z += best * net.weights[f]
+                f += 1
+        return z
+
+    texts = ["You VILE thing, you!", "", None, "?!", "a", "über straße naïve words-with-marks and 123abc", "incomprehensibilities " * 3 + "antidisestablishmentarianism", " ".join(rng.choice(["one", "two", "Three", "fourteen", "xylophonist"], 60))]
+    want = [logit(t) for t in texts]
+    rows, bounds = toxicity.table_rows(pa.array(texts, pa.string()), bits)
+    assert net.logits(rows, bounds) == pytest.approx(want, abs=1e-4)
+    for tile in (1, 4, 6, 16):
+        assert net.pooled(rows, bounds, tile) @ net.weights + net.bias == pytest.approx(want, abs=1e-4)
+    model = toxicity.ToxicityModel(net, langid.fit(frame(spark, [])), {}, 0.7)
+    assert model.score(pa.array(texts, pa.string())) == pytest.approx([1 / (1 + np.exp(0.7 - z)) for z in want], abs=1e-5)
+
+    def f1(cut, logits, labels):
+        hits = sum(y for z, y in zip(logits, labels, strict=True) if z > cut)
+        return 2 * hits / (sum(z > cut for z in logits) + sum(labels))
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        labels = np.array([0, 1, *rng.integers(0, 2, 20)])
+        logits = rng.permutation(22) + labels * 6.0 + np.arange(22) / 100
+        cut = toxicity.best_threshold(logits, labels)
+        assert f1(cut, logits, labels) == pytest.approx(max(f1(c, logits, labels) for c in [logits.min() - 1, *logits[:-1]] if (logits > c).any()))
+
+
+def test_toxicity_from_very_few_labels(spark):
+    """Thresholds come from documents of both classes, however few there are."""
+    for toxic, clean in ((1, 1), (1, 12), (6, 1), (2, 2)):
+        rows = [(i, f"vile vile vile rotten number{i}") for i in range(toxic)] + [(100 + i, f"a kind and gentle word{i}") for i in range(clean)]
+        labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+        model = toxicity.fit(frame(spark, rows), labels, bits=10)
+        told = model.score(pa.array(["vile vile vile rotten"] * 3 + ["a kind and gentle"] * 3, pa.string())) >= 0.5
+        assert told.tolist() == [True] * 3 + [False] * 3, (toxic, clean)
+
+
 def test_toxicity_thresholds_differ_by_language(spark):
     """A text is judged by the threshold of the language it is recognised as."""
     model = toxicity.ToxicityModel(
