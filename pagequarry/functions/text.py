@@ -72,9 +72,14 @@ def tokens(content: Column) -> Column:
 
 
 def common_lines(a: Column, b: Column) -> Column:
-    """TXT-09: trimmed lines of a beyond ten bytes that b has as well, in a's order, repeats kept."""
+    """TXT-09: trimmed lines of a beyond ten bytes that b has as well, in a's order, repeats kept.
+
+    What both have is found once, by hashes, and bound to a name: an expression within a lambda is evaluated for each line.
+    """
     lines = lambda t: F.transform(F.split(trimmed(t), "\n"), trimmed)
-    return F.array_join(F.filter(lines(a), lambda x: (F.octet_length(x) > 10) & F.array_contains(lines(b), x)), "\n")
+    both = F.filter(F.array_intersect(lines(a), lines(b)), lambda x: F.octet_length(x) > 10)
+    kept = F.transform(F.array(both), lambda common: F.when(F.size(common) > 0, F.filter(lines(a), lambda x: F.array_contains(common, x))).when(common.isNotNull(), common))
+    return F.array_join(F.element_at(kept, 1), "\n")
 
 
 def title_keywords(title: Column) -> Column:

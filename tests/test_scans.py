@@ -114,3 +114,18 @@ def test_a_keyword_pair_on_many_pages_is_cut_into_tiles(spark):
     for tile in (7, 512):
         got = [(tuple(r["a"]), tuple(r["b"]), r["n"]) for r in related.overlapping_classes(classes, tile).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_common_lines_of_long_texts(spark):
+    """The other text is cut into lines once, not once for each line."""
+    import time
+
+    from pagequarry.functions import text
+
+    a = [f"line number {n}" for n in range(12_000)]
+    b = [f"  line number {n}\t" for n in range(6_000, 18_000)] + ["short"]
+    rows = [("\n".join(["short", *a, a[7_000]]), "\n".join(b)), ("a line of one text", "a line of the other"), (None, "x"), ("x", None)]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(text.common_lines(F.col("a"), F.col("b"))).collect()]
+    assert got == ["\n".join([*a[6_000:], a[7_000]]), "", None, None]
+    assert time.time() - began < 30
