@@ -10,11 +10,12 @@ from pagequarry.functions import text
 PROCESSED = "page_id long, url string, title string, content string, markdown string, description string, author string, keywords array<string>, images array<string>, error string"
 
 
-def processed(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def processed(pages: DataFrame, keep: tuple[str, ...] = (), closed_only: bool = False) -> DataFrame:
     """page_id, url, title, content, markdown, description, author, keywords, images, error, word_count, validation of every page (page_id, url, html), and its `keep` columns.
 
     Boilerplate goes, links become absolute, the main content is taken and rendered; metadata is read from the raw page, images from the content: all
     from one tree.  A page that is empty, starts with `<<` or cannot be processed is an error row; nothing is dropped.
+    closed_only: character references without a semicolon stay as text (see dom.parse).
     """
     from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ def processed(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                     row["error"] = "empty content" if not html else "malformed content"
                 else:
                     try:
-                        page = dom.page(html, url or "")
+                        page = dom.page(html, url or "", closed_only=closed_only)
                         row |= {k: page[k] for k in ("title", "description", "author", "keywords", "content", "markdown", "images")}
                     except Exception as e:  # noqa: BLE001 - a page that breaks the reader is its own row's error
                         row["error"] = f"processing failed: {type(e).__name__}: {e}"

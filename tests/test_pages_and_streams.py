@@ -175,3 +175,23 @@ def test_event_windows_stream(spark, tmp_path):
     query = flow.event_windows(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("windows").groupBy().sum("n").first()[0] == 1000
+
+
+def test_processed_pages_keep_cut_references(spark, tmp_path):
+    """A title that was cut within a reference: the query says what its SQL says, the operator what a browser shows."""
+    import duckdb
+
+    from pagequarry.operators import process
+    from pagequarry.plans import catalogue
+
+    titles = ["Salt &amp; pepper &amp", "A &lt b &#39;c&#39; &am", "x &amp;lt; y & z &#39", "&quot;q&quot;&"]
+    rows = [(i, f"https://e.org/{i}", f'<html><head><title>{t}</title></head><body><article><p>one <a href="/x?a=1&copy=2">two</a></p></article></body></html>') for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalogue.QUERIES["processed_pages"](spark, str(tmp_path))
+    want = con.execute(f"SELECT page_id, title, word_count FROM ({catalogue.SQL['processed_pages']}) ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in got.select("page_id", "title", "word_count").orderBy("page_id").collect()] == want
+    assert want[0][1] == "Salt & pepper &amp"
+    shown = process.processed(spark.createDataFrame(rows[:1], "page_id long, url string, html string")).first()
+    assert shown["title"] == "Salt & pepper &"
