@@ -80,7 +80,7 @@ def _seconds(length: str) -> int:
     return int(n) * UNITS[unit.rstrip("s")]
 
 
-def sketched(df: DataFrame, ts: str, keys: list[str], ok: Column, value: str, member: str, step: str = "1 hour", precision: int = 12, k: int = 200) -> DataFrame:
+def sketched(df: DataFrame, ts: str, keys: list[str], ok: Column, value: str, member: str, step: str = "1 hour", precision: int = 14, k: int = 200) -> DataFrame:
     """AGG-22 to AGG-24 kept by step: keys, start, n, failed, members (a HyperLogLog sketch), values (a KLL sketch).
 
     A step's row has a bounded size whatever its events, and rows merge (`rolled`), so a table of them is kept and added to as events come in.  Relative

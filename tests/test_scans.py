@@ -129,3 +129,12 @@ def test_common_lines_of_long_texts(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(text.common_lines(F.col("a"), F.col("b"))).collect()]
     assert got == ["\n".join([*a[6_000:], a[7_000]]), "", None, None]
     assert time.time() - began < 30
+
+
+def test_rolled_members_within_five_percent(spark):
+    """40,000 members in each of 75 groups, merged from four hours: slo_sketches promises 5 % for some thousands of windows, so the worst of few must stay well within."""
+    rows = spark.range(0, 3_000_000, numPartitions=8).select((F.col("id") % 75).alias("g"), F.col("id").alias("m"), F.timestamp_seconds(F.col("id") % 4 * 3600).alias("ts"), F.lit(1.0).alias("v"))
+    hourly = metrics.sketched(rows, "ts", ["g"], F.lit(True), "v", "m")
+    got = metrics.read_sketches(metrics.rolled(hourly, ["g"], "1 day"), ["g"], {"p95": 0.95})
+    worst = got.agg(F.count("*"), F.max(F.abs(F.col("distinct") / 40_000 - 1))).first()
+    assert worst[0] == 75 and worst[1] < 0.03, worst
