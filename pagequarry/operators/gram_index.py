@@ -211,6 +211,8 @@ class GramIndex:
         queries: query_id, terms (lower-case strings; one that occurs twice counts twice).  Postings are read in layers of falling value.  A block's bound is the sum over the terms of the least value of its grams, or of the
         layer's floor where a gram has not come up yet.  Blocks are scored by falling bound; a query is done when the floor, for all its terms, is no more than its k-th score.
         """
+        # what grows with queries or blocks is merged: its files are far smaller than its rows (repeated queries), and a broadcast chosen by file size would bring the rows to the driver
+        merged = lambda df: df.hint("merge")
         # bounds add what scores multiply: rounding must not bring a bound below a score
         slack = 1.0 + 1e-9
         terms = queries.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
@@ -222,21 +224,21 @@ class GramIndex:
         ranks = Window.partitionBy("query_id").orderBy(F.desc("score"), *tie)
         top = scored = None
         for floor in floors:
-            asked = terms.join(open_.select("query_id"), "query_id", "left_semi").select("term").distinct().join(probes, "term").select("term", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+            asked = terms.join(merged(open_.select("query_id")), "query_id", "left_semi").select("term").distinct().join(merged(probes), "term").select("term", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
             layer = asked.join(self.postings.filter(F.col("best") >= floor), "gram").groupBy("term", "n", "block").agg(F.count("*").alias("have"), F.min("best").alias("least"))
             layer = layer.filter("have = n") if floor == 0 else layer
             most = F.when(F.col("have") == F.col("n"), F.col("least")).otherwise(F.lit(floor))
-            bounds = terms.join(layer.select("term", "block", most.alias("most")), "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("times")).alias("sum"), F.sum("times").alias("seen"))
-            bounds = bounds.join(open_, "query_id").select("query_id", "block", ((F.col("sum") + (F.col("n_terms") - F.col("seen")) * floor) * slack).alias("bound"))
+            bounds = merged(terms).join(layer.select("term", "block", most.alias("most")), "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * F.col("times")).alias("sum"), F.sum("times").alias("seen"))
+            bounds = bounds.join(merged(open_), "query_id").select("query_id", "block", ((F.col("sum") + (F.col("n_terms") - F.col("seen")) * floor) * slack).alias("bound"))
             bounds, step = written(bounds), batch
             while True:
-                rest = bounds if scored is None else bounds.join(scored, ["query_id", "block"], "left_anti")
-                rest = rest.join(open_.select("query_id", "theta"), "query_id").filter("bound >= theta")
+                rest = bounds if scored is None else bounds.join(merged(scored), ["query_id", "block"], "left_anti")
+                rest = rest.join(merged(open_.select("query_id", "theta")), "query_id").filter("bound >= theta")
                 chosen = written(rest.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("_n") <= step).select("query_id", "block"))
                 if not chosen.limit(1).count():
                     break
                 scored = chosen if scored is None else scored.unionByName(chosen)
-                hits = chosen.join(self.rows, "block").join(queries.select("query_id", "terms"), "query_id").filter(F.exists("terms", lambda t: F.contains("low", t))).withColumn("score", self.score())
+                hits = merged(chosen).join(self.rows, "block").join(merged(queries.select("query_id", "terms")), "query_id").filter(F.exists("terms", lambda t: F.contains("low", t))).withColumn("score", self.score())
                 hits = hits.select("query_id", "score", *columns)
                 hits = hits if top is None else hits.unionByName(top)
                 top = written(hits.withColumn("_n", F.row_number().over(ranks)).filter(F.col("_n") <= k).drop("_n"))
@@ -258,5 +260,5 @@ class GramIndex:
     def _thresholds(open_: DataFrame, top: DataFrame, k: int) -> DataFrame:
         """The k-th score of each query that has k hits."""
         full = top.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("kth")).filter(F.col("hits") >= k)
-        rows = open_.join(full, "query_id", "left")
+        rows = open_.join(full.hint("merge"), "query_id", "left")
         return written(rows.select("query_id", "n_terms", F.coalesce("kth", "theta").alias("theta")))
