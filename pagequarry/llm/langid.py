@@ -6,13 +6,15 @@ prototype is the bundle of its training documents.  A document gets the language
 all prototypes, has the largest cosine with the document's vector less the same mean.
 
 Each worker keeps a table of the trigrams of a to z, made from the seed alone; those with other letters are bound when they are met.
-Bundling is linear, so training sends one sum of vectors a language; scoring is one narrow stage.
+Bundling is linear, so training sends one sum of vectors a language and task; scoring is one narrow stage.
 """
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.llm.common import BYTE_BASE, TOKEN_BASE, U64, bounded_batches, materialise, mix, worker_state
+from pagequarry.llm.common import BYTE_BASE, TOKEN_BASE, U64, bounded_batches, materialise, mix, slices, worker_state
 
 #: codes of the gap and of a to z
 BASIC = 27
@@ -96,6 +98,31 @@ def bundled(ids: np.ndarray, shares: np.ndarray, dims: int, seed: int, tile: int
     return out
 
 
+def text_trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(trigrams of all texts in their order, codes of those beyond a to z, trigrams of each text): as trigrams() has them, but not counted; a text without a letter has none.
+
+    A trigram is a row of trigram_table, or BASIC**3 and more for the codes beyond.
+    """
+    parts = [(x or "").encode("utf-32-le", "surrogatepass") for x in texts]
+    # a gap before all texts and one behind each
+    codes = np.concatenate([[0], letter_codes()[np.frombuffer(b"".join(x + b"\0\0\0\0" for x in parts), np.uint32)]]).astype(np.int32)
+    owner = np.concatenate([[0], np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) // 4 + 1 for x in parts])])
+    keep = codes != 0
+    keep[1:] |= codes[:-1] != 0
+    keep[0] = True
+    codes, owner = codes[keep], owner[keep]
+    # a gap between two texts is the end of one and the start of the other, and in the middle of none
+    at = np.flatnonzero((codes[1:-1] != 0) | (owner[:-2] == owner[2:]))
+    first, second, third = codes[at], codes[at + 1], codes[at + 2]
+    rows, others = (first * np.int32(BASIC) + second) * np.int32(BASIC) + third, np.zeros(0, U64)
+    if len(codes) and codes.max() >= BASIC:
+        beyond = np.flatnonzero(np.maximum(np.maximum(first, second), third) >= BASIC)
+        x, y, z = (c[beyond].astype(U64) for c in (first, second, third))
+        others, which = np.unique((x << U64(2 * CODE_BITS)) | (y << U64(CODE_BITS)) | z, return_inverse=True)
+        rows[beyond] = BASIC**3 + which
+    return rows, others, np.bincount(owner[at + 1], minlength=len(parts))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Labels and their prototypes (rows of unit length, less the mean), that mean, and how to make the vectors again."""
@@ -121,38 +148,87 @@ class LanguageModel:
         best = int(cosines.argmax())
         return self.labels[best], float(min(1.0, max(0.0, cosines[best]))), True
 
+    @cached_property
+    def projections(self) -> np.ndarray:
+        """(BASIC**3, labels): prototypes times the vectors of the trigrams of a to z."""
+        return (trigram_table(self.dims, self.seed).astype(np.float32) @ self.prototypes.T).astype(np.float64)
+
+    def names(self, texts: list[str | None], most: int = 1 << 18) -> list[str]:
+        """predict()'s labels of many texts, about `most` characters at once: a text's cosines have its norm in common, so the prototypes' products with its trigrams decide."""
+        block = np.cumsum([0, *(len(x or "") for x in texts)])[:-1] // most
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        return [x for s, e in itertools.pairwise(cuts) for x in self._names(texts[s:e])]
+
+    def _names(self, texts: list[str | None]) -> list[str]:
+        rows, others, sizes = text_trigrams(texts)
+        if not self.labels or not len(rows):
+            return [UNDETERMINED] * len(texts)
+        table = [self.projections]
+        for at in range(0, len(others), 4096):
+            letters, places = np.unique(np.stack([others[at : at + 4096] >> U64(s) & U64((1 << CODE_BITS) - 1) for s in (2 * CODE_BITS, CODE_BITS, 0)]), return_inverse=True)
+            table.append(bound(letter_vectors(letters, self.dims, self.seed), *places.reshape(3, -1)).astype(np.float32) @ self.prototypes.T)
+        there = np.flatnonzero(sizes)
+        products = (np.concatenate(table) if len(others) else self.projections).take(rows, axis=0)
+        scores = np.add.reduceat(products, np.cumsum(sizes)[there] - sizes[there], axis=0) / sizes[there, None] - self.prototypes @ self.mean
+        out = [UNDETERMINED] * len(texts)
+        for i, k in zip(there.tolist(), scores.argmax(axis=1).tolist(), strict=True):
+            out[i] = self.labels[k]
+        return out
+
 
-def fit(labelled: DataFrame, max_rows_per_label: int = 4000, max_rows: int = 1 << 16, dims: int = 512, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, max_rows_per_label: int | None = None, max_rows: int | None = None, dims: int = 512, seed: int = 7) -> LanguageModel:
     """Prototypes from text and lang of `labelled` (doc_id, text, lang); null langs and texts without letters are left out.
 
-    About max_rows_per_label rows of each language are used, and about max_rows in all, chosen by a hash of doc_id, so a fit has a bounded cost and the model a bounded size;
-    the prototype is a mean over documents, which more rows would hardly move.  Every language of the sample is learnt: where they are so many that max_rows
-    binds (dirty values), the share of rows falls alike for all.  Only the names of languages beyond max_rows_per_label rows and one vector a language and task come to the driver.
+    Every row is learnt from, unless bounds are given: then about max_rows_per_label rows of each language are used, and about max_rows in all, chosen by a hash of doc_id, and
+    where languages are so many that max_rows binds (dirty values), the share of rows falls alike for all.  Trigrams of one language are counted before their vectors are
+    bundled; sums are added up by a shuffle, and one vector a language comes to the driver.
     """
     rows = bounded_batches(labelled).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    wanted = sizes.agg(F.sum(F.least("n", F.lit(max_rows_per_label)))).first()[0] or 0
-    whole = min(1.0, max_rows / max(1, wanted))
-    parts = {r["lang"]: whole * max_rows_per_label / r["n"] for r in sizes.filter(F.col("n") > max_rows_per_label).collect()}
-    share = F.coalesce(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")], F.lit(whole)) if parts else F.lit(whole)
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    if max_rows_per_label is not None or max_rows is not None:
+        per_label, most = (F.lit(x if x is not None else (1 << 62)) for x in (max_rows_per_label, max_rows))
+        sizes = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")))
+        wanted = sizes.agg(F.sum(F.least("n", per_label))).first()[0] or 0
+        whole = min(1.0, max_rows / max(1, wanted)) if max_rows is not None else 1.0
+        parts = {r["lang"]: whole * max_rows_per_label / r["n"] for r in sizes.filter(F.col("n") > per_label).collect()}
+        share = F.coalesce(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")], F.lit(whole)) if parts else F.lit(whole)
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         sizes: dict[str, int] = {}
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids, shares, letters = trigrams(text)
-                if letters:
-                    sums.setdefault(lang, np.zeros(dims))
-                    sums[lang] += bundled(ids, shares, dims, seed)
-                    sizes[lang] = sizes.get(lang, 0) + 1
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                # texts of one language side by side
+                pairs = sorted(zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True), key=lambda p: p[0])
+                rows, others, lengths = text_trigrams([t for _, t in pairs])
+                shares = np.repeat(1 / np.maximum(lengths, 1), lengths)
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                for x, own in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][0]):
+                    own = list(own)
+                    s, e = ends[own[0]], ends[own[-1] + 1]
+                    if s < e:
+                        sums[x] = sums.get(x, 0) + counted(rows[s:e], others, shares[s:e], dims, seed)
+                        sizes[x] = sizes.get(x, 0) + int((lengths[own] > 0).sum())
+                if len(sums) > 1024:
+                    yield bundled_sums(sums, sizes)
+                    sums, sizes = {}, {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(sizes.values(), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "n", "sums"])
+            yield bundled_sums(sums, sizes)
+
+    def add(batches):
+        total: dict[str, np.ndarray] = {}
+        count: dict[str, int] = {}
+        for b in batches:
+            for lang, n, x in zip(*(b.column(c).to_pylist() for c in ("lang", "n", "sums")), strict=True):
+                total[lang] = total.get(lang, 0) + np.frombuffer(x, np.float64)
+                count[lang] = count.get(lang, 0) + n
+        if total:
+            yield bundled_sums(total, count)
 
     total: dict[str, np.ndarray] = {}
     count: dict[str, int] = {}
-    for r in chosen.select("lang", "text").repartition(8).mapInArrow(bundle, "lang string, n long, sums binary").toLocalIterator():
+    schema = "lang string, n long, sums binary"
+    for r in rows.select("lang", "text").mapInArrow(bundle, schema).repartition("lang").mapInArrow(add, schema).toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["sums"], np.float64)
         count[r["lang"]] = count.get(r["lang"], 0) + r["n"]
     labels = sorted(total)
@@ -162,6 +238,20 @@ def fit(labelled: DataFrame, max_rows_per_label: int = 4000, max_rows: int = 1 <
     return LanguageModel(labels, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12), mean, dims, seed)
 
 
+def counted(rows: np.ndarray, others: np.ndarray, shares: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Sum of the vectors of trigrams that repeat (see text_trigrams), by their shares."""
+    weights = np.bincount(rows, shares, BASIC**3)
+    there = np.flatnonzero(weights)
+    own = there[there < BASIC**3]
+    out = weights[own] @ trigram_table(dims, seed)[own].astype(np.float64)
+    more = there[len(own) :]
+    return out + bundled(others[more - BASIC**3], weights[more].astype(np.float32), dims, seed) if len(more) else out
+
+
+def bundled_sums(sums: dict[str, np.ndarray], sizes: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([sizes[x] for x in sums], pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "n", "sums"])
+
+
 def predict(docs: DataFrame, model: LanguageModel, letters: bool = False) -> DataFrame:
     """docs plus lang_pred and score, and has_letter with `letters`, from `text` alone; a clash with such columns of docs replaces them.
 

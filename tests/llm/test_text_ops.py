@@ -1,5 +1,6 @@
 """op1, op3, op5, op7 and op9 against brute force, round trips and held-out accuracy."""
 
+import copy
 import re
 import zlib
 
@@ -443,3 +444,85 @@ def test_html_query(spark):
     got = html_text.extract_pages(pages).collect()
     assert [r["text"] for r in got][1:] == ["", "x"]
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Documents beyond any bound of a sample are learnt from: each toxic word stands in a few long texts only, and each bundle has words of its own."""
+    rng = np.random.default_rng(3)
+    calm = [f"calm{i}" for i in range(50)]
+    rows = [(i, " ".join([*rng.choice(calm, 12), f"slur{i % 8}" * (i % 2)])) for i in range(1200)]
+    long = " ".join(rng.choice(calm, 200_000))
+    rows += [(2000 + i, f"{long} horrid {long[:50]}" if i % 2 else long) for i in range(4)] + [(7, "calm1 slur7 of another text")]
+    docs = frame(spark, [*rows, (None, "calm1"), (3000, None), (3001, "without a label")])
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1200), *range(2000, 2004), 3000]] + [(7, 0), (9, None), (None, 1)], "doc_id long, toxic int")
+    languages = langid.fit(docs)
+    packs = toxicity.bundles(docs, labels, languages, 10, 1 << 20).cache()
+    seen = list(toxicity.opened(packs.toArrow().to_batches()))
+    counts = packs.selectExpr("count(*) n", "sum(trained0 + held0) c0", "sum(trained1 + held1) c1", "sum(held0 + held1) held").first()
+    assert counts["n"] > 3 and (counts["c0"], counts["c1"]) == (602, 603)
+    assert 0.15 * 1205 < counts["held"] < 0.25 * 1205
+    want, bounds = toxicity.table_rows(pa.array([t for _, t in rows], pa.string()), 10)
+    whole = sorted(w[:, s:e].tobytes() for _, w, b, *_ in seen for s, e in zip(b, b[1:]))
+    assert whole == sorted(want[:, s:e].tobytes() for s, e in zip(bounds, bounds[1:]))
+    assert toxicity.bundles(docs, labels, languages, 10, 1 << 20, most_broadcast=0).agg({"words": "count"}).first()[0] == counts["n"]
+    # one round is the mean of the bundles' own passes
+    start = toxicity.Learner.of(toxicity.Network.fresh(10, 4, 3, 2))
+    got = copy.deepcopy(start)
+    toxicity.train_round(packs, got, False, 32, 0.1, 1e-5, [5, 0])
+    flats, tables, sizes, every = [], [], [], np.arange(start.table_sums.size)
+    for part, words, offsets, y, held, _ in seen:
+        own = copy.deepcopy(start)
+        own.pass_over(words, offsets, y.astype(np.float32), np.flatnonzero(~held), 32, 0.1, 1e-5, [5, 0, part])
+        flats.append(own.flat() - start.flat())
+        tables.append(own.rows(every) - start.rows(every))
+        sizes.append((~held).sum())
+    assert got.flat() == pytest.approx(start.flat() + np.average(flats, axis=0, weights=sizes), abs=1e-5)
+    changed = sum(n * t.any(axis=1) for n, t in zip(sizes, tables))
+    assert got.rows(every) == pytest.approx(start.rows(every) + sum(n * t for n, t in zip(sizes, tables)) / np.maximum(changed, 1)[:, None], abs=1e-5)
+    model = toxicity.fit(docs, labels, bits=12, bundle_bytes=1 << 20)
+    told = model.score(pa.array([*(f"calm1 slur{i} calm2" for i in (1, 3, 5, 7)), "calm3 calm4", "calm5"], pa.string())) >= 0.5
+    assert told.tolist() == [True] * 4 + [False] * 2
+
+
+def test_toxicity_gradients_by_tiles():
+    """Tiles, texts beyond one and empty texts give the gradients of whole texts."""
+    rng = np.random.default_rng(6)
+    net = toxicity.Network.fresh(6, 3, 4, 5)
+    sizes = [0, 40, 3, 0, 1, 17, 0]
+    words, bounds = rng.integers(0, 64, (toxicity.TABLES, sum(sizes))).astype(np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+    y = rng.integers(0, 2, len(sizes)).astype(np.float32)
+    dense, bias, touched, dx = toxicity.gradients(net, words, bounds, y, 0.01)
+    for tile in (1, 4, 16):
+        other = toxicity.gradients(net, words, bounds, y, 0.01, tile)
+        assert all(a == pytest.approx(b, abs=1e-6) for a, b in zip(dense, other[0])) and bias == pytest.approx(other[1], abs=1e-6)
+        assert touched.tolist() == other[2].tolist() and dx == pytest.approx(other[3], abs=1e-6)
+    empty = toxicity.gradients(net, words[:, :0], np.zeros(3, np.int64), y[:2], 0.0)
+    assert len(empty[2]) == 0 and all(np.isfinite(g).all() for g in empty[0])
+
+
+def test_toxicity_thresholds_of_all_rows(spark):
+    """Thresholds counted by bins and windows are those of all logits in one array; ties count together."""
+    rng = np.random.default_rng(8)
+    rows = [("en" if i % 3 else "de", float(np.float32(rng.normal() * 2 + (i % 2) * (1.5 if i % 3 else 4))), i % 2) for i in range(3000)] + [("fr", 1.0, 0), (None, 2.0, 1), ("xx", -5e9, 0)]
+    names, logits, labels = (np.array(x) for x in zip(*rows))
+    found, default = toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, logit double, toxic int"), 20)
+    assert set(found) == {"en", "de"} and default == pytest.approx(toxicity.best_threshold(logits, labels), abs=1e-5)
+    for name, cut in found.items():
+        assert cut == pytest.approx(toxicity.best_threshold(logits[names == name], labels[names == name]), abs=1e-5)
+    tied, one = toxicity.best_thresholds(spark.createDataFrame([("en", 1.0, y) for y in (1, 0, 1)] + [("en", 3.0, 1), ("en", -1.0, 0)], "lang string, logit double, toxic int"), 1)
+    assert one == tied["en"] == 0.0
+
+
+def test_language_profiles_learn_every_row_and_names_agree(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join("".join(rng.choice(list(a), 5)) for _ in range(6)) + " 12!?" * (i % 3), y) for i in range(300) for y, a in [(("x", "abcde"), ("y", "efghi"), ("z", "αβγδe"))[i % 3]]]
+    rows += [(400, None, "x"), (401, "", "y"), (402, " ?", "z"), (403, "abc", None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(labelled.repartition(5), dims=128)
+    vectors = {y: [langid.bundled(*langid.trigrams(t)[:2], 128, 7) for _, t, z in rows if z == y and langid.trigrams(t)[2]] for y in "xyz"}
+    raw = np.array([np.mean(v, axis=0) for v in vectors.values()])
+    assert model.mean == pytest.approx(raw.mean(axis=0), abs=1e-4)
+    texts = [t for _, t, _ in rows] + ["a", " e ", "é", "a\nb", "?a?", "\ud800"]
+    for most in (1, 100, 1 << 20):
+        assert model.names(texts, most) == [model.predict(t)[0] for t in texts]
+    assert langid.fit(frame(spark, [])).names(texts[:3]) == ["und"] * 3 and model.names([]) == []
