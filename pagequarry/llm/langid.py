@@ -103,24 +103,27 @@ def text_trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
 
     A trigram is a row of trigram_table, or BASIC**3 and more for the codes beyond.
     """
-    parts = [(x or "").encode("utf-32-le", "surrogatepass") for x in texts]
     # a gap before all texts and one behind each
-    codes = np.concatenate([[0], letter_codes()[np.frombuffer(b"".join(x + b"\0\0\0\0" for x in parts), np.uint32)]]).astype(np.int32)
-    owner = np.concatenate([[0], np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) // 4 + 1 for x in parts])])
+    points = np.frombuffer("\0".join(["", *(x or "" for x in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = letter_codes().take(points).view(np.int32)
     keep = codes != 0
-    keep[1:] |= codes[:-1] != 0
+    keep[1:] |= keep[:-1]
     keep[0] = True
-    codes, owner = codes[keep], owner[keep]
-    # a gap between two texts is the end of one and the start of the other, and in the middle of none
-    at = np.flatnonzero((codes[1:-1] != 0) | (owner[:-2] == owner[2:]))
-    first, second, third = codes[at], codes[at + 1], codes[at + 2]
+    kept = np.flatnonzero(keep)
+    codes = codes.take(kept)
+    # the gap that a text ends in is also where the next one starts, and the middle of no trigram
+    gaps = np.searchsorted(kept, np.cumsum([len(x or "") + 1 for x in texts]), side="right") - 1
+    inner = np.ones(max(0, len(codes) - 2), bool)
+    inner[gaps[(gaps > 0) & (gaps < len(codes) - 1)] - 1] = False
+    first, second, third = codes[:-2], codes[1:-1], codes[2:]
     rows, others = (first * np.int32(BASIC) + second) * np.int32(BASIC) + third, np.zeros(0, U64)
-    if len(codes) and codes.max() >= BASIC:
-        beyond = np.flatnonzero(np.maximum(np.maximum(first, second), third) >= BASIC)
-        x, y, z = (c[beyond].astype(U64) for c in (first, second, third))
+    beyond = codes >= BASIC
+    if beyond.any():
+        at = np.flatnonzero((beyond[:-2] | beyond[1:-1] | beyond[2:]) & inner)
+        x, y, z = (c[at].astype(U64) for c in (first, second, third))
         others, which = np.unique((x << U64(2 * CODE_BITS)) | (y << U64(CODE_BITS)) | z, return_inverse=True)
-        rows[beyond] = BASIC**3 + which
-    return rows, others, np.bincount(owner[at + 1], minlength=len(parts))
+        rows[at] = BASIC**3 + which
+    return rows[inner], others, np.maximum(np.diff(gaps, prepend=0) - 1, 0)
 
 
 @dataclass(frozen=True)
@@ -193,28 +196,6 @@ def fit(labelled: DataFrame, max_rows_per_label: int | None = None, max_rows: in
         share = F.coalesce(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("lang")], F.lit(whole)) if parts else F.lit(whole)
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
-    def bundle(batches):
-        sums: dict[str, np.ndarray] = {}
-        sizes: dict[str, int] = {}
-        for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
-                # texts of one language side by side
-                pairs = sorted(zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True), key=lambda p: p[0])
-                rows, others, lengths = text_trigrams([t for _, t in pairs])
-                shares = np.repeat(1 / np.maximum(lengths, 1), lengths)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                for x, own in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][0]):
-                    own = list(own)
-                    s, e = ends[own[0]], ends[own[-1] + 1]
-                    if s < e:
-                        sums[x] = sums.get(x, 0) + counted(rows[s:e], others, shares[s:e], dims, seed)
-                        sizes[x] = sizes.get(x, 0) + int((lengths[own] > 0).sum())
-                if len(sums) > 1024:
-                    yield bundled_sums(sums, sizes)
-                    sums, sizes = {}, {}
-        if sums:
-            yield bundled_sums(sums, sizes)
-
     def add(batches):
         total: dict[str, np.ndarray] = {}
         count: dict[str, int] = {}
@@ -228,7 +209,7 @@ def fit(labelled: DataFrame, max_rows_per_label: int | None = None, max_rows: in
     total: dict[str, np.ndarray] = {}
     count: dict[str, int] = {}
     schema = "lang string, n long, sums binary"
-    for r in rows.select("lang", "text").mapInArrow(bundle, schema).repartition("lang").mapInArrow(add, schema).toLocalIterator():
+    for r in rows.select("lang", "text").mapInArrow(lambda batches: text_sums(batches, dims, seed), schema).repartition("lang").mapInArrow(add, schema).toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["sums"], np.float64)
         count[r["lang"]] = count.get(r["lang"], 0) + r["n"]
     labels = sorted(total)
@@ -238,14 +219,55 @@ def fit(labelled: DataFrame, max_rows_per_label: int | None = None, max_rows: in
     return LanguageModel(labels, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12), mean, dims, seed)
 
 
-def counted(rows: np.ndarray, others: np.ndarray, shares: np.ndarray, dims: int, seed: int) -> np.ndarray:
-    """Sum of the vectors of trigrams that repeat (see text_trigrams), by their shares."""
-    weights = np.bincount(rows, shares, BASIC**3)
-    there = np.flatnonzero(weights)
-    own = there[there < BASIC**3]
-    out = weights[own] @ trigram_table(dims, seed)[own].astype(np.float64)
-    more = there[len(own) :]
-    return out + bundled(others[more - BASIC**3], weights[more].astype(np.float32), dims, seed) if len(more) else out
+def text_sums(batches, dims: int, seed: int, most: int = 1 << 20):
+    """(lang, texts, sum of their vectors) of batches (lang, text): a row for each language, and more where they are very many.
+
+    Trigrams are weighed first and become vectors once for each language, not for each slice; about `most` of those beyond a to z, and 64 languages, wait for it.
+    """
+    sums: dict[str, np.ndarray] = {}
+    sizes: dict[str, int] = {}
+    weights: dict[str, np.ndarray] = {}
+    others: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    waiting = 0
+    for whole in batches:
+        for b in slices(whole, "text", 1 << 19):
+            # texts of one language side by side
+            pairs = sorted(zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True), key=lambda p: p[0])
+            rows, ids, lengths = text_trigrams([t for _, t in pairs])
+            shares = np.repeat(1 / np.maximum(lengths, 1), lengths)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            for x, own in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][0]):
+                own = list(own)
+                s, e = ends[own[0]], ends[own[-1] + 1]
+                if s < e:
+                    basic, more = np.split(np.bincount(rows[s:e], shares[s:e], BASIC**3), [BASIC**3])
+                    weights[x] = weights[x] + basic if x in weights else basic
+                    there = np.flatnonzero(more)
+                    others.setdefault(x, []).append((ids[there], more[there]))
+                    waiting += len(there)
+                    sizes[x] = sizes.get(x, 0) + int((lengths[own] > 0).sum())
+                if len(weights) > 64 or waiting > most:
+                    settle(sums, weights, others, dims, seed)
+                    waiting = 0
+            if len(sums) > 1024:
+                settle(sums, weights, others, dims, seed)
+                yield bundled_sums(sums, sizes)
+                sums, sizes, waiting = {}, {}, 0
+    if sizes:
+        settle(sums, weights, others, dims, seed)
+        yield bundled_sums(sums, sizes)
+
+
+def settle(sums: dict[str, np.ndarray], weights: dict[str, np.ndarray], others: dict[str, list[tuple[np.ndarray, np.ndarray]]], dims: int, seed: int) -> None:
+    """Adds the vectors of each language's trigrams, by their weights, to its sum, and drops the weights."""
+    for x, own in weights.items():
+        there = np.flatnonzero(own)
+        sums[x] = sums.get(x, 0) + own[there] @ trigram_table(dims, seed)[there].astype(np.float64)
+        ids, which = np.unique(np.concatenate([i for i, _ in others[x]]), return_inverse=True)
+        if len(ids):
+            sums[x] += bundled(ids, np.bincount(which, np.concatenate([w for _, w in others[x]])).astype(np.float32), dims, seed)
+    weights.clear()
+    others.clear()
 
 
 def bundled_sums(sums: dict[str, np.ndarray], sizes: dict[str, int]) -> pa.RecordBatch:

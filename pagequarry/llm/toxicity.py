@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.llm import langid
-from pagequarry.llm.common import U64, bounded_batches, materialise, ranges, release, scratch_dir, slices, text_buffer, word_hashes
+from pagequarry.llm.common import U64, bounded_batches, materialise, release, scratch_dir, slices, text_buffer, word_hashes
 
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS)
+#: words whose windows are worked on together: their responses stay in a core's cache
+TILE = 1 << 13
 #: bytes of a word's stems
 STEMS = (4, 6)
 TABLES = 1 + len(STEMS)
@@ -79,7 +81,7 @@ class Network:
             -1.0,
         )
 
-    def pooled(self, words: np.ndarray, bounds: np.ndarray, tile: int = 1 << 16) -> np.ndarray:
+    def pooled(self, words: np.ndarray, bounds: np.ndarray, tile: int = TILE) -> np.ndarray:
         """(documents, filters of all widths): maxima over all windows, at least 0; a text is followed by empty words."""
         out = np.zeros((len(bounds) - 1, sum(b.shape[0] for b in self.biases)), np.float32)
         for at, to, s, e, starts in tiles(bounds, tile):
@@ -88,31 +90,49 @@ class Network:
 
     def embedded(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word vectors with PAD zero rows behind each document, first row of each document)."""
-        n, d = len(bounds) - 1, self.tables.shape[2]
+        n, (_, size, d) = len(bounds) - 1, self.tables.shape
+        first = bounds[:-1] + np.arange(n) * PAD
         place = np.arange(words.shape[1]) + np.repeat(np.arange(n), np.diff(bounds)) * PAD
-        x = np.zeros((words.shape[1] + n * PAD, TABLES * d), np.float32)
-        x[place] = np.concatenate([table.take(at, axis=0) for table, at in zip(self.tables, words, strict=True)], axis=1)
-        return x, bounds[:-1] + np.arange(n) * PAD
+        padded = np.zeros((TABLES, words.shape[1] + n * PAD), words.dtype)
+        padded[:, place] = words
+        rows = np.add(padded.T, np.arange(TABLES) * size, out=np.empty(padded.shape[::-1], np.intp))
+        x = self.tables.reshape(-1, d).take(rows.ravel(), axis=0).reshape(len(rows), TABLES * d).astype(np.float32, copy=False)
+        x[((first + np.diff(bounds))[:, None] + np.arange(PAD)).ravel()] = 0
+        return x, first
+
+    def blocks(self) -> list[list[np.ndarray]]:
+        """The filters' parts for the first, second, ... word of a window; widths rise, so the later parts are those of the last filters."""
+        d = TABLES * self.tables.shape[2]
+        return [[m[j * d : (j + 1) * d] for w, m in zip(WIDTHS, self.filters, strict=True) if w > j] for j in range(PAD)]
+
+    def windows(self, x: np.ndarray) -> np.ndarray:
+        """(filters of all widths, rows of x): each filter's value at the windows that start there, before its threshold at 0.
+
+        One product serves all words of all windows; a later word's part is added to the row where its window starts.
+        """
+        blocks, f = self.blocks(), self.biases[0].shape[0]
+        z = np.concatenate([m for block in blocks for m in block], axis=1).T @ x.T
+        done = f * len(WIDTHS)
+        y = z[:done]
+        for j, block in enumerate(blocks[1:], 1):
+            y[-f * len(block) :, :-j] += z[done : done + f * len(block), j:]
+            done += f * len(block)
+        y += np.concatenate(self.biases)[:, None]
+        return y
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
-        d, out = x.shape[1], []
-        for w, matrix, bias in zip(WIDTHS, self.filters, self.biases, strict=True):
-            y = x @ matrix[:d]
-            for j in range(1, w):
-                y[:-j] += x[j:] @ matrix[j * d : (j + 1) * d]
-            y += bias
-            out.append(np.maximum(y, 0, out=y))
-        return out
+        """windows(), at least 0, of each width: (rows of x, filters)."""
+        return np.split(np.maximum(self.windows(x), 0).T, len(WIDTHS), axis=1)
 
     def _tile(self, words: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x, first = self.embedded(words, bounds)
-        return np.concatenate([maxima(y, first, starts) for y in self.responses(x)], axis=1)
+        return maxima(self.windows(x).T, first, starts)
 
     def logits(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return self.pooled(words, bounds) @ self.weights + self.bias
 
 
-def gradients(network: Network, words: np.ndarray, bounds: np.ndarray, labels: np.ndarray, decay: float, tile: int = 1 << 17) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+def gradients(network: Network, words: np.ndarray, bounds: np.ndarray, labels: np.ndarray, decay: float, tile: int = 4 * TILE) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
     """Of the mean logistic loss (and decay / 2 times the squares of filters and weights): for filters, biases and weights; for the bias; and for the vectors of the words that
     matter (numbers of words, rows).  They pass through the windows that hold the maxima, which are found tile by tile.
     """
@@ -122,36 +142,41 @@ def gradients(network: Network, words: np.ndarray, bounds: np.ndarray, labels: n
     for at, to, s, end, starts in tiles(bounds, tile):
         own = np.clip(bounds[at : to + 1], s, end)
         x, first = network.embedded(words[:, s:end], own - s)
-        for k, y in enumerate(network.responses(x)):
-            rows = np.stack([a + y[a : a + m].argmax(axis=0) for a, m in zip(first, starts, strict=True)])
-            best = np.take_along_axis(y, rows, axis=0)
-            so_far, place = pooled[at:to, k * f : (k + 1) * f], where[at:to, k * f : (k + 1) * f]
-            better = best > so_far
-            so_far[better] = best[better]
-            place[better] = (rows - first[:, None] + own[:-1, None])[better]
+        y = network.windows(x)
+        rows = np.stack([a + y[:, a : a + m].argmax(axis=1) for a, m in zip(first.tolist(), starts.tolist(), strict=True)])
+        best = y[np.arange(len(y)), rows]
+        so_far, place = pooled[at:to], where[at:to]
+        better = best > so_far
+        so_far[better] = best[better]
+        place[better] = (rows - first[:, None] + own[:-1, None])[better]
     error = (1 / (1 + np.exp(-(pooled @ network.weights + network.bias))) - labels).astype(kind) / n
-    grads_f, grads_b, places, parts = [], [], [], []
-    for k, (w, matrix) in enumerate(zip(WIDTHS, network.filters, strict=True)):
-        back = error[:, None] * network.weights[k * f : (k + 1) * f] * (pooled[:, k * f : (k + 1) * f] > 0)
-        grad = np.zeros_like(matrix)
-        for j in range(w) if words.shape[1] else ():
-            rows = where[:, k * f : (k + 1) * f] + j
-            own = back * (rows < bounds[1:, None])  # words behind the end are empty
-            rows = np.minimum(rows, words.shape[1] - 1)
-            vectors = np.concatenate([table[at[rows]] for table, at in zip(network.tables, words, strict=True)], axis=2)
-            grad[j * e : (j + 1) * e] = np.einsum("nfd,nf->df", vectors, own)
-            i, filter_ = np.nonzero(own)
-            places.append(rows[i, filter_])
-            parts.append(own[i, filter_][:, None] * matrix[j * e : (j + 1) * e].T[filter_])
-        grads_f.append(grad + decay * matrix)
-        grads_b.append(back.sum(axis=0))
-    touched, dx = np.zeros(0, np.int64), np.zeros((0, e), kind)
-    if sum(len(p) for p in places):
-        places = np.concatenate(places)
-        order = np.argsort(places, kind="stable")
-        ranked = places[order]
-        new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        touched, dx = ranked[new], np.add.reduceat(np.concatenate(parts)[order], new, axis=0)
+    back = error[:, None] * network.weights * (pooled > 0)
+    # a column for each word of each filter's window, in the order of blocks()
+    blocks = network.blocks()
+    columns = [slice(f * (len(WIDTHS) - len(block)), None) for block in blocks]
+    grads, touched, dx = np.zeros((f * sum(WIDTHS), e), kind), np.zeros(0, np.int64), np.zeros((0, e), kind)
+    if words.shape[1]:
+        rows = np.concatenate([where[:, own] + j for j, own in enumerate(columns)], axis=1)
+        own = np.concatenate([back[:, own] for own in columns], axis=1) * (rows < bounds[1:, None])  # words behind the end are empty
+        rows = np.minimum(rows, words.shape[1] - 1)
+        _, size, d = network.tables.shape
+        vectors = network.tables.reshape(-1, d).take(words.T[rows] + np.arange(TABLES) * size, axis=0).reshape(*rows.shape, e)
+        grads = np.einsum("nfd,nf->fd", vectors, own)
+        i, filter_ = np.nonzero(own)
+        if len(i):
+            places = rows[i, filter_]
+            parts = own[i, filter_][:, None] * np.concatenate([m.T for block in blocks for m in block])[filter_]
+            order = np.argsort(places, kind="stable")
+            ranked = places[order]
+            new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            touched, dx = ranked[new], np.add.reduceat(parts[order], new, axis=0)
+    cuts = iter(np.split(grads, sum(WIDTHS)))
+    parts_of = [[] for _ in WIDTHS]
+    for block in blocks:
+        for k in range(len(WIDTHS) - len(block), len(WIDTHS)):
+            parts_of[k].append(next(cuts).T)
+    grads_f = [np.concatenate(own) + decay * matrix for own, matrix in zip(parts_of, network.filters, strict=True)]
+    grads_b = np.split(back.sum(axis=0), len(WIDTHS))
     return [*grads_f, *grads_b, pooled.T @ error + decay * network.weights], float(error.sum()), touched, dx
 
 
@@ -200,10 +225,11 @@ class Learner:
             p -= rate * grad / np.sqrt(s)
         self.bias_sum += g * g
         network.bias -= rate * g / self.bias_sum**0.5
-        for t, ids in enumerate(words[:, touched]):
-            grad = dx[:, t * d : (t + 1) * d]
-            np.add.at(self.table_sums[t], ids, (grad * grad).sum(axis=1))
-            np.add.at(network.tables[t], ids, -rate * grad / np.sqrt(self.table_sums[t][ids])[:, None])
+        grad = dx.reshape(-1, d)
+        rows = (words[:, touched].T + np.arange(TABLES) * network.tables.shape[1]).ravel()
+        sums, tables = self.table_sums.reshape(-1), network.tables.reshape(-1)
+        np.add.at(sums, rows, (grad * grad).sum(axis=1))
+        np.add.at(tables, (rows[:, None] * d + np.arange(d)).ravel(), (-rate * grad / np.sqrt(sums[rows])[:, None]).ravel())
 
     def pass_over(self, words: np.ndarray, bounds: np.ndarray, labels: np.ndarray, take: np.ndarray, batch: int, rate: float, decay: float, seed: list[int]) -> None:
         """One pass over the documents `take`, in an order that seed draws."""
@@ -211,7 +237,8 @@ class Learner:
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             sizes = bounds[pick + 1] - bounds[pick]
-            self.step(words[:, ranges(bounds[pick], sizes)], np.concatenate([[0], np.cumsum(sizes)]), labels[pick], rate, decay)
+            own = np.concatenate([words[:, s:e] for s, e in zip(bounds[pick].tolist(), bounds[pick + 1].tolist(), strict=True)], axis=1)
+            self.step(own, np.concatenate([[0], np.cumsum(sizes)]), labels[pick], rate, decay)
 
 
 def table_rows(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +309,7 @@ def bundles(docs: DataFrame, labels: DataFrame, languages: langid.LanguageModel,
 
     def hashed(batches):
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 words, bounds = table_rows(b.column("text"), bits)
                 langs = pa.array([code.get(x, -1) for x in languages.names(b.column("text").to_pylist())], pa.int32())
                 # the rows of a word side by side: repeated words are then repeated bytes, which compress
@@ -467,7 +494,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches):
         own = shared.value
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 s = own.score(b.column(b.schema.get_field_index("text")))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
         release()

@@ -526,3 +526,58 @@ def test_language_profiles_learn_every_row_and_names_agree(spark):
     for most in (1, 100, 1 << 20):
         assert model.names(texts, most) == [model.predict(t)[0] for t in texts]
     assert langid.fit(frame(spark, [])).names(texts[:3]) == ["und"] * 3 and model.names([]) == []
+
+
+def test_language_profiles_make_vectors_once_a_language(monkeypatch):
+    """However many slices a task's texts come in, the trigrams of a to z become vectors once for each language; the sums are those of the texts."""
+    rng = np.random.default_rng(12)
+    texts = [(y, " ".join("".join(rng.choice(list(a), 5)) for _ in range(20_000))) for y, a in (("x", "abcde"), ("y", "efghiß")) * 5] + [("y", "ab"), ("x", "1 2")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*texts[at : at + 3])], names=["lang", "text"]) for at in range(0, len(texts), 3)]
+    table, calls = langid.trigram_table, []
+    monkeypatch.setattr(langid, "trigram_table", lambda dims, seed: calls.append(langid.BASIC) or table(dims, seed))
+    got = [r for b in langid.text_sums(batches, 64, 7) for r in b.to_pylist()]
+    assert len(calls) == 3  # one for each language, and one with what holds an ß
+    monkeypatch.undo()
+    assert {r["lang"]: r["n"] for r in got} == {"x": 5, "y": 6} and len(got) == 2
+    for r in got:
+        want = sum(langid.bundled(*langid.trigrams(t)[:2], 64, 7) for y, t in texts if y == r["lang"] and langid.trigrams(t)[2])
+        assert np.frombuffer(r["sums"], np.float64) == pytest.approx(want, abs=1e-3)
+    # few may wait
+    assert [np.frombuffer(r["sums"], np.float64) for b in langid.text_sums(batches, 64, 7, 1) for r in b.to_pylist()] == [pytest.approx(np.frombuffer(r["sums"], np.float64), abs=1e-4) for r in got]
+    # more languages than are kept unsettled
+    many = [pa.RecordBatch.from_arrays([pa.array([f"l{i % 150}" for i in range(300)]), pa.array([f"abc{'de' * (i % 7)}" for i in range(300)])], names=["lang", "text"])] * 2
+    assert sorted((r["lang"], r["n"]) for b in langid.text_sums(many, 64, 7) for r in b.to_pylist()) == sorted((f"l{i}", 4) for i in range(150))
+
+
+def test_text_trigrams_of_odd_texts():
+    """Trigrams of many texts at once are those of each text: gaps at borders, texts without letters, NUL, surrogates and other scripts."""
+    rng = np.random.default_rng(13)
+    for _ in range(400):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice([*"abzZ .1\0", "ä", "漢", "\ud800"], rng.integers(0, 8))) for _ in range(rng.integers(0, 6))]
+        rows, others, sizes = langid.text_trigrams(texts)
+        assert len(sizes) == len(texts) and sizes.sum() == len(rows)
+        for text, own in zip(texts, np.split(rows, np.cumsum(sizes)[:-1]) if len(texts) else [], strict=True):
+            basic = own[own < langid.BASIC**3].astype(np.uint64)
+            first, rest = np.divmod(basic, np.uint64(langid.BASIC**2))
+            second, third = np.divmod(rest, np.uint64(langid.BASIC))
+            codes = np.concatenate([(first << np.uint64(42)) | (second << np.uint64(21)) | third, others[own[own >= langid.BASIC**3] - langid.BASIC**3]])
+            ids, counts = np.unique(codes, return_counts=True)
+            want, shares, _ = langid.trigrams(text)
+            assert ids.tolist() == want.tolist() and counts / max(1, len(own)) == pytest.approx(shares)
+
+
+def test_toxicity_windows_once_a_tile(monkeypatch):
+    """All widths of a tile come from one product over a bounded number of words, and are the windows' values."""
+    rng = np.random.default_rng(14)
+    net = toxicity.Network.fresh(6, 3, 4, 5)
+    sizes = [3, 0, 20_000, 1, *[50] * 400]
+    words, bounds = rng.integers(0, 64, (toxicity.TABLES, sum(sizes))).astype(np.uint16), np.concatenate([[0], np.cumsum(sizes)])
+    seen, windows = [], toxicity.Network.windows
+    monkeypatch.setattr(toxicity.Network, "windows", lambda self, x: seen.append(len(x)) or windows(self, x))
+    net.pooled(words, bounds)
+    assert max(seen) <= 1.2 * toxicity.TILE and len(seen) <= 2 + sum(sizes) / toxicity.TILE * 1.5
+    x = rng.normal(size=(12, toxicity.TABLES * 3)).astype(np.float32)
+    padded = np.concatenate([x, np.zeros((toxicity.PAD, x.shape[1]), np.float32)])
+    for k, (w, matrix, bias) in enumerate(zip(toxicity.WIDTHS, net.filters, net.biases, strict=True)):
+        want = np.array([padded[i : i + w].ravel() @ matrix + bias for i in range(12)])
+        assert windows(net, x)[k * 4 : k * 4 + 4].T == pytest.approx(want, abs=1e-4)
