@@ -3,12 +3,14 @@
 Rows are sorted and cut into small blocks.  For every gram (one to three characters, as a number) and every block that has it, the index holds the greatest
 value that a row of the block can give to a term with that gram; these postings are written sorted by gram and block.  A term can only occur in blocks that have
 all its grams, and there counts no more than the least of their values.  Both searches go through the postings in an order that lets them stop: by falling value
-for the best rows (`best_rows`), by block for the first rows (`first_rows`).  What is left is decided by the rows themselves, which are read block by block.
+for the best rows (`best_rows`), by block for the first rows (`first_rows`).  What is left is decided by the rows themselves, which are read block by block.  Where there are so many
+queries that nearly every block matters to some, the best rows come from one pass over the rows, without postings.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -105,14 +107,99 @@ def _occurrences(columns: list[str]):
     return scan
 
 
+def _best_of(k: int, at_once: int = 256, cells: int = 1 << 20):
+    """(q, row, score) of each query's k best rows of a tile, ties to the first.
+
+    The rows are taken some at a time, in order.  Their words are looked up once each, which gives the points of every term in every row; a query is scored where what its terms have at
+    most there is above its k-th score so far: later rows that are as good come after.
+    """
+
+    def scan(rows, asked):
+        import ahocorasick
+
+        schema = ["q", "row", "score"]
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=schema)
+        terms = asked.column("terms").combine_chunks()
+        flat = terms.flatten().dictionary_encode()
+        names, number, size = flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.diff(terms.offsets.to_numpy())
+        # queries by falling number of terms; nth[j]: the j-th term of all that have so many
+        falling = np.argsort(-size, kind="stable")
+        start, size = (np.cumsum(size) - size)[falling], size[falling]
+        nth = [number[start[: np.searchsorted(-size, -j)] + j] for j in range(int(size.max()))]
+        machine, known = ahocorasick.Automaton(), {}
+        for i, name in enumerate(names):
+            machine.add_word(name, i)
+        machine.make_automaton()
+        # a term without a space lies within a word
+        words = (lambda t: {t}) if any(" " in name for name in names) else (lambda t: set(t.split(" ")))
+
+        def held(text):
+            if len(known) > 1 << 17:
+                known.clear()
+            out = set()
+            for word in words(text):
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = tuple({i for _, i in machine.iter(word)})
+                out.update(ids)
+            return out
+
+        score, row, theta = np.zeros((len(size), k)), np.zeros((len(size), k), np.int64), np.zeros(len(size))
+        rows = rows.take(pa.array(np.argsort(rows.column("row").to_numpy())))
+        for first in range(0, rows.num_rows, at_once):
+            part = rows.slice(first, at_once)
+            own, weight, ids, values, sizes = part.column("row").to_numpy(), part.column("weight").to_numpy(), [], [], []
+            for low, pieces, points in zip(*(part.column(c).to_pylist() for c in ("low", "pieces", "points")), strict=True):
+                value = dict.fromkeys(held(low), 1.0)
+                for piece, p in zip(pieces, points, strict=True):
+                    for i in held(piece):
+                        value[i] = value.get(i, 0.0) + p
+                ids.extend(value)
+                values.extend(value.values())
+                sizes.append(len(value))
+            there, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+            points = np.zeros((len(there) + 1, len(sizes)))
+            points[at, np.repeat(np.arange(len(sizes)), sizes)] = values
+            # terms that no row here has share the last line
+            place = np.full(len(names), len(there))
+            place[there] = np.arange(len(there))
+            most, bound = (points * weight).max(axis=1)[place], np.zeros(len(size))
+            for t in nth:
+                bound[: len(t)] += most[t]
+            # bounds add what scores multiply: rounding must not bring a bound below a score
+            open_ = np.flatnonzero(bound * (1.0 + 1e-9) > theta)
+            step = max(1, cells // len(sizes))
+            for c in np.split(open_, range(step, len(open_), step)):
+                s = np.zeros((len(c), len(sizes)))
+                for t in nth:
+                    n = np.searchsorted(c, len(t))
+                    s[:n] += points[place[t[c[:n]]]]
+                s *= weight
+                better = s.max(axis=1) > theta[c]
+                c, s = c[better], s[better]
+                # the sort is stable, and what was there before comes first
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                s, r = np.concatenate([score[c], np.take_along_axis(s, best, 1)], axis=1), np.concatenate([row[c], own[best]], axis=1)
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score[c], row[c] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
+                theta[c] = score[c, k - 1]
+        q, j = np.nonzero(score > 0)
+        return pa.table([asked.column("q").to_numpy()[falling[q]], row[q, j], score[q, j]], names=schema)
+
+    return scan
+
+
 @dataclass
 class GramIndex:
-    """rows: the indexed rows with `block` and their lower-case text `low`; postings: gram, block, best; sizes: gram, blocks; spans: (first block, blocks) of each part."""
+    """rows: the indexed rows with `block` and their lower-case text `low`; path: the folder; spans: (first block, blocks) of each part; order: the columns they are sorted by, if known."""
 
     rows: DataFrame
-    postings: DataFrame
-    sizes: DataFrame
+    path: str
     spans: list[tuple[int, int]]
+    block_rows: int = 64
+    order: list[str] | None = None
+    #: whether the folder has postings and sizes
+    stored: bool = True
     #: of the last best_rows: the (query_id, block) that were scored, and the value below which no posting was read
     scored: DataFrame | None = None
     floor: float = 0.0
@@ -124,30 +211,46 @@ class GramIndex:
         """Indexes a table in the order of some columns, in a folder (the shared one by default).
 
         low: the lower-case text in which terms are searched.  A term that occurs there gets one point, and points[i] for each lower-case pieces[i] that it occurs in,
-        times weight; pieces must be parts of low.  block_rows: a power of two.
+        times weight; pieces must be parts of low.  block_rows: a power of two.  In the shared folder, where nobody else opens it, postings are written when they are first asked for.
         """
-        spark, path = table.sparkSession, path or scratch(table.sparkSession)
+        spark, kept = table.sparkSession, path is not None
+        path = path or scratch(spark)
         none = lambda kind: F.array().cast(f"array<{kind}>")
         rows = table.withColumn("low", F.coalesce(low, F.lit("")))
         rows = rows.withColumn("pieces", none("string") if pieces is None else pieces).withColumn("points", none("double") if points is None else points)
         rows = rows.withColumn("weight", F.lit(1.0) if weight is None else weight)
         numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
         numbered.withColumn("block", F.shiftright("row", block_rows.bit_length() - 1)).write.parquet(f"{path}/rows")
-        stored = spark.read.parquet(f"{path}/rows")
-        found = stored.select("block", "low", "weight", "pieces", "points").mapInArrow(_postings, "gram long, block long, best double")
-        # one exchange: what is dealt by range of (gram, block) is grouped where it is
-        sorted_ = found.repartitionByRange("gram", "block").groupBy("gram", "block").agg(F.max("best").alias("best")).sortWithinPartitions("gram", "block")
-        sorted_.write.parquet(f"{path}/postings")
-        spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("blocks")).write.parquet(f"{path}/sizes")
-        return GramIndex.open(spark, path, block_rows)
+        index = GramIndex.open(spark, path, block_rows, order)
+        index.stored = False
+        if kept:
+            _ = index.sizes
+        return index
 
     @staticmethod
-    def open(spark: SparkSession, path: str, block_rows: int = 64) -> GramIndex:
+    def open(spark: SparkSession, path: str, block_rows: int = 64, order: list[str] | None = None) -> GramIndex:
         """A stored index; only the number of blocks of each of its parts comes to the driver."""
-        rows, postings, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("rows", "postings", "sizes"))
+        rows = spark.read.parquet(f"{path}/rows")
         shift = TASK_BITS - (block_rows.bit_length() - 1)
         parts = rows.groupBy(F.shiftright("block", shift).alias("part")).agg(F.max("block").alias("last")).orderBy("part").collect()
-        return GramIndex(rows, postings, sizes, [(r["part"] << shift, r["last"] - (r["part"] << shift) + 1) for r in parts])
+        return GramIndex(rows, path, [(r["part"] << shift, r["last"] - (r["part"] << shift) + 1) for r in parts], block_rows, order)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """gram, block, best, sorted by gram and block."""
+        if not self.stored:
+            found = self.rows.select("block", "low", "weight", "pieces", "points").mapInArrow(_postings, "gram long, block long, best double")
+            # one exchange: what is dealt by range of (gram, block) is grouped where it is
+            sorted_ = found.repartitionByRange("gram", "block").groupBy("gram", "block").agg(F.max("best").alias("best")).sortWithinPartitions("gram", "block")
+            sorted_.write.parquet(f"{self.path}/postings")
+        return self.rows.sparkSession.read.parquet(f"{self.path}/postings")
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """gram, blocks."""
+        if not self.stored:
+            self.postings.groupBy("gram").agg(F.count("*").alias("blocks")).write.parquet(f"{self.path}/sizes")
+        return self.rows.sparkSession.read.parquet(f"{self.path}/sizes")
 
     def block_at(self, rank: int) -> int | None:
         """The block of a rank (from 0) in the index's order; None beyond the last."""
@@ -205,12 +308,49 @@ class GramIndex:
 
         return F.aggregate("terms", F.lit(0.0), lambda total, t: total + points(t)) * F.col("weight")
 
-    def best_rows(self, queries: DataFrame, k: int, tie: list[str], columns: list[str], batch: int = 8) -> DataFrame:
+    def best_by_pass(self, queries: DataFrame, k: int, tie: list[str], columns: list[str], tile_rows: int = 1 << 15) -> DataFrame:
+        """best_rows in one pass: tiles of consecutive rows meet parts of the queries, and bring the k best of each query.
+
+        There are some 32 tiles, or more of at most about `tile_rows`; a part's best rows are at most some 4 million, so its memory does not grow with the input.
+        """
+        if self.order != tie:
+            again = GramIndex.build(self.rows.drop("block", "row"), tie, F.col("low"), F.col("pieces"), F.col("points"), F.col("weight"), self.block_rows)
+            return again.best_by_pass(queries, k, tie, columns, tile_rows)
+        spark, n = self.rows.sparkSession, self.rows.count()
+        asked = written(queries.select("query_id", "terms").withColumn("q", F.monotonically_increasing_id()))
+        parts = max(1, -(-asked.count() // max(1, min(1 << 17, (1 << 22) // k))))
+        blocks = sum(n for _, n in self.spans)
+        tiles = max(1, min(32, n // 256), n // tile_rows)
+        # blocks are numbered anew from 0, without the gaps between parts
+        shift, before, offsets = TASK_BITS - (self.block_rows.bit_length() - 1), 0, []
+        for first, own in self.spans:
+            offsets.append((first >> shift, before - first))
+            before += own
+        offsets = F.broadcast(spark.createDataFrame(offsets, "part long, offset long"))  # a row for each file of the index
+        rows = self.rows.withColumn("part", F.shiftright("block", shift)).join(offsets, "part").withColumn("tile", F.floor((F.col("block") + F.col("offset")) * tiles / blocks))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        rows = rows.select("tile", "row", "low", "pieces", "points", "weight", each(parts).alias("part"))
+        dealt = asked.select("q", "terms", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"), each(tiles).alias("tile"))
+        # a number of partitions that is given is kept: tiles are few megabytes, but work
+        deal = lambda df: df.repartition(2 * tiles * parts, "tile", "part").groupBy("tile", "part")
+        found = deal(rows).cogroup(deal(dealt)).applyInArrow(_best_of(k), "q long, row long, score double")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))
+        top = written(found.withColumn("_n", rank).filter(F.col("_n") <= k).drop("_n"))
+        merged = lambda df: df.hint("merge")
+        return merged(top).join(self.rows.select("row", *columns), "row").join(merged(asked.select("q", "query_id")), "q").select("query_id", "score", *columns)
+
+    def best_rows(self, queries: DataFrame, k: int, tie: list[str], columns: list[str], batch: int = 8, few: int = 256) -> DataFrame:
         """query_id, score and `columns` of each query's k rows of the highest score, ties by `tie`; rows without a score above 0 are no hits.
 
-        queries: query_id, terms (lower-case strings; one that occurs twice counts twice).  Postings are read in layers of falling value.  A block's bound is the sum over the terms of the least value of its grams, or of the
+        queries: query_id, terms (lower-case strings; one that occurs twice counts twice, an empty one does not).  Of more than `few` distinct terms, and one for every 64 rows, all rows are read once
+        (`best_by_pass`): there are few blocks that no query needs.  Else postings are read in layers of falling value.  A block's bound is the sum over the terms of the least value of its grams, or of the
         layer's floor where a gram has not come up yet.  Blocks are scored by falling bound; a query is done when the floor, for all its terms, is no more than its k-th score.
         """
+        queries = queries.withColumn("terms", F.filter("terms", lambda t: t != "")).filter(F.size("terms") > 0)
+        distinct = queries.select(F.explode("terms")).distinct().count()
+        if distinct > few and 64 * distinct > self.rows.count():
+            self.scored, self.floor = None, 0.0
+            return self.best_by_pass(queries, k, tie, columns)
         # what grows with queries or blocks is merged: its files are far smaller than its rows (repeated queries), and a broadcast chosen by file size would bring the rows to the driver
         merged = lambda df: df.hint("merge")
         # bounds add what scores multiply: rounding must not bring a bound below a score
